@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "op2_packing": "packing",
     "op8_quality": "quality",
+    "op9_secrets": "secrets",
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
