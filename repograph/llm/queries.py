@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that defines a function of that name
 QUERIES = {
+    "op1_line_dedup": "line_dedup",
     "op2_packing": "packing",
     "op3_near_dedup": "near_dedup",
     "op8_quality": "quality",
