@@ -433,7 +433,8 @@ def drop_duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) ->
     lost = found.where("class_size > 1").where((F.col("_row") != F.col("first._row.value")) | (F.col("line_no") != F.col("first.line_no")))
     drops = lost.groupBy("_row").agg(F.sort_array(F.collect_list("line_no")).alias("_drop"))
     joined = numbered.join(drops, "_row", "left")
-    left = F.expr(r"array_join(transform(array_except(sequence(0, size(split(text, '\n', -1)) - 1), _drop), i -> get(split(text, '\n', -1), i)), '\n')")
+    # The lines are bound once to a name, so that a long text is split once.
+    left = F.expr(r"transform(array(split(text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _drop), i -> get(ls, i)), '\n'))[0]")
     kept = joined.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
     kept = kept.where(F.col("_drop").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

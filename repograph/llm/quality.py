@@ -17,6 +17,7 @@ as bad if any says so; extra columns are ignored here and kept by ``apply_qualit
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,40 +57,40 @@ class QualityParams:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
-def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``text`` replaced by the long columns of COUNTS, row by row and without a shuffle.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and binds it to ``name`` in ``body``, whatever the optimizer moves where."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def counts_of(text: str = "text") -> str:
+    """SQL for a struct of COUNTS of a text column.
 
     A word is a run of characters other than ASCII white space. Word windows are compared by a 64-bit hash of
     three words within one text, found by sorting (hash, position), so a long text costs n log n.
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c != text and c not in COUNTS]
     t = f"coalesce(`{text}`, '')"
     trimmed = rf"regexp_replace({t}, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '')"
-    words = df.select(
-        *keep,
-        F.expr(rf"split({trimmed}, '[\\x20\\x09-\\x0D]+', -1)").alias("_w"),
-        F.expr(rf"filter(split({t}, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("_l"),
-        F.expr(rf"length(regexp_replace({t}, '[^{SYMBOLS}]+', ''))").cast("long").alias("n_symbols"),
-        F.expr(rf"length(regexp_replace({t}, '[^\\p{{Lu}}]+', ''))").cast("long").alias("n_capitals"),
-    )
-    none = "size(_w) = 1 and _w[0] = ''"
-    counted = words.select(
-        "*",
-        F.expr(f"if({none}, 0L, cast(size(_w) as bigint))").alias("n_words"),
-        F.expr("cast(length(array_join(_w, '')) as bigint)").alias("word_chars"),
-        F.expr("cast(size(_l) as bigint)").alias("n_lines"),
-        F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)").alias("n_dup_lines"),
-        F.expr("""sort_array(transform(slice(_w, 1, greatest(size(_w) - 2, 0)),
-                    (x, i) -> struct(xxhash64(x, get(_w, i + 1), get(_w, i + 2)) as h, i as i)))""").alias("_s"),
-    ).drop("_w", "_l")
-    marked = counted.withColumn(
-        "_p",
-        F.expr("""sort_array(transform(
-                    filter(_s, (x, j) -> x.h = get(_s, j - 1).h or x.h = get(_s, j + 1).h), x -> x.i))"""),
-    ).drop("_s")
+    words = rf"split({trimmed}, '[\\x20\\x09-\\x0D]+', -1)"
+    lines = rf"filter(split({t}, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"
+    windows = "sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> struct(xxhash64(x, get(w, i + 1), get(w, i + 2)) as h, i as i)))"
+    twice = "sort_array(transform(filter(s, (x, j) -> x.h = get(s, j - 1).h or x.h = get(s, j + 1).h), x -> x.i))"
     # least() skips nulls, so the first window covers three words and each next one what it adds.
-    repeats = "aggregate(transform(_p, (x, k) -> least(3, x - get(_p, k - 1))), 0L, (a, x) -> a + x)"
-    return marked.withColumn("n_repeat_words", F.expr(repeats)).select(*keep, *COUNTS)
+    repeats = _let(windows, "s", _let(twice, "p", "aggregate(transform(p, (x, k) -> least(3, x - get(p, k - 1))), 0L, (a, x) -> a + x)"))
+    own = f"""named_struct(
+        'n_words', if(size(w) = 1 and w[0] = '', 0L, cast(size(w) as bigint)),
+        'word_chars', cast(length(array_join(w, '')) as bigint),
+        'n_symbols', cast(length(regexp_replace({t}, '[^{SYMBOLS}]+', '')) as bigint),
+        'n_dup_lines', cast(size(l) - size(array_distinct(l)) as bigint),
+        'n_repeat_words', {repeats},
+        'n_lines', cast(size(l) as bigint),
+        'n_capitals', cast(length(regexp_replace({t}, '[^\\\\p{{Lu}}]+', '')) as bigint))"""
+    return _let(words, "w", _let(lines, "l", own))
+
+
+def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``text`` replaced by the long columns of COUNTS, row by row and without a shuffle."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c != text and c not in COUNTS]
+    return df.select(*keep, F.expr(counts_of(text)).alias("_counts")).select(*keep, "_counts.*")
 
 
 def _stirling(x: str) -> str:
@@ -172,24 +173,27 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", p
     )
 
 
-def judge(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang", params: QualityParams = QualityParams()) -> DataFrame:
-    """``counts`` with base_failed, kept and rules_failed (array of the rules that reject the row).
+def _cutoff_maps(cutoffs: DataFrame, params: QualityParams) -> DataFrame:
+    """(_stratum, _c): the cutoffs of each stratum as a map; broadcast only when counted to be at most ``broadcast_strata`` rows."""
+    small = cut(cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_c")))
+    return F.broadcast(small) if small.count() <= params.broadcast_strata else small
 
-    Cutoffs are one row per stratum; they are broadcast only when counted to be at most ``broadcast_strata`` rows.
-    """
+
+def _verdict(params: QualityParams, of: str = "") -> tuple[str, str]:
+    """SQL for base_failed and rules_failed over COUNTS (fields of the struct ``of``, or columns) and the map _c."""
     p = params
-    small = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_c"))
-    small = cut(small.withColumnRenamed("stratum", "_stratum"))
-    if small.count() <= p.broadcast_strata:
-        small = F.broadcast(small)
-    joined = counts.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(small, "_stratum", "left")
-    failed = "array_compact(array(" + ", ".join(f"if(({share}) > _c['{r}'], '{r}', null)" for r, (share, _, _) in p.rules.items()) + "))"
-    return (
-        joined.withColumn("base_failed", F.expr(f"n_words < {p.min_words} or 100 * n_repeat_words > {p.max_repeat_percent} * n_words"))
-        .withColumn("rules_failed", F.expr(failed))
-        .withColumn("kept", F.expr("not base_failed and size(rules_failed) = 0"))
-        .drop("_stratum", "_c")
-    )
+    own = lambda sql: re.sub(rf"\b({'|'.join(COUNTS)})\b", rf"{of}.\1" if of else r"\1", sql)
+    base = own(f"(n_words < {p.min_words} or 100 * n_repeat_words > {p.max_repeat_percent} * n_words)")
+    failed = "array_compact(array(" + ", ".join(f"if(({own(share)}) > _c['{r}'], '{r}', null)" for r, (share, _, _) in p.rules.items()) + "))"
+    return base, failed
+
+
+def judge(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang", params: QualityParams = QualityParams()) -> DataFrame:
+    """``counts`` with base_failed, kept and rules_failed (array of the rules that reject the row)."""
+    base, failed = _verdict(params)
+    joined = counts.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(_cutoff_maps(cutoffs, params), "_stratum", "left")
+    out = joined.withColumn("base_failed", F.expr(base)).withColumn("rules_failed", F.expr(failed))
+    return out.withColumn("kept", F.expr("not base_failed and size(rules_failed) = 0")).drop("_stratum", "_c")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -207,12 +211,12 @@ def apply_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
     The cutoffs come from the counts of all rows; the verdict is then taken from each row's own counts, so
     rows sharing a doc_id are judged apart and no join on documents is needed.
     """
-    p = params
     counts = cut(text_counts(docs.select("doc_id", "text", "lang")))
-    cutoffs = cut(learn_cutoffs(counts, labels, "lang", p))
-    tagged = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    own = text_counts(tagged.select("text", "lang", "_row"))
-    return judge(own, cutoffs, "lang", p).where("kept").select("_row.*")
+    cutoffs = learn_cutoffs(counts, labels, "lang", params)
+    base, failed = _verdict(params, "c")
+    kept = F.expr(_let(counts_of("text"), "c", f"not {base} and size({failed}) = 0"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.coalesce("lang", F.lit("")).alias("_stratum"))
+    return tagged.join(_cutoff_maps(cutoffs, params), "_stratum", "left").where(kept).select("_row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

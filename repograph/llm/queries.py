@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .mixing import mix_sql
+
 #: query name -> module of this subpackage that defines a function of that name
 QUERIES = {
     "op1_line_dedup": "line_dedup",
     "op2_packing": "packing",
     "op3_near_dedup": "near_dedup",
+    "op6_mixing": "mixing",
     "op8_quality": "quality",
     "op9_secrets": "secrets",
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mix_sql()}
 
 
 def queries() -> dict:
