@@ -6,8 +6,8 @@ stands out from its class). Identical texts are one class from the start. Each d
 consistent weighted samples; texts that agree in all rows of a band share a bucket. Within a bucket pairs are compared by
 their samples, and those that agree in at least ``agree`` of them are verified by weighted Jaccard similarity
 over the whole bags. Only pairs that can still join two components are tried: first a maximum spanning forest and a star of each block of
-a bucket, then every pair across components that the first round left apart. So a group of many copies costs about its size,
-and no link between components is lost. Classes are the connected components of the verified links.
+a bucket, verified pair by pair; then, cell by cell of a bucket, every row that the first round left outside the cell's largest component, against all rows there. So a group of
+many copies costs about its size, pairs are never expanded, and no link between components is lost. Classes are the connected components of the verified links.
 
 The chance that a pair of similarity 0.8 meets in no band or agrees in too few samples is below 1 % (0.4096 per band in
 ten bands; 24 of 40), and falls fast above. Shingles are compared by 32-bit elements within a pair of texts.
@@ -212,40 +212,105 @@ def _forest(sig: np.ndarray, agree: int) -> list[tuple[int, int]]:
     return sorted(edges)
 
 
-def _pairs(cells: DataFrame, agree: int, apart: bool) -> DataFrame:
-    """Distinct pairs (a, b) of keys to verify. With ``apart``: all agreeing pairs of different roots (column root), else each cell's forest."""
+def _by_cell(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` with the rows of a cell together, in order of their key."""
     partitions = max(shuffle_partitions(cells.sparkSession), 2)
+    return cells.select("cell", *columns).repartition(partitions, "cell").sortWithinPartitions("cell", "key")
+
+
+def _spans(t: pa.Table) -> list[tuple[int, int]]:
+    cell = t.column("cell").to_numpy()
+    bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+    return [(s, e) for s, e in zip(bounds[:-1], bounds[1:]) if e - s > 1]
+
+
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
+
+
+def _forest_pairs(cells: DataFrame, agree: int) -> DataFrame:
+    """Distinct pairs (a, b) of keys to verify first: the forest and star of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
-            cell = t.column("cell").to_numpy()
             keys, sigs = t.column("key").to_pylist(), t.column("sig").to_pylist()
-            roots = t.column("root").to_pylist() if apart else None
-            bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
             a, b = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if e - s < 2:
-                    continue
-                sig = np.frombuffer(b"".join(sigs[s:e]), dtype=np.uint8).reshape(e - s, -1)
-                if apart:
-                    _, root = np.unique(np.array(roots[s:e], dtype=object), return_inverse=True)
-                    most = np.bincount(root).argmax()
-                    edges = []
-                    for i in np.flatnonzero(root != most).tolist():  # pairs within the cell's largest component need no look
-                        hit = ((sig == sig[i]).sum(axis=1) >= agree) & (root != root[i]) & ((root == most) | (np.arange(e - s) > i))
-                        edges += [(i, j) for j in np.flatnonzero(hit).tolist()]
-                else:
-                    edges = _forest(sig, agree)
-                for i, j in edges:
+            for s, e in _spans(t):
+                for i, j in _forest(_matrix(sigs[s:e]), agree):
                     x, y = keys[s + i], keys[s + j]
                     if x != y:
                         a.append(max(x, y))
                         b.append(min(x, y))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    columns = ["cell", "key", "sig", *(["root"] if apart else [])]
-    dealt = cells.select(*columns).repartition(partitions, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return _by_cell(cells, ["key", "sig"]).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _apart(roots: list) -> tuple[np.ndarray, np.ndarray]:
+    """(component number of each row, rows outside the largest component)."""
+    names: dict = {}
+    own = np.array([names.setdefault(r, len(names)) for r in roots])
+    return own, np.flatnonzero(own != np.bincount(own).argmax())
+
+
+def _suspects(cells: DataFrame, agree: int) -> DataFrame:
+    """The rows (cell, key, root) of cells that agree with a row of another component; as many as there are rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, "cell"):
+            roots, sigs = t.column("root").to_pylist(), t.column("sig").to_pylist()
+            hit = np.zeros(len(t), dtype=bool)
+            for s, e in _spans(t):
+                own, outside = _apart(roots[s:e])
+                sig = _matrix(sigs[s:e])
+                for i in outside.tolist():
+                    met = ((sig == sig[i]).sum(axis=1) >= agree) & (own != own[i])
+                    if met.any():
+                        hit[s:e] |= met
+                        hit[s + i] = True
+            yield from t.select(["cell", "key", "root"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return _by_cell(cells, ["key", "root", "sig"]).mapInArrow(run, "cell long, key binary, root binary")
+
+
+def _cell_links(suspects: DataFrame, bags: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between components, found by comparing whole bags within each cell; each cell gives no more links than join its components.
+
+    A row outside the largest component is compared with all rows of its cell at once: its elements are marked, and the marked weights are summed row by row.
+    """
+    shared = suspects.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        shift = np.uint32(32 - CLASS_BITS)
+        for t in _grouped(batches, "cell"):
+            keys, roots, raw = t.column("key").to_pylist(), t.column("root").to_pylist(), t.column("bag").to_pylist()
+            a, b = [], []
+            for s, e in _spans(t):
+                own, outside = _apart(roots[s:e])
+                sizes = np.array([len(x) // 4 for x in raw[s:e]])
+                elements = np.frombuffer(b"".join(raw[s:e]), dtype="<u4")
+                names, place = np.unique(elements, return_inverse=True)
+                weight = w[names >> shift].astype(np.float64)
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                mass = np.add.reduceat(weight[place], starts)
+                marked = np.zeros(len(names))
+                for i in outside.tolist():
+                    mine = place[starts[i] : ends[i]]
+                    marked[mine] = weight[mine]
+                    common = np.add.reduceat(marked[place], starts)
+                    marked[mine] = 0
+                    near = common >= similarity * (mass + mass[i] - common) - 1e-9
+                    for j in np.flatnonzero(near & (own != own[i])).tolist():
+                        if own[i] != own[j]:
+                            own[own == own[j]] = own[i]
+                            a.append(max(keys[s + i], keys[s + j]))
+                            b.append(min(keys[s + i], keys[s + j]))
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    joined = suspects.join(bags, "key")
+    return _by_cell(joined, ["key", "root", "bag"]).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
@@ -299,11 +364,12 @@ def near_duplicate_classes(docs: DataFrame, params: NearParams = NearParams(), l
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = cut(buckets.join(shared, "bucket"))
     bags = cut(_elements(docs, buckets.select("key", "doc_id").distinct(), p))
-    links = cut(_verified(_pairs(_cells(buckets, p.block, across=False), p.agree, apart=False), bags, weights, p.similarity))
+    links = cut(_verified(_forest_pairs(_cells(buckets, p.block, across=False), p.agree), bags, weights, p.similarity))
     roots = cut(connected_components(links))
     named = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     split = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
-    more = cut(_verified(_pairs(_cells(named.join(split, "bucket"), p.block, across=True), p.agree, apart=True), bags, weights, p.similarity))
+    suspects = cut(_suspects(_cells(named.join(split, "bucket"), p.block, across=True), p.agree))
+    more = cut(_cell_links(suspects, bags, weights, p.similarity))
     roots = connected_components(links.unionByName(more))
     out = signed.select("doc_id", "key", F.length("sig").alias("_n")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     alone = F.when(F.lit(link_empty) | (F.col("_n") > 0), F.col("key")).otherwise(F.encode(F.concat_ws(":", F.lit("empty"), F.col("doc_id").cast("string"), F.monotonically_increasing_id()), "utf-8"))

@@ -13,6 +13,7 @@ QUERIES = {
     "op3_near_dedup": "near_dedup",
     "op6_mixing": "mixing",
     "op8_quality": "quality",
+    "op10_nearest": "anisotropic",
     "op9_secrets": "secrets",
 }
 
