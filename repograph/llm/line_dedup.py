@@ -8,8 +8,8 @@ verified by banded bit-parallel edit distance on what is left between their comm
 (least doc_id, then line number) of a class stays.
 
 Rows are 16 bytes and travel as blocks of packed arrays, one per target part and batch, with repeats removed before the shuffle. Where many lines meet in one
-segment, pairs are not expanded: each line is verified against the first indexed one, and only pairs that could still join two components and
-whose character counts allow it are tried after that, in blocks, so no link between components is lost.
+segment, pairs are not expanded: each line is verified against the first indexed one; after that lines of different components whose character counts allow it are verified
+within cells of a bucket, which give only the links that join components, so none between components is lost.
 
 Edge cases: null or empty text has no lines; a null doc_id counts as the last; repeated rows are copies, of which the first keeps its lines (ties are
 broken by the row's place in its file); text without duplicates is returned unchanged; other columns are kept.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, table
 from .components import connected_components
+from .near_dedup import _apart, _by_cell, _grouped, _matrix, _spans
 from .shingles import BASE, _power_tables, _SPACE, mix, texts
 
 
@@ -323,49 +324,70 @@ def _verified(pairs: DataFrame, lines: DataFrame, params: LineParams) -> DataFra
 
 
 def _sketches(lines: DataFrame) -> DataFrame:
-    """(ref, sketch): counts of the bytes of a line by their value modulo 16, modulo 256; an edit of one code point changes at most eight of them by one in sum."""
+    """(ref, sketch): counts of the code points of a line by their value modulo 32, modulo 256; an edit changes them by two in sum at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sk = [np.bincount(np.frombuffer(x.as_buffer(), dtype=np.uint8) & 15, minlength=16).astype(np.uint8).tobytes() for x in batch.column(1)]
+            sk = [np.bincount(_points(x.as_py()) & 31, minlength=32).astype(np.uint8).tobytes() for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sk, pa.binary())], names=["ref", "sketch"])
 
     return lines.select("ref", "line").mapInArrow(run, "ref long, sketch binary")
 
 
-def _cross_pairs(rows: DataFrame, params: LineParams) -> DataFrame:
-    """Pairs of lines that meet, belong to different components and whose byte counts allow a link; rows: bucket, ref, indexed, sketch, root."""
-    limit = 8 * params.edits
-    partitions = max(shuffle_partitions(rows.sparkSession), 2)
+def _near_sketches(sketch: np.ndarray, i: int, indexed: np.ndarray, own: np.ndarray, limit: int) -> np.ndarray:
+    """Rows of other components that may be within reach of row i, where one of the two is indexed."""
+    off = np.abs((sketch - sketch[i]).view(np.int8).astype(np.int16)).sum(axis=1)
+    return (off <= limit) & (own != own[i]) & (indexed | indexed[i])
+
+
+def _cross_links(rows: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
+    """Links (a, b) between lines of different components that meet; rows: bucket, ref, indexed, root.
+
+    Rows that may have such a link are found by their sketches alone; only those get their text, and are verified cell by cell. A cell gives no more links than
+    join its components, and a row never leaves a task as a pair.
+    """
+    edits, limit = params.edits, 2 * params.edits
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
     dealt = rows.join(sizes, "bucket").withColumn("_g", F.ceil(F.col("_n") / params.block).cast("int")).withColumn("_i", F.expr("cast(pmod(xxhash64(ref, bucket), _g) as int)"))
     dealt = dealt.withColumn("_j", F.explode(F.expr("sequence(0, _g - 1)"))).withColumn("cell", F.xxhash64("bucket", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    dealt = dealt.select("cell", F.col("ref").alias("key"), "indexed", "root").join(_sketches(lines).withColumnRenamed("ref", "key"), "key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .near_dedup import _grouped
-
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
-            cell, ref, root = (t.column(c).to_numpy() for c in ("cell", "ref", "root"))
-            indexed = t.column("indexed").to_numpy()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, 16)
-            bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            roots, indexed, sketches = t.column("root").to_pylist(), t.column("indexed").to_numpy(), t.column("sketch").to_pylist()
+            hit = np.zeros(len(t), dtype=bool)
+            for s, e in _spans(t):
+                own, outside = _apart(roots[s:e])
+                sketch = _matrix(sketches[s:e])
+                for i in outside.tolist():
+                    met = _near_sketches(sketch, i, indexed[s:e], own, limit)
+                    if met.any():
+                        hit[s:e] |= met
+                        hit[s + i] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    suspects = cut(_by_cell(dealt, ["key", "indexed", "root", "sketch"]).mapInArrow(find, "cell long, key long, indexed boolean, root long, sketch binary"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, "cell"):
+            keys, roots, indexed = t.column("key").to_pylist(), t.column("root").to_pylist(), t.column("indexed").to_numpy()
+            sketches, raw = t.column("sketch").to_pylist(), t.column("line").to_pylist()
             a, b = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                names, own = np.unique(root[s:e], return_inverse=True)
-                if len(names) < 2:
-                    continue
-                most = np.bincount(own).argmax()
-                sk, place = sketch[s:e], np.arange(e - s)
-                for i in np.flatnonzero(own != most).tolist():
-                    off = np.abs((sk - sk[i]).view(np.int8).astype(np.int16)).sum(axis=1)
-                    hit = (off <= limit) & (own != own[i]) & (indexed[s:e] | indexed[s + i]) & ((own == most) | (place > i))
-                    for j in np.flatnonzero(hit).tolist():
-                        a.append(max(ref[s + i], ref[s + j]))
-                        b.append(min(ref[s + i], ref[s + j]))
+            for s, e in _spans(t):
+                own, outside = _apart(roots[s:e])
+                sketch = _matrix(sketches[s:e])
+                points = [_points(x) for x in raw[s:e]]
+                for i in outside.tolist():
+                    near = np.flatnonzero(_near_sketches(sketch, i, indexed[s:e], own, limit))
+                    for j in near[within([(points[i], points[j]) for j in near.tolist()], edits)].tolist():
+                        if own[i] != own[j]:
+                            own[own == own[j]] = own[i]
+                            a.append(max(keys[s + i], keys[s + j]))
+                            b.append(min(keys[s + i], keys[s + j]))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sorted_cells = dealt.select("cell", "ref", "indexed", "sketch", "root").repartition(partitions, "cell").sortWithinPartitions("cell")
-    return sorted_cells.mapInArrow(run, "a long, b long").distinct()
+    whole = suspects.join(lines.select(F.col("ref").alias("key"), "line"), "key")
+    return _by_cell(whole, ["key", "indexed", "root", "sketch", "line"]).mapInArrow(link, "a long, b long").distinct()
 
 
 def near_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -380,8 +402,7 @@ def near_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     roots = cut(connected_components(links))
     named = met.join(roots.withColumnRenamed("node", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
     split = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
-    rows = named.join(split, "bucket").join(_sketches(lines), "ref")
-    more = cut(_verified(_cross_pairs(rows, params), lines, params))
+    more = cut(_cross_links(named.join(split, "bucket"), lines, params))
     return connected_components(links.unionByName(more))
 
 

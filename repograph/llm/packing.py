@@ -114,8 +114,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
             return out
 
         for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(content.as_py() or "") + end
+            for doc, coded in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids = coded.tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     for done in packer.add((doc, start, ids[4 * start : 4 * (start + window)], total)):

@@ -1,9 +1,26 @@
-"""Token ids of texts by a public BPE vocabulary, with a bounded cache of whole words per Python worker."""
+"""Token ids of texts by the public word-BPE vocabulary: batches are split into pieces in numpy, and each new piece is encoded once."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+from .shingles import BASE, _power_tables, mix
+
+#: Characters for which Python's lower case, white space and letters are those of the tokenizer and which are in composed form.
+PLAIN = re.compile("[\t\n\r -~¡«»¿À-ÿ–—‘-”…]*")
+#: The letters among them, in lower case, and the endings that the vocabulary splits off after an apostrophe.
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_CLASS = np.full(1 << 16, OTHER, dtype=np.uint8)
+_CLASS[[9, 10, 13, 32]] = SPACE
+_CLASS[[ord(c) for c in LETTERS]] = LETTER
+_CLASS[48:58] = DIGIT
+_VALUE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
 
 def default_vocabulary() -> str:
     """Path of the word-BPE vocabulary on this machine; a parameter everywhere it is used."""
@@ -12,35 +29,122 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain and b != 32]
+    shifted = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return {b: shifted[b] for b in others}
+
+
+def split_pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the pieces of lower-case 16-bit code points: letter runs, digits, runs of other characters, and endings after an apostrophe."""
+    kind = _CLASS[points]
+    n = len(kind)
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    quote = np.flatnonzero((points == 39) & start)
+    quote = quote[quote + 1 < n]
+    quote = quote[kind[quote + 1] == LETTER]
+    if len(quote):
+        one, two = points[quote + 1], np.append(points, 0)[quote + 2]
+        size = np.zeros(len(quote), dtype=np.int64)
+        for e in ENDINGS:
+            hit = (one == ord(e[0])) & ((two == ord(e[1])) if len(e) == 2 else True)
+            size[hit & (size == 0)] = len(e)
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        after = quote + 1 + size
+        after = after[after < n]
+        start[after[kind[after] == LETTER]] = True
+    bounds = np.append(np.flatnonzero(start | (kind == SPACE)), n)
+    opens = start[bounds[:-1]]
+    return bounds[:-1][opens], bounds[1:][opens]
+
+
 class WordEncoder:
-    """Encodes texts whose tokenizer never joins characters across a space or line feed.
+    """Ids of whole texts. A piece's ids don't depend on its neighbours, so each is encoded once and found again by a 64-bit hash.
 
-    The vocabulary's pattern drops white space, so a text's ids are those of its space-separated chunks in order.
-    Ids of chunks up to ``longest`` characters are remembered as little-endian 32-bit bytes; at ``most`` chunks the memory is emptied.
+    At ``most`` pieces the memory is emptied. Texts with characters outside PLAIN, or with the form of a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 800_000, block: int = 1 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.longest, self.known = most, longest, {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of one text as little-endian unsigned 32-bit bytes."""
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set(chunks))
-        own = {}
-        for c, ids in zip(new, self._ids(new)):
-            (known if len(c) <= self.longest else own)[c] = ids
-        return b"".join([known[c] if c in known else own[c] for c in chunks])
+        self.words = Tokenizer(self.tokenizer.model)  # the merges alone, for words already split and in byte letters
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
+        self.most, self.block = most, block
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.pool, self.used = np.zeros(1 << 18, dtype="<u4"), 0
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        groups = [" ".join(pieces[i : i + 64]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(pieces), 64)]
+        encoded = self.words.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in encoded])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            raise ValueError("the vocabulary does not close each piece with an end-of-word token")
+        n, at = len(self.slots), self.used
+        while n + len(pieces) > len(self.first):
+            self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
+        while at + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.pool[at : at + len(ids)] = ids
+        starts = np.concatenate([[0], ends[:-1]])
+        self.first[n : n + len(pieces)], self.size[n : n + len(pieces)] = at + starts, ends - starts
+        self.slots.update(zip(hashes, range(n, n + len(pieces))))
+        self.used += len(ids)
+
+    def _encode_block(self, some: list[str]) -> list[np.ndarray]:
+        joined = "\n".join(some).lower()
+        points = np.frombuffer(joined.encode("utf-16-le"), dtype="<u2")
+        first, end = split_pieces(points)
+        up, down = _power_tables(len(points) + 1)
+        sums = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[points] * up[: len(points)], out=sums[1:])
+        hashes = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * BASE)
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        names = unique.tolist()
+        if len(self.slots) + len(names) > self.most:
+            self._clear()
+        known = self.slots
+        new = [k for k, h in enumerate(names) if h not in known]
+        if new:
+            at = where[new]
+            self._learn([names[k] for k in new], [joined[s:e] for s, e in zip(first[at].tolist(), end[at].tolist())])
+        slot = np.array([known[h] for h in names], dtype=np.int64)[inverse] if names else np.zeros(0, dtype=np.int64)
+        size = self.size[slot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.first[slot] - before[:-1], size) + np.arange(before[-1])]
+        texts_at = np.cumsum([0] + [len(t) + 1 for t in some])
+        bounds = before[np.searchsorted(first, texts_at)]
+        return [ids[b:e] for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as little-endian unsigned 32-bit arrays."""
+        out: list = [None] * len(texts)
+        block: list[int] = []
+        n = 0
+        for i, t in enumerate(texts):
+            if "<|" in t or not PLAIN.fullmatch(t):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
+                continue
+            block.append(i)
+            n += len(t)
+            if n >= self.block:
+                for k, ids in zip(block, self._encode_block([texts[k] for k in block])):
+                    out[k] = ids
+                block, n = [], 0
+        if block:
+            for k, ids in zip(block, self._encode_block([texts[k] for k in block])):
+                out[k] = ids
+        return out
