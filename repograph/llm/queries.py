@@ -11,6 +11,7 @@ QUERIES = {
     "op1_line_dedup": "line_dedup",
     "op2_packing": "packing",
     "op3_near_dedup": "near_dedup",
+    "op5_toxicity": "toxicity",
     "op6_mixing": "mixing",
     "op8_quality": "quality",
     "op10_nearest": "anisotropic",

@@ -56,30 +56,35 @@ def texts(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words before each text): the second has one entry more than there are texts."""
+def word_ranges(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of every word; a word ends where its text does."""
     n = len(data)
     if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    space = _SPACE[data]
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    blank = space[data]
     first = np.empty(n, dtype=bool)
     first[0] = True
-    first[1:] = space[:-1]
-    inner = offsets[:-1][offsets[:-1] < n]
-    first[inner] = True
-    starts = np.flatnonzero(first & ~space)
+    first[1:] = blank[:-1]
+    first[offsets[:-1][offsets[:-1] < n]] = True
     last = np.empty(n, dtype=bool)
     last[-1] = True
-    last[:-1] = space[1:]
-    ends = offsets[1:][offsets[1:] > 0] - 1
-    last[ends] = True
-    ends = np.flatnonzero(last & ~space) + 1
-    up, down = _power_tables(n)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    last[:-1] = blank[1:]
+    last[offsets[1:][offsets[1:] > 0] - 1] = True
+    return np.flatnonzero(first & ~blank), np.flatnonzero(last & ~blank) + 1
+
+
+def range_hashes(data: np.ndarray, *ranges: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Hashes of byte ranges (first, end), without regard to the case of ASCII letters."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
+    return [mix((sums[ends] - sums[starts]) * down[starts]) for starts, ends in ranges]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words before each text): the second has one entry more than there are texts."""
+    starts, ends = word_ranges(data, offsets)
+    return range_hashes(data, (starts, ends))[0], np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
