@@ -13,6 +13,7 @@ QUERIES = {
     "op3_near_dedup": "near_dedup",
     "op5_toxicity": "toxicity",
     "op6_mixing": "mixing",
+    "op7_language_model": "pitman_yor",
     "op8_quality": "quality",
     "op10_nearest": "anisotropic",
     "op9_secrets": "secrets",
