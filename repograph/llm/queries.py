@@ -5,12 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 from .mixing import mix_sql
+from .warc import OP4_SQL
 
 #: query name -> module of this subpackage that defines a function of that name
 QUERIES = {
     "op1_line_dedup": "line_dedup",
     "op2_packing": "packing",
     "op3_near_dedup": "near_dedup",
+    "op4_fixity": "warc",
     "op5_toxicity": "toxicity",
     "op6_mixing": "mixing",
     "op7_language_model": "pitman_yor",
@@ -20,7 +22,7 @@ QUERIES = {
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
-ORACLES: dict[str, str] = {"op6_mixing": mix_sql()}
+ORACLES: dict[str, str] = {"op4_fixity": OP4_SQL, "op6_mixing": mix_sql()}
 
 
 def queries() -> dict:
