@@ -82,7 +82,7 @@ def apply_patches(nodes: DataFrame, edges: DataFrame, patches: DataFrame) -> tup
         row = F.struct(*[F.col(c) for c in base.columns])
         kept = base.join(last).where("_from < 0").drop("_from")
         first = kept.select(F.lit(-1).cast("long").alias("seq"), "id", F.lit(True).alias("alive"), row.alias("row"))
-        shape = first.schema["row"].dataType
+        shape = first.schema["row"].dataType.simpleString()
         single = live.where(F.col("type").isin(f"{what}.upsert", f"{what}.remove")).select(F.col("seq").cast("long"), "id", (F.col("type") == f"{what}.upsert").alias("alive"), F.col(what).cast(shape).alias("row"))
         many = live.where(F.col("type").isin("snapshot", "subtree")).select(F.col("seq").cast("long"), F.explode(field).alias("row")).select("seq", F.col("row.id").alias("id"), F.lit(True).alias("alive"), F.col("row").cast(shape).alias("row"))
         return reduce(DataFrame.unionByName, [first, single, many]).groupBy("id").agg(F.max_by(F.struct("alive", "row", "seq"), "seq").alias("w")).where("w.alive").select("id", "w.seq", "w.row")

@@ -63,7 +63,7 @@ def throttle(events: DataFrame, window_ms: int = 100, enter_cap: int = 2, exit_c
 
 
 def _gap_ms(later: Column, earlier: Column) -> Column:
-    return F.unix_millis(later) - F.unix_millis(earlier)
+    return F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
 
 
 def coalesce_roster(activity: DataFrame, idle_ms: int = 5000) -> DataFrame:

@@ -1,4 +1,504 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import diff, facts, graph, metrics, overlay
+from ..sources import events as E
+from ..sources import store
+from .adapters import duck, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+DAY = 86_400_000
+
+
+def query(sql: str | None = None):
+    """Registers a function of (view loader) under its name, with its SQL over the adapter views."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: load(spark, sf_dir, name))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return register
+
+
+def _roots(v, sql_type: str, every: int) -> DataFrame:
+    return v("graph_nodes").where((F.col("type") == sql_type)).where(F.crc32("id") % every == 0).select("id")
+
+
+# --- decoding -------------------------------------------------------------------------------------------------------------
+
+_VALID = "seq % 17 NOT IN (0, 1, 2, 3) AND (event = 'hotedge' AND edge IS NOT NULL OR event <> 'hotedge' AND node IS NOT NULL)"
+
+
+@query(f"SELECT seq, event, session, pid, agent, node, action, outcome, edge, state FROM clv_events WHERE {_VALID}")
+def decode_events(v):
+    return E.decode_tagged_lines(v("tagged")).select("seq", "event", "session", "pid", "agent", "node", "action", "outcome", "edge", "state")
+
+
+@query("""SELECT seq, CASE event WHEN 'test' THEN 'test.result' WHEN 'hotedge' THEN 'hot_edge' ELSE 'agent.activity' END AS type, session AS session_id, node AS node_id, edge AS edge_id
+          FROM clv_events WHERE seq % 19 <> 0 AND (event = 'hotedge' AND edge IS NOT NULL OR event <> 'hotedge' AND node IS NOT NULL)""")
+def decode_envelopes(v):
+    return E.decode_envelopes(v("envelope_lines")).select("seq", "type", "session_id", F.col("payload.nodeId").alias("node_id"), F.col("payload.edgeId").alias("edge_id"))
+
+
+@query("""SELECT seq, '{"v":1,"ts":"' || session || '","sessionId":"' || session || '","type":"hot_edge","payload":{"edgeId":"' || edge || '","state":"' || state || '"}}' AS value FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL""")
+def encode_envelopes(v):
+    own = v("clv_events").where("event = 'hotedge' and edge is not null")
+    rows = own.select("seq", F.col("session").alias("ts"), F.col("session").alias("session_id"), F.lit("hot_edge").alias("type"), F.struct(F.col("edge").alias("edgeId"), "state", F.lit(None).cast("string").alias("agentId")).alias("payload"))
+    return rows.select("seq", F.to_json(F.struct(F.lit(1).alias("v"), "ts", F.col("session_id").alias("sessionId"), "type", "payload"), {"ignoreNullFields": "true"}).alias("value"))
+
+
+@query("SELECT session, edge, state, count(*) AS n FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL GROUP BY ALL")
+def hotedge_round_trip(v):
+    """Encoded call-edge lines decode to what they were."""
+    lines = E.encode_hotedge_lines(v("clv_events").where("event = 'hotedge' and edge is not null"))
+    return E.decode_tagged_lines(lines).groupBy("session", "edge", "state").agg(F.count("*").alias("n"))
+
+
+# --- scalar functions -----------------------------------------------------------------------------------------------------
+
+@query("""SELECT n.id, n.type AS type_of, f.id AS made, 'e:' || coalesce(n.parent_id, '') || '->' || n.id AS e1, 'e:' || coalesce(n.parent_id, '') || '->' || n.id || ':calls' AS e2
+          FROM graph_nodes n LEFT JOIN fns f ON n.id = f.id""")
+def node_ids(v):
+    made = v("fns").select(F.col("id").alias("fid"), S.node_id(F.lit("function"), "path", "name").alias("made"))
+    parent = F.coalesce("parent_id", F.lit(""))
+    return v("graph_nodes").join(made, F.col("id") == F.col("fid"), "left").select("id", S.type_of_id("id").alias("type_of"), "made", S.edge_id(parent, "id").alias("e1"), S.typed_edge_id(parent, "id", F.lit("calls")).alias("e2"))
+
+
+_FNV = "lower(right('000000' || hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, strlen(agent) + 1), lambda i: ascii(agent[i])::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 16777216), 6))"
+
+
+@query(f"SELECT DISTINCT agent, '#' || {_FNV} AS color, 'agent:' || replace(replace(agent, '%', '%25'), ':', '%3A') AS agent_node, agent AS bare, agent AS kind FROM clv_events")
+def agent_colors(v):
+    agents = v("clv_events").select("agent").distinct()
+    node = S.agent_node_id("agent")
+    return agents.select("agent", S.agent_color("agent").alias("color"), node.alias("agent_node"), S.bare_agent_id(node).alias("bare"), S.agent_type("agent").alias("kind"))
+
+
+@query("""SELECT seq, CASE outcome WHEN 'pass' THEN 'passing' WHEN 'fail' THEN 'failing' END AS status, CASE state WHEN 'enter' THEN true WHEN 'exit' THEN false END AS hot,
+                 strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM clv_events""")
+def outcome_words(v):
+    return v("clv_events").select("seq", S.status_from_outcome("outcome").alias("status"), S.hot_from_state("state").alias("hot"), S.rfc3339("ts").alias("at"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '#a1b2c3' WHEN 1 THEN 'rgb(1, 2,3)' WHEN 2 THEN NULL WHEN 3 THEN 'rgba(1,2,3,50%)' ELSE NULL END AS color,
+                 CASE n_nationkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' END AS language, 'f' || CAST(n_nationkey AS STRING) || CASE n_nationkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.go' END AS label,
+                 CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'No documentation' END AS docs
+          FROM nation""")
+def labels_and_colors(v):
+    n = F.col("n_nationkey")
+    raw = F.when(n % 5 == 0, "#a1b2c3").when(n % 5 == 1, "rgb(1, 2,3)").when(n % 5 == 2, "red;background:url(x)").when(n % 5 == 3, "rgba(1,2,3,50%)").otherwise("#12345")
+    ext = F.when(n % 4 == 0, ".rs").when(n % 4 == 1, ".py").when(n % 4 == 2, ".ts").otherwise(".go")
+    path = F.concat(F.lit("src/f"), n.cast("string"), ext)
+    return v("nation").select("n_nationkey", S.safe_color(raw).alias("color"), S.language_of(path).alias("language"), S.file_label(path).alias("label"), S.docs_or_placeholder(F.when(n % 2 == 0, F.col("n_name")).otherwise("")).alias("docs"))
+
+
+@query("""SELECT p_partkey, CASE WHEN n < 1024 THEN CAST(n AS STRING) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS bytes,
+                 printf('%.1f', n / 1000.0) AS rate FROM (SELECT p_partkey, CAST(p_partkey AS BIGINT) * p_partkey * 64 + 1 AS n FROM part)""")
+def formatted_sizes(v):
+    n = F.col("p_partkey").cast("long") * F.col("p_partkey") * 64 + 1
+    return v("part").select("p_partkey", S.format_bytes(n).alias("bytes"), S.events_per_sec(n).alias("rate"))
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------------
+
+@query("""SELECT 'node' AS what, id FROM graph_nodes WHERE parent_id IS NULL UNION ALL SELECT 'edge', e.id FROM graph_edges e
+          WHERE e.source IN (SELECT id FROM graph_nodes WHERE parent_id IS NULL) AND e.target IN (SELECT id FROM graph_nodes WHERE parent_id IS NULL)""")
+def root_snapshot(v):
+    nodes, edges = graph.snapshot(v("graph_nodes"), v("graph_edges"))
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
+
+
+@query("""SELECT 'node' AS what, id FROM graph_nodes WHERE parent_id = 'svc:r1' UNION ALL SELECT 'edge', e.id FROM graph_edges e JOIN graph_nodes n ON e.target = n.id WHERE e.kind = 'contains' AND e.source = 'svc:r1' AND n.parent_id = 'svc:r1'""")
+def children(v):
+    nodes, edges = graph.children_of(v("graph_nodes"), v("graph_edges"), "svc:r1")
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
+
+
+@query("SELECT parent_id, count(*) AS children, string_agg(id, ',' ORDER BY id) AS ids FROM graph_nodes WHERE parent_id IN (SELECT id FROM graph_nodes WHERE type IN ('module', 'file')) GROUP BY parent_id")
+def subtrees(v):
+    nodes, edges = graph.subtree_all(v("graph_nodes"), v("graph_edges"), v("graph_nodes").where("type in ('module', 'file')"))
+    met = nodes.join(edges.select(F.col("target").alias("id")), "id", "left_semi")
+    return met.groupBy("parent_id").agg(F.count("*").alias("children"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+
+
+_UP = "RECURSIVE up(id, top_, parent) AS (SELECT id, id, parent_id FROM graph_nodes UNION ALL SELECT u.id, n.id, n.parent_id FROM up u JOIN graph_nodes n ON u.parent = n.id)"
+
+
+@query(f"WITH {_UP} SELECT id, top_ AS owner FROM up WHERE parent IS NULL")
+def owning_root(v):
+    return graph.owning_file(v("graph_nodes"))
+
+
+@query("""WITH RECURSIVE below(root, id) AS (SELECT p.id, n.id FROM graph_nodes p JOIN graph_nodes n ON n.parent_id = p.id WHERE p.type = 'module' UNION ALL SELECT b.root, n.id FROM below b JOIN graph_nodes n ON n.parent_id = b.id)
+          SELECT root, id FROM below""")
+def descendants(v):
+    return graph.descendants(v("graph_nodes"), v("graph_nodes").where("type = 'module'"))
+
+
+@query("""WITH RECURSIVE below(id) AS (SELECT n.id FROM graph_nodes n WHERE n.parent_id IN ('svc:r0', 'svc:r2') UNION ALL SELECT n.id FROM below b JOIN graph_nodes n ON n.parent_id = b.id)
+          SELECT 'node' AS what, id FROM graph_nodes WHERE id NOT IN (SELECT id FROM below) UNION ALL SELECT 'edge', id FROM graph_edges WHERE source NOT IN (SELECT id FROM below) AND target NOT IN (SELECT id FROM below)""")
+def collapse(v):
+    roots = v("graph_nodes").where("id in ('svc:r0', 'svc:r2')")
+    nodes, edges = graph.collapse(v("graph_nodes"), v("graph_edges"), roots)
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
+
+
+@query("""WITH RECURSIVE open_(id) AS (SELECT id FROM graph_nodes WHERE type IN ('service', 'module') OR type = 'file' AND id LIKE '%1'),
+          seen(id, parent_id, path) AS (SELECT id, parent_id, [id] FROM graph_nodes WHERE parent_id IS NULL UNION ALL SELECT n.id, n.parent_id, list_append(s.path, n.id) FROM seen s JOIN graph_nodes n ON n.parent_id = s.id WHERE s.id IN (SELECT id FROM open_))
+          SELECT row_number() OVER (ORDER BY path) - 1 AS row, id, CAST(len(path) - 1 AS INTEGER) AS depth, id IN (SELECT parent_id FROM graph_nodes WHERE parent_id IS NOT NULL) AS expandable, id IN (SELECT id FROM open_) AS expanded FROM seen""")
+def hierarchy_rows(v):
+    nodes = v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>"))
+    return graph.hierarchy_rows(nodes, nodes.where("type in ('service', 'module') or (type = 'file' and id like '%1')"))
+
+
+@query("""SELECT id, source, target, kind, CASE kind WHEN 'calls' THEN 'control' ELSE 'data' END AS flow, hot FROM graph_edges WHERE kind IN ('calls', 'data_flows_from', 'param_source')
+          AND source IN (SELECT id FROM graph_nodes WHERE label LIKE '%2' OR label LIKE '%3') AND target IN (SELECT id FROM graph_nodes WHERE label LIKE '%2' OR label LIKE '%3')""")
+def visible_edges(v):
+    return graph.visible_edges(v("graph_edges"), v("graph_nodes").where("label like '%2' or label like '%3'"))
+
+
+@query("SELECT DISTINCT 'supplier-' || CAST(k AS STRING) AS agent, e.source AS node FROM graph_edges e JOIN (SELECT unnest(range(0, 20, 3)) AS k) ON e.target = 'agent:supplier-' || CAST(k AS STRING) WHERE e.kind = 'authored_by'")
+def authored_nodes(v):
+    edges = v("graph_edges")
+    agents = edges.where("kind = 'authored_by'").select(F.regexp_replace("target", "^agent:", "").alias("agent")).distinct().where(F.regexp_extract("agent", "([0-9]+)$", 1).cast("int") % 3 == 0)
+    return graph.nodes_authored_by(edges, agents)
+
+
+@query("SELECT DISTINCT source AS node, replace(target, 'agent:', '') AS agent FROM graph_edges WHERE kind = 'authored_by'")
+def agents_for_node(v):
+    return graph.agents_for_node(v("graph_edges"))
+
+
+@query("SELECT target AS agent_node, count(DISTINCT source) AS nodes FROM graph_edges WHERE kind = 'authored_by' GROUP BY target")
+def authored_count(v):
+    return metrics.authored_count(v("graph_edges"))
+
+
+@query("""SELECT n.id, n.label, 'No documentation' AS docs, a.agent FROM graph_nodes n LEFT JOIN (SELECT source, min(replace(target, 'agent:', '')) AS agent FROM graph_edges WHERE kind = 'authored_by' GROUP BY source) a ON n.id = a.source WHERE n.type = 'function'""")
+def node_detail(v):
+    nodes = v("graph_nodes").withColumn("docs", F.lit(None).cast("string"))
+    return graph.node_detail(nodes, v("graph_edges"), nodes.where("type = 'function'"))
+
+
+@query("SELECT source AS id, string_agg(target, ',' ORDER BY target) AS child_ids FROM graph_edges WHERE kind = 'contains' GROUP BY source")
+def child_ids(v):
+    return graph.derive_child_ids(v("graph_edges")).select("id", F.array_join("child_ids", ",").alias("child_ids"))
+
+
+@query("SELECT (SELECT count(*) FROM graph_nodes) AS node_count, (SELECT count(*) FROM graph_nodes WHERE type = 'file') AS file_count, (SELECT count(*) FROM graph_edges) AS edge_count, (SELECT count(*) * 360 + count_if(type = 'file') * 64 FROM graph_nodes) + (SELECT count(*) * 136 FROM graph_edges) AS memory_bytes")
+def graph_counts(v):
+    return graph.graph_counts(v("graph_nodes"), v("graph_edges"))
+
+
+@query("SELECT id, id IN (SELECT parent_id FROM graph_nodes WHERE parent_id IS NOT NULL) AS expandable FROM graph_nodes")
+def has_children(v):
+    return graph.has_children(v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>")))
+
+
+# --- facts ----------------------------------------------------------------------------------------------------------------
+
+@query("SELECT DISTINCT a.path, a.caller, a.callee FROM call_args a JOIN fact_functions f ON a.path = f.path AND a.callee = f.name WHERE NOT a.qualified")
+def calls(v):
+    return facts.resolve_calls(v("call_args"), v("fact_functions"))
+
+
+_FLOW = """SELECT path, caller, unnest([{'s': p_inner, 'k': 'data_flows_from', 't': p_outer}, {'s': p_outer, 'k': 'param_source', 't': p_inner}]) AS e FROM
+           (SELECT DISTINCT p.path, p.caller, p.p_inner, p.p_outer FROM pairs p JOIN fact_functions a ON p.path = a.path AND p.p_inner = a.name JOIN fact_functions b ON p.path = b.path AND p.p_outer = b.name)"""
+
+
+@query(f"WITH pairs AS (SELECT path, caller, arg_name AS p_inner, callee AS p_outer FROM call_args WHERE arg_kind = 'call') SELECT path, caller, e.s AS source, e.k AS kind, e.t AS target FROM ({_FLOW})")
+def data_flow_nested(v):
+    return facts.data_flow_nested(v("call_args"), v("fact_functions"))
+
+
+@query(f"""WITH uses AS (SELECT path, caller, arg_name AS var, pos, callee AS p_outer FROM call_args WHERE arg_kind = 'name'),
+           pairs AS (SELECT u.path, u.caller, b.init_callee AS p_inner, u.p_outer FROM uses u ASOF JOIN bindings b ON u.path = b.path AND u.caller = b.fn AND u.var = b.var AND u.pos >= b.pos)
+           SELECT path, caller, e.s AS source, e.k AS kind, e.t AS target FROM ({_FLOW})""")
+def data_flow_bound(v):
+    return facts.data_flow_bound(v("call_args"), v("bindings"), v("fact_functions"))
+
+
+@query("SELECT path, fn, var, max(pos) AS pos FROM bindings GROUP BY path, fn, var")
+def dedupe_bindings(v):
+    return facts.dedupe_bindings(v("bindings"))
+
+
+def _files(v) -> DataFrame:
+    return v("source_rows").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("content"))
+
+
+_TEXTS = "files AS (SELECT path, string_agg(part, chr(10) ORDER BY o_orderkey) AS content FROM source_rows GROUP BY path), lines AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS text FROM files)"
+
+
+@query(f"WITH {_TEXTS} SELECT path, line_no, text FROM lines")
+def source_lines(v):
+    return facts.source_lines(_files(v)).select("path", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query(f"WITH {_TEXTS} SELECT path, regexp_extract(text, 'fn (o[0-9]+)', 1) AS name, line_no, 'a' AS param, 'i32' AS kind, 'i32' AS returns FROM lines WHERE text LIKE 'fn %'")
+def code_functions(v):
+    found = facts.scan_signatures(facts.scan_functions(facts.source_lines(_files(v))))
+    p = F.col("signature.params")
+    return found.select("path", "name", F.col("line_no").cast("long").alias("line_no"), F.get(p, F.lit(0))["name"].alias("param"), F.get(p, F.lit(0))["type"].alias("kind"), F.col("signature.returns").alias("returns"))
+
+
+@query("SELECT path, 'o' || CAST(o_orderkey AS STRING) AS name, 'order of ' || replace(path, '.rs', '') AS docs FROM source_rows")
+def code_docs(v):
+    lines = facts.source_lines(_files(v))
+    return facts.scan_docs(lines, facts.scan_functions(lines))
+
+
+@query("SELECT path, 'o' || CAST(o_orderkey AS STRING) AS fn, 'l1' AS var FROM source_rows")
+def code_variables(v):
+    return facts.scan_variables(facts.source_lines(_files(v))).select("path", "fn", "var")
+
+
+@query("SELECT DISTINCT a.path, 'o' || CAST(a.o_orderkey AS STRING) AS caller, 'o' || CAST(b.o_orderkey AS STRING) AS callee FROM source_rows a JOIN source_rows b ON a.path = b.path AND b.o_orderkey = a.o_orderkey + 1")
+def code_calls(v):
+    lines = facts.source_lines(_files(v))
+    return facts.resolve_calls(facts.scan_calls(lines), facts.scan_functions(lines))
+
+
+@query("SELECT DISTINCT path, 'unknown' AS status FROM source_rows")
+def file_status(v):
+    return facts.file_status(facts.source_lines(_files(v)))
+
+
+@query("""SELECT type, count(*) AS n, count(DISTINCT owner_file) AS files FROM (SELECT 'file' AS type, 'file:' || path AS owner_file FROM (SELECT DISTINCT path FROM source_rows)
+          UNION ALL SELECT 'function', 'file:' || path FROM source_rows UNION ALL SELECT 'variable', 'file:' || path FROM source_rows
+          UNION ALL SELECT 'contains', 'file:' || path FROM source_rows UNION ALL SELECT 'contains', 'file:' || path FROM source_rows
+          UNION ALL SELECT 'calls', 'file:' || a.path FROM source_rows a JOIN source_rows b ON a.path = b.path AND b.o_orderkey = a.o_orderkey + 1) GROUP BY type""")
+def built_graph(v):
+    nodes, edges = facts.build_graph(_files(v))
+    rows = nodes.select("type", "owner_file").unionByName(edges.select(F.col("kind").alias("type"), "owner_file"))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("owner_file").alias("files"))
+
+
+# --- overlay --------------------------------------------------------------------------------------------------------------
+
+_STATUS = "SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE event = 'test' AND node IN (SELECT id FROM graph_nodes) GROUP BY node"
+
+
+@query(_STATUS)
+def latest_status(v):
+    return overlay.latest_status(v("clv_events"), v("graph_nodes"))
+
+
+@query(f"""SELECT n.parent_id AS file, count_if(status = 'passing') AS passing, count_if(status = 'failing') AS failing, CAST(0 AS BIGINT) AS running, CAST(0 AS BIGINT) AS stale FROM
+           (SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE {_VALID} AND event = 'test' GROUP BY node) s JOIN graph_nodes n ON s.node = n.id GROUP BY n.parent_id""")
+def status_board(v):
+    """The whole way: decode the tagged log, match it to the graph, keep the last outcome, and count per file."""
+    decoded = E.decode_tagged_lines(v("tagged"))
+    return overlay.status_board(decoded, v("graph_nodes"))
+
+
+@query("SELECT edge, arg_max(state, seq) = 'enter' AS hot FROM clv_events WHERE event = 'hotedge' AND edge IN (SELECT id FROM graph_edges) GROUP BY edge")
+def edge_heat(v):
+    return overlay.edge_heat(v("clv_events"), v("graph_edges"))
+
+
+@query("SELECT seq, event FROM clv_events WHERE event = 'activity' OR event = 'test' AND node IN (SELECT id FROM graph_nodes) OR event = 'hotedge' AND edge IN (SELECT id FROM graph_edges)")
+def matched_targets(v):
+    return overlay.match_targets(v("clv_events"), v("graph_nodes"), v("graph_edges")).select("seq", "event")
+
+
+_HOT = "SELECT seq, edge, hot FROM (SELECT seq, edge, state = 'enter' AS hot, coalesce(lag(state = 'enter') OVER (PARTITION BY edge ORDER BY seq), false) AS was FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL) WHERE hot <> was"
+
+
+@query(_HOT)
+def hot_transitions(v):
+    return overlay.coalesce_hot_transitions(v("clv_events"), v("graph_edges"))
+
+
+@query("SELECT seq, edge, state FROM (SELECT *, row_number() OVER (PARTITION BY edge, state, ts_ms // 100 ORDER BY seq) AS n FROM hot_dense) WHERE n <= CASE state WHEN 'enter' THEN 2 ELSE 1 END")
+def throttled(v):
+    return overlay.throttle(v("hot_dense")).select("seq", "edge", "state")
+
+
+_ACTS = "SELECT *, lag(agent) OVER (PARTITION BY pid ORDER BY seq) AS was, lag(ts_ms) OVER (PARTITION BY pid ORDER BY seq) AS was_ms, row_number() OVER (PARTITION BY agent ORDER BY seq) AS nth FROM clv_events WHERE event = 'activity'"
+_CHANGED = f"(was IS NULL OR was <> agent OR ts_ms - was_ms > {DAY})"
+
+
+@query(f"SELECT seq, pid, agent FROM ({_ACTS}) WHERE {_CHANGED}")
+def roster_changes(v):
+    return overlay.coalesce_roster(v("clv_events"), DAY).select("seq", "pid", "agent")
+
+
+@query(f"SELECT seq, agent FROM ({_ACTS}) WHERE nth = 1")
+def first_touches(v):
+    return overlay.first_touch(v("clv_events")).select("seq", "agent")
+
+
+_NODE = "'agent:' || replace(replace(agent, '%', '%25'), ':', '%3A')"
+
+
+@query(f"""SELECT seq, CAST(ordinal AS INTEGER) AS ordinal, type, session, id, agent, pid FROM (
+            SELECT seq, 0 AS ordinal, 'node.upsert' AS type, session, {_NODE} AS id, agent, pid FROM ({_ACTS}) WHERE nth = 1
+            UNION ALL SELECT seq, 1, 'edge.upsert', session, 'e:' || node || '->' || {_NODE} || ':authored_by', agent, pid FROM ({_ACTS})
+            UNION ALL SELECT seq, 2, 'agent.activity', session, node, agent, pid FROM ({_ACTS})
+            UNION ALL SELECT seq, 3, 'agent.roster', session, CAST(pid AS STRING), agent, pid FROM ({_ACTS}) WHERE {_CHANGED})""")
+def activity_envelopes(v):
+    return overlay.expand_activity(v("clv_events"), DAY)
+
+
+_ROSTER = f"""SELECT pid, agent, seen, first_seq, CASE WHEN at_ms - seen > {DAY} THEN 'inactive' ELSE 'active' END AS status FROM
+    (SELECT pid, arg_max(agent, seq) AS agent, max(ts_ms) AS seen, min(seq) AS first_seq, epoch_ms(TIMESTAMP '2024-01-20 00:00:00') AS at_ms FROM clv_events WHERE event = 'activity' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY pid) WHERE at_ms - seen <= 3 * {DAY}"""
+
+
+def _roster(v) -> DataFrame:
+    return overlay.roster_at(v("clv_events"), F.lit("2024-01-20 00:00:00").cast("timestamp"), DAY, 3 * DAY)
+
+
+@query(f"SELECT pid, agent, '#' || {_FNV} AS color, status FROM ({_ROSTER})")
+def roster_at(v):
+    return _roster(v)
+
+
+@query(f"SELECT agent, bool_or(status = 'active') AS active, any_value('#' || {_FNV}) AS color FROM ({_ROSTER}) GROUP BY agent")
+def roster_by_agent(v):
+    return metrics.roster_by_agent(_roster(v).withColumn("first_seq", F.col("pid")))
+
+
+@query("""SELECT seq, agent, CASE WHEN active THEN 'joined' ELSE 'left' END AS change FROM (SELECT seq, agent, active, coalesce(lag(active) OVER (PARTITION BY agent ORDER BY seq), false) AS was
+          FROM (SELECT ts_ms // 86400000 AS seq, agent, bool_or(seq % 2 = 0) AS active FROM clv_events WHERE event = 'activity' GROUP BY ALL)) WHERE active <> was AND seq > (SELECT min(ts_ms // 86400000) FROM clv_events WHERE event = 'activity')""")
+def liveness(v):
+    rosters = overlay.attributable(v("clv_events")).select(F.expr("ts_ms div 86400000").alias("seq"), "agent", (F.col("seq") % 2 == 0).alias("active"))
+    return overlay.liveness_changes(rosters)
+
+
+@query("""WITH RECURSIVE ranked AS (SELECT root, path, ts_ms, row_number() OVER (PARTITION BY root ORDER BY ts_ms, path) AS k FROM change_times),
+          walk(root, path, ts_ms, k, start_, last_) AS (SELECT root, path, ts_ms, k, ts_ms, ts_ms FROM ranked WHERE k = 1
+             UNION ALL SELECT r.root, r.path, r.ts_ms, r.k, CASE WHEN r.ts_ms - w.last_ >= 150 OR r.ts_ms - w.start_ >= 1000 THEN r.ts_ms ELSE w.start_ END, r.ts_ms FROM walk w JOIN ranked r ON r.root = w.root AND r.k = w.k + 1)
+          SELECT DISTINCT root, start_ AS burst_start, max(ts_ms) OVER (PARTITION BY root, start_) AS burst_end, path FROM walk""")
+def debounce_bursts(v):
+    return overlay.debounce(v("change_times"))
+
+
+# --- diff -----------------------------------------------------------------------------------------------------------------
+
+@query("""SELECT 'node.upsert' AS type, n.id, n.owner AS owner_file FROM new_nodes n LEFT JOIN old_nodes o ON n.id = o.id WHERE o.id IS NULL OR (n.type, n.label, n.parent_id) IS DISTINCT FROM (o.type, o.label, o.parent_id)
+          UNION ALL SELECT 'node.remove', o.id, o.owner FROM old_nodes o WHERE o.owner IN (SELECT owner FROM new_nodes WHERE type = 'file') AND o.id NOT IN (SELECT id FROM new_nodes)
+          UNION ALL SELECT 'edge.remove', e.id, e.owner FROM old_edges e WHERE e.owner IN (SELECT owner FROM new_nodes WHERE type = 'file') AND e.id NOT IN (SELECT id FROM new_edges)""")
+def graph_diff(v):
+    as_owned = lambda name: v(name).withColumnRenamed("owner", "owner_file")
+    return diff.diff_graph(as_owned("old_nodes"), as_owned("old_edges"), as_owned("new_nodes"), as_owned("new_edges")).drop("seq_class")
+
+
+@query("""SELECT o.id, o.label FROM old_nodes o WHERE o.owner NOT IN (SELECT owner FROM new_nodes WHERE type = 'file') UNION ALL SELECT id, label FROM new_nodes""")
+def reconciled_nodes(v):
+    """The old graph after its differences to the new one: parsed files win, others stay."""
+    as_owned = lambda name: v(name).withColumnRenamed("owner", "owner_file")
+    changes = diff.diff_graph(as_owned("old_nodes"), as_owned("old_edges"), as_owned("new_nodes"), as_owned("new_edges"))
+    return diff.apply_rows(as_owned("old_nodes"), as_owned("new_nodes"), changes, "node").select("id", "label")
+
+
+@query("""SELECT n.id, coalesce(s.status, 'unknown') AS status FROM (SELECT id FROM fns) n LEFT JOIN (SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE event = 'test' GROUP BY node) s ON n.id = s.node
+          WHERE n.id NOT IN (SELECT node FROM clv_events WHERE event = 'activity' AND seq % 3 = 0 AND node NOT NULL)""")
+def apply_patches(v):
+    """Functions after status patches, with the functions that some activity names removed at the end."""
+    nodes = v("fns").select("id", F.lit("unknown").alias("status"))
+    edges = v("call_edges").select("id", F.lit(False).alias("hot"))
+    ev = v("clv_events")
+    shape, none = "struct<id: string, status: string>", lambda t: F.lit(None).cast(t)
+    rest = [none(shape).alias("node"), none("struct<id: string, hot: boolean>").alias("edge"), none("boolean").alias("hot"), none(f"array<{shape}>").alias("nodes"), none("array<struct<id: string, hot: boolean>>").alias("edges")]
+    told = ev.where("event = 'test'").select("seq", F.lit("test.result").alias("type"), F.col("node").alias("id"), S.status_from_outcome("outcome").alias("status"), *rest)
+    gone = ev.where("event = 'activity' and seq % 3 = 0").select((F.col("seq") + 1_000_000_000).alias("seq"), F.lit("node.remove").alias("type"), F.col("node").alias("id"), none("string").alias("status"), *rest)
+    return diff.apply_patches(nodes, edges, told.unionByName(gone))[0]
+
+
+@query("""WITH RECURSIVE up(id, top_, parent) AS (SELECT id, id, parent_id FROM old_nodes UNION ALL SELECT u.id, n.id, n.parent_id FROM up u JOIN old_nodes n ON u.parent = n.id), owner AS (SELECT id, any_value(top_) AS o FROM up WHERE top_ LIKE 'file:%' GROUP BY id)
+          SELECT 'node' AS what, id, o AS owner_file FROM owner UNION ALL SELECT 'edge', e.id, e.source FROM old_edges e""")
+def rebuilt_graph(v):
+    nodes, edges = diff.rebuild_graph(v("old_nodes").drop("owner"), v("old_edges").drop("owner"))
+    return nodes.select(F.lit("node").alias("what"), "id", "owner_file").unionByName(edges.select(F.lit("edge").alias("what"), "id", "owner_file"))
+
+
+# --- metrics --------------------------------------------------------------------------------------------------------------
+
+@query("""SELECT w.window_ms, coalesce(c.n, 0) AS n, coalesce(c.n, 0) * 1000000 // 3600000 AS events_per_sec_milli FROM (SELECT unnest(range(min(ts_ms // 3600000) * 3600000, max(ts_ms // 3600000) * 3600000 + 1, 3600000)) AS window_ms FROM flat_envelopes) w
+          LEFT JOIN (SELECT ts_ms // 3600000 * 3600000 AS window_ms, count(*) AS n FROM flat_envelopes GROUP BY 1) c ON w.window_ms = c.window_ms""")
+def metrics_windows(v):
+    return metrics.metrics_windows(v("flat_envelopes"), 3_600_000)
+
+
+@query("SELECT file, arg_max(duration, seq) AS duration FROM parse_samples GROUP BY file")
+def parse_latency(v):
+    return metrics.latest_parse_latency(v("parse_samples"))
+
+
+@query("SELECT file, duration FROM (SELECT file, arg_max(duration, seq) AS duration FROM parse_samples GROUP BY file) ORDER BY duration DESC, file LIMIT 10")
+def slowest_files(v):
+    return metrics.slowest_files(metrics.latest_parse_latency(v("parse_samples")))
+
+
+# --- stored tables --------------------------------------------------------------------------------------------------------
+
+def _flat(v) -> DataFrame:
+    none = lambda t: F.lit(None).cast(t)
+    node = "struct<type: string, label: string, parent_id: string, status: string, docs: string, signature: struct<params: array<struct<name: string, type: string>>, returns: string>, meta: struct<language: string, filePath: string>>"
+    edge = "struct<source: string, target: string, kind: string, hot: boolean>"
+    row = "array<struct<pid: bigint, agent: string, type: string, color: string, status: string, version: string>>"
+    events = v("flat_envelopes").withColumns({"row_node": none(node), "row_edge": none(edge), "roster": none(row)})
+    rosters = v("clv_events").where("event = 'activity' and seq % 5 = 0").select(
+        F.col("seq"), "ts", "ts_ms", F.lit("agent.roster").alias("type"), "session", F.array(F.struct("pid", "agent", F.lit("bot").alias("type"), F.lit("#123456").alias("color"), F.lit("inactive").alias("status"), none("string").alias("version"))).cast(row).alias("roster"))
+    return events.where("not (type = 'agent.activity' and seq % 5 = 0)").unionByName(rosters, allowMissingColumns=True)
+
+
+@query("SELECT session AS session_id, arg_min(ts, seq) AS started_at, '' AS repo_path FROM clv_events GROUP BY session")
+def fold_sessions(v):
+    return store.fold_sessions(_flat(v))
+
+
+@query("""SELECT pid AS process_id, coalesce(arg_max(agent, seq) FILTER (WHERE full_), arg_min(agent, seq)) AS agent_id, coalesce(max(CASE WHEN full_ THEN 'bot' END), arg_min(agent, seq)) AS agent_type, coalesce(max(CASE WHEN full_ THEN '#123456' END), '#888888') AS color,
+          CASE WHEN arg_max(full_, seq) THEN 'inactive' ELSE 'active' END AS status, coalesce(arg_max(session, seq) FILTER (WHERE full_), arg_min(session, seq)) AS session_id, arg_min(ts, seq) AS created_at, arg_max(ts, seq) AS updated_at
+          FROM (SELECT *, event = 'activity' AND seq % 5 = 0 AS full_ FROM clv_events) GROUP BY pid""")
+def fold_agents(v):
+    return store.fold_agents(_flat(v))
+
+
+@query("SELECT pid AS process_id, '1' AS version, arg_max(session, seq) AS session_id, arg_max(ts, seq) AS introduced_at FROM clv_events WHERE event = 'activity' AND seq % 5 = 0 GROUP BY pid")
+def fold_protocol_versions(v):
+    return store.fold_protocol_versions(_flat(v))
+
+
+@query("SELECT sha256(session || ':' || coalesce(node || ':', '') || CAST(seq AS STRING)) AS id, pid AS process_id, session AS session_id, node AS node_id, outcome, agent AS agent_id, ts FROM clv_events WHERE event = 'test'")
+def fold_test_results(v):
+    return store.fold_test_results(_flat(v)).drop("test_id", "duration_ms", "message")
+
+
+@query("SELECT pid AS process_id, session AS session_id, agent AS agent_id, action, node AS node_id, ts FROM clv_events WHERE event = 'activity' AND seq % 5 <> 0")
+def fold_agent_activity(v):
+    return store.fold_agent_activity(_flat(v)).drop("id")
+
+
+@query("SELECT e.id, arg_max(c.state, c.seq) = 'enter' AS hot FROM call_edges e JOIN clv_events c ON c.edge = e.id GROUP BY e.id UNION ALL SELECT id, false FROM call_edges WHERE id NOT IN (SELECT edge FROM clv_events WHERE edge IS NOT NULL)")
+def fold_edges(v):
+    made = v("call_edges").select((F.col("k") - 1_000_000).alias("seq"), F.lit("edge.upsert").alias("type"), F.lit("s0").alias("session"), "id", F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("hot")).alias("row_edge"))
+    return store.fold_edges(_flat(v).unionByName(made, allowMissingColumns=True)).select("id", "hot")
+
+
+@query("SELECT f.id, f.name AS label, 'unknown' AS status FROM fns f WHERE f.o_orderkey % 7 <> 3")
+def fold_nodes(v):
+    none = lambda t: F.lit(None).cast(t)
+    shape = _flat(v).schema["row_node"].dataType
+    row = F.struct(F.lit("function").alias("type"), F.col("name").alias("label"), F.concat(F.lit("file:"), "path").alias("parent_id"), F.lit("unknown").alias("status"), none("string").alias("docs"), none(shape["signature"].dataType).alias("signature"), none(shape["meta"].dataType).alias("meta"))
+    made = v("fns").select(F.col("o_orderkey").cast("long").alias("seq"), F.lit("node.upsert").alias("type"), F.lit("s0").alias("session"), "id", row.alias("row_node"))
+    gone = v("fns").where("o_orderkey % 7 = 3").select((F.col("o_orderkey") + 1_000_000_000).cast("long").alias("seq"), F.lit("node.remove").alias("type"), F.lit("s0").alias("session"), "id")
+    return store.fold_nodes(_flat(v).unionByName(made, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)).select("id", "label", "status")
+
+
+@query("SELECT node AS node_id, ts, CASE event WHEN 'test' THEN 'test' ELSE 'activity' END AS kind, coalesce(outcome, action) AS what FROM clv_events WHERE event = 'test' OR event = 'activity' AND seq % 5 <> 0")
+def node_history(v):
+    flat = _flat(v)
+    return overlay.node_history(store.fold_test_results(flat), store.fold_agent_activity(flat))
