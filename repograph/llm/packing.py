@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import WordEncoder, default_vocabulary
+from .tokens import default_vocabulary, encoder_for
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
@@ -90,7 +90,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = WordEncoder(path), Packer(window, open_windows, full)
+        encoder, packer = encoder_for(path), Packer(window, open_windows, full)
         end = int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -114,13 +114,15 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
             return out
 
         for batch in batches:
-            for doc, coded in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids = coded.tobytes() + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    for done in packer.add((doc, start, ids[4 * start : 4 * (start + window)], total)):
-                        emit(done)
-                if held >= 1 << 20:
+            for at in range(0, batch.num_rows, 256):  # few texts at a time stand in memory in all their forms
+                some = batch.slice(at, 256)
+                for doc, coded in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
+                    ids = coded.tobytes() + end
+                    total = len(ids) // 4
+                    for start in range(0, total, window):
+                        for done in packer.add((doc, start, ids[4 * start : 4 * (start + window)], total)):
+                            emit(done)
+                if held >= 1 << 18:
                     yield flush()
         for done in packer.close():
             emit(done)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -29,6 +30,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of a Python worker, kept from task to task."""
+    return WordEncoder(path)
+
+
 def _byte_letters() -> dict[int, str]:
     """The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -68,7 +75,7 @@ class WordEncoder:
     At ``most`` pieces the memory is emptied. Texts with characters outside PLAIN, or with the form of a special token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000, block: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1_000_000, block: int = 1 << 19):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,18 +89,18 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.known, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted hashes and the slot of each
+        self.first, self.size, self.n = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32), 0
         self.pool, self.used = np.zeros(1 << 18, dtype="<u4"), 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Adds new pieces, given with their sorted hashes; an end-of-word token closes each."""
         groups = [" ".join(pieces[i : i + 64]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(pieces), 64)]
-        encoded = self.words.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in encoded])
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.words.encode_batch_fast(groups, add_special_tokens=False)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
             raise ValueError("the vocabulary does not close each piece with an end-of-word token")
-        n, at = len(self.slots), self.used
+        n, at = self.n, self.used
         while n + len(pieces) > len(self.first):
             self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
         while at + len(ids) > len(self.pool):
@@ -101,8 +108,14 @@ class WordEncoder:
         self.pool[at : at + len(ids)] = ids
         starts = np.concatenate([[0], ends[:-1]])
         self.first[n : n + len(pieces)], self.size[n : n + len(pieces)] = at + starts, ends - starts
-        self.slots.update(zip(hashes, range(n, n + len(pieces))))
-        self.used += len(ids)
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.slots = np.insert(self.known, place, hashes), np.insert(self.slots, place, np.arange(n, n + len(pieces), dtype=np.int32))
+        self.n, self.used = n + len(pieces), at + len(ids)
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(hashes), dtype=bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
 
     def _encode_block(self, some: list[str]) -> list[np.ndarray]:
         joined = "\n".join(some).lower()
@@ -113,16 +126,14 @@ class WordEncoder:
         np.cumsum(_VALUE[points] * up[: len(points)], out=sums[1:])
         hashes = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * BASE)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        names = unique.tolist()
-        if len(self.slots) + len(names) > self.most:
+        if self.n + len(unique) > self.most:
             self._clear()
-        known = self.slots
-        new = [k for k, h in enumerate(names) if h not in known]
-        if new:
+        new = np.flatnonzero(self._unknown(unique))
+        if len(new):
             at = where[new]
-            self._learn([names[k] for k in new], [joined[s:e] for s, e in zip(first[at].tolist(), end[at].tolist())])
-        slot = np.array([known[h] for h in names], dtype=np.int64)[inverse] if names else np.zeros(0, dtype=np.int64)
-        size = self.size[slot]
+            self._learn(unique[new], [joined[s:e] for s, e in zip(first[at].tolist(), end[at].tolist())])
+        slot = self.slots[np.searchsorted(self.known, unique)][inverse]
+        size = self.size[slot].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.first[slot] - before[:-1], size) + np.arange(before[-1])]
         texts_at = np.cumsum([0] + [len(t) + 1 for t in some])
