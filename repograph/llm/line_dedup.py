@@ -11,8 +11,8 @@ Rows are 16 bytes and travel as blocks of packed arrays, one per target part and
 segment, pairs are not expanded: each line is verified against the first indexed one; after that lines of different components whose character counts allow it are verified
 within cells of a bucket, which give only the links that join components, so none between components is lost.
 
-Edge cases: null or empty text has no lines; a null doc_id counts as the last; repeated rows are copies, of which the first keeps its lines (ties are
-broken by the row's place in its file); text without duplicates is returned unchanged; other columns are kept.
+Edge cases: null or empty text has no lines; a null doc_id counts as the last; rows that repeat both doc_id and text keep and lose the same lines;
+rows that share only the doc_id are told apart by a hash of the text; text without duplicates is returned unchanged; other columns are kept.
 """
 
 from __future__ import annotations
@@ -447,13 +447,12 @@ def drop_duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) ->
 
     Only the numbers of the lines to drop are joined to the documents, gathered per row; a row that loses nothing is passed as it is.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # The row's number tells rows of one doc_id apart; it follows from the file and the place in it.
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = line_classes(numbered.select("doc_id", "_row", "text"), params, ("doc_id", "_row"))
-    lost = found.where("class_size > 1").where((F.col("_row") != F.col("first._row.value")) | (F.col("line_no") != F.col("first.line_no")))
-    drops = lost.groupBy("_row").agg(F.sort_array(F.collect_list("line_no")).alias("_drop"))
-    joined = numbered.join(drops, "_row", "left")
+    # doc_id and a hash of the text name a row, whatever plan reads it.
+    named = docs.withColumn("_row", F.xxhash64("text"))
+    found = line_classes(named.select("doc_id", "_row", "text"), params, ("doc_id", "_row"))
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id.value")) & (F.col("_row") == F.col("first._row.value")) & (F.col("line_no") == F.col("first.line_no"))
+    drops = found.where("class_size > 1").where(~own).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_drop"))
+    joined = named.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
     # The lines are bound once to a name, so that a long text is split once.
     left = F.expr(r"transform(array(split(text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _drop), i -> get(ls, i)), '\n'))[0]")
     kept = joined.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
