@@ -1,7 +1,7 @@
 """Duplicate and near-duplicate lines by a segment-partition edit join.
 
-Lines of at least ``min_words`` words take part. Equal lines are one class from the start. Two different lines of at least ``min_chars`` code points are
-linked when their edit distance is at most ``edits``. A line of length l is cut into edits + 1 even segments, so a line within reach holds one of
+Every line with a word takes part. Equal lines are one class from the start. Two different lines of at least ``min_chars`` code points are
+linked when their edit distance is at most ``edits``; that is the least length which has edits + 1 segments that aren't empty, shorter lines are only compared for equality. A line of length l is cut into edits + 1 even segments, so a line within reach holds one of
 them unchanged, at a place that its length and the segment's number confine to a few offsets. Every line emits hashes of its own segments (index rows)
 and of the substrings at those offsets for its own length and the ``edits`` lengths below (probe rows); rows that meet are candidates, and candidates are
 verified by banded bit-parallel edit distance on what is left between their common prefix and suffix. The classes are the connected components of the links; the first line
@@ -11,7 +11,7 @@ Rows are 16 bytes and travel as blocks of packed arrays, one per target part and
 segment, pairs are not expanded: each line is verified against the first indexed one; after that lines of different components whose character counts allow it are verified
 within cells of a bucket, which give only the links that join components, so none between components is lost.
 
-Edge cases: null or empty text has no lines; a null doc_id counts as the last; rows that repeat both doc_id and text keep and lose the same lines;
+Edge cases: null or empty text and lines of white space alone have no lines that take part; a null doc_id counts as the last; rows that repeat both doc_id and text keep and lose the same lines;
 rows that share only the doc_id are told apart by a hash of the text; text without duplicates is returned unchanged; other columns are kept.
 """
 
@@ -34,10 +34,14 @@ from .shingles import BASE, _power_tables, _SPACE, mix, texts
 @dataclass(frozen=True)
 class LineParams:
     edits: int = 2
-    min_words: int = 5
-    min_chars: int = 40
+    min_words: int = 1
     block: int = 1000
 
+    @property
+    def min_chars(self) -> int:
+        """The least length of a line with edits + 1 non-empty segments."""
+        return self.edits + 1
+
 
 _BYTE_1 = mix(np.arange(1, 257, dtype=np.uint64))
 _BYTE_2 = mix(np.arange(1001, 1257, dtype=np.uint64))
@@ -461,7 +465,7 @@ def drop_duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) ->
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of five words or more with its class: the first line of the class (class_doc_id, class_line_no), its size, and whether this line stays."""
+    """Every line with a word with its class: the first line of the class (class_doc_id, class_line_no), its size, and whether this line stays."""
     found = line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     first_doc, first_line = F.coalesce(F.col("first.doc_id.value"), F.when(F.col("first").isNull(), F.col("doc_id"))), F.coalesce(F.col("first.line_no"), F.col("line_no"))
     return found.select("doc_id", "line_no", first_doc.alias("class_doc_id"), first_line.alias("class_line_no"), "class_size").withColumn(

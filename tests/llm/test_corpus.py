@@ -144,6 +144,17 @@ def test_line_classes(spark):
     assert line_dedup.drop_duplicate_lines(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    texts = ["All rights reserved.\nReleased under the MIT License.\nab", "All rights reserved.\nReleased under the MIT Licence.\nac\n \t", "中文行没有空格\nab\nZzzzzzzz", "中文行没有空隔\nQuite another one"]
+    got = {(r.doc_id, r.line_no): (r["first"].doc_id.value, r["first"].line_no) if r["first"] else None for r in line_dedup.line_classes(frame(spark, texts).select("doc_id", "text")).collect()}
+    assert got == {
+        (0, 0): (0, 0), (1, 0): (0, 0), (0, 1): (0, 1), (1, 1): (0, 1), (0, 2): (0, 2), (2, 1): (0, 2), (1, 2): None,
+        (2, 0): (2, 0), (3, 0): (2, 0), (2, 2): None, (3, 1): None,
+    }
+    kept = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, texts)).collect()}
+    assert kept == {0: texts[0], 1: "ac\n \t", 2: "中文行没有空格\nZzzzzzzz", 3: "Quite another one"}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
