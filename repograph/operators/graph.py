@@ -5,6 +5,9 @@ Ids that are asked for come as a table too; joins are left to Catalyst, which br
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,36 +65,56 @@ def children_of(nodes: DataFrame, edges: DataFrame, parent: str) -> tuple[DataFr
     return children, own.join(children.select(F.col("id").alias("_c")), F.col("target") == F.col("_c"), "left_semi")
 
 
-def ancestor_paths(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder of the session (where none is set, a temporary one)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def ancestor_paths(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(id, path): ids from the topmost present ancestor down to the node, by one join per tier; a cycle ends where it closes.
 
-    Trees have few tiers; the loop stops when no node climbs any more.
+    Each tier is checkpointed, and the loop stops when no node climbs any more; nodes that still climb after ``max_depth`` tiers are an error.
     """
     links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     now = nodes.select("id", F.col("parent_id").alias("_next"), F.array("id").alias("path"))
+    tiers = [now.where("_next is null")]
+    now = now.where("_next is not null")
     for _ in range(max_depth):
         met = now.join(links, (F.col("_next") == F.col("_id")) & ~F.array_contains("path", F.col("_next")), "left")
-        now = met.select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path"))
-    return now.select("id", "path")
+        met = _cut(met.select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path")))
+        tiers.append(met.where("_next is null"))
+        now = met.where("_next is not null")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, tiers).select("id", "path")
+    raise RuntimeError(f"nodes have more than {max_depth} tiers above them")
 
 
-def owning_file(nodes: DataFrame, max_depth: int = 5) -> DataFrame:
+def owning_file(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(id, owner): the topmost present ancestor of each node."""
     return ancestor_paths(nodes, max_depth).select("id", F.element_at("path", 1).alias("owner"))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(root, id): everything below each id of ``roots``, without the root itself; tier by tier, each node once per root."""
-    links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    tier = roots.select(F.col("id").alias("root"), F.col("id").alias("_at")).distinct()
-    found = None
-    for _ in range(max_depth):
-        tier = tier.join(links, F.col("_at") == F.col("_up")).select("root", F.col("_id").alias("_at"))
-        found = tier if found is None else found.unionByName(tier)
-    return found.where(F.col("_at") != F.col("root")).select("root", F.col("_at").alias("id")).distinct()
-
+def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(root, id): everything below each id of ``roots``, without the root itself; tier by tier until one adds nothing, each node once per root.
 
-def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    Rows that are left to add after ``max_depth`` tiers are an error.
+    """
+    links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
+    tier = _cut(roots.select(F.col("id").alias("root"), F.col("id").alias("_at")).distinct())
+    known = tier
+    for _ in range(max_depth + 1):
+        below = tier.join(links, F.col("_at") == F.col("_up")).select("root", F.col("_id").alias("_at")).distinct()
+        tier = _cut(below.join(known, ["root", "_at"], "left_anti"))
+        if tier.isEmpty():
+            return known.where(F.col("_at") != F.col("root")).select("root", F.col("_at").alias("id"))
+        known = known.unionByName(tier)
+    raise RuntimeError(f"more than {max_depth} tiers below the roots")
+
+
+def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Without what lies below the roots, and without edges that touch it."""
     gone = descendants(nodes, roots, max_depth).select(F.col("id").alias("_gone")).distinct()
     kept = nodes.join(gone, F.col("id") == F.col("_gone"), "left_anti")
@@ -148,7 +171,7 @@ def has_children(nodes: DataFrame) -> DataFrame:
     return met.select("id", (F.coalesce(F.size("child_ids") > 0, F.lit(False)) | F.col("_p").isNotNull()).alias("expandable"))
 
 
-def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 5) -> DataFrame:
+def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 1000) -> DataFrame:
     """(row, id, depth, expandable, expanded): visible nodes in pre-order; a node shows if all its ancestors are expanded.
 
     Pre-order is the order of the ancestor paths. Rows are numbered within each root, and a running count over the roots, of which there are few, shifts them.

@@ -33,6 +33,25 @@ def test_cycles_end(spark):
     assert ids(graph.descendants(loop, loop.where("id = 'a'"))) == ["b"]
 
 
+def test_deep_trees(spark):
+    import pytest
+
+    rows = [(f"n{i:02}", "t", "x", f"n{i - 1:02}" if i else None) for i in range(12)]
+    deep = spark.createDataFrame(rows, "id string, type string, label string, parent_id string").selectExpr("*", "cast(array() as array<string>) as child_ids")
+    names = [r[0] for r in rows]
+    assert {r.id: r.owner for r in graph.owning_file(deep).collect()} == {n: "n00" for n in names}
+    assert ids(graph.descendants(deep, deep.where("id = 'n00'"))) == names[1:]
+    edges = spark.createDataFrame([("1", "n10", "n11", "contains", False)], "id string, source string, target string, kind string, hot boolean")
+    left, left_edges = graph.collapse(deep, edges, deep.where("id = 'n00'"))
+    assert ids(left) == ["n00"] and ids(left_edges) == []
+    assert [(r.row, r.id, r.depth) for r in graph.hierarchy_rows(deep, deep).orderBy("row").collect()] == [(i, n, i) for i, n in enumerate(names)]
+    rebuilt, _ = diff.rebuild_graph(deep, edges)
+    assert {r.owner_file for r in rebuilt.collect()} == {"n00"}
+    for walk in (lambda: graph.owning_file(deep, 4), lambda: graph.descendants(deep, deep.where("id = 'n00'"), 4)):
+        with pytest.raises(RuntimeError):
+            walk()
+
+
 def test_rows_in_pre_order(spark):
     nodes, _ = frames(spark)
     rows = graph.hierarchy_rows(nodes, nodes.where("id in ('f', 'b')"), show_agents=False).orderBy("row").collect()
