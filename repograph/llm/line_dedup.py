@@ -7,9 +7,10 @@ and of the substrings at those offsets for its own length and the ``edits`` leng
 verified by banded bit-parallel edit distance on what is left between their common prefix and suffix. The classes are the connected components of the links; the first line
 (least doc_id, then line number) of a class stays.
 
-Rows are 16 bytes and travel as blocks of packed arrays, one per target part and batch, with repeats removed before the shuffle. Where many lines meet in one
-segment, pairs are not expanded: each line is verified against the first indexed one; after that lines of different components whose character counts allow it are verified
-within cells of a bucket, which give only the links that join components, so none between components is lost.
+One pass over the texts gives line rows (hashes and places) and segment rows of 16 bytes, which travel as blocks of packed arrays. Only lines that meet in a segment get
+their text. Where many lines meet, pairs are not expanded: a bucket is dealt into pieces, and within a piece the lines are held against one of them, then those outside the largest
+component against the rest. Over the pieces of a large bucket only lines outside the bucket's main component visit the other pieces. A cell gives only the links that join
+components, so none between components is lost.
 
 Edge cases: null or empty text and lines of white space alone have no lines that take part; a null doc_id counts as the last; rows that repeat both doc_id and text keep and lose the same lines;
 rows that share only the doc_id are told apart by a hash of the text; text without duplicates is returned unchanged; other columns are kept.
@@ -22,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
-from .components import connected_components
-from .near_dedup import _apart, _by_cell, _grouped, _matrix, _spans
+from .common import cut, partitions_for, sweep, table
+from .components import connected_components, joined_components
+from .near_dedup import _grouped, _spans, outside_rows
 from .shingles import BASE, _power_tables, _SPACE, mix, texts
 
 
@@ -43,6 +44,7 @@ class LineParams:
         return self.edits + 1
 
 
+SHORT = 256  # code points up to which lines are compared many at a time
 _BYTE_1 = mix(np.arange(1, 257, dtype=np.uint64))
 _BYTE_2 = mix(np.arange(1001, 1257, dtype=np.uint64))
 
@@ -133,82 +135,100 @@ def _keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int)
                 yield place[ok], hashed(starts[ok] + at[ok], sizes[ok, i], base[ok], i), index
 
 
-def _blocks(docs: DataFrame, params: LineParams, parts: int) -> DataFrame:
-    """(part, block): packed (hash, line reference with the index flag in its lowest bit) pairs."""
+def _scan(docs: DataFrame, params: LineParams, parts: int, names: list[str]) -> DataFrame:
+    """One pass over the texts. Line rows: (*names, line_no, ref, key), every line that takes part; segment rows: (part, block), packed (hash, line
+    reference with the index flag in its lowest bit) pairs of one range of hashes. The columns of the other kind are null."""
     p = params
+    given = docs.select(*names, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    labels = [*names, "line_no", "ref", "key", "part", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
+        hashes: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
+        n, kinds = 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal n
-            rows = np.concatenate(held)
-            held.clear()
-            n = 0
-            part = ((rows[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.lexsort((rows[:, 1], rows[:, 0]))  # parts are ranges of hashes, so this sorts by part too
-            rows, part = rows[order], part[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            rows, part = rows[new], part[new]
+            key = np.concatenate(hashes)
+            part = (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")
+            rows = np.stack([key[order], np.concatenate(marks)[order]], axis=1)
+            part = part[order]
             bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            return pa.record_batch(
-                [pa.array(part[bounds[:-1]].astype(np.int64)), pa.array([rows[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["part", "block"]
-            )
+            hashes.clear(), marks.clear()
+            n = 0
+            size = len(bounds) - 1
+            blocks = [pa.array(part[bounds[:-1]].astype(np.int64)), pa.array([rows[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())]
+            return pa.record_batch([*[pa.nulls(size, k) for k in kinds], pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), *blocks], names=labels)
 
         for batch in batches:
-            for _, data, offsets in texts(batch.column(0)):
-                _, _, starts, ends = _lines(data, offsets, p.min_words)
+            kinds = [batch.column(i).type for i in range(len(names))]
+            for at, data, offsets in texts(batch.column(len(names))):
+                doc, number, starts, ends = _lines(data, offsets, p.min_words)
                 if not len(starts):
                     continue
-                ref, _ = _hashes(data, starts, ends)
-                points, s, e = _code_points(data, starts, ends)
+                ref, key = _hashes(data, starts, ends)
+                ref &= ~np.uint64(1)
+                own, size = pa.array(doc + at), len(doc)
+                yield pa.record_batch(
+                    [*[batch.column(i).take(own) for i in range(len(names))], pa.array(number.astype(np.int32)), pa.array(ref.view(np.int64)), pa.array(key.view(np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())],
+                    names=labels,
+                )
+                _, once = np.unique(ref, return_index=True)
+                points, s, e = _code_points(data, starts[once], ends[once])
                 long = e - s >= p.min_chars
-                ref, s, e = ref[long] & ~np.uint64(1), s[long], e[long]
-                for line, key, index in _keys(points, s, e, p.edits):
-                    held.append(np.stack([key, ref[line] | np.uint64(index)], axis=1))
-                    n += len(key)
+                once_ref = ref[once][long]
+                for line, h, index in _keys(points, s[long], e[long], p.edits):
+                    hashes.append(h)
+                    marks.append(once_ref[line] | np.uint64(index))
+                    n += len(h)
                 if n >= 2_000_000:
                     yield flush()
         if n:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part long, block binary")
+    return given.mapInArrow(run, f"{schema}, line_no int, ref long, key long, part long, block binary")
 
 
-def _meetings(blocks: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, ref, indexed): the lines that meet in a segment, where at least one is indexed."""
+def _meetings(blocks: DataFrame, partitions: int, block: int) -> DataFrame:
+    """(bucket, ref, indexed, piece, pieces): the lines that meet in a segment, where at least one is indexed; a bucket is dealt into pieces of ``block`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(x.as_buffer(), dtype=np.uint64).reshape(-1, 2) for batch in batches for x in batch.column(1)]
         if not held:
             return
-        rows = np.concatenate(held)
+        key, mark = np.concatenate([h[:, 0] for h in held]), np.concatenate([h[:, 1] for h in held])
         held.clear()
-        order = np.argsort(rows[:, 0])
-        rows = rows[order]
-        same = rows[1:, 0] == rows[:-1, 0]
-        some = np.zeros(len(rows), dtype=bool)
+        order = np.argsort(key)
+        key, mark = key[order], mark[order]
+        same = key[1:] == key[:-1]
+        some = np.zeros(len(key), dtype=bool)
         some[1:] |= same
         some[:-1] |= same
-        rows = rows[some]
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        if not len(rows):
+        key, mark = key[some], mark[some]
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        if not len(key):
             return
-        bucket, ref, index = rows[:, 0], rows[:, 1] & ~np.uint64(1), rows[:, 1] & np.uint64(1)
-        first = np.ones(len(rows), dtype=bool)
-        first[1:] = (bucket[1:] != bucket[:-1]) | (ref[1:] != ref[:-1])
+        ref, index = mark & ~np.uint64(1), mark & np.uint64(1)
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])
         at = np.flatnonzero(first)
         indexed = np.maximum.reduceat(index, at)
-        bucket, ref = bucket[at], ref[at]
+        bucket, ref = key[at], ref[at]
         group = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         counts = np.diff(np.append(group, len(bucket)))
         good = np.repeat((counts > 1) & (np.maximum.reduceat(indexed, group) > 0), counts)
         if good.any():
-            yield pa.record_batch([pa.array(bucket[good].view(np.int64)), pa.array(ref[good].view(np.int64)), pa.array(indexed[good] > 0)], names=["bucket", "ref", "indexed"])
+            piece = (np.arange(len(bucket)) - np.repeat(group, counts)) // block
+            pieces = np.repeat(-(-counts // block), counts)
+            yield pa.record_batch(
+                [pa.array(bucket[good].view(np.int64)), pa.array(ref[good].view(np.int64)), pa.array(indexed[good] > 0), pa.array(piece[good].astype(np.int32)), pa.array(pieces[good].astype(np.int32))],
+                names=["bucket", "ref", "indexed", "piece", "pieces"],
+            )
 
-    return blocks.repartition(partitions, "part").mapInArrow(run, "bucket long, ref long, indexed boolean")
+    return blocks.repartition(partitions, "part").mapInArrow(run, "bucket long, ref long, indexed boolean, piece int, pieces int")
 
 
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray:
@@ -250,23 +270,40 @@ def within(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray
 
 def _banded(one: list[np.ndarray], two: list[np.ndarray], edits: int) -> np.ndarray:
     """Edit distances up to ``edits`` (more: edits + 1) of longer strings ``one`` to ``two``."""
-    width = 2 * edits + 4
-    n = len(one)
+    pad, n = 2 * edits + 4, len(one)
     m1, m2 = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     most = int(m2.max())
-    pad = width
     a = np.full((most + edits + 2 * pad, n), 0xFFFFFFFF, dtype=np.uint32)  # rows of the longer string, shifted by pad
     b = np.full((most, n), 0xFFFFFFFE, dtype=np.uint32)
     for i in range(n):
         a[pad : pad + m1[i], i] = one[i]
         b[: m2[i], i] = two[i]
+    return _bands(a, b, m1, m2, edits)
+
+
+def _bands(a: np.ndarray, b: np.ndarray, m1: np.ndarray, m2: np.ndarray, edits: int) -> np.ndarray:
+    """The same of padded code points, one column per pair; m1 and m2: lengths of the longer and the shorter strings."""
+    width = pad = 2 * edits + 4
+    n, most = a.shape[1], len(b)
     word, top = np.uint64((1 << width) - 1), np.uint64(width - 1)
     one_bit = np.uint64(1)
     vp = np.full(n, ((1 << (edits + 1)) - 1) << (width - 1 - edits), dtype=np.uint64)
     vn = np.zeros(n, dtype=np.uint64)
     dist = np.full(n, edits, dtype=np.int64)
     last = np.full(n, width - 2, dtype=np.int64)  # the bit of the last row, once the band has reached it
+    flats = edits - (m1 - m2)  # steps by which the last row's distance can fall again
+    out, rows = np.full(n, edits + 1, dtype=np.int64), np.arange(n)
     for j in range(most):
+        if j % 16 == 15:
+            on = (dist - flats <= edits) & (j < m2)
+            done = j >= m2
+            out[rows[done]] = dist[done]
+            if not on.all():
+                a, b = a[:, on], b[:, on]
+                rows, m1, m2, flats, vp, vn, dist, last = (x[on] for x in (rows, m1, m2, flats, vp, vn, dist, last))
+                n = len(rows)
+                if not n:
+                    break
         eq = np.zeros(n, dtype=np.uint64)
         for bit in range(width):
             eq |= (a[pad + j + edits - (width - 1) + bit] == b[j]).astype(np.uint64) << np.uint64(bit)
@@ -282,26 +319,30 @@ def _banded(one: list[np.ndarray], two: list[np.ndarray], edits: int) -> np.ndar
         last -= flat
         vp = (hn | ~((d0 >> one_bit) | hp)) & word
         vn = (d0 >> one_bit) & hp
-    return np.minimum(dist, edits + 1)
+    out[rows] = dist
+    return np.minimum(out, edits + 1)
 
 
 def _texts_of(docs: DataFrame, params: LineParams) -> DataFrame:
-    """(ref, line): the lines long enough for the join, each once per batch."""
+    """(ref, line): the lines long enough for the join, each once per slice of a batch."""
     p = params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, bytes] = {}
             for _, data, offsets in texts(batch.column(0)):
                 _, _, starts, ends = _lines(data, offsets, p.min_words)
+                long = ends - starts >= p.min_chars
+                starts, ends = starts[long], ends[long]
                 if not len(starts):
                     continue
                 ref, _ = _hashes(data, starts, ends)
-                raw = data.tobytes()
-                for r, s, e in zip((ref & ~np.uint64(1)).view(np.int64).tolist(), starts.tolist(), ends.tolist()):
-                    if e - s >= p.min_chars:
-                        known.setdefault(r, raw[s:e])
-            yield pa.record_batch([pa.array(list(known), pa.int64()), pa.array(list(known.values()), pa.binary())], names=["ref", "line"])
+                ref, once = np.unique(ref & ~np.uint64(1), return_index=True)
+                starts, ends = starts[once], ends[once]
+                # Arrow takes the lines out of one array of the whole slice, cut at the starts and ends.
+                order = np.argsort(starts)
+                cuts = np.stack([starts[order], ends[order]], axis=1).ravel().astype(np.int32)
+                pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)])
+                yield pa.record_batch([pa.array(ref[order].view(np.int64)), pieces.take(pa.array(np.arange(0, len(cuts), 2)))], names=["ref", "line"])
 
     return docs.select("text").mapInArrow(run, "ref long, line binary")
 
@@ -313,137 +354,185 @@ def _points(line: bytes) -> np.ndarray:
         return np.frombuffer(line, dtype=np.uint8).astype(np.uint32)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """The pairs (a, b) of references that are linked."""
-    edits = params.edits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = within([(_points(x.as_py()), _points(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))], edits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    one = lines.select(F.col("ref").alias("a"), F.col("line").alias("line_a"))
-    two = lines.select(F.col("ref").alias("b"), F.col("line").alias("line_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long").distinct()
+def _sketch(points: list[np.ndarray]) -> np.ndarray:
+    """Counts of the code points of each line by their value modulo 32, modulo 256; an edit changes them by two in sum at most."""
+    row = np.repeat(np.arange(len(points)), [len(x) for x in points])
+    flat = np.concatenate(points).astype(np.int64) & 31
+    return np.bincount(row * 32 + flat, minlength=32 * len(points)).reshape(-1, 32).astype(np.uint8)
 
 
-def _sketches(lines: DataFrame) -> DataFrame:
-    """(ref, sketch): counts of the code points of a line by their value modulo 32, modulo 256; an edit changes them by two in sum at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sk = [np.bincount(_points(x.as_py()) & 31, minlength=32).astype(np.uint8).tobytes() for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sk, pa.binary())], names=["ref", "sketch"])
+def within_rows(points: list[np.ndarray], one: np.ndarray, two: np.ndarray, edits: int) -> np.ndarray:
+    """Whether points[i] and points[j] are within ``edits``, for the pairs (i, j) of ``one`` and ``two``.
 
-    return lines.select("ref", "line").mapInArrow(run, "ref long, sketch binary")
+    Pairs of short lines go through the bands together, taken from one padded matrix; pairs with a long line are compared one by one.
+    """
+    verdict = np.zeros(len(one), dtype=bool)
+    size = np.array([len(x) for x in points])
+    swap = size[one] < size[two]
+    one, two = np.where(swap, two, one), np.where(swap, one, two)
+    near = size[one] - size[two] <= edits
+    short = near & (size[one] <= SHORT) & (size[one] > edits)
+    verdict[near & (size[one] <= edits)] = True
+    long = np.flatnonzero(near & (size[one] > SHORT))
+    verdict[long] = within([(points[i], points[j]) for i, j in zip(one[long].tolist(), two[long].tolist())], edits)
+    work = np.flatnonzero(short)
+    if len(work):
+        pad = 2 * edits + 4
+        used = np.unique(np.concatenate([one[work], two[work]]))
+        place = np.zeros(len(points), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        most = int(size[used].max())
+        sheet = np.full((len(used), most + edits + 2 * pad), 0xFFFFFFFF, dtype=np.uint32)
+        for r, i in enumerate(used.tolist()):
+            sheet[r, pad : pad + size[i]] = points[i]
+        work = work[np.argsort(size[one[work]], kind="stable")]
+        for at in range(0, len(work), 8192):
+            some = work[at : at + 8192]
+            a, b, m1, m2 = sheet[place[one[some]]], sheet[place[two[some]]], size[one[some]], size[two[some]]
+            longest = int(m2.max())
+            b = np.where(np.arange(longest)[None] < m2[:, None], b[:, pad : pad + longest], 0xFFFFFFFE)
+            verdict[some] = _bands(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), m1, m2, edits) <= edits
+    return verdict
 
 
-def _near_sketches(sketch: np.ndarray, i: int, indexed: np.ndarray, own: np.ndarray, limit: int) -> np.ndarray:
-    """Rows of other components that may be within reach of row i, where one of the two is indexed."""
-    off = np.abs((sketch - sketch[i]).view(np.int8).astype(np.int16)).sum(axis=1)
-    return (off <= limit) & (own != own[i]) & (indexed | indexed[i])
+def _candidates(s: int, e: int, rows: np.ndarray, own: np.ndarray, sketch: np.ndarray, size: np.ndarray, side: tuple, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of each row i of ``rows`` in a cell s to e and the residents of other components that may be within reach, where one of the two is indexed."""
+    outside, resident, indexed = side
+    asked = np.zeros(e - s, dtype=bool)
+    for i in rows.tolist():
+        met = (own[s:e] != own[i]) & resident[s:e] & (indexed[s:e] | indexed[i]) & (np.abs(size[s:e] - size[i]) <= edits)
+        if resident[i]:
+            met &= ~asked  # those have met row i already
+            asked[i - s] = True
+        near = np.flatnonzero(met)
+        near = near[np.abs((sketch[near + s] - sketch[i]).view(np.int8).astype(np.int16)).sum(axis=1) <= 2 * edits] + s
+        yield np.full(len(near), i), near
 
 
-def _cross_links(rows: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
-    """Links (a, b) between lines of different components that meet; rows: bucket, ref, indexed, root.
+def link_cells(spans: list[tuple[int, int]], own: np.ndarray, points: list[np.ndarray], side: tuple, edits: int, most: int = 8192) -> list[tuple[int, int]]:
+    """Links (i, j) between rows of one cell and different components ``own``; no more than join the components of each cell.
 
-    Rows that may have such a link are found by their sketches alone; only those get their text, and are verified cell by cell. A cell gives no more links than
-    join its components, and a row never leaves a task as a pair.
+    side: (outside, resident, indexed). First each cell's rows are held against one of them. Then, where all rows are outside, each row that isn't in the cell's
+    largest component is compared with all others, else the outside rows with the residents. Pairs of many cells are verified together.
     """
-    edits, limit = params.edits, 2 * params.edits
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
-    dealt = rows.join(sizes, "bucket").withColumn("_g", F.ceil(F.col("_n") / params.block).cast("int")).withColumn("_i", F.expr("cast(pmod(xxhash64(ref, bucket), _g) as int)"))
-    dealt = dealt.withColumn("_j", F.explode(F.expr("sequence(0, _g - 1)"))).withColumn("cell", F.xxhash64("bucket", F.least("_i", "_j"), F.greatest("_i", "_j")))
-    dealt = dealt.select("cell", F.col("ref").alias("key"), "indexed", "root").join(_sketches(lines).withColumnRenamed("ref", "key"), "key")
+    outside, resident, indexed = side
+    own, found = own.copy(), []
+    size, sketch = np.array([len(x) for x in points]), _sketch(points)
+
+    def verify(one: list[np.ndarray], two: list[np.ndarray], where: list[tuple[int, int]]) -> None:
+        i, j = np.concatenate(one), np.concatenate(two)
+        cell = np.repeat(np.arange(len(where)), [len(x) for x in one])
+        open_ = own[i] != own[j]
+        i, j, cell = i[open_], j[open_], cell[open_]
+        ok = within_rows(points, i, j, edits)
+        for x, y, c in zip(i[ok].tolist(), j[ok].tolist(), cell[ok].tolist()):
+            if own[x] != own[y]:
+                s, e = where[c]
+                own[s:e][own[s:e] == own[y]] = own[x]
+                found.append((x, y))
+
+    starts = [s + int(indexed[s:e].argmax()) for s, e in spans]
+    hub = np.repeat(starts, [e - s for s, e in spans]).astype(np.int64)
+    row = np.concatenate([np.arange(s, e) for s, e in spans])
+    good = (own[row] != own[hub]) & (indexed[row] | indexed[hub]) & (np.abs(size[row] - size[hub]) <= edits) & (outside[row] & resident[hub] | outside[hub] & resident[row])
+    row, hub = row[good], hub[good]
+    off = np.abs((sketch[row] - sketch[hub]).view(np.int8).astype(np.int16)).sum(axis=1)
+    row, hub = row[off <= 2 * edits], hub[off <= 2 * edits]
+    span = np.searchsorted(np.array([s for s, _ in spans]), row, side="right") - 1
+    cuts = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1], [True]])) if len(row) else np.zeros(1, dtype=int)
+    if len(row):
+        verify([row[x:y] for x, y in zip(cuts[:-1], cuts[1:])], [hub[x:y] for x, y in zip(cuts[:-1], cuts[1:])], [spans[k] for k in span[cuts[:-1]].tolist()])
+    one, two, where, n = [], [], [], 0
+    for s, e in spans:
+        here = own[s:e]
+        if e - s < 3 or (here == here[0]).all():
+            continue
+        rows = outside[s:e].copy()
+        if rows.all():
+            names, counts = np.unique(here, return_counts=True)
+            rows = here != names[counts.argmax()]
+        for i, j in _candidates(s, e, np.flatnonzero(rows) + s, own, sketch, size, side, edits):
+            if len(j):
+                one.append(i), two.append(j), where.append((s, e))
+                n += len(j)
+            if n >= most:
+                verify(one, two, where)
+                one, two, where, n = [], [], [], 0
+    if one:
+        verify(one, two, where)
+    return found
+
+
+def _cell_links(cells: DataFrame, lines: DataFrame, edits: int, partitions: int) -> DataFrame:
+    """Links (a, b) found within each cell; cells: (cell, key, indexed, root, outside, resident)."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, "cell"):
-            roots, indexed, sketches = t.column("root").to_pylist(), t.column("indexed").to_numpy(), t.column("sketch").to_pylist()
-            hit = np.zeros(len(t), dtype=bool)
-            for s, e in _spans(t):
-                own, outside = _apart(roots[s:e])
-                sketch = _matrix(sketches[s:e])
-                for i in outside.tolist():
-                    met = _near_sketches(sketch, i, indexed[s:e], own, limit)
-                    if met.any():
-                        hit[s:e] |= met
-                        hit[s + i] = True
-            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
-
-    suspects = cut(_by_cell(dealt, ["key", "indexed", "root", "sketch"]).mapInArrow(find, "cell long, key long, indexed boolean, root long, sketch binary"))
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
-            keys, roots, indexed = t.column("key").to_pylist(), t.column("root").to_pylist(), t.column("indexed").to_numpy()
-            sketches, raw = t.column("sketch").to_pylist(), t.column("line").to_pylist()
-            a, b = [], []
-            for s, e in _spans(t):
-                own, outside = _apart(roots[s:e])
-                sketch = _matrix(sketches[s:e])
-                points = [_points(x) for x in raw[s:e]]
-                for i in outside.tolist():
-                    near = np.flatnonzero(_near_sketches(sketch, i, indexed[s:e], own, limit))
-                    for j in near[within([(points[i], points[j]) for j in near.tolist()], edits)].tolist():
-                        if own[i] != own[j]:
-                            own[own == own[j]] = own[i]
-                            a.append(max(keys[s + i], keys[s + j]))
-                            b.append(min(keys[s + i], keys[s + j]))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    whole = suspects.join(lines.select(F.col("ref").alias("key"), "line"), "key")
-    return _by_cell(whole, ["key", "indexed", "root", "sketch", "line"]).mapInArrow(link, "a long, b long").distinct()
-
-
-def near_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """(node, root): references of the lines that are linked to a different line, and of their component."""
-    partitions = max(shuffle_partitions(docs.sparkSession), 2)
-    met = cut(_meetings(_blocks(docs, params, 4 * partitions), partitions))
-    wanted = met.select("ref").distinct()
-    lines = cut(_texts_of(docs, params).join(wanted, "ref", "left_semi").dropDuplicates(["ref", "line"]))
-    hubs = met.where("indexed").groupBy("bucket").agg(F.min("ref").alias("hub"))
-    stars = met.join(hubs, "bucket").where("ref <> hub").select(F.greatest("ref", "hub").alias("a"), F.least("ref", "hub").alias("b")).distinct()
-    links = cut(_verified(stars, lines, params))
+            spans = _spans(t)
+            if not spans:
+                continue
+            keys, root, cell = (t.column(c).to_numpy() for c in ("key", "root", "cell"))
+            own = np.unique(np.stack([cell, root], axis=1), axis=0, return_inverse=True)[1].ravel()
+            points = [_points(x) for x in t.column("line").to_pylist()]
+            side = tuple(t.column(c).to_numpy() for c in ("outside", "resident", "indexed"))
+            found = np.array(link_cells(spans, own, points, side, edits), dtype=np.int64).reshape(-1, 2)
+            a, b = keys[found[:, 0]], keys[found[:, 1]]
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    whole = cells.join(lines.select(F.col("ref").alias("key"), "line"), "key")
+    columns = ["key", "indexed", "root", "outside", "resident", "line"]
+    dealt = whole.select("cell", *columns).repartition(partitions, "cell").sortWithinPartitions("cell", "key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_lines(blocks: DataFrame, docs: DataFrame, params: LineParams, partitions: int) -> DataFrame:
+    """(node, root): references of the lines that are linked to a different line, and of their component.
+
+    Within a piece of a bucket all lines are compared at once; over the pieces of large buckets only those outside the bucket's main component.
+    """
+    met = cut(_meetings(blocks, partitions, params.block))
+    lines = cut(_texts_of(docs, params).join(met.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]))
+    yes = F.lit(True)
+    one = met.select(F.xxhash64("bucket", "piece").alias("cell"), F.col("ref").alias("key"), "indexed", F.col("ref").alias("root"), yes.alias("outside"), yes.alias("resident"))
+    links = cut(_cell_links(one, lines, params.edits, partitions))
     roots = cut(connected_components(links))
-    named = met.join(roots.withColumnRenamed("node", "ref"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    split = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
-    more = cut(_cross_links(named.join(split, "bucket"), lines, params))
-    return connected_components(links.unionByName(more))
+    large = met.where("pieces > 1").withColumnRenamed("ref", "key")
+    named = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    visits = outside_rows(named).withColumn("outside", F.col("outside") & ~F.col("resident"))
+    more = cut(_cell_links(visits, lines, params.edits, partitions))
+    return cut(joined_components(roots, more))
 
 
-def line_rows(docs: DataFrame, params: LineParams = LineParams(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keys, line_no, ref, key): every line that takes part; ref and key are 64-bit hashes of it (key only tells apart lines of one ref)."""
-    p, names = params, list(keys)
-    given = docs.select(*names, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+def line_classes(docs: DataFrame, params: LineParams = LineParams(), keys: tuple[str, ...] = ("doc_id",), all_lines: bool = True) -> DataFrame:
+    """(*keys, line_no, ref, key, first, class_size): every line that takes part, with its class's first line (struct) and size; first is null where a
+    line is alone, which ``all_lines=False`` leaves out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, offsets in texts(batch.column(len(names))):
-                doc, number, starts, ends = _lines(data, offsets, p.min_words)
-                ref, key = _hashes(data, starts, ends)
-                own = pa.array(doc + at)
-                yield pa.record_batch(
-                    [*[batch.column(i).take(own) for i in range(len(names))], pa.array(number.astype(np.int32)), pa.array((ref & ~np.uint64(1)).view(np.int64)), pa.array(key.view(np.int64))],
-                    names=[*names, "line_no", "ref", "key"],
-                )
+    Lines are first counted by their text, so a line that stands in a third of all documents travels as one row per task from there on.
+    """
+    names = list(keys)
+    partitions = partitions_for(docs)
+    scanned = cut(_scan(docs, params, 4 * partitions, names))
+    rows = scanned.where("part is null").select(*names, "line_no", "ref", "key")
+    roots = near_lines(scanned.where("part is not null").select("part", "block"), docs.select("text"), params, partitions)
+    place = F.struct(*[F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("value")).alias(k) for k in names], F.col("line_no"))
+    by_line = rows.groupBy("ref", "key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # What is neither repeated nor linked is done with here.
+    some = cut(by_line.join(roots.withColumnRenamed("node", "ref"), "ref", "left").where("n > 1 or root is not null"))
+    some = some.withColumn("class_ref", F.coalesce("root", "ref")).withColumn("class_key", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.lit(0).cast("long")))
+    classes = some.groupBy("class_ref", "class_key").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
+    lookup = cut(some.select("ref", "key", "class_ref", "class_key").join(classes, ["class_ref", "class_key"]).where("class_size > 1").select("ref", "key", "first", "class_size"))
+    sweep(docs.sparkSession)
+    return rows.join(lookup, ["ref", "key"], "left" if all_lines else "inner").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
 
-    return given.mapInArrow(run, f"{schema}, line_no int, ref long, key long")
 
+def _is_first() -> Column:
+    """Whether a line is the one of its class that stays."""
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id.value")) & (F.col("text_hash") == F.col("first.text_hash.value")) & (F.col("line_no") == F.col("first.line_no"))
 
-def line_classes(docs: DataFrame, params: LineParams = LineParams(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``line_rows`` with class_ref, class_key (shared by a class), first (struct of the class's first line) and class_size.
 
-    Lines are first counted by their text, so a line that stands in a third of all documents travels as one row per task from there on.
-    """
-    rows = line_rows(docs, params, keys)
-    roots = near_lines(docs.select("text"), params)
-    place = F.struct(*[F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("value")).alias(k) for k in keys], F.col("line_no"))
-    by_line = rows.groupBy("ref", "key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    named = by_line.join(roots.withColumnRenamed("node", "ref"), "ref", "left")
-    named = named.withColumn("class_ref", F.coalesce("root", "ref")).withColumn("class_key", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.lit(0).cast("long")))
-    classes = named.groupBy("class_ref", "class_key").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
-    lookup = named.select("ref", "key", "class_ref", "class_key").join(classes, ["class_ref", "class_key"])
-    return rows.join(lookup.where("class_size > 1"), ["ref", "key"], "left").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text, row): doc_id and a hash of the text name a row, whatever plan reads it; row is a struct of all columns."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def drop_duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -451,23 +540,25 @@ def drop_duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) ->
 
     Only the numbers of the lines to drop are joined to the documents, gathered per row; a row that loses nothing is passed as it is.
     """
-    # doc_id and a hash of the text name a row, whatever plan reads it.
-    named = docs.withColumn("_row", F.xxhash64("text"))
-    found = line_classes(named.select("doc_id", "_row", "text"), params, ("doc_id", "_row"))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id.value")) & (F.col("_row") == F.col("first._row.value")) & (F.col("line_no") == F.col("first.line_no"))
-    drops = found.where("class_size > 1").where(~own).groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.sort_array(F.collect_set("line_no")).alias("_drop"))
-    joined = named.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left")
+    named = _named(docs)
+    found = line_classes(named.select("doc_id", "text_hash", "text"), params, ("doc_id", "text_hash"), all_lines=False)
+    drops = found.where(~_is_first()).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
+    joined = named.join(drops, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
     # The lines are bound once to a name, so that a long text is split once.
-    left = F.expr(r"transform(array(split(text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _drop), i -> get(ls, i)), '\n'))[0]")
-    kept = joined.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(left))
-    kept = kept.where(F.col("_drop").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*[F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    left = F.expr(r"transform(array(split(text, '\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), drop), i -> get(ls, i)), '\n'))[0]")
+    kept = joined.select("row", "drop", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left).alias("left"))
+    kept = kept.where(F.col("drop").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with a word with its class: the first line of the class (class_doc_id, class_line_no), its size, and whether this line stays."""
-    found = line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    first_doc, first_line = F.coalesce(F.col("first.doc_id.value"), F.when(F.col("first").isNull(), F.col("doc_id"))), F.coalesce(F.col("first.line_no"), F.col("line_no"))
-    return found.select("doc_id", "line_no", first_doc.alias("class_doc_id"), first_line.alias("class_line_no"), "class_size").withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    )
+    found = line_classes(_named(table(spark, sf_dir, "documents")).select("doc_id", "text_hash", "text"), keys=("doc_id", "text_hash"))
+    alone = F.col("first").isNull()
+    return found.select(
+        "doc_id", "line_no",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id.value")).alias("class_doc_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
+        "class_size",
+        (alone | _is_first()).alias("kept"),
+    )

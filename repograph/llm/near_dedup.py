@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
-from .components import connected_components
+from .common import cut, shuffle_partitions, sweep, table
+from .components import connected_components, joined_components
 from .shingles import mix, occurrences, shingle_hashes, texts, word_hashes
 
 CLASS_BITS = 17
@@ -152,21 +152,6 @@ def signatures(docs: DataFrame, weights: np.ndarray, params: NearParams) -> Data
     return docs.select("doc_id", _key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>")
 
 
-def _cells(rows: DataFrame, block: int, across: bool) -> DataFrame:
-    """``rows`` (bucket, key, ...) with a column cell: the pieces of a bucket whose rows are compared.
-
-    A bucket of more than ``block`` rows is dealt into blocks; a cell holds one block, or with ``across`` two, so that all pairs meet.
-    """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = rows.join(sizes, "bucket").withColumn("_g", F.ceil(F.col("_n") / block).cast("int")).withColumn("_i", F.expr("cast(pmod(xxhash64(key, bucket), _g) as int)"))
-    if across:
-        dealt = dealt.withColumn("_j", F.explode(F.expr("sequence(0, _g - 1)")))
-        cell = F.xxhash64("bucket", F.least("_i", "_j"), F.greatest("_i", "_j"))
-    else:
-        cell = F.xxhash64("bucket", "_i")
-    return dealt.withColumn("cell", cell).drop("_n", "_g", "_i", "_j")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``; many groups at a time."""
     held: list[pa.RecordBatch] = []
@@ -229,7 +214,7 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
 
 
 def _forest_pairs(cells: DataFrame, agree: int) -> DataFrame:
-    """Distinct pairs (a, b) of keys to verify first: the forest and star of each cell."""
+    """Pairs (a, b) of keys to verify first: the forest and star of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
@@ -243,74 +228,101 @@ def _forest_pairs(cells: DataFrame, agree: int) -> DataFrame:
                         b.append(min(x, y))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return _by_cell(cells, ["key", "sig"]).mapInArrow(run, "a binary, b binary").distinct()
+    return _by_cell(cells, ["key", "sig"]).mapInArrow(run, "a binary, b binary")
 
 
-def _apart(roots: list) -> tuple[np.ndarray, np.ndarray]:
-    """(component number of each row, rows outside the largest component)."""
+def outside_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, root, piece, pieces, ...) of the buckets that hold several components, with cell, outside and resident.
+
+    Outside are the rows that aren't of the bucket's most frequent component. Each row stands in the cell of its own piece, an outside row in those of all
+    others, too; so every pair of different components meets, and the copies are as few as there are outside rows.
+    """
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("_n", "root")).alias("_main"), F.count("*").alias("_roots")).where("_roots > 1").drop("_roots")
+    met = rows.join(main, "bucket").withColumn("outside", F.col("root") != F.col("_main"))
+    place = F.when(F.col("outside"), F.expr("sequence(0, pieces - 1)")).otherwise(F.array("piece"))
+    dealt = met.withColumn("_at", F.explode(place))
+    return dealt.withColumn("resident", F.col("_at") == F.col("piece")).withColumn("cell", F.xxhash64("bucket", "_at")).drop("_at", "_main")
+
+
+def _seen_before(sig: np.ndarray, i: int, band: int, rows: int) -> np.ndarray:
+    """Rows whose samples equal those of row i in a whole band before ``band``; the pair is met there."""
+    if not band:
+        return np.zeros(len(sig), dtype=bool)
+    return (sig[:, : band * rows] == sig[i, : band * rows]).reshape(len(sig), band, rows).all(axis=2).any(axis=1)
+
+
+def _meets(t: pa.Table, s: int, e: int, own: np.ndarray, params: NearParams) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, residents of other components that agree with it and don't meet it in an earlier band) of the outside rows of one cell."""
+    sig = _matrix(t.column("sig").slice(s, e - s).to_pylist())
+    outside, resident = (t.column(c).slice(s, e - s).to_numpy() for c in ("outside", "resident"))
+    band = t.column("band")[s].as_py()
+    for i in np.flatnonzero(outside).tolist():
+        met = ((sig == sig[i]).sum(axis=1) >= params.agree) & resident
+        met &= (own != own[i]) & ~_seen_before(sig, i, band, params.rows)
+        if resident[i]:
+            met[:i] &= ~outside[:i]  # those have met row i already
+        if met.any():
+            yield i, met
+
+
+def _components_of(roots: list) -> np.ndarray:
     names: dict = {}
-    own = np.array([names.setdefault(r, len(names)) for r in roots])
-    return own, np.flatnonzero(own != np.bincount(own).argmax())
+    return np.array([names.setdefault(r, len(names)) for r in roots])
+
 
+CELL = ["key", "root", "band", "outside", "resident", "sig"]
 
-def _suspects(cells: DataFrame, agree: int) -> DataFrame:
-    """The rows (cell, key, root) of cells that agree with a row of another component; as many as there are rows at most."""
+
+def _suspects(cells: DataFrame, params: NearParams) -> DataFrame:
+    """The rows of cells that agree with a row of another component; as many as there are rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
-            roots, sigs = t.column("root").to_pylist(), t.column("sig").to_pylist()
+            roots = t.column("root").to_pylist()
             hit = np.zeros(len(t), dtype=bool)
             for s, e in _spans(t):
-                own, outside = _apart(roots[s:e])
-                sig = _matrix(sigs[s:e])
-                for i in outside.tolist():
-                    met = ((sig == sig[i]).sum(axis=1) >= agree) & (own != own[i])
-                    if met.any():
-                        hit[s:e] |= met
-                        hit[s + i] = True
-            yield from t.select(["cell", "key", "root"]).filter(pa.array(hit)).combine_chunks().to_batches()
-
-    return _by_cell(cells, ["key", "root", "sig"]).mapInArrow(run, "cell long, key binary, root binary")
+                for i, met in _meets(t, s, e, _components_of(roots[s:e]), params):
+                    hit[s:e] |= met
+                    hit[s + i] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
+    return _by_cell(cells, CELL).mapInArrow(run, "cell long, key binary, root binary, band int, outside boolean, resident boolean, sig binary")
 
-def _cell_links(suspects: DataFrame, bags: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
-    """Links (a, b) between components, found by comparing whole bags within each cell; each cell gives no more links than join its components.
 
-    A row outside the largest component is compared with all rows of its cell at once: its elements are marked, and the marked weights are summed row by row.
-    """
+def _cell_links(suspects: DataFrame, bags: DataFrame, weights: np.ndarray, params: NearParams) -> DataFrame:
+    """Links (a, b) between components, found by comparing whole bags within each cell; each cell gives no more links than join its components."""
     shared = suspects.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         shift = np.uint32(32 - CLASS_BITS)
         for t in _grouped(batches, "cell"):
-            keys, roots, raw = t.column("key").to_pylist(), t.column("root").to_pylist(), t.column("bag").to_pylist()
+            keys, roots = t.column("key").to_pylist(), t.column("root").to_pylist()
             a, b = [], []
             for s, e in _spans(t):
-                own, outside = _apart(roots[s:e])
-                sizes = np.array([len(x) // 4 for x in raw[s:e]])
-                elements = np.frombuffer(b"".join(raw[s:e]), dtype="<u4")
-                names, place = np.unique(elements, return_inverse=True)
-                weight = w[names >> shift].astype(np.float64)
+                own = _components_of(roots[s:e])
+                raw = t.column("bag").slice(s, e - s).to_pylist()
+                sizes = np.array([len(x) // 4 for x in raw])
+                names, at = np.unique(np.frombuffer(b"".join(raw), dtype="<u4"), return_inverse=True)
+                weight, marked = w[names >> shift].astype(np.float64), np.zeros(len(names))
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                mass = np.add.reduceat(weight[place], starts)
-                marked = np.zeros(len(names))
-                for i in outside.tolist():
-                    mine = place[starts[i] : ends[i]]
+                mass = np.add.reduceat(weight[at], starts)
+                for i, met in _meets(t, s, e, own, params):
+                    mine = at[starts[i] : ends[i]]
                     marked[mine] = weight[mine]
-                    common = np.add.reduceat(marked[place], starts)
+                    others = np.flatnonzero(met & (own != own[i]))
+                    common = np.add.reduceat(marked[at], starts)[others] if 4 * len(others) > e - s else np.array([marked[at[starts[j] : ends[j]]].sum() for j in others.tolist()])
                     marked[mine] = 0
-                    near = common >= similarity * (mass + mass[i] - common) - 1e-9
-                    for j in np.flatnonzero(near & (own != own[i])).tolist():
+                    for j in others[common >= params.similarity * (mass[others] + mass[i] - common) - 1e-9].tolist():
                         if own[i] != own[j]:
                             own[own == own[j]] = own[i]
                             a.append(max(keys[s + i], keys[s + j]))
                             b.append(min(keys[s + i], keys[s + j]))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    joined = suspects.join(bags, "key")
-    return _by_cell(joined, ["key", "root", "bag"]).mapInArrow(run, "a binary, b binary").distinct()
+    return _by_cell(suspects.join(bags, "key"), [*CELL, "bag"]).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
@@ -353,6 +365,17 @@ def _verified(pairs: DataFrame, bags: DataFrame, weights: np.ndarray, similarity
     return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
+def _buckets(distinct: DataFrame, block: int) -> DataFrame:
+    """(key, doc_id, sig, band, bucket, size, piece, pieces): the texts (key, doc_id, sig, bands) in each of their buckets that others share.
+
+    A bucket of more than ``block`` rows is dealt into pieces.
+    """
+    one = distinct.select("key", "doc_id", "sig", F.posexplode("bands").alias("band", "bucket"))
+    sizes = one.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    pieces = F.ceil(F.col("size") / block).cast("int")
+    return one.join(sizes, "bucket").withColumn("pieces", pieces).withColumn("piece", F.expr("cast(pmod(xxhash64(key, bucket), pieces) as int)"))
+
+
 def near_duplicate_classes(docs: DataFrame, params: NearParams = NearParams(), link_empty: bool = False) -> DataFrame:
     """(doc_id, key, class_key): one row per row of ``docs`` (columns doc_id, text); class_key is shared by a class."""
     p = params
@@ -360,17 +383,18 @@ def near_duplicate_classes(docs: DataFrame, params: NearParams = NearParams(), l
     weights = shingle_weights(docs, p)
     signed = cut(signatures(docs, weights, p))
     distinct = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    buckets = distinct.select("key", "doc_id", "sig", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    buckets = cut(buckets.join(shared, "bucket"))
-    bags = cut(_elements(docs, buckets.select("key", "doc_id").distinct(), p))
-    links = cut(_verified(_forest_pairs(_cells(buckets, p.block, across=False), p.agree), bags, weights, p.similarity))
+    buckets = cut(_buckets(distinct, p.block))
+    # First every text goes with its largest bucket alone, where most copies find each other.
+    best = buckets.groupBy("key").agg(F.max(F.struct("size", "bucket", "piece")).alias("best"), F.first("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    bags = cut(_elements(docs, best.select("key", "doc_id"), p))
+    cells = best.select(F.xxhash64("best.bucket", "best.piece").alias("cell"), "key", "sig")
+    links = cut(_verified(_forest_pairs(cells, p.agree), bags, weights, p.similarity))
     roots = cut(connected_components(links))
     named = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    split = named.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket")
-    suspects = cut(_suspects(_cells(named.join(split, "bucket"), p.block, across=True), p.agree))
-    more = cut(_cell_links(suspects, bags, weights, p.similarity))
-    roots = connected_components(links.unionByName(more))
+    suspects = cut(_suspects(outside_rows(named), p))
+    more = cut(_cell_links(suspects, bags, weights, p))
+    roots = cut(joined_components(roots, more))
+    sweep(docs.sparkSession)
     out = signed.select("doc_id", "key", F.length("sig").alias("_n")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     alone = F.when(F.lit(link_empty) | (F.col("_n") > 0), F.col("key")).otherwise(F.encode(F.concat_ws(":", F.lit("empty"), F.col("doc_id").cast("string"), F.monotonically_increasing_id()), "utf-8"))
     return out.select("doc_id", "key", F.coalesce("root", alone).alias("class_key"))

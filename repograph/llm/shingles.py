@@ -44,8 +44,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def texts(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices (first row, bytes, offsets) of a string column, each of about ``most_bytes`` unless a text is longer; null is empty."""
+def texts(column: pa.Array, most_bytes: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices (first row, bytes, offsets) of a string column, each of about ``most_bytes``, whose arrays fit a processor's cache, unless a text is longer; null is empty."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
