@@ -2,13 +2,12 @@
 
 Per text a few counts are taken (words, symbols, repeated lines, repeated word windows, capitals).
 Each rule is a share of those counts, and rejects what lies above a cutoff. Cutoffs are learned per
-stratum (language): labelled good documents are the holdout, and a cutoff is *certified* when an exact
-binomial test shows that the rule rejects at most ``alpha`` of the good documents. Along the grid
-of a rule the tests are made in fixed sequence, mildest cutoff first, until one fails; across rules
-and strata the level is divided (Bonferroni), so with probability 1 - ``delta`` no certified rule of any
-stratum has a false rejection rate above ``alpha``. Among certified cutoffs the one is taken that gains most
-(share of labelled junk rejected less share of good rejected; ties: the mildest); a rule that
-gains less than ``min_gain`` isn't used in that stratum.
+stratum (language) from labelled documents, in two parts that share none. The first part, a quarter of them, gives each rule the end
+of its path: the cutoff that gains most (share of junk rejected less share of good rejected), if that is ``min_gain`` at least. The path lowers the cutoffs of all
+rules together, each as far as its end. Along it the second part, the holdout, is tested in fixed sequence, mildest step first, until a test fails: an exact
+binomial test that all rules *together* reject at most ``alpha`` of the good documents. The level is divided over the strata
+(Bonferroni), so with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to the learned rules. Among the certified
+steps the one is taken that gains most on the holdout (ties: the mildest).
 
 Edge cases: null or empty text has no words and fails the base rule; a null language is a stratum of its
 own; strata with too few labels keep the base rule alone; repeated doc_ids in the labels count
@@ -20,10 +19,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 #: The symbol characters of the base counts.
 SYMBOLS = r"#*$%&|<>"
@@ -31,7 +30,8 @@ SYMBOLS = r"#*$%&|<>"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """alpha: false rejection allowed to a rule in a stratum; delta: chance that any certificate is wrong.
+    """alpha: false rejection allowed to all rules of a stratum together; delta: chance that any certificate is wrong; tuning_below: labelled documents
+    whose md5 of the id begins below this digit give the ends of the paths, the others are the holdout.
 
     rules: name -> (SQL share over the count columns, highest cutoff, lowest cutoff); steps: cutoffs of a grid, spaced
     geometrically; broadcast_strata: up to so many strata the learned cutoffs are broadcast.
@@ -41,6 +41,7 @@ class QualityParams:
     delta: float = 0.05
     steps: int = 40
     min_gain: float = 0.01
+    tuning_below: str = "4"
     min_words: int = 50
     max_repeat_percent: int = 50
     broadcast_strata: int = 5_000
@@ -54,6 +55,11 @@ class QualityParams:
     )
 
 
+def stratum_of(column: Column) -> Column:
+    """The name of a stratum: the value behind a mark, so that a null one differs from an empty one."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
@@ -119,64 +125,58 @@ def binomial_tail(n: str, k: str, p: float) -> str:
     return f"case when {k} > {n} * {p} then 1D else least(1D, {first} * {total}) end"
 
 
+def _chosen_step(steps: int, where: str, least_gain: float) -> str:
+    """SQL for the struct (g, gain, false_rejects, caught) of most gain, ties to the mildest, over an array h of (cell, good, junk) with n_good and n_junk."""
+    sums = ", ".join(f"'{name}', aggregate(filter(h, x -> x.cell <= g), 0L, (a, x) -> a + x.{what})" for name, what in (("false_rejects", "good"), ("caught", "junk")))
+    tried = f"transform(sequence(0, {steps - 1}), g -> named_struct('g', g, {sums}))"
+    gains = "transform(tried, x -> named_struct('gain', x.caught / greatest(n_junk, 1) - x.false_rejects / greatest(n_good, 1), 'mild', -x.g, 'g', x.g, 'false_rejects', x.false_rejects, 'caught', x.caught))"
+    return _let(tried, "tried", f"array_max(filter({gains}, x -> x.gain >= {least_gain}D and ({where})))")
+
+
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", params: QualityParams = QualityParams()) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_junk, false_rejects, caught, p_value): the cutoffs chosen, one per stratum and rule.
+    """(stratum, rule, cutoff, n_good, n_junk, false_rejects, caught, p_value): the cutoffs of a stratum's rules; the figures are those of all its rules together.
 
     ``counts`` has doc_id, the stratum and COUNTS; ``labels`` has doc_id and quality (1 good, 0 junk).
     """
     p = params
+    rules = list(p.rules)
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = counts.where(f"n_words >= {p.min_words} and 100 * n_repeat_words <= {p.max_repeat_percent} * n_words").join(marks, "doc_id")
-    known = known.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("")))
     grid = lambda hi, lo: f"transform(sequence(0, {p.steps - 1}), g -> {hi}D * pow({lo / hi}D, g / {float(p.steps - 1)}D))"
-    # Each document adds one to the histogram cell (first cutoff of the grid that it lies above) of each rule.
-    cells = F.expr(
-        "array("
-        + ", ".join(
-            f"named_struct('rule', '{r}', 'cell', size(filter({grid(hi, lo)}, c -> ({share}) <= c)))" for r, (share, hi, lo) in p.rules.items()
-        )
-        + ")"
-    )
-    hist = (
-        known.select("_stratum", "quality", F.explode(cells).alias("x"))
-        .groupBy("_stratum", "x.rule", "x.cell")
-        .agg(F.sum(F.expr("cast(quality = 1 as bigint)")).alias("good"), F.sum(F.expr("cast(quality = 0 as bigint)")).alias("junk"))
-    )
-    # The histogram has at most steps + 1 cells per rule and stratum; it is summed up inside one array.
-    per_rule = hist.groupBy("_stratum", "rule").agg(F.collect_list(F.struct("cell", "good", "junk")).alias("h"), F.sum("good").alias("n_good"), F.sum("junk").alias("n_junk"))
-    hi = "case rule " + " ".join(f"when '{r}' then {v[1]}D" for r, v in p.rules.items()) + " end"
-    q = "case rule " + " ".join(f"when '{r}' then {v[2] / v[1]}D" for r, v in p.rules.items()) + " end"
-    steps = per_rule.select(
-        "_stratum", "rule", "n_good", "n_junk",
-        F.explode(F.expr(f"""transform(sequence(0, {p.steps - 1}), g -> named_struct('g', g,
-            'false_rejects', aggregate(filter(h, x -> x.cell <= g), 0L, (a, x) -> a + x.good),
-            'caught', aggregate(filter(h, x -> x.cell <= g), 0L, (a, x) -> a + x.junk)))""")).alias("s"),
-    ).select("_stratum", "rule", "n_good", "n_junk", "s.*")
-    strata = known.select("_stratum").distinct().agg(F.count("*").alias("n_strata"))
-    tests = steps.withColumn("p_value", F.expr(binomial_tail("n_good", "false_rejects", p.alpha))).crossJoin(F.broadcast(strata))
-    tests = tests.withColumn("passed", F.expr(f"n_good > 0 and p_value <= {p.delta}D / ({len(p.rules)} * n_strata)"))
-    chosen = (
-        tests.groupBy("_stratum", "rule")
-        .agg(
-            F.min(F.expr("if(passed, null, g)")).alias("stop"),
-            F.collect_list(F.expr("named_struct('g', g, 'gain', caught / greatest(n_junk, 1) - false_rejects / greatest(n_good, 1), 'false_rejects', false_rejects, 'caught', caught, 'p_value', p_value)")).alias("t"),
-            F.first("n_good").alias("n_good"),
-            F.first("n_junk").alias("n_junk"),
-        )
-        .withColumn("t", F.expr(f"filter(t, x -> x.g < coalesce(stop, {p.steps}) and x.gain >= {p.min_gain}D)"))
-        .where("size(t) > 0")
-        .withColumn("b", F.expr("array_max(transform(t, x -> named_struct('gain', x.gain, 'mild', -x.g, 'x', x))).x"))
-    )
-    return chosen.select(
-        F.col("_stratum").alias("stratum"), "rule", F.expr(f"({hi}) * pow({q}, b.g / {float(p.steps - 1)}D)").alias("cutoff"),
-        "n_good", "n_junk", F.col("b.false_rejects").alias("false_rejects"), F.col("b.caught").alias("caught"), F.col("b.p_value").alias("p_value"),
-    )
+    # The cell of a rule is the first cutoff of its grid that the document lies above.
+    cells = F.expr("array(" + ", ".join(f"size(filter({grid(hi, lo)}, c -> ({share}) <= c))" for share, hi, lo in p.rules.values()) + ")")
+    tunes = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < p.tuning_below
+    good, junk = F.expr("cast(quality = 1 as bigint)").alias("good"), F.expr("cast(quality = 0 as bigint)").alias("junk")
+    known = cut(known.select(stratum_of(F.col(stratum)).alias("stratum"), tunes.alias("tunes"), good, junk, cells.alias("cells")))
+    # A histogram has at most steps + 1 cells per rule and stratum; it is summed up inside one array.
+    tally = lambda df, *by: df.groupBy(*by, "cell").agg(F.sum("good").alias("good"), F.sum("junk").alias("junk")).groupBy(*by).agg(F.collect_list(F.struct("cell", "good", "junk")).alias("h"), F.sum("good").alias("n_good"), F.sum("junk").alias("n_junk"))
+    tuned = tally(known.where("tunes").select("stratum", "good", "junk", F.posexplode("cells").alias("rule", "cell")), "stratum", "rule")
+    best = tuned.withColumn("best", F.expr(_chosen_step(p.steps, f"x.false_rejects <= {p.alpha}D * n_good", p.min_gain))).where("best is not null")
+    ends = cut(best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("best.g")))).alias("ends")))
+    # Step g of the path holds every rule at cutoff g or, from there on, at its own end; a document falls at the least of its cells that lie before the ends.
+    joint = known.where("not tunes").join(_few(ends, p), "stratum")
+    falls = F.expr(f"coalesce(array_min(array_compact(transform(cells, (c, r) -> if(c <= ends[r], c, null)))), {p.steps})")
+    held = tally(joint.withColumn("cell", falls), "stratum")
+    strata = held.agg(F.count("*").alias("n_strata"))
+    false_rejects = "aggregate(filter(h, x -> x.cell <= g), 0L, (a, x) -> a + x.good)"
+    fails = f"filter(sequence(0, {p.steps - 1}), g -> not (n_good > 0 and {_let(false_rejects, 'k', binomial_tail('n_good', 'k', p.alpha))} <= {p.delta}D / n_strata))"
+    tested = held.crossJoin(F.broadcast(strata)).withColumn("stop", F.expr(f"coalesce(array_min({fails}), {p.steps})"))
+    chosen = tested.withColumn("b", F.expr(_chosen_step(p.steps, "x.g < stop", p.min_gain))).where("b is not null").withColumn("p_value", F.expr(binomial_tail("n_good", "b.false_rejects", p.alpha)))
+    hi = F.expr("array(" + ", ".join(f"{v[1]}D" for v in p.rules.values()) + ")[rule]")
+    q = F.expr("array(" + ", ".join(f"{v[2] / v[1]}D" for v in p.rules.values()) + ")[rule]")
+    told = chosen.join(_few(ends, p), "stratum").select("stratum", F.explode("ends").alias("rule", "end"), "n_good", "n_junk", "b.*", "p_value")
+    name = F.expr("array(" + ", ".join(f"'{r}'" for r in rules) + ")[rule]")
+    return told.select("stratum", name.alias("rule"), (hi * F.pow(q, F.least("g", "end") / float(p.steps - 1))).alias("cutoff"), "n_good", "n_junk", "false_rejects", "caught", "p_value")
+
+
+def _few(df: DataFrame, params: QualityParams) -> DataFrame:
+    """A table of one row per stratum, broadcast only when counted to be at most ``broadcast_strata`` rows."""
+    return F.broadcast(df) if df.count() <= params.broadcast_strata else df
 
 
 def _cutoff_maps(cutoffs: DataFrame, params: QualityParams) -> DataFrame:
-    """(_stratum, _c): the cutoffs of each stratum as a map; broadcast only when counted to be at most ``broadcast_strata`` rows."""
-    small = cut(cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_c")))
-    return F.broadcast(small) if small.count() <= params.broadcast_strata else small
+    """(_stratum, _c): the cutoffs of each stratum as a map."""
+    return _few(cut(cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_c"))), params)
 
 
 def _verdict(params: QualityParams, of: str = "") -> tuple[str, str]:
@@ -191,7 +191,7 @@ def _verdict(params: QualityParams, of: str = "") -> tuple[str, str]:
 def judge(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang", params: QualityParams = QualityParams()) -> DataFrame:
     """``counts`` with base_failed, kept and rules_failed (array of the rules that reject the row)."""
     base, failed = _verdict(params)
-    joined = counts.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(_cutoff_maps(cutoffs, params), "_stratum", "left")
+    joined = counts.withColumn("_stratum", stratum_of(F.col(stratum))).join(_cutoff_maps(cutoffs, params), "_stratum", "left")
     out = joined.withColumn("base_failed", F.expr(base)).withColumn("rules_failed", F.expr(failed))
     return out.withColumn("kept", F.expr("not base_failed and size(rules_failed) = 0")).drop("_stratum", "_c")
 
@@ -208,15 +208,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, params: QualityParams =
 def apply_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns.
 
-    The cutoffs come from the counts of all rows; the verdict is then taken from each row's own counts, so
+    Rows are stored with their counts, so texts are scanned once; cutoffs come from the counts of all rows, the verdict from each row's own, so
     rows sharing a doc_id are judged apart and no join on documents is needed.
     """
-    counts = cut(text_counts(docs.select("doc_id", "text", "lang")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = stored(docs.select(row, F.expr(counts_of("text")).alias("counts")))
+    counts = whole.select("row.doc_id", "row.lang", "counts.*")
     cutoffs = learn_cutoffs(counts, labels, "lang", params)
-    base, failed = _verdict(params, "c")
-    kept = F.expr(_let(counts_of("text"), "c", f"not {base} and size({failed}) = 0"))
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.coalesce("lang", F.lit("")).alias("_stratum"))
-    return tagged.join(_cutoff_maps(cutoffs, params), "_stratum", "left").where(kept).select("_row.*")
+    base, failed = _verdict(params, "counts")
+    tagged = whole.withColumn("_stratum", stratum_of(F.col("row.lang"))).join(_cutoff_maps(cutoffs, params), "_stratum", "left")
+    return tagged.where(F.expr(f"not {base} and size({failed}) = 0")).select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
