@@ -218,6 +218,77 @@ def test_language_model(spark):
     assert pitman_yor.language_model_scores(d.limit(0), ~held, p).count() == 0
 
 
+def test_tables_follow_the_restaurant():
+    """With one dish the posterior of the tables is the restaurant's own distribution, whose mean is known."""
+    for c, discount, strength in ((20, 0.7, 5.0), (64, 0.5, 10.0), (500, 0.7, 5.0), (3000, 0.5, 10.0)):
+        rng, t, seen = np.random.default_rng(1), np.ones(1), []
+        for _ in range(3000):
+            t = pitman_yor.sweep_tables(np.array([c]), t, np.ones(1), discount, strength, rng)
+            seen.append(t[0])
+        g = math.lgamma
+        want = strength / discount * (math.exp(g(strength + discount + c) + g(strength) - g(strength + discount) - g(strength + c)) - 1)
+        assert abs(np.mean(seen[200:]) / want - 1) < 0.03
+
+
+def seat_one_by_one(rng, tables, dish, n, parent, discount, strength):
+    """Adds n customers of a dish to a restaurant {dish: [customers of each table]}; gives the number of new tables."""
+    new = 0
+    for _ in range(n):
+        own = tables.setdefault(dish, [])
+        total = sum(map(len, tables.values()))
+        weights = [x - discount for x in own] + [(strength + discount * total) * parent]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(1)
+            new += 1
+        else:
+            own[k] += 1
+    return new
+
+
+def leave(rng, tables, dish):
+    """Takes a customer chosen at random away; gives whether its table went."""
+    own = tables[dish]
+    k = rng.choices(range(len(own)), own)[0]
+    own[k] -= 1
+    if not own[k]:
+        del own[k]
+        return True
+    return False
+
+
+def test_context_probabilities_against_customers_one_by_one(spark):
+    """The model's averaged probabilities against a Gibbs sampler that keeps every table and moves one customer at a time."""
+    p = pitman_yor.ModelParams(frequent=3, endings=2, sweeps=90, burn=10)
+    k, rng = p.classes, random.Random(7)
+    counts = [[0, 7, 1, 0, 2, 12], [3, 0, 0, 1, 0, 0], [20, 1, 5, 0, 0, 2], [0, 0, 0, 0, 1, 0]]
+    (d, d0, _), (s, s0, _) = p.discounts, p.strengths
+    rests, top = [{} for _ in counts], {}
+
+    def up(w):
+        n, total = sum(top.get(w, [])), sum(sum(x) for x in top.values())
+        return (n - d0 * len(top.get(w, [])) + (s0 + d0 * sum(map(len, top.values()))) / k) / (s0 + total)
+
+    mean, kept = np.zeros((len(counts), k)), 0
+    for sweep in range(400):
+        for rest, row in zip(rests, counts):
+            for w, c in enumerate(row):
+                for _ in range(c):
+                    if sweep and leave(rng, rest, w):
+                        leave(rng, top, w)
+                    for _ in range(seat_one_by_one(rng, rest, w, 1, up(w), d, s)):
+                        seat_one_by_one(rng, top, w, 1, 1 / k, d0, s0)
+        if sweep >= 50:
+            kept += 1
+            for u, (rest, row) in enumerate(zip(rests, counts)):
+                total = sum(map(len, rest.values()))
+                for w, c in enumerate(row):
+                    mean[u, w] += (max(c - d * len(rest.get(w, [])), 0) + (s + d * total) * up(w)) / (s + sum(row))
+    rows = [(u, pitman_yor._packed(np.flatnonzero(r)), pitman_yor._packed(np.array(r)[np.flatnonzero(r)])) for u, r in enumerate(counts)]
+    got = pitman_yor.sample_contexts(spark.createDataFrame(rows, "context int, dishes binary, counts binary"), p)
+    assert np.abs(got[: len(counts)] / (mean / kept) - 1).max() < 0.1
+
+
 def test_pitman_yor_probabilities_sum_to_one(spark):
     p = pitman_yor.ModelParams(frequent=6, endings=4, sweeps=3, burn=1)
     k = p.classes
