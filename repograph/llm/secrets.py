@@ -2,10 +2,8 @@
 
 Strong patterns (assignments, access identifiers, hex runs) are always reported. Weak candidates (short or unusual
 identifiers, secrets and endpoints) are reported only when complementary parts of a credential lie in their scope,
-``scope`` code points on either side: an identifier needs a secret, a secret an identifier, an endpoint both. The scopes are joined
-as intervals: per text, class and cell of ``scope`` code points only the extreme starts and ends are kept (all parts
-of one cell are within reach of each other), and a candidate probes its own and the cells next to it. So the join's size
-is linear in the number of parts, however many a text has.
+``scope`` code points on either side, and don't overlap it: an identifier needs a secret, a secret an identifier, an endpoint both. The scopes are joined
+as intervals: a part's end and start are marks in cells of ``scope`` code points, and a candidate probes two cells on either side.
 
 Spans are in code points, end exclusive. Null or empty text has no spans; rows sharing a doc_id are scanned apart;
 an empty table gives no rows; other columns are ignored.
@@ -99,15 +97,20 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
 
     part_of = F.create_map(*[F.lit(x) for p in all_kinds for x in (p.kind, p.part)])
     parts = rows.where("size(_weak) > 0").select("_row", F.explode(F.concat("base", "_weak")).alias("x")).select("_row", "x.*").withColumn("part", part_of[F.col("kind")])
-    # A part stands in every cell that it touches. Before a candidate's cell the farthest end decides, after it the nearest start.
+    # A complement lies whole before a candidate, its end within the scope, or whole behind it, its start within the scope. So a value never completes itself. Parts of
+    # one kind don't overlap, so a cell of ``scope`` code points holds few ends or starts, however many the text has.
     cell = lambda c: F.floor(F.col(c) / scope)
-    cells = parts.withColumn("cell", F.explode(F.sequence(cell("start"), cell("end")))).groupBy("_row", "part", "cell").agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    probes = parts.where(F.col("kind").isin([p.kind for p in WEAK])).withColumn("cell", F.explode(F.sequence(cell("start") - 1, cell("end") + 1)))
+    mark = lambda side, c: parts.select("_row", "part", F.lit(side).alias("side"), cell(c).alias("cell"), F.col(c).alias("at")).distinct()
+    marks = mark("before", "end").unionByName(mark("behind", "start"))
+    seek = lambda side, c: F.struct(F.lit(side).alias("side"), c.alias("cell"))
+    own = parts.where(F.col("kind").isin([p.kind for p in WEAK]))
+    probes = own.withColumn("x", F.explode(F.array(seek("before", cell("start")), seek("before", cell("start") - 1), seek("behind", cell("end")), seek("behind", cell("end") + 1))))
+    probes = probes.select("_row", "start", "rank", "end", "kind", "part", "x.side", "x.cell")
     needs = F.when(F.col("p.part") == "identifier", F.array(F.lit("secret"))).when(F.col("p.part") == "secret", F.array(F.lit("identifier"))).otherwise(F.array(F.lit("identifier"), F.lit("secret")))
-    near = (F.col("c.first") <= F.col("p.end") + scope) & (F.col("c.last") >= F.col("p.start") - scope)
+    gap = F.when(F.col("p.side") == "before", F.col("p.start") - F.col("c.at")).otherwise(F.col("c.at") - F.col("p.end"))
     met = (
         probes.alias("p")
-        .join(cells.alias("c"), (F.col("p._row") == F.col("c._row")) & (F.col("p.cell") == F.col("c.cell")) & near & F.array_contains(needs, F.col("c.part")))
+        .join(marks.alias("c"), (F.col("p._row") == F.col("c._row")) & (F.col("p.side") == F.col("c.side")) & (F.col("p.cell") == F.col("c.cell")) & gap.between(0, scope) & F.array_contains(needs, F.col("c.part")))
         .groupBy("p._row", "p.start", "p.rank", "p.end", "p.kind", F.size(needs).alias("_needed"))
         .agg(F.countDistinct("c.part").alias("_met"))
         .where("_met = _needed")
