@@ -6,9 +6,10 @@ cause, and where that estimate would fall below zero its gradient is turned roun
 than in unlabelled texts. Two classifiers are fitted, each on one half of the learning rows; the labels of the other half give its class prior and calibrate its score, and the
 mean of both probabilities is the score of a text. Every text is scored whole, in one pass without a shuffle.
 
-Fitting uses at most ``most`` positives, unlabelled and calibration rows of each half (those of least hash of doc_id), a documented bound; only labels of learning rows are read.
+Features are chosen by counts over all learning rows: in how many confirmed positives and how many texts in all each occurs; of the features of positives the ``candidates`` most frequent are counted in all texts. The gradient
+fit uses at most ``most`` positives, unlabelled and calibration documents of each half (those of least hash of doc_id, of rows that share an id the least text), a documented bound; only labels of learning rows are read.
 
-Edge cases: null and empty texts have no features and get the score of the bias alone; null doc_ids are scored but never learnt from; without positives every score is the prior (0 if unknown);
+Edge cases: null and empty texts have no features and get the score of the bias alone; null doc_ids are scored but never learnt from; without positives or in an empty table every score is 0;
 repeated labels of a doc_id count as toxic if any does; repeated rows are scored alike; other columns are ignored.
 """
 
@@ -32,6 +33,7 @@ _BREAKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 @dataclass(frozen=True)
 class ToxicParams:
     most: int = 6000
+    candidates: int = 1 << 16
     features: int = 4096
     least_positives: int = 3
     rounds: int = 400
@@ -92,25 +94,33 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
     """(weights, bias) that minimise the non-negative risk, by Adam over all rows; rows are arrays of feature numbers."""
     p = params
     rows = [*positive, *unlabelled]
-    sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     is_p = np.arange(len(rows)) < len(positive)
-    n_p, n_u = max(is_p.sum(), 1), max((~is_p).sum(), 1)
     theta, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, p.rounds + 1):
-        z = theta[-1] + np.bincount(owner, weights=theta[flat], minlength=len(rows))
-        up = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        negative = np.logaddexp(0, z)  # loss of calling a row negative
-        estimate = negative[~is_p].sum() / n_u - prior * negative[is_p].sum() / n_p
-        g = np.where(is_p, -prior * up / n_p, up / n_u)  # of the negative part
-        g = g + np.where(is_p, -prior * (1 - up) / n_p, 0.0) if estimate >= -p.slack else -g
-        grad = np.append(np.bincount(flat, weights=g[owner], minlength=n_features), g.sum()) + p.ridge * np.append(theta[:-1], 0)
+        _, negative, of_positive, of_negative = nnpu_risk(theta, flat, owner, is_p, prior)
+        # Where the negative part has fallen below zero, a step goes up its gradient alone.
+        grad = of_positive + of_negative if negative >= -p.slack else -of_negative
+        grad = grad + p.ridge * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return theta[:-1], float(theta[-1])
 
 
+def nnpu_risk(theta: np.ndarray, flat: np.ndarray, owner: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The parts prior * R_p(+) and R_u(-) - prior * R_p(-) of the risk, and the gradient of each; theta: weights and bias, (owner, flat): the features of the rows."""
+    n, k = len(is_p), len(theta) - 1
+    n_p, n_u = max(is_p.sum(), 1), max((~is_p).sum(), 1)
+    z = theta[-1] + np.bincount(owner, weights=theta[flat], minlength=n)
+    up = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = np.logaddexp(0, z)  # of calling a row negative
+    positive = prior * np.logaddexp(0, -z)[is_p].sum() / n_p
+    negative = loss[~is_p].sum() / n_u - prior * loss[is_p].sum() / n_p
+    spread = lambda g: np.append(np.bincount(flat, weights=g[owner], minlength=k), g.sum())
+    return positive, negative, spread(np.where(is_p, -prior * (1 - up) / n_p, 0.0)), spread(np.where(is_p, -prior * up / n_p, up / n_u))
+
+
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through labelled scores, by Newton's method with a small ridge; identity if a class is missing."""
     if not len(y) or y.min() == y.max():
@@ -140,28 +150,39 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicPa
             part = ids.select("doc_id", F.lit(f).alias("fold"), F.lit(kind).alias("kind"), (F.col("toxic") if kind == "c" else F.lit(1 if kind == "p" else 0)).cast("int").alias("y"))
             some = part if some is None else some.unionByName(part)
     some = cut(some.distinct())  # at most six times ``most`` ids
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("fold", "kind", "y", "text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "fold", "kind", "y").agg(F.min("text").alias("text"))
+    rows = cut(rows.select("fold", "kind", "y", "text"))
+    if not rows.where("kind = 'p'").take(1):
+        return Scorer(np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0))
+    learning = docs.where("doc_id is not null").where(fold != 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            is_p = np.array([k == "p" for k in batch.column(0).to_pylist()])
-            for at, _, row, feature in _features(batch.column(1)):
-                row, feature = _present(row, feature)
-                names, place = np.unique(feature, return_inverse=True)
-                own = is_p[row + at]
-                yield pa.record_batch(
-                    [pa.array(names.view(np.int64)), pa.array(np.bincount(place, weights=own, minlength=len(names)).astype(np.int64)), pa.array(np.bincount(place, weights=~own, minlength=len(names)).astype(np.int64))],
-                    names=["name", "p", "u"],
-                )
-
-    sizes = {(r["fold"], r["kind"]): r["n"] for r in rows.groupBy("fold", "kind").agg(F.count("*").alias("n")).collect()}
-    n_p, n_u = sum(n for (_, k), n in sizes.items() if k == "p"), sum(n for (_, k), n in sizes.items() if k == "u")
-    if not n_p:
-        return Scorer(np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0))
-    counted = rows.where("kind in ('p', 'u')").select("kind", "text").mapInArrow(count, "name long, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    lift = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 1) / (n_u + 2))
-    top = counted.where(F.col("p") >= p.least_positives).orderBy((lift * F.sqrt("p")).desc(), "name").limit(p.features).select("name").toPandas()["name"].to_numpy()
-    names = np.sort(top.astype(np.int64).view(np.uint64))
+            for _, _, row, feature in _features(batch.column(0)):
+                names, n = np.unique(_present(row, feature)[1], return_counts=True)
+                yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], names=["name", "n"])
+
+    positives = learning.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("text")
+    in_positives = positives.mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("p")).where(F.col("p") >= p.least_positives)
+    likely = in_positives.orderBy(F.desc("p"), "name").limit(p.candidates).toPandas()  # a bounded number of rows
+    order = np.argsort(likely["name"].to_numpy(dtype=np.int64).view(np.uint64))
+    tried, in_p = likely["name"].to_numpy(dtype=np.int64).view(np.uint64)[order], likely["p"].to_numpy(dtype=np.float64)[order]
+
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n_texts = np.zeros(len(tried), dtype=np.int64), 0
+        for batch in batches:
+            n_texts += batch.num_rows
+            for _, _, row, feature in _features(batch.column(0)):
+                total += np.bincount(_chosen(tried, row, feature)[1], minlength=len(tried))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n_texts))], names=["place", "n"])
+
+    counted = learning.select("text").mapInArrow(among, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros(len(tried) + 1)
+    totals[counted["place"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=np.float64)
+    n_p, in_all, n_all = positives.count(), totals[:-1], totals[-1]
+    lift = np.log((in_p + 0.5) / (n_p + 1)) - np.log((in_all + 1) / (n_all + 2))
+    names = np.sort(tried[np.lexsort((tried, -lift * np.sqrt(np.minimum(in_p, p.most))))[: p.features]])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
