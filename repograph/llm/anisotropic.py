@@ -145,13 +145,15 @@ def _usable(embedding: Column) -> Column:
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = SearchParams(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``vectors`` found for each row of ``queries`` (both vec_id, embedding), other than its own id."""
     p, spark = params, vectors.sparkSession
-    clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
+    # Vectors travel as they are given; only codes and cells are found in single precision.
+    kind, width = ("float", "<f4") if vectors.schema[embedding].dataType.elementType.typeName() == "float" else ("double", "<f8")
+    clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     all_rows = clean(vectors)
     sizes = all_rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -171,8 +173,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _matrix(part.column(1), d)
-                cell = ix.order(x)[:, 0]
-                codes = assign_codes(ix.residual_pairs(x, cell), _directions(x), ix.books, eta)
+                low = x.astype(np.float32)
+                cell = ix.order(low)[:, 0]
+                codes = assign_codes(ix.residual_pairs(low, cell), _directions(low), ix.books, eta)
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
                 yield pa.record_batch([part.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "code", "v"])
@@ -183,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), d)
-                cells = ix.order(x)[:, : ix.probes]
+                cells = ix.order(x.astype(np.float32))[:, : ix.probes]
                 row = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
                 raw = pa.array([v.tobytes() for v in x], pa.binary())
                 yield pa.record_batch([part.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), raw.take(row)], names=["id", "cell", "v"])
@@ -207,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
                 if split == b or split == e:
                     continue
                 raw = t.column("v").slice(b, e - b).combine_chunks().to_pylist()
-                v = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(e - b, d)
+                v = np.frombuffer(b"".join(raw), dtype=width).reshape(e - b, d)
                 code = np.frombuffer(b"".join(t.column("code").slice(split, e - split).combine_chunks().to_pylist()), dtype=np.uint8).reshape(e - split, -1)
                 yield _scan(ids[b:split], v[: split - b], ids[split:e], v[split - b :], code, ix, int(spot[b] >> 31), p)
 
@@ -226,7 +229,7 @@ def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code
     m = index.books.shape[0]
     at = code.T.astype(np.intp)
     for k, one in enumerate(q):
-        pairs = (np.pad(one, (0, 2 * m - len(one)))).reshape(m, 2)
+        pairs = (np.pad(one.astype(np.float32), (0, 2 * m - len(one)))).reshape(m, 2)
         low = np.einsum("jcd,jd->jc", index.books, pairs)
         if m % 2:
             low = np.concatenate([low, np.zeros((1, 16), dtype=low.dtype)])
