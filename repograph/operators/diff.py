@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import non_overlay, owning_file, with_child_ids
+from .graph import cut, non_overlay, owning_file, with_child_ids
 
 
 def latest_rows(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -22,13 +22,15 @@ def latest_rows(df: DataFrame, key: str = "id", order: str | None = None) -> Dat
 
 
 def _changes(prev: DataFrame, new: DataFrame, what: str, files: DataFrame, ignore: tuple[str, ...]) -> DataFrame:
+    """Upserts and removals of one kind from one full join on the id; ``new`` holds rows of ``files`` only."""
     fields = [c for c in new.columns if c not in ("owner_file", *ignore)]
-    old = prev.select(F.col("id").alias("_id"), F.struct(*fields).alias("_old"))
-    met = new.join(old, F.col("id") == F.col("_id"), "left").where(~F.struct(*fields).eqNullSafe(F.col("_old")))
-    upserts = met.select(F.lit(f"{what}.upsert").alias("type"), "id", F.col("owner_file"))
-    ours = prev.join(files, "owner_file", "left_semi")
-    gone = ours.join(new.select("id", "owner_file"), ["id", "owner_file"], "left_anti")
-    return upserts.unionByName(gone.select(F.lit(f"{what}.remove").alias("type"), "id", "owner_file"))
+    ours = files.select(F.col("owner_file").alias("_file"), F.lit(True).alias("_ours"))
+    old = prev.join(ours, F.col("owner_file") == F.col("_file"), "left").select(F.col("id").alias("_id"), F.struct(*fields).alias("_old"), F.col("owner_file").alias("_owner"), F.coalesce("_ours", F.lit(False)).alias("_ours"))
+    met = new.select("id", "owner_file", F.struct(*fields).alias("_new")).join(old, F.col("id") == F.col("_id"), "full")
+    row = lambda kind, id_, owner: F.struct(F.lit(f"{what}.{kind}").alias("type"), F.col(id_).alias("id"), F.col(owner).alias("owner_file"))
+    upsert = F.when(F.col("id").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old")), row("upsert", "id", "owner_file"))
+    remove = F.when(F.col("_ours") & ~F.col("owner_file").eqNullSafe(F.col("_owner")), row("remove", "_id", "_owner"))
+    return met.select(F.explode(F.array_compact(F.array(upsert, remove))).alias("x")).select("x.*")
 
 
 def diff_graph(prev_nodes: DataFrame, prev_edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, ignore_live: bool = False, full: bool = False) -> DataFrame:
@@ -37,10 +39,11 @@ def diff_graph(prev_nodes: DataFrame, prev_edges: DataFrame, new_nodes: DataFram
     Only files whose own node is in the contribution are compared, with ``full`` all files of either. A row is upserted when any field differs; ``ignore_live`` leaves status and heat out.
     seq_class orders node upserts, edge upserts, node removals, edge removals.
     """
-    new_nodes, new_edges = latest_rows(new_nodes), latest_rows(new_edges)
+    prev_nodes, prev_edges, new_nodes, new_edges = cut(prev_nodes), cut(prev_edges), cut(latest_rows(new_nodes)), cut(latest_rows(new_edges))
     files = new_nodes.where("type = 'file'").select("owner_file").distinct()
     if full:
         files = files.unionByName(prev_nodes.select("owner_file")).distinct()
+    files = cut(files)
     keep = lambda df: df.join(files, "owner_file", "left_semi")
     nodes = _changes(prev_nodes, keep(new_nodes), "node", files, ("status",) if ignore_live else ())
     edges = _changes(prev_edges, keep(new_edges), "edge", files, ("hot",) if ignore_live else ())
@@ -50,9 +53,8 @@ def diff_graph(prev_nodes: DataFrame, prev_edges: DataFrame, new_nodes: DataFram
 
 def rebuild_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored rows with child_ids derived anew and owner_file: of a node its topmost ancestor, of an edge that of its source; agents and authorship belong to none."""
-    nodes = with_child_ids(nodes, edges)
-    own_nodes, own_edges = non_overlay(nodes, edges)
-    owners = owning_file(own_nodes)
+    own_nodes, own_edges = non_overlay(cut(with_child_ids(nodes, edges)), edges)
+    owners = cut(owning_file(own_nodes))
     return own_nodes.join(owners.withColumnRenamed("owner", "owner_file"), "id"), own_edges.join(owners.select(F.col("id").alias("_s"), F.col("owner").alias("owner_file")), F.col("source") == F.col("_s"), "left").drop("_s")
 
 
@@ -65,8 +67,9 @@ def apply_rows(prev: DataFrame, new: DataFrame, changes: DataFrame, what: str) -
 
 def reconcile(stored_nodes: DataFrame, stored_edges: DataFrame, parsed_nodes: DataFrame, parsed_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored graph brought to what was parsed: (nodes, edges, changes); files that weren't parsed stay."""
-    nodes, edges = rebuild_graph(stored_nodes, stored_edges)
-    changes = diff_graph(nodes, edges, parsed_nodes, parsed_edges)
+    nodes, edges = (cut(t) for t in rebuild_graph(stored_nodes, stored_edges))
+    parsed_nodes, parsed_edges = cut(parsed_nodes), cut(parsed_edges)
+    changes = cut(diff_graph(nodes, edges, parsed_nodes, parsed_edges))
     return apply_rows(nodes, parsed_nodes, changes, "node"), apply_rows(edges, parsed_edges, changes, "edge"), changes
 
 
@@ -75,13 +78,13 @@ def apply_patches(nodes: DataFrame, edges: DataFrame, patches: DataFrame) -> tup
 
     The last patch of an id wins; a snapshot replaces all before it; subtrees merge by id; updates of absent ids do nothing; removing a node leaves its edges.
     """
-    last = patches.where("type = 'snapshot'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_from"))
-    live = patches.join(last, F.col("seq") >= F.col("_from")).drop("_from")
+    last = patches.where("type = 'snapshot'").agg(F.max("seq").alias("_from"))
+    live = patches.join(last, F.col("_from").isNull() | (F.col("seq") >= F.col("_from"))).drop("_from")
 
     def fold(base: DataFrame, what: str, field: str) -> DataFrame:
         row = F.struct(*[F.col(c) for c in base.columns])
-        kept = base.join(last).where("_from < 0").drop("_from")
-        first = kept.select(F.lit(-1).cast("long").alias("seq"), "id", F.lit(True).alias("alive"), row.alias("row"))
+        kept = base.join(last).where("_from is null").drop("_from")
+        first = kept.select(F.lit(-(1 << 63)).cast("long").alias("seq"), "id", F.lit(True).alias("alive"), row.alias("row"))
         shape = first.schema["row"].dataType.simpleString()
         single = live.where(F.col("type").isin(f"{what}.upsert", f"{what}.remove")).select(F.col("seq").cast("long"), "id", (F.col("type") == f"{what}.upsert").alias("alive"), F.col(what).cast(shape).alias("row"))
         many = live.where(F.col("type").isin("snapshot", "subtree")).select(F.col("seq").cast("long"), F.explode(field).alias("row")).select("seq", F.col("row.id").alias("id"), F.lit(True).alias("alive"), F.col("row").cast(shape).alias("row"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_id, file_label, language_of, node_id, typed_edge_id
-from .graph import derive_child_ids
+from .graph import cut, derive_child_ids
 
 #: Words that look like calls and aren't.
 NOT_CALLS = ("if", "while", "for", "match", "return", "fn", "loop", "let", "else", "in", "as", "move", "where", "impl")
@@ -93,8 +93,10 @@ def file_docs(lines: DataFrame) -> DataFrame:
 def enclosing(lines: DataFrame) -> DataFrame:
     """Lines with fn, the function whose body they are in, and depth, the open braces before the line (Rust and TypeScript).
 
-    The running sums are per file. A function's body is left when the depth falls back to its header's, or for Python when the indent does.
+    Lines that are so marked already are taken as they are. The running sums are per file. A function's body is left when the depth falls back to its header's, or for Python when the indent does.
     """
+    if "fn" in lines.columns:
+        return lines
     by = Window.partitionBy("path").orderBy("line_no")
     code = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|//.*$', "")
     delta = F.length(F.regexp_replace(code, r"[^{]", "")) - F.length(F.regexp_replace(code, r"[^}]", ""))
@@ -190,10 +192,11 @@ def file_status(lines: DataFrame) -> DataFrame:
 
 def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges (with owner_file) of a corpus (path, content); a broken Rust file keeps only its own node."""
-    lines = source_lines(files)
-    status = file_status(lines)
+    lines = cut(source_lines(files))
+    status = cut(file_status(lines))
     sound = lines.join(status.where("status = 'error'"), "path", "left_anti").unionByName(lines.where("language <> 'rust'").join(status.where("status = 'error'"), "path", "left_semi"))
-    functions = scan_signatures(scan_functions(sound))
+    sound = cut(enclosing(sound))  # all facts are read from this table
+    functions = cut(scan_signatures(scan_functions(sound)))
     docs = scan_docs(sound, functions).groupBy("path", "name").agg(F.min("docs").alias("docs"))
     none = lambda t: F.lit(None).cast(t)
     file_of, fn_of = node_id(F.lit("file"), "path", F.lit("")), lambda n: node_id(F.lit("function"), "path", n)
@@ -201,9 +204,9 @@ def build_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     fn_nodes = functions.join(docs, ["path", "name"], "left").select(fn_of("name").alias("id"), F.lit("function").alias("type"), F.col("name").alias("label"), file_of.alias("parent_id"), F.lit("unknown").alias("status"), "docs", "signature", "path")
     variables = scan_variables(sound).select("path", "fn", "var").distinct()
     var_nodes = variables.select(node_id(F.lit("variable"), "path", F.concat("fn", F.lit(":"), "var")).alias("id"), F.lit("variable").alias("type"), F.col("var").alias("label"), fn_of("fn").alias("parent_id"), F.lit("unknown").alias("status"), none("string").alias("docs"), none(functions.schema["signature"].dataType).alias("signature"), "path")
-    nodes = file_nodes.unionByName(fn_nodes).unionByName(var_nodes).withColumn("owner_file", file_of)
+    nodes = cut(file_nodes.unionByName(fn_nodes).unionByName(var_nodes).withColumn("owner_file", file_of))
     contains = nodes.where("parent_id is not null").select(edge_id("parent_id", "id").alias("id"), F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), "owner_file")
-    calls = scan_calls(sound)
+    calls = cut(scan_calls(sound))
     flows = resolve_calls(calls, functions).select("path", F.col("caller").alias("s"), F.lit("calls").alias("kind"), F.col("callee").alias("t"))
     for part in (data_flow_nested(calls, functions), data_flow_bound(calls, scan_bindings(sound), functions)):
         flows = flows.unionByName(part.select("path", F.col("source").alias("s"), "kind", F.col("target").alias("t")))

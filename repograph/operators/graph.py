@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import agent_node_id, bare_agent_id, docs_or_placeholder, estimate_memory, flow_class
@@ -65,11 +65,20 @@ def children_of(nodes: DataFrame, edges: DataFrame, parent: str) -> tuple[DataFr
     return children, own.join(children.select(F.col("id").alias("_c")), F.col("target") == F.col("_c"), "left_semi")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder of the session (where none is set, a temporary one)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where it is unset a temporary one, but only on a master in one JVM."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, with its lineage cut; for what is read more than once."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -78,13 +87,14 @@ def ancestor_paths(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
 
     Each tier is checkpointed, and the loop stops when no node climbs any more; nodes that still climb after ``max_depth`` tiers are an error.
     """
+    nodes = cut(nodes.select("id", "parent_id"))
     links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     now = nodes.select("id", F.col("parent_id").alias("_next"), F.array("id").alias("path"))
     tiers = [now.where("_next is null")]
     now = now.where("_next is not null")
     for _ in range(max_depth):
         met = now.join(links, (F.col("_next") == F.col("_id")) & ~F.array_contains("path", F.col("_next")), "left")
-        met = _cut(met.select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path")))
+        met = cut(met.select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path")))
         tiers.append(met.where("_next is null"))
         now = met.where("_next is not null")
         if now.isEmpty():
@@ -102,12 +112,12 @@ def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Da
 
     Rows that are left to add after ``max_depth`` tiers are an error.
     """
-    links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    tier = _cut(roots.select(F.col("id").alias("root"), F.col("id").alias("_at")).distinct())
+    links = cut(nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up")))
+    tier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("_at")).distinct())
     known = tier
     for _ in range(max_depth + 1):
         below = tier.join(links, F.col("_at") == F.col("_up")).select("root", F.col("_id").alias("_at")).distinct()
-        tier = _cut(below.join(known, ["root", "_at"], "left_anti"))
+        tier = cut(below.join(known, ["root", "_at"], "left_anti"))
         if tier.isEmpty():
             return known.where(F.col("_at") != F.col("root")).select("root", F.col("_at").alias("id"))
         known = known.unionByName(tier)
@@ -116,7 +126,7 @@ def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Da
 
 def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Without what lies below the roots, and without edges that touch it."""
-    gone = descendants(nodes, roots, max_depth).select(F.col("id").alias("_gone")).distinct()
+    gone = cut(descendants(nodes, roots, max_depth).select(F.col("id").alias("_gone")).distinct())
     kept = nodes.join(gone, F.col("id") == F.col("_gone"), "left_anti")
     left = edges.join(gone, F.col("source") == F.col("_gone"), "left_anti").join(gone, F.col("target") == F.col("_gone"), "left_anti")
     return kept, left
@@ -174,18 +184,20 @@ def has_children(nodes: DataFrame) -> DataFrame:
 def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 1000) -> DataFrame:
     """(row, id, depth, expandable, expanded): visible nodes in pre-order; a node shows if all its ancestors are expanded.
 
-    Pre-order is the order of the ancestor paths. Rows are numbered within each root, and a running count over the roots, of which there are few, shifts them.
+    Pre-order is the order of the ancestor paths, which are dealt into ranges, so no task orders a whole tree.
     """
-    nodes = agent_layer(nodes, show_agents)
-    open_ = expanded.select(F.col("id").alias("_e")).distinct()
-    paths = ancestor_paths(nodes, max_depth)
+    nodes = cut(agent_layer(nodes, show_agents).select("id", "parent_id", "child_ids"))
+    open_ = cut(expanded.select(F.col("id").alias("_e")).distinct())
+    paths = cut(ancestor_paths(nodes, max_depth))
     shut = nodes.join(open_, F.col("id") == F.col("_e"), "left_anti").select(F.col("id").alias("_shut"))
     above = paths.select("id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("_a"))
     hidden = above.join(shut, F.col("_a") == F.col("_shut"), "left_semi").select("id").distinct()
     rooted = paths.join(nodes.where("parent_id is null").select(F.col("id").alias("_root")), F.element_at("path", 1) == F.col("_root"))
-    shown = rooted.join(hidden, "id", "left_anti")
-    sizes = shown.groupBy("_root").agg(F.count("*").alias("_n"))
-    shift = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_root").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    placed = shown.withColumn("_k", F.row_number().over(Window.partitionBy("_root").orderBy("path"))).join(shift, "_root")
+    shown = cut(rooted.join(hidden, "id", "left_anti"))
+    # Ranges of paths are numbered each on its own, and a running count over the ranges, as many as partitions, shifts them.
+    ranged = cut(shown.repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("path").alias("_least"))
+    shift = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_range", "_before")
+    placed = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("path"))).join(shift, "_range")
     flagged = placed.join(has_children(nodes), "id").join(open_, F.col("id") == F.col("_e"), "left")
     return flagged.select((F.col("_before") + F.col("_k") - 1).cast("long").alias("row"), "id", (F.size("path") - 1).alias("depth"), "expandable", F.col("_e").isNotNull().alias("expanded"))

@@ -31,8 +31,8 @@ VIEWS = {
         UNION ALL SELECT 'e:' || source || '->' || target || ':data_flows_from', source, target, 'data_flows_from', false FROM flow_pairs
         UNION ALL SELECT 'e:' || target || '->' || source || ':param_source', target, source, 'param_source', false FROM flow_pairs
         UNION ALL SELECT 'e:' || source || '->' || target || ':authored_by', source, target, 'authored_by', false FROM authorships""",
-    "call_edges": "SELECT id, row_number() OVER (ORDER BY s_key) - 1 AS k FROM (SELECT 'e:' || source || '->' || target || ':calls' AS id, s_key FROM call_pairs ORDER BY s_key LIMIT 97) first_edges",
-    "numbered": "SELECT event_id, user_id, event_type, ts, @ms(ts)@ AS ts_ms, event_id % (SELECT count(*) FROM orders) AS fn_k, event_id % 97 AS edge_k FROM events",
+    "call_edges": "SELECT 'e:' || source || '->' || target || ':calls' AS id, s_key AS k FROM call_pairs",
+    "numbered": "SELECT event_id, user_id, event_type, ts, @ms(ts)@ AS ts_ms, event_id % (SELECT count(*) FROM orders) AS fn_k, (event_id @div@ 4) % (SELECT count(*) FROM orders) AS edge_k FROM events",
     "clv_events": """SELECT e.event_id AS seq, e.ts, e.ts_ms, '@@' || @day(e.ts)@ AS session, e.user_id AS pid,
             CASE WHEN e.user_id % 50 = 0 THEN 'a:' || CAST(e.user_id AS STRING) || '%' ELSE 'agent-' || CAST(e.user_id % 7 AS STRING) END AS agent,
             CASE e.event_type WHEN 'click' THEN 'hotedge' WHEN 'view' THEN 'hotedge' WHEN 'error' THEN 'test' WHEN 'purchase' THEN 'test' ELSE 'activity' END AS event,
@@ -53,8 +53,8 @@ VIEWS = {
     "old_nodes": "SELECT n.id, n.type, n.label, n.parent_id, CASE WHEN n.type = 'file' THEN n.id ELSE n.parent_id END AS owner FROM graph_nodes n WHERE n.type IN ('file', 'function')",
     "old_edges": "SELECT e.id, e.source, e.target, e.kind, e.hot, e.source AS owner FROM graph_edges e WHERE e.kind = 'contains' AND e.source LIKE 'file:%'",
     "new_edges": "SELECT e.id, e.source, e.target, e.kind, e.hot, e.owner FROM old_edges e JOIN new_nodes n ON e.target = n.id",
-    "change_times": "SELECT 'root' || CAST(user_id % 5 AS STRING) AS root, 'c' || CAST(user_id AS STRING) AS path, CAST((@ms(ts)@ - (SELECT min(@ms(ts)@) FROM events)) * (SELECT count(*) FROM events) * 60 @div@ 2592000000 AS BIGINT) AS ts_ms FROM events",
-    "hot_dense": "SELECT seq, seq AS ts_ms, 'e' || CAST(seq % 5 AS STRING) AS edge, state FROM clv_events WHERE event = 'hotedge'",
+    "change_times": "SELECT 'root' || CAST(user_id % 50 AS STRING) AS root, 'c' || CAST(user_id AS STRING) AS path, CAST((@ms(ts)@ - (SELECT min(@ms(ts)@) FROM events)) * (SELECT count(*) FROM events) * 6 @div@ 2592000000 AS BIGINT) AS ts_ms FROM events",
+    "hot_dense": "SELECT seq, seq AS ts_ms, 'e' || CAST(seq % 5 AS STRING) || ':' || CAST(seq @div@ 5000 AS STRING) AS edge, state FROM clv_events WHERE event = 'hotedge'",
     "parse_samples": "SELECT 'part/' || CAST(l_partkey AS STRING) AS file, CAST(max(floor(l_extendedprice)) AS BIGINT) AS duration, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS seq FROM lineitem GROUP BY 1, 3",
     "fact_functions": "SELECT path, name FROM fns WHERE o_orderkey % 2 = 0",
     "call_args": """SELECT DISTINCT f.path, f.name AS caller, CAST(l_suppkey * 20 AS BIGINT) AS pos, 'o' || CAST(f.o_orderkey + (l_linenumber % 2) AS STRING) AS callee, l_linenumber % 4 = 3 AS qualified,
@@ -66,8 +66,8 @@ VIEWS = {
     "source_rows": """SELECT path || '.rs' AS path, o_orderkey, '/// order of ' || path || chr(10) || 'fn o' || CAST(o_orderkey AS STRING) || '(a: i32) -> i32 {' || chr(10) || '    let l1 = o' || CAST(o_orderkey + 1 AS STRING) || '(a);' || chr(10) || '    l1' || chr(10) || '}' AS part FROM fns""",
 }
 #: What differs between the engines.
-_SPARK = {"div": "div", "ms": r"unix_millis(CAST(\1 AS TIMESTAMP))", "day": r"date_format(\1, 'yyyy-MM-dd')"}
-_DUCK = {"div": "//", "ms": r"epoch_ms(\1)", "day": r"strftime(\1, '%Y-%m-%d')"}
+_SPARK = {"once": "", "div": "div", "ms": r"unix_millis(CAST(\1 AS TIMESTAMP))", "day": r"date_format(\1, 'yyyy-MM-dd')"}
+_DUCK = {"once": "MATERIALIZED ", "div": "//", "ms": r"epoch_ms(\1)", "day": r"strftime(\1, '%Y-%m-%d')"}
 
 
 def _written(sql: str, marks: dict[str, str]) -> str:
@@ -94,7 +94,7 @@ def _needed(sql: str) -> list[str]:
 def with_views(sql: str, marks: dict[str, str] = _DUCK) -> str:
     """The query with the views it uses before it; a leading WITH [RECURSIVE] of its own is continued."""
     own = re.match(r"\s*WITH( RECURSIVE)?\s", sql)
-    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in _needed(sql))
+    views = ", ".join(f"{n} AS {marks['once']}({VIEWS[n]})" for n in _needed(sql))
     if not views:
         return _written(sql, marks)
     rest = sql[own.end() :] if own else None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +54,18 @@ def decode_envelopes(v):
     return E.decode_envelopes(v("envelope_lines")).select("seq", "type", "session_id", F.col("payload.nodeId").alias("node_id"), F.col("payload.edgeId").alias("edge_id"))
 
 
-@query("""SELECT seq, '{"v":1,"ts":"' || session || '","sessionId":"' || session || '","type":"hot_edge","payload":{"edgeId":"' || edge || '","state":"' || state || '"}}' AS value FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL""")
+@query("""SELECT '{"v":1,"ts":"' || session || '","sessionId":"' || session || '","type":"hot_edge","payload":{"edgeId":"' || edge || '","state":"' || state || '"}}' AS value FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL""")
 def encode_envelopes(v):
     own = v("clv_events").where("event = 'hotedge' and edge is not null")
-    rows = own.select("seq", F.col("session").alias("ts"), F.col("session").alias("session_id"), F.lit("hot_edge").alias("type"), F.struct(F.col("edge").alias("edgeId"), "state", F.lit(None).cast("string").alias("agentId")).alias("payload"))
-    return rows.select("seq", F.to_json(F.struct(F.lit(1).alias("v"), "ts", F.col("session_id").alias("sessionId"), "type", "payload"), {"ignoreNullFields": "true"}).alias("value"))
+    return E.encode_envelopes(own.select(F.col("session").alias("ts"), F.col("session").alias("session_id"), F.lit("hot_edge").alias("type"), F.struct(F.col("edge").alias("edgeId"), "state", F.lit(None).cast("string").alias("agentId")).alias("payload")))
+
+
+@query("""SELECT seq, CASE WHEN seq % 7 = 1 THEN 'status.update' ELSE event END AS type FROM clv_events WHERE seq % 7 NOT IN (0, 2, 3)""")
+def structured_only(v):
+    """Envelopes of which some are snapshots, subtrees and metrics."""
+    m = F.col("seq") % 7
+    kind = F.when(m == 0, "snapshot").when(m == 2, "subtree").when(m == 3, "metrics.update").when(m == 1, "status.update").otherwise(F.col("event"))
+    return E.structured_only(v("clv_events").select("seq", kind.alias("type")))
 
 
 @query("SELECT session, edge, state, count(*) AS n FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL GROUP BY ALL")
@@ -91,16 +101,27 @@ def outcome_words(v):
     return v("clv_events").select("seq", S.status_from_outcome("outcome").alias("status"), S.hot_from_state("state").alias("hot"), S.rfc3339("ts").alias("at"))
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '#a1b2c3' WHEN 1 THEN 'rgb(1, 2,3)' WHEN 2 THEN NULL WHEN 3 THEN 'rgba(1,2,3,50%)' ELSE NULL END AS color,
-                 CASE n_nationkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' END AS language, 'f' || CAST(n_nationkey AS STRING) || CASE n_nationkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.go' END AS label,
-                 CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'No documentation' END AS docs
-          FROM nation""")
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN '#a1b2c3' WHEN 1 THEN 'rgb(1, 2,3)' WHEN 3 THEN 'rgba(1,2,3,50%)' WHEN 5 THEN 'rgba( 10 , 20 , 30 , .5 )' END AS color,
+                 CASE c_custkey % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' END AS language, 'f' || CAST(c_custkey AS STRING) || CASE c_custkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.ts' ELSE '.go' END AS label,
+                 CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'No documentation' END AS docs
+          FROM customer""")
 def labels_and_colors(v):
-    n = F.col("n_nationkey")
-    raw = F.when(n % 5 == 0, "#a1b2c3").when(n % 5 == 1, "rgb(1, 2,3)").when(n % 5 == 2, "red;background:url(x)").when(n % 5 == 3, "rgba(1,2,3,50%)").otherwise("#12345")
+    n = F.col("c_custkey")
+    raw = F.when(n % 7 == 0, "#a1b2c3").when(n % 7 == 1, "rgb(1, 2,3)").when(n % 7 == 2, "blue; width: 9px").when(n % 7 == 3, "rgba(1,2,3,50%)").when(n % 7 == 4, "rgb(1,2)").when(n % 7 == 5, "rgba( 10 , 20 , 30 , .5 )").otherwise("#12345")
     ext = F.when(n % 4 == 0, ".rs").when(n % 4 == 1, ".py").when(n % 4 == 2, ".ts").otherwise(".go")
     path = F.concat(F.lit("src/f"), n.cast("string"), ext)
-    return v("nation").select("n_nationkey", S.safe_color(raw).alias("color"), S.language_of(path).alias("language"), S.file_label(path).alias("label"), S.docs_or_placeholder(F.when(n % 2 == 0, F.col("n_name")).otherwise("")).alias("docs"))
+    return v("customer").select("c_custkey", S.safe_color(raw).alias("color"), S.language_of(path).alias("language"), S.file_label(path).alias("label"), S.docs_or_placeholder(F.when(n % 2 == 0, F.col("c_name")).otherwise("")).alias("docs"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, '[{"name":"p' || CAST(l_partkey AS STRING) || '","type":"i32"}]' AS params, l_returnflag AS returns, 'rust' AS language, 's' || CAST(l_suppkey AS STRING) AS file FROM lineitem""")
+def signature_codec(v):
+    """Signatures and metas come back from their JSON as they were."""
+    none = lambda t: F.lit(None).cast(t)
+    signature = F.struct(F.array(F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.lit("i32").alias("type"))).alias("params"), F.col("l_returnflag").alias("returns"))
+    meta = F.struct(F.lit("rust").alias("language"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("filePath"), none("struct<startLine: int, startCol: int, endLine: int, endCol: int>").alias("range"))
+    coded = v("lineitem").select("l_orderkey", "l_linenumber", S.signature_json(signature).alias("s"), S.meta_json(meta).alias("m"))
+    back = coded.select("l_orderkey", "l_linenumber", S.signature_from_json("s").alias("s"), S.meta_from_json("m").alias("m"))
+    return back.select("l_orderkey", "l_linenumber", F.to_json("s.params").alias("params"), F.col("s.returns").alias("returns"), F.col("m.language").alias("language"), F.col("m.filePath").alias("file"))
 
 
 @query("""SELECT p_partkey, CASE WHEN n < 1024 THEN CAST(n AS STRING) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS bytes,
@@ -113,9 +134,9 @@ def formatted_sizes(v):
 # --- graph ----------------------------------------------------------------------------------------------------------------
 
 @query("""SELECT 'node' AS what, id FROM graph_nodes WHERE parent_id IS NULL UNION ALL SELECT 'edge', e.id FROM graph_edges e
-          WHERE e.source IN (SELECT id FROM graph_nodes WHERE parent_id IS NULL) AND e.target IN (SELECT id FROM graph_nodes WHERE parent_id IS NULL)""")
+          SEMI JOIN (SELECT id FROM graph_nodes WHERE parent_id IS NULL) a ON e.source = a.id SEMI JOIN (SELECT id FROM graph_nodes WHERE parent_id IS NULL) b ON e.target = b.id""")
 def root_snapshot(v):
-    nodes, edges = graph.snapshot(v("graph_nodes"), v("graph_edges"))
+    nodes, edges = graph.snapshot(v("graph_nodes"), graph.cut(v("graph_edges")))
     return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
 
 
@@ -127,7 +148,8 @@ def children(v):
 
 @query("SELECT parent_id, count(*) AS children, string_agg(id, ',' ORDER BY id) AS ids FROM graph_nodes WHERE parent_id IN (SELECT id FROM graph_nodes WHERE type IN ('module', 'file')) GROUP BY parent_id")
 def subtrees(v):
-    nodes, edges = graph.subtree_all(v("graph_nodes"), v("graph_edges"), v("graph_nodes").where("type in ('module', 'file')"))
+    every = graph.cut(v("graph_nodes"))
+    nodes, edges = graph.subtree_all(every, v("graph_edges"), every.where("type in ('module', 'file')"))
     met = nodes.join(edges.select(F.col("target").alias("id")), "id", "left_semi")
     return met.groupBy("parent_id").agg(F.count("*").alias("children"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
 
@@ -143,38 +165,51 @@ def owning_root(v):
 @query("""WITH RECURSIVE below(root, id) AS (SELECT p.id, n.id FROM graph_nodes p JOIN graph_nodes n ON n.parent_id = p.id WHERE p.type = 'module' UNION ALL SELECT b.root, n.id FROM below b JOIN graph_nodes n ON n.parent_id = b.id)
           SELECT root, id FROM below""")
 def descendants(v):
-    return graph.descendants(v("graph_nodes"), v("graph_nodes").where("type = 'module'"))
+    nodes = graph.cut(v("graph_nodes"))
+    return graph.descendants(nodes, nodes.where("type = 'module'"))
 
 
 @query("""WITH RECURSIVE below(id) AS (SELECT n.id FROM graph_nodes n WHERE n.parent_id IN ('svc:r0', 'svc:r2') UNION ALL SELECT n.id FROM below b JOIN graph_nodes n ON n.parent_id = b.id)
-          SELECT 'node' AS what, id FROM graph_nodes WHERE id NOT IN (SELECT id FROM below) UNION ALL SELECT 'edge', id FROM graph_edges WHERE source NOT IN (SELECT id FROM below) AND target NOT IN (SELECT id FROM below)""")
+          SELECT 'node' AS what, n.id FROM graph_nodes n ANTI JOIN below b ON n.id = b.id UNION ALL SELECT 'edge', e.id FROM graph_edges e ANTI JOIN below b ON e.source = b.id ANTI JOIN below c ON e.target = c.id""")
 def collapse(v):
-    roots = v("graph_nodes").where("id in ('svc:r0', 'svc:r2')")
-    nodes, edges = graph.collapse(v("graph_nodes"), v("graph_edges"), roots)
+    every = graph.cut(v("graph_nodes"))
+    nodes, edges = graph.collapse(every, v("graph_edges"), every.where("id in ('svc:r0', 'svc:r2')"))
     return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
 
 
-@query("""WITH RECURSIVE open_(id) AS (SELECT id FROM graph_nodes WHERE type IN ('service', 'module') OR type = 'file' AND id LIKE '%1'),
-          seen(id, parent_id, path) AS (SELECT id, parent_id, [id] FROM graph_nodes WHERE parent_id IS NULL UNION ALL SELECT n.id, n.parent_id, list_append(s.path, n.id) FROM seen s JOIN graph_nodes n ON n.parent_id = s.id WHERE s.id IN (SELECT id FROM open_))
-          SELECT row_number() OVER (ORDER BY path) - 1 AS row, id, CAST(len(path) - 1 AS INTEGER) AS depth, id IN (SELECT parent_id FROM graph_nodes WHERE parent_id IS NOT NULL) AS expandable, id IN (SELECT id FROM open_) AS expanded FROM seen""")
+@query("""WITH RECURSIVE parents AS (SELECT DISTINCT parent_id AS id FROM graph_nodes WHERE parent_id IS NOT NULL),
+          open_ AS (SELECT n.id FROM graph_nodes n SEMI JOIN parents p ON n.id = p.id WHERE n.type IN ('service', 'module', 'file')),
+          seen(id, parent_id, path) AS (SELECT id, parent_id, [id] FROM graph_nodes WHERE parent_id IS NULL UNION ALL SELECT n.id, n.parent_id, list_append(s.path, n.id) FROM seen s JOIN open_ o ON s.id = o.id JOIN graph_nodes n ON n.parent_id = s.id)
+          SELECT row_number() OVER (ORDER BY path) - 1 AS row, s.id, CAST(len(path) - 1 AS INTEGER) AS depth, p.id IS NOT NULL AS expandable, o.id IS NOT NULL AS expanded FROM seen s LEFT JOIN parents p ON s.id = p.id LEFT JOIN open_ o ON s.id = o.id""")
 def hierarchy_rows(v):
-    nodes = v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>"))
-    return graph.hierarchy_rows(nodes, nodes.where("type in ('service', 'module') or (type = 'file' and id like '%1')"))
+    """The tree with all services, modules and files open that hold anything."""
+    nodes = graph.cut(v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>")))
+    return graph.hierarchy_rows(nodes, graph.has_children(nodes).where("expandable").join(nodes.where("type in ('service', 'module', 'file')").select("id"), "id"))
 
 
-@query("""SELECT id, source, target, kind, CASE kind WHEN 'calls' THEN 'control' ELSE 'data' END AS flow, hot FROM graph_edges WHERE kind IN ('calls', 'data_flows_from', 'param_source')
-          AND source IN (SELECT id FROM graph_nodes WHERE label LIKE '%2' OR label LIKE '%3') AND target IN (SELECT id FROM graph_nodes WHERE label LIKE '%2' OR label LIKE '%3')""")
+@query("""SELECT e.id, e.source, e.target, e.kind, CASE e.kind WHEN 'calls' THEN 'control' ELSE 'data' END AS flow, e.hot FROM graph_edges e SEMI JOIN (SELECT id FROM graph_nodes WHERE type = 'function') a ON e.source = a.id
+          SEMI JOIN (SELECT id FROM graph_nodes WHERE type = 'function') b ON e.target = b.id WHERE e.kind IN ('calls', 'data_flows_from', 'param_source')""")
 def visible_edges(v):
-    return graph.visible_edges(v("graph_edges"), v("graph_nodes").where("label like '%2' or label like '%3'"))
+    return graph.visible_edges(v("graph_edges"), v("graph_nodes").where("type = 'function'"))
 
 
-@query("SELECT DISTINCT 'supplier-' || CAST(k AS STRING) AS agent, e.source AS node FROM graph_edges e JOIN (SELECT unnest(range(0, 20, 3)) AS k) ON e.target = 'agent:supplier-' || CAST(k AS STRING) WHERE e.kind = 'authored_by'")
+@query("SELECT DISTINCT replace(target, 'agent:', '') AS agent, source AS node FROM graph_edges WHERE kind = 'authored_by'")
 def authored_nodes(v):
-    edges = v("graph_edges")
-    agents = edges.where("kind = 'authored_by'").select(F.regexp_replace("target", "^agent:", "").alias("agent")).distinct().where(F.regexp_extract("agent", "([0-9]+)$", 1).cast("int") % 3 == 0)
+    edges = graph.cut(v("graph_edges"))
+    agents = edges.where("kind = 'authored_by'").select(F.regexp_replace("target", "^agent:", "").alias("agent")).distinct()
     return graph.nodes_authored_by(edges, agents)
 
 
+@query("""SELECT 'node' AS what, id FROM graph_nodes UNION ALL SELECT 'agent', id FROM (SELECT DISTINCT target AS id FROM graph_edges WHERE kind = 'authored_by')
+          UNION ALL SELECT 'shut', id FROM graph_nodes""")
+def agent_layers(v):
+    """Nodes and agents with the agent layer shown, and without it."""
+    agents = v("graph_edges").where("kind = 'authored_by'").select(F.col("target").alias("id")).distinct()
+    every = graph.cut(v("graph_nodes").select("id", "type").unionByName(agents.withColumn("type", F.lit("agent"))))
+    shown = graph.agent_layer(every, True).select(F.when(F.col("type") == "agent", "agent").otherwise("node").alias("what"), "id")
+    return shown.unionByName(graph.agent_layer(every, False).select(F.lit("shut").alias("what"), "id"))
+
+
 @query("SELECT DISTINCT source AS node, replace(target, 'agent:', '') AS agent FROM graph_edges WHERE kind = 'authored_by'")
 def agents_for_node(v):
     return graph.agents_for_node(v("graph_edges"))
@@ -196,14 +231,14 @@ def child_ids(v):
     return graph.derive_child_ids(v("graph_edges")).select("id", F.array_join("child_ids", ",").alias("child_ids"))
 
 
-@query("SELECT (SELECT count(*) FROM graph_nodes) AS node_count, (SELECT count(*) FROM graph_nodes WHERE type = 'file') AS file_count, (SELECT count(*) FROM graph_edges) AS edge_count, (SELECT count(*) * 360 + count_if(type = 'file') * 64 FROM graph_nodes) + (SELECT count(*) * 136 FROM graph_edges) AS memory_bytes")
+@query("SELECT (SELECT count(*) FROM graph_nodes) AS node_count, (SELECT count(*) FROM graph_nodes WHERE type = 'file') AS file_count, (SELECT count(*) FROM graph_edges) AS edge_count, CAST((SELECT count(*) * 360 + count_if(type = 'file') * 64 FROM graph_nodes) + (SELECT count(*) * 136 FROM graph_edges) AS BIGINT) AS memory_bytes")
 def graph_counts(v):
     return graph.graph_counts(v("graph_nodes"), v("graph_edges"))
 
 
-@query("SELECT id, id IN (SELECT parent_id FROM graph_nodes WHERE parent_id IS NOT NULL) AS expandable FROM graph_nodes")
+@query("SELECT n.id, p.id IS NOT NULL AS expandable FROM graph_nodes n LEFT JOIN (SELECT DISTINCT parent_id AS id FROM graph_nodes WHERE parent_id IS NOT NULL) p ON n.id = p.id")
 def has_children(v):
-    return graph.has_children(v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>")))
+    return graph.has_children(graph.cut(v("graph_nodes").withColumn("child_ids", F.array().cast("array<string>"))))
 
 
 # --- facts ----------------------------------------------------------------------------------------------------------------
@@ -295,7 +330,7 @@ def latest_status(v):
     return overlay.latest_status(v("clv_events"), v("graph_nodes"))
 
 
-@query(f"""SELECT n.parent_id AS file, count_if(status = 'passing') AS passing, count_if(status = 'failing') AS failing, CAST(0 AS BIGINT) AS running, CAST(0 AS BIGINT) AS stale FROM
+@query(f"""SELECT n.parent_id AS file, CAST(count_if(status = 'passing') AS BIGINT) AS passing, CAST(count_if(status = 'failing') AS BIGINT) AS failing, CAST(0 AS BIGINT) AS running, CAST(0 AS BIGINT) AS stale FROM
            (SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE {_VALID} AND event = 'test' GROUP BY node) s JOIN graph_nodes n ON s.node = n.id GROUP BY n.parent_id""")
 def status_board(v):
     """The whole way: decode the tagged log, match it to the graph, keep the last outcome, and count per file."""
@@ -367,7 +402,13 @@ def roster_at(v):
 
 @query(f"SELECT agent, bool_or(status = 'active') AS active, any_value('#' || {_FNV}) AS color FROM ({_ROSTER}) GROUP BY agent")
 def roster_by_agent(v):
-    return metrics.roster_by_agent(_roster(v).withColumn("first_seq", F.col("pid")))
+    first = overlay.latest_roster(v("clv_events")).select("pid", "first_seq")
+    return metrics.roster_by_agent(_roster(v).join(first, "pid"))
+
+
+@query(f"SELECT pid, agent, '#' || {_FNV} AS color, status FROM ({_ROSTER})")
+def roster_snapshot(v):
+    return metrics.roster_snapshot(_roster(v))
 
 
 @query("""SELECT seq, agent, CASE WHEN active THEN 'joined' ELSE 'left' END AS change FROM (SELECT seq, agent, active, coalesce(lag(active) OVER (PARTITION BY agent ORDER BY seq), false) AS was
@@ -387,34 +428,65 @@ def debounce_bursts(v):
 
 # --- diff -----------------------------------------------------------------------------------------------------------------
 
-@query("""SELECT 'node.upsert' AS type, n.id, n.owner AS owner_file FROM new_nodes n LEFT JOIN old_nodes o ON n.id = o.id WHERE o.id IS NULL OR (n.type, n.label, n.parent_id) IS DISTINCT FROM (o.type, o.label, o.parent_id)
-          UNION ALL SELECT 'node.remove', o.id, o.owner FROM old_nodes o WHERE o.owner IN (SELECT owner FROM new_nodes WHERE type = 'file') AND o.id NOT IN (SELECT id FROM new_nodes)
-          UNION ALL SELECT 'edge.remove', e.id, e.owner FROM old_edges e WHERE e.owner IN (SELECT owner FROM new_nodes WHERE type = 'file') AND e.id NOT IN (SELECT id FROM new_edges)""")
+_FILES = "(SELECT DISTINCT owner FROM new_nodes WHERE type = 'file')"
+_OF = lambda name: (lambda v: v(name).withColumnRenamed("owner", "owner_file"))
+
+
+@query(f"""SELECT 'node.upsert' AS type, n.id, n.owner AS owner_file FROM new_nodes n LEFT JOIN old_nodes o ON n.id = o.id WHERE o.id IS NULL OR (n.type, n.label, n.parent_id) IS DISTINCT FROM (o.type, o.label, o.parent_id)
+          UNION ALL SELECT 'node.remove', o.id, o.owner FROM old_nodes o SEMI JOIN {_FILES} f ON o.owner = f.owner ANTI JOIN new_nodes n ON o.id = n.id
+          UNION ALL SELECT 'edge.upsert', e.id, e.owner FROM new_edges e ANTI JOIN old_edges o ON e.id = o.id AND e.hot = o.hot
+          UNION ALL SELECT 'edge.remove', e.id, e.owner FROM old_edges e SEMI JOIN {_FILES} f ON e.owner = f.owner ANTI JOIN new_edges n ON e.id = n.id""")
 def graph_diff(v):
-    as_owned = lambda name: v(name).withColumnRenamed("owner", "owner_file")
-    return diff.diff_graph(as_owned("old_nodes"), as_owned("old_edges"), as_owned("new_nodes"), as_owned("new_edges")).drop("seq_class")
+    old_nodes, old_edges, new_nodes, new_edges = (_OF(n)(v) for n in ("old_nodes", "old_edges", "new_nodes", "new_edges"))
+    return diff.diff_graph(old_nodes, old_edges, new_nodes, new_edges).drop("seq_class")
+
+
+@query(f"""SELECT 'node' AS what, o.id, o.label FROM old_nodes o ANTI JOIN {_FILES} f ON o.owner = f.owner UNION ALL SELECT 'node', id, label FROM new_nodes
+          UNION ALL SELECT 'edge', e.id, e.target FROM old_edges e ANTI JOIN {_FILES} f ON e.owner = f.owner UNION ALL SELECT 'edge', id, target FROM new_edges""")
+def reconciled(v):
+    """The stored graph, rebuilt, after its differences to what was parsed: parsed files win, others stay."""
+    nodes, edges, _ = diff.reconcile(v("old_nodes").drop("owner"), v("old_edges").drop("owner"), _OF("new_nodes")(v), _OF("new_edges")(v))
+    return nodes.select(F.lit("node").alias("what"), "id", "label").unionByName(edges.select(F.lit("edge").alias("what"), "id", F.col("target").alias("label")))
 
 
-@query("""SELECT o.id, o.label FROM old_nodes o WHERE o.owner NOT IN (SELECT owner FROM new_nodes WHERE type = 'file') UNION ALL SELECT id, label FROM new_nodes""")
-def reconciled_nodes(v):
-    """The old graph after its differences to the new one: parsed files win, others stay."""
-    as_owned = lambda name: v(name).withColumnRenamed("owner", "owner_file")
-    changes = diff.diff_graph(as_owned("old_nodes"), as_owned("old_edges"), as_owned("new_nodes"), as_owned("new_edges"))
-    return diff.apply_rows(as_owned("old_nodes"), as_owned("new_nodes"), changes, "node").select("id", "label")
+@query("""SELECT o.id, o.label FROM old_nodes o ANTI JOIN new_nodes n ON o.id = n.id UNION ALL SELECT id, label FROM new_nodes""")
+def merged_subtree(v):
+    return diff.merge_subtree(v("old_nodes"), v("new_nodes")).select("id", "label")
 
 
-@query("""SELECT n.id, coalesce(s.status, 'unknown') AS status FROM (SELECT id FROM fns) n LEFT JOIN (SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE event = 'test' GROUP BY node) s ON n.id = s.node
-          WHERE n.id NOT IN (SELECT node FROM clv_events WHERE event = 'activity' AND seq % 3 = 0 AND node NOT NULL)""")
+@query("""SELECT (SELECT count(*) FROM (SELECT id, label FROM old_nodes EXCEPT ALL SELECT id, label FROM new_nodes)) + (SELECT count(*) FROM (SELECT id, label FROM new_nodes EXCEPT ALL SELECT id, label FROM old_nodes)) = 0 AS with_new, true AS with_shuffled""")
+def equal_graphs(v):
+    old, new = (graph.cut(v(n).select("id", "label")) for n in ("old_nodes", "new_nodes"))
+    return old.sparkSession.range(1).select(F.lit(diff.graph_equal(old, new)).alias("with_new"), F.lit(diff.graph_equal(old, old.select("label", "id").orderBy(F.desc("id")))).alias("with_shuffled"))
+
+
+@query("""WITH kept AS (SELECT f.id, f.o_orderkey AS k FROM fns f WHERE f.o_orderkey % 5 <> 0 UNION ALL SELECT 'sub:' || id, o_orderkey FROM fns WHERE o_orderkey % 11 = 0),
+          told AS (SELECT node, CASE arg_max(outcome, seq) WHEN 'pass' THEN 'passing' ELSE 'failing' END AS status FROM clv_events WHERE event = 'test' GROUP BY node),
+          beat AS (SELECT edge, arg_max(state, seq) = 'enter' AS hot FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL GROUP BY edge)
+          SELECT 'node' AS what, n.id, CASE WHEN n.k % 3 = 0 AND n.id NOT LIKE 'sub:%' THEN 'stale' ELSE coalesce(t.status, CASE WHEN n.id LIKE 'sub:%' THEN 'running' ELSE 'unknown' END) END AS state FROM kept n LEFT JOIN told t ON n.id = t.node
+          UNION ALL SELECT 'edge', c.id, CASE WHEN coalesce(b.hot, false) THEN 'hot' ELSE 'cold' END FROM call_edges c LEFT JOIN beat b ON c.id = b.edge WHERE c.k % 4 <> 1""")
 def apply_patches(v):
-    """Functions after status patches, with the functions that some activity names removed at the end."""
-    nodes = v("fns").select("id", F.lit("unknown").alias("status"))
-    edges = v("call_edges").select("id", F.lit(False).alias("hot"))
-    ev = v("clv_events")
-    shape, none = "struct<id: string, status: string>", lambda t: F.lit(None).cast(t)
-    rest = [none(shape).alias("node"), none("struct<id: string, hot: boolean>").alias("edge"), none("boolean").alias("hot"), none(f"array<{shape}>").alias("nodes"), none("array<struct<id: string, hot: boolean>>").alias("edges")]
-    told = ev.where("event = 'test'").select("seq", F.lit("test.result").alias("type"), F.col("node").alias("id"), S.status_from_outcome("outcome").alias("status"), *rest)
-    gone = ev.where("event = 'activity' and seq % 3 = 0").select((F.col("seq") + 1_000_000_000).alias("seq"), F.lit("node.remove").alias("type"), F.col("node").alias("id"), none("string").alias("status"), *rest)
-    return diff.apply_patches(nodes, edges, told.unionByName(gone))[0]
+    """Patches of every kind: a snapshot that replaces what was there, statuses and heat, a subtree, upserts that come last, removals."""
+    fns, calls, ev = graph.cut(v("fns").select("id", F.col("o_orderkey").cast("long").alias("k"))), graph.cut(v("call_edges").select("id", F.col("k").cast("long").alias("k"))), v("clv_events")
+    node, edge = "struct<id: string, status: string>", "struct<id: string, hot: boolean>"
+    none = {"id": "string", "status": "string", "hot": "boolean", "node": node, "edge": edge, "nodes": f"array<{node}>", "edges": f"array<{edge}>"}
+    patch = lambda df, seq, kind, **own: df.select(seq.cast("long").alias("seq"), F.lit(kind).alias("type"), *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+    last, k, struct_of = 10_000_000_000, F.col("k"), lambda id_, name, value: F.struct(id_.alias("id"), value.alias(name))
+    unknown, cold = struct_of(F.col("id"), "status", F.lit("unknown")), struct_of(F.col("id"), "hot", F.lit(False))
+    # A snapshot carries its rows in the patch; it is dealt into many patches of one seq, as large ones are.
+    parts = [
+        patch(fns, F.lit(-5), "snapshot", nodes=F.array(unknown)), patch(calls, F.lit(-5), "snapshot", edges=F.array(cold)),
+        patch(fns.where("k % 11 = 0"), F.lit(-4), "subtree", nodes=F.array(struct_of(F.concat(F.lit("sub:"), F.col("id")), "status", F.lit("running")))),
+        patch(ev.where("event = 'test' and seq % 2 = 0"), F.col("seq"), "test.result", id=F.col("node"), status=S.status_from_outcome("outcome")),
+        patch(ev.where("event = 'test' and seq % 2 = 1"), F.col("seq"), "status.update", id=F.col("node"), status=S.status_from_outcome("outcome")),
+        patch(ev.where("event = 'hotedge' and edge is not null"), F.col("seq"), "hot_edge", id=F.col("edge"), hot=S.hot_from_state("state")),
+        patch(fns.where("k % 3 = 0"), last + k, "node.upsert", id=F.col("id"), node=struct_of(F.col("id"), "status", F.lit("stale"))),
+        patch(calls.where("k % 8 = 3"), F.lit(-3), "edge.upsert", id=F.col("id"), edge=cold),
+        patch(fns.where("k % 5 = 0"), 2 * last + k, "node.remove", id=F.col("id")), patch(calls.where("k % 4 = 1"), last + k, "edge.remove", id=F.col("id")),
+    ]
+    before = fns.limit(0).sparkSession.range(3).select(F.concat(F.lit("old"), F.col("id").cast("string")).alias("id"))
+    nodes, edges = diff.apply_patches(before.withColumn("status", F.lit("passing")), before.withColumn("hot", F.lit(True)), graph.cut(reduce(DataFrame.unionByName, parts)))
+    return nodes.select(F.lit("node").alias("what"), "id", F.col("status").alias("state")).unionByName(edges.select(F.lit("edge").alias("what"), "id", F.when(F.col("hot"), "hot").otherwise("cold").alias("state")))
 
 
 @query("""WITH RECURSIVE up(id, top_, parent) AS (SELECT id, id, parent_id FROM old_nodes UNION ALL SELECT u.id, n.id, n.parent_id FROM up u JOIN old_nodes n ON u.parent = n.id), owner AS (SELECT id, any_value(top_) AS o FROM up WHERE top_ LIKE 'file:%' GROUP BY id)
@@ -482,20 +554,51 @@ def fold_agent_activity(v):
     return store.fold_agent_activity(_flat(v)).drop("id")
 
 
-@query("SELECT e.id, arg_max(c.state, c.seq) = 'enter' AS hot FROM call_edges e JOIN clv_events c ON c.edge = e.id GROUP BY e.id UNION ALL SELECT id, false FROM call_edges WHERE id NOT IN (SELECT edge FROM clv_events WHERE edge IS NOT NULL)")
+@query("SELECT e.id, arg_max(c.state, c.seq) = 'enter' AS hot FROM call_edges e JOIN clv_events c ON c.edge = e.id GROUP BY e.id UNION ALL SELECT e.id, false FROM call_edges e ANTI JOIN clv_events c ON c.edge = e.id")
 def fold_edges(v):
-    made = v("call_edges").select((F.col("k") - 1_000_000).alias("seq"), F.lit("edge.upsert").alias("type"), F.lit("s0").alias("session"), "id", F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("hot")).alias("row_edge"))
+    made = v("call_edges").select((-1 - F.col("k")).cast("long").alias("seq"), F.lit("edge.upsert").alias("type"), F.lit("s0").alias("session"), "id", F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("hot")).alias("row_edge"))
     return store.fold_edges(_flat(v).unionByName(made, allowMissingColumns=True)).select("id", "hot")
 
 
-@query("SELECT f.id, f.name AS label, 'unknown' AS status FROM fns f WHERE f.o_orderkey % 7 <> 3")
-def fold_nodes(v):
+def _node_patches(v) -> DataFrame:
+    """All envelopes, with functions that are upserted before them, some of which get a status and some of which go at the end."""
     none = lambda t: F.lit(None).cast(t)
-    shape = _flat(v).schema["row_node"].dataType
+    flat = _flat(v)
+    shape = flat.schema["row_node"].dataType
     row = F.struct(F.lit("function").alias("type"), F.col("name").alias("label"), F.concat(F.lit("file:"), "path").alias("parent_id"), F.lit("unknown").alias("status"), none("string").alias("docs"), none(shape["signature"].dataType).alias("signature"), none(shape["meta"].dataType).alias("meta"))
-    made = v("fns").select(F.col("o_orderkey").cast("long").alias("seq"), F.lit("node.upsert").alias("type"), F.lit("s0").alias("session"), "id", row.alias("row_node"))
-    gone = v("fns").where("o_orderkey % 7 = 3").select((F.col("o_orderkey") + 1_000_000_000).cast("long").alias("seq"), F.lit("node.remove").alias("type"), F.lit("s0").alias("session"), "id")
-    return store.fold_nodes(_flat(v).unionByName(made, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)).select("id", "label", "status")
+    key, fns = F.col("o_orderkey").cast("long"), v("fns")
+    made = fns.select((key - 1_000_000_000_000).alias("seq"), F.lit("node.upsert").alias("type"), F.lit("s0").alias("session"), "id", row.alias("row_node"))
+    told = fns.where("o_orderkey % 5 = 1").select((key + 1_000_000_000_000).alias("seq"), F.lit("status.update").alias("type"), F.lit("s0").alias("session"), F.col("id").alias("node"), F.lit("stale").alias("status"))
+    gone = fns.where("o_orderkey % 7 = 3").select((key + 2_000_000_000_000).alias("seq"), F.lit("node.remove").alias("type"), F.lit("s0").alias("session"), "id")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [flat, made, told, gone])
+
+
+_STORED = "SELECT f.id, f.name AS label, CASE WHEN f.o_orderkey % 5 = 1 THEN 'stale' ELSE 'unknown' END AS status FROM fns f WHERE f.o_orderkey % 7 <> 3"
+
+
+@query(_STORED)
+def fold_nodes(v):
+    return store.fold_nodes(_node_patches(v)).select("id", "label", "status")
+
+
+@query(_STORED)
+def load_graph(v):
+    """Nodes persisted in three batches, one of them twice, and loaded again by their session."""
+    every = graph.cut(_node_patches(v))
+    spark = every.sparkSession
+    base = f"{graph.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    for k, part in ((0, "seq < 0"), (1, "seq >= 0 and seq < 1000000000000"), (1, "seq >= 0 and seq < 1000000000000"), (2, "seq >= 1000000000000")):
+        store.persist_events(every.where(part), base, k)
+    nodes, _ = store.load_graph(spark, base, "s0")
+    return graph.for_session(nodes.withColumn("session_id", F.lit("s0")), "s0").select("id", "label", "status")
+
+
+@query("""SELECT a.pid AS process_id, a.status FROM (SELECT pid, coalesce(arg_max(session, seq) FILTER (WHERE full_), arg_min(session, seq)) AS session_id, CASE WHEN arg_max(full_, seq) THEN 'inactive' ELSE 'active' END AS status
+          FROM (SELECT *, event = 'activity' AND seq % 5 = 0 AS full_ FROM clv_events) GROUP BY pid) a WHERE a.session_id = (SELECT min(session) FROM clv_events) AND a.status = 'active'""")
+def session_agents(v):
+    """The active agents of the first session."""
+    first = v("clv_events").agg(F.min("session")).first()[0]
+    return overlay.session_agents(store.fold_agents(_flat(v)), first, "active").select("process_id", "status")
 
 
 @query("SELECT node AS node_id, ts, CASE event WHEN 'test' THEN 'test' ELSE 'activity' END AS kind, coalesce(outcome, action) AS what FROM clv_events WHERE event = 'test' OR event = 'activity' AND seq % 5 <> 0")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import meta_from_json, meta_json, signature_from_json, signature_json
+from .events import structured_only
 
 PERSISTED = ("test.result", "status.update", "hot_edge", "node.upsert", "edge.upsert", "agent.roster", "agent.activity")
 ACTING = ("test.result", "status.update", "hot_edge", "agent.activity")
@@ -108,7 +109,7 @@ FOLDS = {"sessions": fold_sessions, "agents": fold_agents, "protocol_versions":
 def _pointer(spark: SparkSession, base_path: str, name: str):
     """Latest version folder of a table, by the pointer rows that each commit adds."""
     try:
-        rows = spark.read.json(f"{base_path}/_versions").where(F.col("table") == name).orderBy(F.desc("batch")).limit(1).collect()
+        rows = spark.read.json(f"{base_path}/_versions").where(F.col("table") == name).orderBy(F.desc("at"), F.desc("batch")).limit(1).collect()
     except Exception as e:  # no commit yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -116,18 +117,27 @@ def _pointer(spark: SparkSession, base_path: str, name: str):
     return rows[0]["path"] if rows else None
 
 
-def persist_events(envelopes: DataFrame, base_path: str, batch: int = 0) -> None:
-    """Adds a batch of envelopes to the history and commits new versions of the seven tables.
+#: Tables of one row per event, which a batch only adds to; the others are folded by key.
+APPENDED = ("test_results", "agent_activity")
 
-    The history is appended under the batch's own folder (a repeated batch overwrites it), the tables are folded from all of it, and one pointer row per table makes the versions current.
+
+def persist_events(envelopes: DataFrame, base_path: str, batch: int) -> None:
+    """Adds batch number ``batch`` of envelopes to the history and commits new versions of the seven tables.
+
+    The history and the tables of one row per event are written under the batch's own folder, so a repeated batch replaces itself and no other. The keyed tables are folded from
+    the events that they need of the whole history, and one pointer row per table makes their versions current.
     """
     spark = envelopes.sparkSession
-    envelopes.where(~F.col("type").isin("snapshot", "subtree", "metrics.update")).write.mode("overwrite").parquet(f"{base_path}/history/batch={batch}")
-    history = spark.read.parquet(f"{base_path}/history").drop("batch")
+    structured_only(envelopes).write.mode("overwrite").parquet(f"{base_path}/history/batch={int(batch)}")
+    own, history = spark.read.parquet(f"{base_path}/history/batch={int(batch)}"), spark.read.parquet(f"{base_path}/history").drop("batch")
     version = uuid.uuid4().hex
     for name, fold in FOLDS.items():
-        fold(history).write.mode("overwrite").parquet(f"{base_path}/{name}/v-{version}")
-    spark.createDataFrame([(n, f"{base_path}/{n}/v-{version}", batch) for n in FOLDS], "table string, path string, batch long").write.mode("append").json(f"{base_path}/_versions")
+        if name in APPENDED:
+            fold(own).write.mode("overwrite").parquet(f"{base_path}/{name}/batch={int(batch)}")
+        else:
+            fold(history).write.mode("overwrite").parquet(f"{base_path}/{name}/v-{version}")
+    keyed = [(n, f"{base_path}/{n}/v-{version}", int(batch)) for n in FOLDS if n not in APPENDED]
+    spark.createDataFrame(keyed, "table string, path string, batch long").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{base_path}/_versions")
 
 
 def persist_stream(envelopes: DataFrame, base_path: str, checkpoint: str):
@@ -136,7 +146,10 @@ def persist_stream(envelopes: DataFrame, base_path: str, checkpoint: str):
 
 
 def load_table(spark: SparkSession, base_path: str, name: str) -> DataFrame | None:
-    path = _pointer(spark, base_path, name)
+    """The current rows of a table; None before the first commit."""
+    path = _pointer(spark, base_path, "sessions" if name in APPENDED else name)
+    if path and name in APPENDED:
+        return spark.read.parquet(f"{base_path}/{name}").drop("batch")
     return spark.read.parquet(path) if path else None
 
 

@@ -22,34 +22,36 @@ def _ms(ts) -> int:
     return int(pd.Timestamp(ts).value // 1_000_000)
 
 
-def _ordered(rows) -> list[tuple]:
-    """Rows of a key's pandas chunks in (ts, seq) order."""
+def _ordered(rows, *by: str) -> list[tuple]:
+    """Rows of a key's pandas chunks in (ts, seq) order, or that of ``by``."""
     frames = list(rows)
     if not frames:
         return []
-    return list(pd.concat(frames).sort_values(["ts", "seq"]).itertuples(index=False))
+    return list(pd.concat(frames).sort_values(list(by) or ["ts", "seq"]).itertuples(index=False))
 
 
 class LastValue(StatefulProcessor):
-    """Keeps a key's last value; gives a row for every change, or with ``every`` for every row."""
+    """Keeps a key's last value and its seq; gives a row for every change, or with ``every`` for every row. Rows behind the seq that is held come too late and change nothing."""
 
     def __init__(self, key: str, value: str, every: bool):
         self.key, self.value, self.every = key, value, every
 
     def init(self, handle) -> None:
         kind = "string" if self.value == "status" else "boolean"
-        self.state = handle.getValueState("last", f"value {kind}")
+        self.state = handle.getValueState("last", f"value {kind}, seq long")
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.state.get()[0] if self.state.exists() else None
+        last, seq = self.state.get() if self.state.exists() else (None, None)
         out = []
-        for r in _ordered(rows):
+        for r in _ordered(rows, "seq"):
+            if seq is not None and r.seq <= seq:
+                continue
             now, before = getattr(r, self.value), last if last is not None else getattr(r, "stored", None)
             if self.every or now != before:
                 out.append((key[0], now, r.seq))
-            last = now
+            last, seq = now, int(r.seq)
         if last is not None:
-            self.state.update((last,))
+            self.state.update((last, seq))
         yield pd.DataFrame(out, columns=[self.key, self.value, "seq"])
 
     def close(self) -> None:
@@ -231,18 +233,26 @@ def metrics_stream(envelopes: DataFrame, interval_ms: int = 2000, delay: str = D
     return counted.withColumn("events_per_sec_milli", F.expr(f"(n * 1000000) div {step}"))
 
 
-def fan_out(stream: DataFrame, sinks: list, checkpoint: str):
-    """One query that hands each batch to several sinks, callables of (frame, batch number)."""
+def fan_out(stream: DataFrame, sinks: list, checkpoint: str, every: str | None = None):
+    """One query that hands each batch to several sinks, callables of (frame, batch number); until the input ends, or a batch ``every`` so often."""
 
     def each(df: DataFrame, k: int) -> None:
         df.persist()
-        for sink in sinks:
-            sink(df, k)
-        df.unpersist()
+        try:
+            for sink in sinks:
+                sink(df, k)
+        finally:
+            df.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def bootstrap(snapshot: DataFrame, roster: DataFrame, later: DataFrame, seq: int) -> DataFrame:
+    """(step, seq, type, body): what a late consumer gets, in order of step and seq. First the snapshot's rows at ``seq``, then the roster's if it has any, then the later events.
 
-def bootstrap(snapshot: DataFrame, roster: DataFrame, later: DataFrame, seq: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What a late consumer gets: the snapshot at ``seq``, the roster, and what came after; replay of duplicates is harmless."""
-    return snapshot, roster, later.where(F.col("seq") > seq)
+    body is the row as JSON; replay of duplicates is harmless.
+    """
+    told = lambda df, step, at, kind: df.select(F.lit(step).alias("step"), at.cast("long").alias("seq"), kind.alias("type"), F.to_json(F.struct(*df.columns)).alias("body"))
+    first = told(snapshot, 0, F.lit(seq), F.lit("snapshot")).unionByName(told(roster, 1, F.lit(seq), F.lit("agent.roster")))
+    return first.unionByName(told(later.where(F.col("seq") > seq), 2, F.col("seq"), F.col("type")))
