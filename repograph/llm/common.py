@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +52,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held.
+
+    It does so when the driver collects its garbage, and needs two rounds: the first frees the frames, the second what only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
