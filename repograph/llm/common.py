@@ -51,15 +51,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held.
+def sweep(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held, which it does when the driver collects its garbage.
 
-    It does so when the driver collects its garbage, and needs two rounds: the first frees the frames, the second what only they held.
+    Threads of the last job hold its frames for up to a second, so before a large shuffle it is worth to ``wait`` and collect again.
     """
-    for _ in range(2):
-        gc.collect()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(wait)
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

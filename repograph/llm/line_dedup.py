@@ -491,7 +491,7 @@ def near_lines(blocks: DataFrame, docs: DataFrame, params: LineParams, partition
     Within a piece of a bucket all lines are compared at once; over the pieces of large buckets only those outside the bucket's main component.
     """
     met = cut(_meetings(blocks, partitions, params.block))
-    sweep(docs.sparkSession)  # the segments' shuffle goes before the texts' begins
+    sweep(docs.sparkSession, 1.5)  # the segments' shuffle goes before the texts' begins
     lines = cut(_texts_of(docs, params).join(met.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]))
     sweep(docs.sparkSession)
     yes = F.lit(True)
