@@ -11,6 +11,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,3 +131,47 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(told("base")), 256).alias("base_sha256"),
         F.expr(told("spans")).alias("spans"),
     )
+
+
+def _for_duckdb(p: Pattern) -> tuple[str, str]:
+    """(pattern, condition on the match m and group g) for DuckDB, whose patterns know neither lookarounds nor ASCII case folding.
+
+    Runs of the class that a lookbehind excludes are matched whole; of runs of digits and dots the addresses are kept.
+    """
+    either = lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")"
+    folded = re.sub(r"\(\?i:((?:[^()]|\([^()]*\))*)\)", either, p.regex)
+    runs = re.sub(r"\(\?<![^)]*\)|\}\+(?=$|=)", lambda m: "}" if m[0] == "}+" else "", folded)
+    runs = re.sub(r"\[0-9\]\{1,3\}.*$", "[0-9.]+", runs)
+    fits = f"length(g) BETWEEN {p.shortest} AND {p.longest}"
+    if runs.endswith("[0-9.]+"):
+        fits += r" AND (contains(m, '://') OR regexp_full_match(m, '[0-9]{1,3}(\.[0-9]{1,3}){3}'))"
+    for ahead in re.findall(r"\(\?=\.\*(\[[^]]+\])\)", p.also or ""):
+        fits += f" AND regexp_matches(m, '{ahead}')"
+    return runs.replace("'", "''"), fits
+
+
+def secrets_sql(documents: str = "documents", scope: int = 200) -> str:
+    """The rows of ``op9_secrets`` in DuckDB SQL; weak parts are held against all parts of their text."""
+    places = []
+    for rank, p in enumerate([*STRONG, *WEAK]):
+        r, fits = _for_duckdb(p)
+        places.append(f"""
+        SELECT r, '{p.kind}' AS kind, {rank} AS rank, '{p.part}' AS part, s AS "start", s + length(m) AS "end"
+        FROM (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY r ORDER BY i) + coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+              FROM (SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(pieces[1:len(ms)]) AS piece
+                    FROM (SELECT r, regexp_extract_all(t, '{r}', 0) AS ms, regexp_extract_all(t, '{r}', {p.group}) AS gs, string_split_regex(t, '{r}') AS pieces
+                          FROM texts WHERE regexp_matches(t, '{r}'))))
+        WHERE {fits}""")
+    told = """coalesce(string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", rank, "end"){}, '')"""
+    strong = f"FILTER (WHERE rank < {len(STRONG)})"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{p.kind}') AS n_{p.kind}" for p in STRONG)
+    return f"""
+    WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {documents}),
+    parts AS MATERIALIZED ({" UNION ALL ".join(places)}),
+    met AS (SELECT p.r, p.kind, p.rank, p."start", p."end"
+            FROM parts p JOIN parts c ON p.r = c.r AND (p."start" - c."end" BETWEEN 0 AND {scope} OR c."start" - p."end" BETWEEN 0 AND {scope})
+            WHERE p.rank >= {len(STRONG)} AND (CASE p.part WHEN 'identifier' THEN c.part = 'secret' WHEN 'secret' THEN c.part = 'identifier' ELSE c.part IN ('identifier', 'secret') END)
+            GROUP BY ALL HAVING count(DISTINCT c.part) = CASE any_value(p.part) WHEN 'endpoint' THEN 2 ELSE 1 END),
+    spans AS (SELECT r, kind, rank, "start", "end" FROM parts WHERE rank < {len(STRONG)} UNION ALL SELECT r, kind, rank, "start", "end" FROM met)
+    SELECT any_value(doc_id) AS doc_id, {counts}, sha256({told.format(" " + strong)}) AS base_sha256, {told.format("")} AS spans
+    FROM texts LEFT JOIN spans USING (r) GROUP BY r"""
