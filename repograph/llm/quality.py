@@ -223,4 +223,41 @@ def apply_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     out = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rules_failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rules_failed", ",").alias("rules_failed"))
+
+
+def quality_sql(documents: str = "documents", labels: str = "labels", params: QualityParams = QualityParams()) -> str:
+    """The rows of ``op8_quality`` in DuckDB SQL, from the counts by plain windows to the binomial tests by their sums."""
+    p = params
+    cutoff = lambda rule, g: f"(CASE {rule} " + " ".join(f"WHEN '{r}' THEN {hi} * pow({lo / hi}, ({g}) / {float(p.steps - 1)})" for r, (_, hi, lo) in p.rules.items()) + " END)"
+    gain = "caught / greatest(n_junk, 1) - false_rejects / greatest(n_good, 1)"
+    tail = f"""(CASE WHEN false_rejects > n_good * {p.alpha} THEN 1 ELSE list_sum([exp(lgamma(n_good + 1.0) - lgamma(j + 1.0) - lgamma(n_good - j + 1.0) + j * ln({p.alpha}) + (n_good - j) * ln(1 - {p.alpha}))
+                FOR j IN range(0, CAST(false_rejects AS BIGINT) + 1)]) END)"""
+    tried = lambda rows, by: f"""SELECT {by}, g, sum(CASE WHEN cell <= g THEN good ELSE 0 END) AS false_rejects, sum(CASE WHEN cell <= g THEN junk ELSE 0 END) AS caught, sum(good) AS n_good, sum(junk) AS n_junk
+            FROM {rows}, (SELECT unnest(range(0, {p.steps})) AS g) GROUP BY {by}, g"""
+    return rf"""
+    WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t FROM {documents}),
+    split AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+    words AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM split),
+    windows AS (SELECT *, lead(a) OVER (PARTITION BY r ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM words),
+    twice AS (SELECT r, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+    repeats AS (SELECT r, sum(covered) AS n FROM (SELECT r, least(3, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 3)) AS covered FROM twice) GROUP BY r),
+    counts AS MATERIALIZED (SELECT r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(l) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_capitals FROM texts JOIN split USING (r) LEFT JOIN repeats USING (r)),
+    judged AS MATERIALIZED (SELECT *, n_words < {p.min_words} OR 100 * n_repeat_words > {p.max_repeat_percent} * n_words AS base_failed FROM counts),
+    shares AS MATERIALIZED ({" UNION ALL ".join(f"SELECT r, doc_id, stratum, base_failed, {k} AS k, '{rule}' AS rule, {share} AS share FROM judged" for k, (rule, (share, _, _)) in enumerate(p.rules.items()))}),
+    marks AS (SELECT doc_id, min(quality) AS quality FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    known AS MATERIALIZED (SELECT r, stratum, rule, left(md5(CAST(doc_id AS VARCHAR)), 1) < '{p.tuning_below}' AS tunes, CAST(quality = 1 AS BIGINT) AS good, CAST(quality = 0 AS BIGINT) AS junk,
+        len(list_filter(range(0, {p.steps}), lambda g: share <= {cutoff("rule", "g")})) AS cell FROM shares JOIN marks USING (doc_id) WHERE NOT base_failed),
+    ends AS MATERIALIZED (SELECT stratum, rule, g AS last FROM ({tried("(SELECT * FROM known WHERE tunes)", "stratum, rule")})
+        WHERE false_rejects <= {p.alpha} * n_good AND {gain} >= {p.min_gain} QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY {gain} DESC, g) = 1),
+    falls AS (SELECT k.r, k.stratum, any_value(good) AS good, any_value(junk) AS junk, coalesce(min(cell) FILTER (WHERE cell <= last), {p.steps}) AS cell
+        FROM known k JOIN (SELECT DISTINCT stratum FROM ends) s ON k.stratum = s.stratum LEFT JOIN ends e ON k.stratum = e.stratum AND k.rule = e.rule WHERE NOT tunes GROUP BY k.r, k.stratum),
+    path AS MATERIALIZED (SELECT * FROM ({tried("falls", "stratum")})),
+    tested AS (SELECT *, coalesce(min(CASE WHEN n_good = 0 OR {tail} > {p.delta} / (SELECT count(DISTINCT stratum) FROM falls) THEN g END) OVER (PARTITION BY stratum), {p.steps}) AS stop FROM path),
+    chosen AS (SELECT stratum, g FROM tested WHERE g < stop AND {gain} >= {p.min_gain} QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {gain} DESC, g) = 1),
+    cutoffs AS MATERIALIZED (SELECT stratum, rule, {cutoff("rule", "least(g, last)")} AS cutoff FROM chosen JOIN ends USING (stratum)),
+    failed AS (SELECT r, string_agg(rule, ',' ORDER BY k) AS rules_failed FROM shares JOIN cutoffs USING (stratum, rule) WHERE share > cutoff GROUP BY r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules_failed IS NULL AS kept, coalesce(rules_failed, '') AS rules_failed
+    FROM judged LEFT JOIN failed USING (r)"""

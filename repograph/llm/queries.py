@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 from .mixing import mix_sql
+from .quality import quality_sql
 from .secrets import secrets_sql
 from .warc import OP4_SQL
 
@@ -23,7 +24,7 @@ QUERIES = {
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
-ORACLES: dict[str, str] = {"op4_fixity": OP4_SQL, "op6_mixing": mix_sql(), "op9_secrets": secrets_sql()}
+ORACLES: dict[str, str] = {"op4_fixity": OP4_SQL, "op6_mixing": mix_sql(), "op8_quality": quality_sql(), "op9_secrets": secrets_sql()}
 
 
 def queries() -> dict:
