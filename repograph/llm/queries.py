@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .collocation import collocations_sql
 from .mixing import mix_sql
 from .quality import quality_sql
 from .secrets import secrets_sql
@@ -21,10 +22,11 @@ QUERIES = {
     "op8_quality": "quality",
     "op10_nearest": "anisotropic",
     "op9_secrets": "secrets",
+    "op11_collocations": "collocation",
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
-ORACLES: dict[str, str] = {"op4_fixity": OP4_SQL, "op6_mixing": mix_sql(), "op8_quality": quality_sql(), "op9_secrets": secrets_sql()}
+ORACLES: dict[str, str] = {"op4_fixity": OP4_SQL, "op6_mixing": mix_sql(), "op8_quality": quality_sql(), "op9_secrets": secrets_sql(), "op11_collocations": collocations_sql()}
 
 
 def queries() -> dict:
