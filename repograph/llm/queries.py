@@ -23,6 +23,7 @@ QUERIES = {
     "op10_nearest": "anisotropic",
     "op9_secrets": "secrets",
     "op11_collocations": "collocation",
+    "op12_spelling": "spelling",
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
