@@ -24,6 +24,7 @@ QUERIES = {
     "op9_secrets": "secrets",
     "op11_collocations": "collocation",
     "op12_spelling": "spelling",
+    "op13_main_text": "wrappers",
 }
 
 #: query name -> DuckDB SQL with the same result; queries without an entry are tested against brute force
