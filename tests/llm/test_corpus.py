@@ -257,11 +257,31 @@ def leave(rng, tables, dish):
     return False
 
 
-def test_context_probabilities_against_customers_one_by_one(spark):
-    """The model's averaged probabilities against a Gibbs sampler that keeps every table and moves one customer at a time."""
-    p = pitman_yor.ModelParams(frequent=3, endings=2, sweeps=90, burn=10)
+def chain(counts, p):
+    """The sampler's chain in one process: contexts given the parent, the parent given the contexts, probabilities averaged."""
+    k, n = p.classes, len(counts)
+    (d, d0, _), (s, s0, _) = p.discounts, p.strengths
+    c, held = np.array(counts), [np.minimum(r, 1).astype(float) for r in np.array(counts)]
+    parent, t0, kept = np.full(k, 1 / k), np.zeros(k), np.zeros((n, k))
+    for sweep in range(p.sweeps):
+        held = [pitman_yor.sweep_tables(c[u], held[u], parent, d, s, np.random.default_rng([p.seed, sweep, u])) for u in range(n)]
+        up = np.sum(held, axis=0)
+        t0 = np.minimum(np.maximum(t0, np.minimum(up, 1)), up)
+        t0 = pitman_yor.sweep_tables(up.astype(np.int64), t0, np.full(k, 1 / k), d0, s0, np.random.default_rng([p.seed, sweep, k]))
+        parent = (np.maximum(up - d0 * t0, 0) + (s0 + d0 * t0.sum()) / k) / (s0 + up.sum())
+        if sweep >= p.burn:
+            kept += [(np.maximum(c[u] - d * t, 0) + (s + d * t.sum()) * parent) / (s + c[u].sum()) for u, t in enumerate(held)]
+    return kept / (p.sweeps - p.burn)
+
+
+SEATED = [[0, 7, 1, 0, 2, 12], [3, 0, 0, 1, 0, 0], [20, 1, 5, 0, 0, 2], [0, 0, 0, 0, 1, 0]]
+
+
+def test_context_probabilities_against_customers_one_by_one():
+    """The chain's averaged probabilities against a Gibbs sampler that keeps every table and moves one customer at a time; both run until their noise is far below the bound."""
+    p = pitman_yor.ModelParams(frequent=3, endings=2, sweeps=5000, burn=50)
     k, rng = p.classes, random.Random(7)
-    counts = [[0, 7, 1, 0, 2, 12], [3, 0, 0, 1, 0, 0], [20, 1, 5, 0, 0, 2], [0, 0, 0, 0, 1, 0]]
+    counts = SEATED
     (d, d0, _), (s, s0, _) = p.discounts, p.strengths
     rests, top = [{} for _ in counts], {}
 
@@ -270,7 +290,7 @@ def test_context_probabilities_against_customers_one_by_one(spark):
         return (n - d0 * len(top.get(w, [])) + (s0 + d0 * sum(map(len, top.values()))) / k) / (s0 + total)
 
     mean, kept = np.zeros((len(counts), k)), 0
-    for sweep in range(400):
+    for sweep in range(5000):
         for rest, row in zip(rests, counts):
             for w, c in enumerate(row):
                 for _ in range(c):
@@ -284,9 +304,14 @@ def test_context_probabilities_against_customers_one_by_one(spark):
                 total = sum(map(len, rest.values()))
                 for w, c in enumerate(row):
                     mean[u, w] += (max(c - d * len(rest.get(w, [])), 0) + (s + d * total) * up(w)) / (s + sum(row))
-    rows = [(u, pitman_yor._packed(np.flatnonzero(r)), pitman_yor._packed(np.array(r)[np.flatnonzero(r)])) for u, r in enumerate(counts)]
+    assert np.abs(chain(counts, p) / (mean / kept) - 1).max() < 0.06
+
+
+def test_contexts_are_sampled_as_in_one_process(spark):
+    p = pitman_yor.ModelParams(frequent=3, endings=2, sweeps=6, burn=2)
+    rows = [(u, pitman_yor._packed(np.flatnonzero(r)), pitman_yor._packed(np.array(r)[np.flatnonzero(r)])) for u, r in enumerate(SEATED)]
     got = pitman_yor.sample_contexts(spark.createDataFrame(rows, "context int, dishes binary, counts binary"), p)
-    assert np.abs(got[: len(counts)] / (mean / kept) - 1).max() < 0.1
+    assert np.allclose(got[: len(SEATED)], chain(SEATED, p), rtol=1e-12)
 
 
 def test_pitman_yor_probabilities_sum_to_one(spark):
