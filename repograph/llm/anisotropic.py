@@ -8,7 +8,8 @@ A query scans the codes of the cells that it probes through two-nibble tables, a
 Centres, codebooks and the number of probes are fitted on a sample of at most ``sample`` vectors (those of least hash), the only bound that
 doesn't follow the data; every vector is indexed. The probes are the fewest that find ``recall`` of the sample's true neighbours. Cells of more than ``block`` rows
 are dealt into pieces, and a query goes to each piece, so a vector that fills a third of the table is scanned by many tasks; all rows of one score are measured together,
-so repeated vectors don't crowd out others. Pieces return ten rows a query, which are ranked by distance and vec_id.
+so repeated vectors don't crowd out others. Pieces return ten rows a query, which are ranked by distance and vec_id. A query that gets fewer than ``k`` from its cells
+goes to all of them, so it gets ``k`` rows or all candidates. Cells, codes and scores are of vectors divided by a power of two near the table's largest component, so that squares stay finite.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part; rows that share a vec_id count
 once, at their nearest; a query whose vec_id has several vectors uses the least of them; fewer candidates than ``k`` are all returned; other columns are ignored.
@@ -155,15 +156,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
     kind, width = ("float", "<f4") if vectors.schema[embedding].dataType.elementType.typeName() == "float" else ("double", "<f8")
     clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     all_rows = clean(vectors)
-    sizes = all_rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = all_rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    d, n = sizes[0]["d"], sizes[0]["n"]
+    d, n, most = sizes[0]["d"], sizes[0]["n"], float(sizes[0]["most"])
+    scale = float(2.0 ** np.floor(np.log2(most)))
     all_rows = all_rows.where(F.size("v") == d)
     asked = clean(queries).where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
     sample = all_rows.select("v").orderBy(F.xxhash64("vec_id"), "v").limit(p.sample).toPandas()["v"]
-    index = spark.sparkContext.broadcast(fit_index(np.stack(sample.to_numpy()), n, p))
+    index = spark.sparkContext.broadcast(fit_index(np.stack(sample.to_numpy()).astype(np.float64) / scale, n, p))
     t = p.threshold
     eta = max(1.0, (d - 1) * t * t / (1 - t * t))
 
@@ -173,20 +175,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _matrix(part.column(1), d)
-                low = x.astype(np.float32)
+                low = (x / scale).astype(np.float32)
                 cell = ix.order(low)[:, 0]
                 codes = assign_codes(ix.residual_pairs(low, cell), _directions(low), ix.books, eta)
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
                 yield pa.record_batch([part.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "code", "v"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), d)
-                cells = ix.order(x.astype(np.float32))[:, : ix.probes]
+                cells = ix.order((x / scale).astype(np.float32))[:, : None if every else ix.probes]
                 row = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
                 raw = pa.array([v.tobytes() for v in x], pa.binary())
                 yield pa.record_batch([part.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), raw.take(row)], names=["id", "cell", "v"])
@@ -195,10 +197,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
     counts = placed.groupBy("cell").agg(F.count("*").alias("_n"))
     pieces = cut(counts.select("cell", F.ceil(F.col("_n") / p.block).cast("int").alias("_g")))  # at most ``cells`` rows
     rows = placed.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("_g").cast("long")).cast("int"))
-    probes = asked.repartition(shuffle_partitions(spark)).mapInArrow(probe, "id long, cell int, v binary")
-    probes = probes.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.expr("sequence(0, _g - 1)")))
-    both = rows.select("cell", "piece", F.lit(1).alias("side"), "id", "code", "v").unionByName(probes.select("cell", "piece", F.lit(0).alias("side"), "id", F.lit(None).cast("binary").alias("code"), "v"))
-    both = both.withColumn("spot", F.col("cell").cast("long") * (1 << 31) + F.col("piece"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -212,29 +210,49 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
                 raw = t.column("v").slice(b, e - b).combine_chunks().to_pylist()
                 v = np.frombuffer(b"".join(raw), dtype=width).reshape(e - b, d)
                 code = np.frombuffer(b"".join(t.column("code").slice(split, e - split).combine_chunks().to_pylist()), dtype=np.uint8).reshape(e - split, -1)
-                yield _scan(ids[b:split], v[: split - b], ids[split:e], v[split - b :], code, ix, int(spot[b] >> 31), p)
-
-    dealt = both.select("spot", "side", "id", "code", "v").repartition(max(shuffle_partitions(spark), 2), "spot").sortWithinPartitions("spot", "side", "id")
-    found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
-
-
-def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code: np.ndarray, index: Index, cell: int, p: SearchParams) -> pa.RecordBatch:
+                yield _scan(ids[b:split], v[: split - b], ids[split:e], v[split - b :], code, ix, int(spot[b] >> 31), p, scale)
+
+    def answers(queries: DataFrame, every: bool) -> DataFrame:
+        """(query_id, vec_id, score): the nearest of the cells that each query probes, or of all."""
+        probes = queries.repartition(shuffle_partitions(spark)).mapInArrow(lambda batches: probe(batches, every), "id long, cell int, v binary")
+        probes = probes.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.expr("sequence(0, _g - 1)")))
+        both = rows.select("cell", "piece", F.lit(1).alias("side"), "id", "code", "v").unionByName(probes.select("cell", "piece", F.lit(0).alias("side"), "id", F.lit(None).cast("binary").alias("code"), "v"))
+        both = both.withColumn("spot", F.col("cell").cast("long") * (1 << 31) + F.col("piece"))
+        dealt = both.select("spot", "side", "id", "code", "v").repartition(max(shuffle_partitions(spark), 2), "spot").sortWithinPartitions("spot", "side", "id")
+        found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def first(best: DataFrame) -> DataFrame:
+        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+        return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+    best = first(answers(asked, False))
+    if index.value.probes == len(index.value.centres):
+        return best
+    best = cut(best)
+    full = best.where(F.col("rank") == p.k).select(F.col("query_id").alias("vec_id"))
+    short = cut(asked.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return best
+    return best.join(short, F.col("query_id") == short["vec_id"], "left_anti").unionByName(first(answers(short, True)))
+
+
+def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code: np.ndarray, index: Index, cell: int, p: SearchParams, scale: float) -> pa.RecordBatch:
     """The nearest rows of one piece of a cell for each query that probes it."""
-    half = (x.astype(np.float64) ** 2).sum(axis=1).astype(np.float32) / 2
     exact = x.astype(np.float64)
+    half = ((exact / scale) ** 2).sum(axis=1) / 2
+    unit = scale if not 2.0**-400 < scale < 2.0**400 else 1.0  # squares of differences stay in range; dividing by a power of two is exact
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     m = index.books.shape[0]
     at = code.T.astype(np.intp)
     for k, one in enumerate(q):
-        pairs = (np.pad(one.astype(np.float32), (0, 2 * m - len(one)))).reshape(m, 2)
+        low_q = (one / scale).astype(np.float32)
+        pairs = np.pad(low_q, (0, 2 * m - len(one))).reshape(m, 2)
         low = np.einsum("jcd,jd->jc", index.books, pairs)
         if m % 2:
             low = np.concatenate([low, np.zeros((1, 16), dtype=low.dtype)])
         tables = (low[1::2, :, None] + low[0::2, None, :]).reshape(len(low) // 2, 256)  # a byte holds two nibbles
-        score = float(one @ index.centres[cell]) - half
+        score = float(low_q @ index.centres[cell]) - half
         for j in range(len(tables)):
             score = score + tables[j].take(at[j])
         score[ids == q_ids[k]] = -np.inf
@@ -243,7 +261,7 @@ def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code
             top = np.unique(score)
             some = np.flatnonzero(score >= top[max(0, len(top) - p.rerank)])
         some = some[ids[some] != q_ids[k]]
-        distance = np.sqrt(((exact[some] - one.astype(np.float64)) ** 2).sum(axis=1))
+        distance = np.sqrt(((exact[some] / unit - one.astype(np.float64) / unit) ** 2).sum(axis=1)) * unit
         order = np.lexsort((ids[some], distance))
         if len(order) > p.k:
             _, first = np.unique(ids[some][order], return_index=True)  # rows that share a vec_id count once

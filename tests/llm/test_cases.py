@@ -249,3 +249,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in told:
         got[r.doc_id] += r.length / r.doc_tokens
     assert {k: round(v, 6) for k, v in got.items()} == {k: float(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e22, 1e200, 1e-200])
+def test_nearest_is_complete_far_from_the_rest_and_at_any_size(spark, scale):
+    """Four vectors lie in a cell of their own; their queries find ten rows all the same, whatever the size of the numbers."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 8))
+    x[:4] += 300
+    x *= scale
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [0, 1, 700, 1200]
+    got = anisotropic.nearest(d, d.where(F.col("vec_id").isin(asked)), anisotropic.SearchParams(cell=100)).collect()
+    unit = x / scale
+    for q in asked:
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        distance = np.sqrt(((unit - unit[q]) ** 2).sum(axis=1)) * scale
+        distance[q] = np.inf
+        true = np.lexsort((np.arange(len(x)), distance))[:10]
+        assert [r[0] for r in mine] == list(range(1, 11)) and len({r[1] for r in mine} & set(true.tolist())) >= 9
+        assert np.allclose([r[2] for r in mine], [distance[r[1]] for r in mine], rtol=1e-12)
+        assert q > 3 or {r[1] for r in mine[:3]} == {0, 1, 2, 3} - {q}
