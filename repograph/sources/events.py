@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ENVELOPE_TYPES, EVENT, MOST_LONG, MOST_PID, OUTCOMES
+from .tail import followed_lines
 
 #: Fixed value: the mark that opens a tagged line, with its space.
 TAG = "#CLV1 "
 
 
 def read_tagged_log(spark: SparkSession, path: str, streaming: bool = False, max_line_bytes: int = 65536) -> DataFrame:
-    """Lines (column value) of closed log files with their total order seq; longer lines are dropped, a trailing carriage return too, invalid UTF-8 is replaced.
+    """Lines (column value) of log files with their total order seq; longer lines are dropped, a trailing carriage return too, invalid UTF-8 is replaced.
 
-    seq is a struct: time and path of the file, the first byte of the block and the line's place in what its task reads, which follows the block.
+    Closed files are read in batch by Spark's own text source: seq is a struct of time and path of the file, the first byte of the block and the line's place in what its task reads, which
+    follows the block. A stream follows growing files (see ``tail``): seq is a decimal, and ts, file come with it.
     """
-    reader = spark.readStream if streaming else spark.read
-    lines = reader.format("text").option("lineSep", "\n").load(path)
+    if streaming:
+        return followed_lines(spark, path, True, max_line_bytes)
+    lines = spark.read.format("text").option("lineSep", "\n").load(path)
     place = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     own = lines.select(place.alias("seq"), "value")
     return own.where(F.octet_length("value") <= max_line_bytes).select("seq", F.make_valid_utf8(F.regexp_replace("value", r"\r\z", "")).alias("value"))

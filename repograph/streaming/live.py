@@ -1,6 +1,6 @@
 """Continuous forms of the folds, with keyed state.
 
-Rows carry ts (timestamp) and a total order seq; within a batch they are taken in that order. Late rows, behind the watermark, are dropped by Spark.
+Rows carry ts (timestamp) and a total order seq, a whole number of any type (``seq`` of a followed log is a decimal); within a batch they are taken in that order. Late rows, behind the watermark, are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ def _ms(ts) -> int:
     return int(pd.Timestamp(ts).value // 1_000_000)
 
 
+def _seq_type(df: DataFrame) -> str:
+    return df.schema["seq"].dataType.simpleString()
+
+
 def _ordered(rows, *by: str) -> list[tuple]:
     """Rows of a key's pandas chunks in (ts, seq) order, or that of ``by``."""
     frames = list(rows)
@@ -33,12 +37,12 @@ def _ordered(rows, *by: str) -> list[tuple]:
 class LastValue(StatefulProcessor):
     """Keeps a key's last value and its seq; gives a row for every change, or with ``every`` for every row. Rows behind the seq that is held come too late and change nothing."""
 
-    def __init__(self, key: str, value: str, every: bool):
-        self.key, self.value, self.every = key, value, every
+    def __init__(self, key: str, value: str, every: bool, seq: str):
+        self.key, self.value, self.every, self.seq = key, value, every, seq
 
     def init(self, handle) -> None:
         kind = "string" if self.value == "status" else "boolean"
-        self.state = handle.getValueState("last", f"value {kind}, seq long")
+        self.state = handle.getValueState("last", f"value {kind}, seq {self.seq}")
 
     def handleInputRows(self, key, rows, timerValues):
         last, seq = self.state.get() if self.state.exists() else (None, None)
@@ -49,7 +53,7 @@ class LastValue(StatefulProcessor):
             now, before = getattr(r, self.value), last if last is not None else getattr(r, "stored", None)
             if self.every or now != before:
                 out.append((key[0], now, r.seq))
-            last, seq = now, int(r.seq)
+            last, seq = now, r.seq if self.seq.startswith("decimal") else int(r.seq)
         if last is not None:
             self.state.update((last, seq))
         yield pd.DataFrame(out, columns=[self.key, self.value, "seq"])
@@ -62,14 +66,14 @@ def live_status(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, status, seq) of every test and status of a known node, as they come."""
     told = events.where("event in ('test', 'status')").select("node", status_from_outcome("outcome").alias("status"), "seq", "ts").where("status is not null")
     known = told.join(nodes.select(F.col("id").alias("_i")).distinct(), F.col("node") == F.col("_i"), "left_semi")
-    return known.groupBy("node").transformWithStateInPandas(LastValue("node", "status", True), "node string, status string, seq long", "Append", "None")
+    return known.groupBy("node").transformWithStateInPandas(LastValue("node", "status", True, _seq_type(told)), f"node string, status string, seq {_seq_type(told)}", "Append", "None")
 
 
 def live_heat(events: DataFrame, edges: DataFrame) -> DataFrame:
     """(edge, hot, seq) of every change of a known edge's heat."""
     told = events.where("event = 'hotedge'").select("edge", hot_from_state("state").alias("hot"), "seq", "ts").where("hot is not null")
     known = told.join(edges.select(F.col("id").alias("edge"), F.col("hot").alias("stored")), "edge")
-    return known.groupBy("edge").transformWithStateInPandas(LastValue("edge", "hot", False), "edge string, hot boolean, seq long", "Append", "None")
+    return known.groupBy("edge").transformWithStateInPandas(LastValue("edge", "hot", False, _seq_type(told)), f"edge string, hot boolean, seq {_seq_type(told)}", "Append", "None")
 
 
 class Roster(StatefulProcessor):
@@ -166,7 +170,7 @@ class Throttle(StatefulProcessor):
 def throttle_stream(events: DataFrame, window_ms: int = 100, enter_cap: int = 2, exit_cap: int = 1, delay: str = DELAY) -> DataFrame:
     """(edge, state, seq) of the rows that pass."""
     own = events.where("state in ('enter', 'exit')").select("edge", "state", "seq", "ts").withWatermark("ts", delay)
-    return own.groupBy("edge", "state").transformWithStateInPandas(Throttle(window_ms, enter_cap, exit_cap), "edge string, state string, seq long", "Append", "EventTime")
+    return own.groupBy("edge", "state").transformWithStateInPandas(Throttle(window_ms, enter_cap, exit_cap), f"edge string, state string, seq {_seq_type(own)}", "Append", "EventTime")
 
 
 class Debounce(StatefulProcessor):
