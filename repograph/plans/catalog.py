@@ -581,16 +581,52 @@ def fold_nodes(v):
     return store.fold_nodes(_node_patches(v)).select("id", "label", "status")
 
 
-@query(_STORED)
+def _stored_batches(v) -> list[DataFrame]:
+    """The envelopes of functions and call edges in four batches, one of them twice; nodes and edges are of session s0 or s1 by their key."""
+    session = lambda k: F.when(k % 2 == 0, "s0").otherwise("s1")
+    edge = F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("hot"))
+    calls = v("call_edges").select((F.col("k").cast("long") - 3_000_000_000_000).alias("seq"), F.lit("edge.upsert").alias("type"), session(F.col("k")).alias("session"), "id", edge.alias("row_edge"))
+    gone = v("call_edges").where("k % 11 = 4").select((F.col("k").cast("long") + 3_000_000_000_000).alias("seq"), F.lit("edge.remove").alias("type"), F.lit("s1").alias("session"), "id")
+    patches = _node_patches(v).withColumn("session", F.when(F.col("type").startswith("node."), session(F.regexp_extract("id", ":o([0-9]+)$", 1).cast("long"))).otherwise(F.col("session")))
+    every = graph.cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [patches, calls, gone]))
+    parts = ("seq < -500000000000", "seq >= -500000000000 and seq < 1000", "seq >= -500000000000 and seq < 1000", "seq >= 1000 and seq < 1000000000000", "seq >= 1000000000000")
+    return [every.where(p) for p in parts]
+
+
+_HEAT = "(SELECT edge, arg_max(state, seq) = 'enter' AS hot FROM clv_events WHERE event = 'hotedge' AND edge IS NOT NULL GROUP BY edge)"
+
+
+@query(f"""SELECT 'node' AS what, f.id, f.name AS label, CASE WHEN f.o_orderkey % 5 = 1 THEN 'stale' ELSE 'unknown' END AS state FROM fns f WHERE f.o_orderkey % 7 <> 3 AND f.o_orderkey % 2 = 1
+           UNION ALL SELECT 'edge', e.id, 'calls', CASE WHEN coalesce(h.hot, false) THEN 'hot' ELSE 'cold' END FROM call_edges e LEFT JOIN {_HEAT} h ON e.id = h.edge WHERE e.k % 2 = 1 AND e.k % 11 <> 4""")
 def load_graph(v):
-    """Nodes persisted in three batches, one of them twice, and loaded again by their session."""
-    every = graph.cut(_node_patches(v))
-    spark = every.sparkSession
+    """Nodes and edges persisted batch by batch, one batch twice, and loaded again by one of two sessions."""
+    batches = _stored_batches(v)
+    spark = batches[0].sparkSession
     base = f"{graph.shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    for k, part in ((0, "seq < 0"), (1, "seq >= 0 and seq < 1000000000000"), (1, "seq >= 0 and seq < 1000000000000"), (2, "seq >= 1000000000000")):
-        store.persist_events(every.where(part), base, k)
-    nodes, _ = store.load_graph(spark, base, "s0")
-    return graph.for_session(nodes.withColumn("session_id", F.lit("s0")), "s0").select("id", "label", "status")
+    for k, part in zip((0, 1, 1, 2, 3), batches):
+        store.persist_events(part, base, k, buckets=4, most=2000)
+    nodes, edges = store.load_graph(spark, base, "s1")
+    told = nodes.select(F.lit("node").alias("what"), "id", "label", F.col("status").alias("state"))
+    return told.unionByName(edges.select(F.lit("edge").alias("what"), "id", F.col("kind").alias("label"), F.when(F.col("hot"), "hot").otherwise("cold").alias("state")))
+
+
+@query("SELECT session AS session_id, count(*) AS n FROM clv_events WHERE session = (SELECT max(session) FROM clv_events) GROUP BY session")
+def for_session(v):
+    """Events of one session out of many."""
+    events = v("clv_events").withColumnRenamed("session", "session_id")
+    last = events.agg(F.max("session_id")).first()[0]
+    return graph.for_session(events, last).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT session AS session_id, CASE WHEN session = (SELECT min(session) FROM clv_events) THEN '/recorded' ELSE '' END AS repo_path FROM clv_events GROUP BY session UNION ALL SELECT 'new', '/new'""")
+def recorded_sessions(v):
+    """Sessions recorded by hand keep their own row, whether events of theirs come or not."""
+    events = v("clv_events")
+    none = events.limit(0).select(F.col("session").alias("session_id"), F.col("ts").alias("started_at"), F.lit("").alias("repo_path"))
+    first = events.agg(F.min("session")).first()[0]
+    recorded = store.record_session(store.record_session(none, first, "/recorded"), "new", "/new")
+    again = store.record_session(recorded, "new", "/other")
+    return store.fold_sessions(_flat(v), again).select("session_id", "repo_path")
 
 
 @query("""SELECT a.pid AS process_id, a.status FROM (SELECT pid, coalesce(arg_max(session, seq) FILTER (WHERE full_), arg_min(session, seq)) AS session_id, CASE WHEN arg_max(full_, seq) THEN 'inactive' ELSE 'active' END AS status

@@ -81,3 +81,57 @@ def test_store(spark, tmp_path):
     assert store.load_table(spark, path, "test_results").count() == 1
     sessions = store.record_session(store.load_table(spark, path, "sessions"), "s", "/x")
     assert sessions.count() == 1 and sessions.first().repo_path == ""
+
+
+def _envelopes(spark, rows):
+    """Envelopes (seq, type, session, id or target, value) of nodes and edges."""
+    node = "struct<type: string, label: string, parent_id: string, status: string, docs: string, signature: struct<params: array<struct<name: string, type: string>>, returns: string>, meta: struct<language: string, filePath: string, range: struct<startLine: int, startCol: int, endLine: int, endCol: int>>>"
+    base = "struct<pid: bigint, agent: string, type: string, color: string, status: string, version: string>"
+    df = spark.createDataFrame(rows, "seq long, type string, session string, key string, value string").withColumn("ts", F.timestamp_seconds("seq"))
+    on = lambda *kinds: F.col("type").isin(*kinds)
+    columns = {
+        "pid": F.lit(None).cast("long"), "agent": F.lit(None).cast("string"), "node": F.when(on("status.update", "test.result"), F.col("key")), "edge": F.when(on("hot_edge"), F.col("key")), "status": F.when(on("status.update"), F.col("value")),
+        "outcome": F.when(on("test.result"), F.col("value")), "duration_ms": F.lit(None).cast("long"), "message": F.lit(None).cast("string"), "action": F.lit(None).cast("string"), "hot": F.when(on("hot_edge"), F.col("value") == "hot"),
+        "id": F.when(on("node.upsert", "node.remove", "edge.upsert", "edge.remove"), F.col("key")), "roster": F.lit(None).cast(f"array<{base}>"),
+        "row_node": F.when(on("node.upsert"), F.from_json(F.concat(F.lit('{"type":"function","status":"unknown","label":"'), "value", F.lit('"}')), node)),
+        "row_edge": F.when(on("edge.upsert"), F.struct(F.lit("a").alias("source"), F.lit("b").alias("target"), F.lit("calls").alias("kind"), F.lit(False).alias("hot"))),
+    }
+    return df.select("seq", "ts", "type", "session", *[c.alias(n) for n, c in columns.items()])
+
+
+def test_batches_rewrite_the_buckets_that_they_touch_alone(spark, tmp_path):
+    path = str(tmp_path / "store")
+    batches = [
+        [(i, "node.upsert", f"s{i % 2}", f"n{i}", f"label {i}") for i in range(60)] + [(100 + i, "edge.upsert", f"s{i % 2}", f"e{i}", None) for i in range(10)],
+        [(200, "status.update", "s0", "n4", "failing"), (201, "hot_edge", "s0", "e2", "hot"), (202, "test.result", "s0", "n4", "fail")],
+        [(300, "node.remove", "s0", "n4", None), (301, "node.upsert", "s1", "n6", "other"), (302, "edge.remove", "s1", "e3", None)],
+        [(400, "status.update", "s1", "n6", "passing"), (150, "status.update", "s1", "n8", "late, and behind nothing")],
+    ]
+    folders = lambda name: {r["path"] for r in store._manifest(spark, path) if r["table"] == name and r["path"]}
+    seen = []
+    for k, rows in enumerate(batches):
+        for _ in range(2 if k == 1 else 1):  # a repeated batch changes nothing
+            store.persist_events(_envelopes(spark, rows), path, k, buckets=8)
+        seen.append(folders("nodes"))
+    assert len(seen[0]) == 8 and len(seen[1] - seen[0]) == 1 and len(seen[2] - seen[1]) <= 2
+    whole = _envelopes(spark, [r for rows in batches for r in rows])
+    for name, fold in (("nodes", store.fold_nodes), ("edges", store.fold_edges), ("sessions", store.fold_sessions), ("test_results", store.fold_test_results)):
+        got = store.load_table(spark, path, name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, fold(whole).select(*got.columns).collect())), name
+    nodes, edges = store.load_graph(spark, path, "s1")
+    assert {r.id: r.status for r in nodes.collect()}["n6"] == "passing" and "n4" not in {r.id for r in store.load_graph(spark, path, "s0")[0].collect()}
+    assert {r.id for r in edges.collect()} == {"e1", "e5", "e7", "e9"}
+    # Only the last two manifests and what they name are left.
+    assert len(list((tmp_path / "store" / "_manifests").iterdir())) == 2
+    named = set().union(*seen[-2:])
+    assert {str(f) for f in (tmp_path / "store" / "nodes").glob("v-*/bucket=*")} <= {n.removeprefix("file:") for n in named}
+
+
+def test_buckets_double_and_unfinished_batches_are_not_seen(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for k in range(3):
+        store.persist_events(_envelopes(spark, [(1000 * k + i, "node.upsert", "s", f"n{k}-{i}", "x") for i in range(40)]), path, k, buckets=2, most=10)
+    assert {r["buckets"] for r in store._manifest(spark, path) if r["table"] == "nodes"} == {8}
+    assert store.load_table(spark, path, "nodes").count() == 120
+    store.fold_test_results(_envelopes(spark, [(9000, "test.result", "s", "n0-1", "pass")])).write.parquet(f"{path}/test_results/batch=7")  # a batch that died before its manifest
+    assert store.load_table(spark, path, "test_results").count() == 0
