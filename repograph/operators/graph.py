@@ -82,49 +82,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ancestor_paths(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(id, path): ids from the topmost present ancestor down to the node, by one join per tier; a cycle ends where it closes.
+def _climbed(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(id, path, beyond): ids from the topmost present ancestor down to the node, and the absent parent named above it, if any.
 
-    Each tier is checkpointed, and the loop stops when no node climbs any more; nodes that still climb after ``max_depth`` tiers are an error.
+    By doubling: each round puts the path of the node that a path ends under on top of it, so paths of a tier of 1,000 are whole after ten joins. A cycle ends where it closes: of the path
+    put on top only what lies below the first node met again is kept. Each round is checkpointed, and what is whole isn't written again.
     """
-    nodes = cut(nodes.select("id", "parent_id"))
-    links = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    now = nodes.select("id", F.col("parent_id").alias("_next"), F.array("id").alias("path"))
-    tiers = [now.where("_next is null")]
-    now = now.where("_next is not null")
-    for _ in range(max_depth):
-        met = now.join(links, (F.col("_next") == F.col("_id")) & ~F.array_contains("path", F.col("_next")), "left")
-        met = cut(met.select("id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("_next"), F.when(F.col("_id").isNotNull(), F.concat(F.array("_id"), "path")).otherwise(F.col("path")).alias("path")))
-        tiers.append(met.where("_next is null"))
-        now = met.where("_next is not null")
-        if now.isEmpty():
-            return reduce(DataFrame.unionByName, tiers).select("id", "path")
-    raise RuntimeError(f"nodes have more than {max_depth} tiers above them")
-
-
-def owning_file(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    nodes = cut(nodes.select("id", F.col("parent_id").alias("next"), F.array("id").alias("path"), F.lit(None).cast("string").alias("beyond")))
+    whole, now = [nodes.where("next is null")], nodes.where("next is not null")
+    while not now.isEmpty():
+        every = reduce(DataFrame.unionByName, [*whole, now])
+        above = every.select(F.col("id").alias("_id"), F.col("next").alias("_next"), F.col("path").alias("_path"), F.col("beyond").alias("_beyond"))
+        met = now.join(above, F.col("next") == F.col("_id"), "left")
+        again = F.arrays_overlap("_path", "path")
+        last = F.expr("array_max(transform(sequence(1, size(_path)), i -> if(array_contains(path, element_at(_path, i)), i, 0)))")
+        absent = F.col("_id").isNull()
+        path = F.when(absent, F.col("path")).when(again, F.concat(F.slice("_path", last + 1, F.size("_path")), F.col("path"))).otherwise(F.concat("_path", "path"))
+        beyond = F.when(absent, F.col("next")).when(~again, F.col("_beyond"))
+        made = cut(met.select("id", F.when(~absent & ~again, F.col("_next")).alias("next"), path.alias("path"), beyond.alias("beyond")))
+        if not made.where(F.size("path") > max_depth + 1).isEmpty():
+            raise RuntimeError(f"nodes have more than {max_depth} tiers above them")
+        whole.append(made.where("next is null"))
+        now = made.where("next is not null")
+    return reduce(DataFrame.unionByName, whole).drop("next")
+
+
+def ancestor_paths(nodes: DataFrame, max_depth: int = 100_000) -> DataFrame:
+    """(id, path): ids from the topmost present ancestor down to the node, in as many joins as the logarithm of the depth; nodes more than ``max_depth`` tiers down are an error."""
+    return _climbed(nodes, max_depth).select("id", "path")
+
+
+def owning_file(nodes: DataFrame, max_depth: int = 100_000) -> DataFrame:
     """(id, owner): the topmost present ancestor of each node."""
     return ancestor_paths(nodes, max_depth).select("id", F.element_at("path", 1).alias("owner"))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(root, id): everything below each id of ``roots``, without the root itself; tier by tier until one adds nothing, each node once per root.
+def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 100_000) -> DataFrame:
+    """(root, id): everything below each id of ``roots``, without the root itself, each node once per root; a root may be absent from the nodes, as a parent that is only named."""
+    asked = roots.select(F.col("id").alias("root")).distinct()
+    above = F.array_compact(F.concat(F.slice("path", 1, F.size("path") - 1), F.array("beyond")))
+    pairs = _climbed(nodes, max_depth).select("id", F.explode(above).alias("root"))
+    return pairs.join(asked, "root", "left_semi").select("root", "id").distinct()
 
-    Rows that are left to add after ``max_depth`` tiers are an error.
-    """
-    links = cut(nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up")))
-    tier = cut(roots.select(F.col("id").alias("root"), F.col("id").alias("_at")).distinct())
-    known = tier
-    for _ in range(max_depth + 1):
-        below = tier.join(links, F.col("_at") == F.col("_up")).select("root", F.col("_id").alias("_at")).distinct()
-        tier = cut(below.join(known, ["root", "_at"], "left_anti"))
-        if tier.isEmpty():
-            return known.where(F.col("_at") != F.col("root")).select("root", F.col("_at").alias("id"))
-        known = known.unionByName(tier)
-    raise RuntimeError(f"more than {max_depth} tiers below the roots")
-
-
-def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> tuple[DataFrame, DataFrame]:
+
+def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Without what lies below the roots, and without edges that touch it."""
     gone = cut(descendants(nodes, roots, max_depth).select(F.col("id").alias("_gone")).distinct())
     kept = nodes.join(gone, F.col("id") == F.col("_gone"), "left_anti")
@@ -181,7 +182,7 @@ def has_children(nodes: DataFrame) -> DataFrame:
     return met.select("id", (F.coalesce(F.size("child_ids") > 0, F.lit(False)) | F.col("_p").isNotNull()).alias("expandable"))
 
 
-def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 1000) -> DataFrame:
+def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 100_000) -> DataFrame:
     """(row, id, depth, expandable, expanded): visible nodes in pre-order; a node shows if all its ancestors are expanded.
 
     Pre-order is the order of the ancestor paths, which are dealt into ranges, so no task orders a whole tree.

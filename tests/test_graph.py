@@ -1,3 +1,5 @@
+import random
+
 from repograph.operators import diff, graph
 
 NODES = [("f", "file", "f.rs", None), ("a", "function", "a", "f"), ("b", "function", "b", "f"), ("v", "variable", "v", "a"), ("agent:x", "agent", "x", None), ("o", "function", "o", "gone")]
@@ -91,3 +93,43 @@ def test_rebuild_is_a_no_op(spark):
     assert {r.id: r.child_ids for r in n.collect()}["f"] == ["a", "b"]
     assert diff.graph_equal(n, n) and not diff.graph_equal(n, n.where("id <> 'a'"))
     assert diff.drop_dangling(nodes, edges).where("id = '6'").count() == 0
+
+
+def test_a_chain_of_a_thousand_in_twelve_rounds(spark, monkeypatch):
+    rows = [(f"n{i:04}", f"n{i - 1:04}" if i else None) for i in range(1000)]
+    chain = spark.createDataFrame(rows, "id string, parent_id string").repartition(3)
+    rounds, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (rounds.append(1), real(df))[1])
+    paths = {r.id: r.path for r in graph.ancestor_paths(chain).collect()}
+    assert len(rounds) <= 12
+    names = [r[0] for r in rows]
+    assert paths == {n: names[: i + 1] for i, n in enumerate(names)}
+
+
+def test_walks_against_following_parents(spark):
+    """Random forests with cycles, self-parents, absent parents and unparented nodes."""
+    rng = random.Random(4)
+    for n in (1, 7, 40):
+        parents = {f"n{i}": rng.choice([None, f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", f"gone{rng.randrange(3)}"]) for i in range(n)}
+        nodes = spark.createDataFrame(list(parents.items()), "id string, parent_id string")
+
+        def climb(x):
+            path = [x]
+            while parents[path[0]] in parents and parents[path[0]] not in path:
+                path.insert(0, parents[path[0]])
+            return path
+
+        assert {r.id: r.path for r in graph.ancestor_paths(nodes).collect()} == {x: climb(x) for x in parents}
+        ids = [*parents, "gone0", "gone1", "never"]
+        below = {(a, x) for x in parents for a in [*climb(x)[:-1], parents[climb(x)[0]]] if a in ids and a != x}
+        got = [(r.root, r.id) for r in graph.descendants(nodes, spark.createDataFrame([(i,) for i in ids], "id string")).collect()]
+        assert len(got) == len(set(got)) and {p for p in got if p[0] != p[1]} == below
+
+
+def test_equality_counts_rows(spark):
+    df = lambda rows: spark.createDataFrame(rows, "a string, b int, c array<string>")
+    one = [("x", 1, ["p"]), ("x", 1, ["p"]), (None, None, None), ("1", None, [])]
+    assert diff.graph_equal(df(one), df(one[::-1]).repartition(3)) and diff.graph_equal(df([]), df([]))
+    assert not diff.graph_equal(df(one), df(one[1:])) and not diff.graph_equal(df(one), df([*one[1:], ("x", 1, ["q"])]))
+    assert not diff.graph_equal(df([("1", None, None)]), df([(None, 1, None)])) and not diff.graph_equal(df([(None, 1, [])]), df([(None, 1, None)]))
+    assert diff.graph_equal(df(one), df(one).select("c", "b", "a"))
