@@ -5,10 +5,13 @@ Events are decoded tagged lines with a total order ``seq`` and an event time ``t
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import agent_color, agent_node_id, agent_type, hot_from_state, status_from_outcome, typed_edge_id
+from .graph import cut
 
 
 def attributable(events: DataFrame) -> DataFrame:
@@ -123,24 +126,87 @@ def expand_activity(events: DataFrame, idle_ms: int = 5000) -> DataFrame:
     return met.select("seq", F.explode(rows).alias("x"), "session", "agent", "pid").select("seq", "x.*", "session", "agent", "pid")
 
 
-def debounce(changes: DataFrame, quiet_ms: int = 150, max_ms: int = 1000) -> DataFrame:
+def _next_starts(t: np.ndarray, quiet_ms: int, max_ms: int) -> np.ndarray:
+    """For each of the sorted distinct times the place of the burst start that follows if it is one: the next after a quiet gap, or the first that is ``max_ms`` later; len(t) where there is none."""
+    n = len(t)
+    fresh = np.append(np.flatnonzero(np.diff(t) >= quiet_ms) + 1, n)
+    return np.minimum(fresh[np.searchsorted(fresh, np.arange(n), side="right")], np.searchsorted(t, t + max_ms))
+
+
+def _range_functions(times: DataFrame, quiet_ms: int, max_ms: int) -> DataFrame:
+    """(root, block, first, last, gap, entries): what a time range does to a burst that comes in; entries are the times that can be the range's first start, each with the last start that follows."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows["ts_ms"].to_numpy())
+        after, n = _next_starts(t, quiet_ms, max_ms), len(t)
+        last = np.arange(n)
+        for i in range(n - 1, -1, -1):
+            if after[i] < n:
+                last[i] = last[after[i]]
+        gaps = np.flatnonzero(np.diff(t) >= quiet_ms) + 1
+        begin = int(np.searchsorted(t, rows["begin"].iloc[0] + max_ms))
+        places = np.unique(np.concatenate([np.arange(min(begin + 1, n)), gaps[:1]])).astype(int)
+        entries = [{"t": int(t[i]), "exit": int(t[last[i]])} for i in places]
+        return pd.DataFrame({"root": [key[0]], "block": [key[1]], "first": [t[0]], "last": [t[-1]], "gap": pd.array([t[gaps[0]] if len(gaps) else None], dtype="Int64"), "entries": [entries]})
+
+    return times.groupBy("root", "block").applyInPandas(run, "root string, block long, first long, last long, gap long, entries array<struct<t: long, exit: long>>")
+
+
+def _entered(blocks: DataFrame, quiet_ms: int, max_ms: int) -> DataFrame:
+    """(root, block, t, exit): the first start in every range that has one, and the last; by composing the ranges' functions over 1, 2, 4, ... ranges."""
+    by = Window.partitionBy("root").orderBy("block")
+    near = {f"{c}{k}": F.lead(c, k).over(by) for c in ("block", "first", "gap", "entries", "fresh") for k in ((1, 2) if c in ("block", "first") else (1,))}
+    fresh = blocks.withColumn("fresh", F.coalesce(F.col("first") - F.lag("last").over(by) >= quiet_ms, F.lit(True)))
+    ranges = cut(fresh.withColumns(near))
+    told = ranges.select("root", "block", F.explode("entries").alias("e"), "block1", "block2", "first2", "gap1", "entries1", "fresh1")
+    late = f"array_min(transform(filter(entries1, x -> x.t >= e.exit + {max_ms} or x.t = gap1), x -> x.t))"
+    step = told.where("not fresh1").withColumn("_late", F.expr(late)).select("root", "block", "e.t", F.when(F.col("_late").isNotNull(), F.struct(F.col("block1").alias("block"), F.col("_late").alias("t"))).when(F.col("block2").isNotNull(), F.struct(F.col("block2").alias("block"), F.col("first2").alias("t"))).alias("to"))
+    step = cut(step.where("to is not null"))
+    known = cut(ranges.where("fresh").select("root", "block", F.col("first").alias("t")))
+    while True:
+        met = known.join(step, ["root", "block", "t"]).select("root", "to.block", "to.t")
+        more = cut(met.join(known, ["root", "block", "t"], "left_anti").distinct())
+        if more.isEmpty():
+            break
+        known = cut(known.unionByName(more))
+        then = step.select("root", F.col("block").alias("_b"), F.col("t").alias("_t"), F.col("to").alias("_to"))
+        twice = step.alias("s").join(then.alias("n"), (F.col("s.root") == F.col("n.root")) & (F.col("to.block") == F.col("_b")) & (F.col("to.t") == F.col("_t")))
+        step = cut(twice.select("s.root", "block", "t", F.col("_to").alias("to")))
+    exits = ranges.select("root", "block", F.explode("entries").alias("e")).select("root", "block", "e.t", "e.exit")
+    return known.join(exits, ["root", "block", "t"])
+
+
+def debounce(changes: DataFrame, quiet_ms: int = 150, max_ms: int = 1000, range_ms: int = 3_600_000) -> DataFrame:
     """(root, burst_start, burst_end, path): bursts of changes (root, path, ts_ms) with each distinct path once.
 
-    A burst ends after ``quiet_ms`` without a change, or ``max_ms`` after its first. Gaps split a root's changes into runs first;
-    the cap is then folded along each run, which is one array.
+    A burst ends after ``quiet_ms`` without a change, or ``max_ms`` after its first. Where a burst starts depends on all before it, so time is dealt into ranges of ``range_ms``, each a task's: a range is
+    a function of the burst that comes in, told for the few times that can be its first start, and functions are composed by doubling. Only rows of one root and range are ever one group.
+    Rows without a root or a time belong to no burst.
     """
-    by = Window.partitionBy("root").orderBy("ts_ms", "path")
-    gap = changes.withColumn("_new", F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(by) >= quiet_ms).cast("int"), F.lit(1)))
-    runs = gap.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    times = runs.groupBy("root", "_run").agg(F.sort_array(F.collect_set("ts_ms")).alias("t"))
-    starts = F.expr(
-        f"""aggregate(t, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x - element_at(a, -1) >= {max_ms}, concat(a, array(x)), a))"""
-    )
-    begun = times.select("root", "_run", F.explode(starts).alias("burst_start"))
-    upto = begun.withColumn("_next", F.lead("burst_start").over(Window.partitionBy("root", "_run").orderBy("burst_start")))
-    placed = runs.alias("c").join(upto.alias("b"), (F.col("c.root") == F.col("b.root")) & (F.col("c._run") == F.col("b._run")) & (F.col("ts_ms") >= F.col("burst_start")) & (F.col("_next").isNull() | (F.col("ts_ms") < F.col("_next"))))
-    whole = placed.select(F.col("c.root").alias("root"), "burst_start", "path", "ts_ms").withColumn("burst_end", F.max("ts_ms").over(Window.partitionBy("root", "burst_start")))
-    return whole.select("root", "burst_start", "burst_end", "path").distinct()
+    width = max(range_ms, max_ms, 1)
+    own = changes.where("root is not null and ts_ms is not null").select(F.col("root").cast("string").alias("root"), "path", F.col("ts_ms").cast("long").alias("ts_ms"))
+    own = own.distinct().withColumn("block", F.floor(F.col("ts_ms") / width).cast("long"))
+    times = own.select("root", "block", "ts_ms", (F.col("block") * width).alias("begin")).distinct()
+    blocks = cut(_range_functions(times, quiet_ms, max_ms))
+    entered = cut(_entered(blocks, quiet_ms, max_ms))
+    before = F.last("exit", True).over(Window.partitionBy("root").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    state = blocks.select("root", "block").join(entered, ["root", "block"], "left").select("root", "block", "t", before.alias("carried"))
+
+    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+        at = rows["ts_ms"].to_numpy()
+        t = np.unique(at)
+        starts = [] if pd.isna(rows["carried"].iloc[0]) else [int(rows["carried"].iloc[0])]
+        if not pd.isna(rows["t"].iloc[0]):
+            after, i = _next_starts(t, quiet_ms, max_ms), int(np.searchsorted(t, rows["t"].iloc[0]))
+            while i < len(t):
+                starts.append(int(t[i]))
+                i = int(after[i])
+        starts = np.array(starts, dtype=np.int64)
+        return pd.DataFrame({"root": key[0], "burst_start": starts[np.searchsorted(starts, at, side="right") - 1], "path": rows["path"], "ts_ms": at})
+
+    placed = own.join(state, ["root", "block"]).groupBy("root", "block").applyInPandas(place, "root string, burst_start long, path string, ts_ms long")
+    ends = placed.groupBy("root", "burst_start", "path").agg(F.max("ts_ms").alias("_at"))
+    return ends.select("root", "burst_start", F.max("_at").over(Window.partitionBy("root", "burst_start")).alias("burst_end"), "path")
 
 
 def session_agents(agents: DataFrame, session: str, status: str | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions.scalars import meta_from_json, meta_json, signature_from_json, signature_json
 from ..operators.graph import cut
 from .events import structured_only
+from .paths import remove
 
 PERSISTED = ("test.result", "status.update", "hot_edge", "node.upsert", "edge.upsert", "agent.roster", "agent.activity")
 ACTING = ("test.result", "status.update", "hot_edge", "agent.activity")
@@ -183,11 +184,6 @@ def _manifest(spark: SparkSession, base_path: str) -> list:
         return []
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _bucketed(states: DataFrame, key: str, buckets: int) -> DataFrame:
     return states.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets).cast("long")).cast("int"))
 
@@ -256,11 +252,11 @@ def _forget(spark: SparkSession, base_path: str, number: int) -> None:
     kept = spark.read.schema(_MANIFEST).json([f"{base_path}/_manifests/{k:012d}" for k in (number - 1, number)]).where("path is not null").select("path").collect()
     kept = {r["path"] for r in kept}
     for path in {r["path"] for r in before} - kept:
-        _remove(spark, path)
+        remove(spark, path)
         folder = path.rsplit("/", 1)[0]
         if not any(k.startswith(f"{folder}/") for k in kept):
-            _remove(spark, folder)
-    _remove(spark, f"{base_path}/_manifests/{old:012d}")
+            remove(spark, folder)
+    remove(spark, f"{base_path}/_manifests/{old:012d}")
 
 
 def persist_stream(envelopes: DataFrame, base_path: str, checkpoint: str):
@@ -268,6 +264,12 @@ def persist_stream(envelopes: DataFrame, base_path: str, checkpoint: str):
     return envelopes.writeStream.foreachBatch(lambda df, k: persist_events(df, base_path, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def committed(spark: SparkSession, base_path: str) -> int | None:
+    """Number of the last batch that is part of the tables; None before the first commit."""
+    held = _manifest(spark, base_path)
+    return held[0]["batch"] if held else None
+
+
 def load_table(spark: SparkSession, base_path: str, name: str) -> DataFrame | None:
     """The current rows of a table; None before the first commit."""
     held = _manifest(spark, base_path)

@@ -6,6 +6,7 @@ Rows carry ts (timestamp) and a total order seq, a whole number of any type (``s
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.scalars import hot_from_state, status_from_outcome
+from ..operators.overlay import session_agents
+from ..sources import store
+from ..sources.paths import mark, names, remove
 
 DELAY = "10 seconds"
 EPOCH = datetime.datetime(1970, 1, 1)
@@ -230,33 +234,142 @@ def debounce_sessions(changes: DataFrame, quiet_ms: int = 150, delay: str = DELA
     return own.groupBy("root", F.session_window("ts", f"{quiet_ms} milliseconds").alias("w")).agg(F.collect_set("path").alias("paths"))
 
 
+class QuietWindows(StatefulProcessor):
+    """Passes counted windows on in order, and gives each window without events as 0 once the watermark is past it."""
+
+    def __init__(self, step_ms: int):
+        self.step = step_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "start long")
+
+    def _wait_for(self, start: int) -> None:
+        self.next.update((start,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(start + self.step)
+
+    def handleInputRows(self, key, rows, timerValues):
+        out = []
+        start = self.next.get()[0] if self.next.exists() else None
+        for r in _ordered(rows, "window_ms"):
+            w = int(r.window_ms)
+            out += [(t, 0) for t in range(w if start is None else start, w, self.step)]
+            out.append((w, int(r.n)))
+            start = w + self.step
+        if out:
+            self._wait_for(start)
+        yield pd.DataFrame(out, columns=["window_ms", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        start, passed = self.next.get()[0], timerValues.getCurrentWatermarkInMs()
+        out = [(t, 0) for t in range(start, passed - self.step + 1, self.step)]
+        if out:
+            self._wait_for(out[-1][0] + self.step)
+        yield pd.DataFrame(out, columns=["window_ms", "n"])
+
+    def close(self) -> None:
+        pass
+
+
 def metrics_stream(envelopes: DataFrame, interval_ms: int = 2000, delay: str = DELAY) -> DataFrame:
-    """(window, n, events_per_sec_milli) of closed windows."""
+    """(window_ms, n, events_per_sec_milli) of every window that the watermark has passed since the first event, quiet ones with 0.
+
+    Events are counted per window by Spark; only the counts of closed windows, a row per interval, go through the one key that knows which window comes next.
+    """
     step = max(interval_ms, 1)
-    counted = envelopes.where("type <> 'metrics.update'").withWatermark("ts", delay).groupBy(F.window("ts", f"{step} milliseconds")).agg(F.count("*").alias("n"))
-    return counted.withColumn("events_per_sec_milli", F.expr(f"(n * 1000000) div {step}"))
+    counted = envelopes.where("type <> 'metrics.update'").withWatermark("ts", delay).groupBy(F.window("ts", f"{step} milliseconds").alias("w")).agg(F.count("*").alias("n"))
+    closed = counted.select(F.lit(0).alias("all"), F.window_time("w").alias("at"), F.unix_millis("w.start").alias("window_ms"), "n")
+    every = closed.groupBy("all").transformWithStateInPandas(QuietWindows(step), "window_ms long, n long", "Append", "EventTime")
+    return every.withColumn("events_per_sec_milli", F.expr(f"(n * 1000000) div {step}"))
 
 
-def fan_out(stream: DataFrame, sinks: list, checkpoint: str, every: str | None = None):
-    """One query that hands each batch to several sinks, callables of (frame, batch number); until the input ends, or a batch ``every`` so often."""
+def _pending(spark, ledger: str, name: str) -> list[int]:
+    """Batches that are kept and not yet delivered to a sink, oldest first."""
+    return sorted({int(b) for b in names(spark, f"{ledger}/batches")} - {int(b) for b in names(spark, f"{ledger}/done/{name}")})
+
+
+def deliver(spark, sinks: dict, ledger: str) -> dict[str, Exception]:
+    """Hands every kept batch to the sinks that haven't had it, each sink on its own and in order; a sink that fails is tried again from that batch on the next time. Gives the failures."""
+
+    def one(name: str) -> Exception | None:
+        for k in _pending(spark, ledger, name):
+            try:
+                sinks[name](spark.read.parquet(f"{ledger}/batches/{k}"), k)
+            except Exception as e:  # another sink's affair; this one goes on from here
+                return e
+            mark(spark, f"{ledger}/done/{name}/{k}")
+        return None
+
+    with ThreadPoolExecutor(max(len(sinks), 1)) as pool:
+        failed = {name: e for name, e in zip(sinks, pool.map(one, sinks)) if e is not None}
+    waiting = {k for name in sinks for k in _pending(spark, ledger, name)}
+    for k in {int(b) for b in names(spark, f"{ledger}/batches")} - waiting:  # all have it
+        remove(spark, f"{ledger}/batches/{k}")
+        for name in sinks:
+            remove(spark, f"{ledger}/done/{name}/{k}")
+    return failed
+
+
+def fan_out(stream: DataFrame, sinks: dict | list, checkpoint: str, every: str | None = None):
+    """One query that hands each batch to several sinks, callables of (frame, batch number); until the input ends, or a batch ``every`` so often.
+
+    A batch is kept as a table until all sinks have had it, and what each has had is marked beside, so one that fails neither stops the others nor has them repeat anything; it gets what it
+    missed, in order, with a later batch or by ``deliver`` on f"{checkpoint}-sinks". A sink sees a batch again only if the driver dies between the sink's end and its mark.
+    """
+    named = sinks if isinstance(sinks, dict) else {str(i): s for i, s in enumerate(sinks)}
+    ledger = f"{checkpoint}-sinks"
 
     def each(df: DataFrame, k: int) -> None:
-        df.persist()
-        try:
-            for sink in sinks:
-                sink(df, k)
-        finally:
-            df.unpersist()
+        spark = df.sparkSession
+        if str(k) not in names(spark, f"{ledger}/batches") or not any(str(k) in names(spark, f"{ledger}/done/{n}") for n in named):
+            df.write.mode("overwrite").parquet(f"{ledger}/batches/{k}")
+        deliver(spark, named, ledger)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def bootstrap(snapshot: DataFrame, roster: DataFrame, later: DataFrame, seq: int) -> DataFrame:
-    """(step, seq, type, body): what a late consumer gets, in order of step and seq. First the snapshot's rows at ``seq``, then the roster's if it has any, then the later events.
+    """(step, batch, seq, type, body): what a late consumer gets, in order of step, batch and seq. First the snapshot's rows at ``seq``, then the roster's if it has any, then the later events.
+
+    body is the row as JSON, batch that of the events' history (0 where they have none); replay of duplicates is harmless.
+    """
+    batch = F.col("batch") if "batch" in later.columns else F.lit(0)
+    told = lambda df, step, at, kind, b: df.select(F.lit(step).alias("step"), b.cast("long").alias("batch"), at.cast(_seq_type(later)).alias("seq"), kind.alias("type"), F.to_json(F.struct(*df.columns)).alias("body"))
+    first = told(snapshot, 0, F.lit(seq), F.lit("snapshot"), F.lit(0)).unionByName(told(roster, 1, F.lit(seq), F.lit("agent.roster"), F.lit(0)))
+    rest = later.where(F.col("batch").isNotNull()) if "batch" in later.columns else later.where(F.col("seq") > seq)
+    return first.unionByName(told(rest, 2, F.col("seq"), F.col("type"), batch))
+
+
+def hand_over(spark, base_path: str, session: str, sink, checkpoint: str, every: str | None = None):
+    """A late consumer of a store: the graph of a session and its active agents as they are now, then every event that came after, in order, as one stream of ``bootstrap`` rows to ``sink``.
 
-    body is the row as JSON; replay of duplicates is harmless.
+    The snapshot is of one manifest, and the events are those of the history's batches behind the one that it names, so none is lost between them and none comes twice. Where the stream began is kept beside its
+    checkpoint, so a restarted consumer goes on behind what it has had and gets no other snapshot.
     """
-    told = lambda df, step, at, kind: df.select(F.lit(step).alias("step"), at.cast("long").alias("seq"), kind.alias("type"), F.to_json(F.struct(*df.columns)).alias("body"))
-    first = told(snapshot, 0, F.lit(seq), F.lit("snapshot")).unionByName(told(roster, 1, F.lit(seq), F.lit("agent.roster")))
-    return first.unionByName(told(later.where(F.col("seq") > seq), 2, F.col("seq"), F.col("type")))
+    start = f"{checkpoint}-start"
+    if not names(spark, start):
+        at = store.committed(spark, base_path)
+        spark.range(1).select(F.lit(-1 if at is None else at).cast("long").alias("at")).coalesce(1).write.mode("overwrite").json(start)
+    at = spark.read.schema("at long").json(start).first()["at"]
+    held = spark.read.parquet(f"{base_path}/history")
+    later = spark.readStream.schema(held.schema).parquet(f"{base_path}/history").where((F.col("batch") > at) & (F.col("session") == session))
+
+    def each(df: DataFrame, k: int) -> None:
+        told = bootstrap(*_first(spark, base_path, session, at), df, -1) if k == 0 else bootstrap(df.limit(0), df.limit(0), df, -1)
+        sink(told.orderBy("step", "batch", "seq"), k)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return later.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _first(spark, base_path: str, session: str, at: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a session after batch ``at``, and its active agents, from the history; the tables may have gone on since."""
+    held = spark.read.parquet(f"{base_path}/history").where(F.col("batch") <= at)
+    nodes = store.fold_nodes(held).where(F.col("session_id") == session)
+    edges = store.fold_edges(held).where(F.col("session_id") == session)
+    told = nodes.select(F.lit("node").alias("what"), "id", F.struct(*nodes.columns).alias("node"), F.lit(None).cast(edges.select(F.struct(*edges.columns).alias("e")).schema["e"].dataType).alias("edge"))
+    more = edges.select(F.lit("edge").alias("what"), "id", F.struct(*edges.columns).alias("edge"))
+    return told.unionByName(more, allowMissingColumns=True), session_agents(store.fold_agents(held), session, "active")

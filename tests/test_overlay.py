@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from repograph.operators import facts, metrics, overlay
@@ -108,3 +111,34 @@ def test_facts(spark):
 def test_broken_rust_keeps_its_file_only(spark):
     nodes, edges = facts.build_graph(spark.createDataFrame([("x.rs", "fn a() {\n")], "path string, content string"))
     assert [(r.id, r.status) for r in nodes.collect()] == [("file:x.rs", "error")] and edges.count() == 0
+
+
+def bursts(rows, quiet, most):
+    out = set()
+    for root in {r for r, _, _ in rows if r is not None}:
+        mine = sorted((t, p) for r, p, t in rows if r == root and t is not None)
+        start = last = None
+        held = []
+        for t, p in [*mine, (10**15, None)]:
+            if last is not None and (t - last >= quiet or t - start >= most):
+                out |= {(root, start, last, q) for q in held}
+                start, held = None, []
+            start = t if start is None else start
+            last = t
+            held.append(p)
+    return out
+
+
+@pytest.mark.parametrize("width", [50, 200, 100_000])
+def test_bursts_over_ranges_against_a_walk(spark, width):
+    """Long runs without a gap over many ranges, empty ranges, changes of one time, and the cap falling anywhere."""
+    rng = random.Random(width)
+    rows = [(None, "p", 3), ("r", "q", None)]
+    for root, steps in (("dense", [1, 2, 3, 5]), ("mixed", [1, 4, 9, 11, 30]), ("sparse", [5, 19, 60, 400]), ("even", [7])):
+        t = rng.randrange(-500, 500)
+        for _ in range(400):
+            t += rng.choice(steps)
+            rows += [(root, f"p{rng.randrange(4)}", t) for _ in range(rng.randint(1, 2))]
+    for quiet, most in ((10, 50), (20, 37), (6, 50)):
+        got = [tuple(r) for r in overlay.debounce(spark.createDataFrame(rows, "root string, path string, ts_ms long"), quiet, most, width).select("root", "burst_start", "burst_end", "path").collect()]
+        assert len(got) == len(set(got)) and set(got) == bursts(rows, quiet, most)

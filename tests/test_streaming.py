@@ -1,7 +1,9 @@
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
+from repograph.operators import metrics
 from repograph.sources import store
 from repograph.streaming import live
 
@@ -135,3 +137,61 @@ def test_buckets_double_and_unfinished_batches_are_not_seen(spark, tmp_path):
     assert store.load_table(spark, path, "nodes").count() == 120
     store.fold_test_results(_envelopes(spark, [(9000, "test.result", "s", "n0-1", "pass")])).write.parquet(f"{path}/test_results/batch=7")  # a batch that died before its manifest
     assert store.load_table(spark, path, "test_results").count() == 0
+
+
+def test_quiet_windows_come_as_zero(spark, tmp_path):
+    event = {"event": "x"}
+    at = [0, 100, 1900, 9000, 9001, 15999, 16000, 16001, 41000]
+    batches = [[(t, event) for t in at[:3]], [(t, event) for t in at[3:5]], [(t, event) for t in at[5:8]], [(at[8], event)], [(90000, event)], [(90001, event)]]
+    s = stream(spark, tmp_path, batches).withColumn("type", F.lit("x"))
+    got = sorted((r.window_ms - 1704067200000, r.n, r.events_per_sec_milli) for r in finish(live.metrics_stream(s, 2000, "0 seconds"), tmp_path, "windows"))
+    told = spark.createDataFrame([(t, "x") for t in [*at, 90000, 90001]], "ts_ms long, type string")
+    want = sorted((r.window_ms, r.n, r.events_per_sec_milli) for r in metrics.metrics_windows(told, 2000).collect())
+    assert got == want[:-1] and len(got) == 45  # the last window is still open
+
+
+def test_sinks_are_independent(spark, tmp_path):
+    had, broken = {"good": [], "bad": []}, [True]
+
+    def good(df, k):
+        had["good"].append((k, sorted(r.seq for r in df.collect())))
+
+    def bad(df, k):
+        if k == 1 and broken[0]:
+            raise OSError("full")
+        had["bad"].append((k, sorted(r.seq for r in df.collect())))
+
+    s = stream(spark, tmp_path, [[(i, heat("enter")) for i in range(2)] for _ in range(3)])
+    cp = str(tmp_path / "cp")
+    live.fan_out(s, {"good": good, "bad": bad}, cp).awaitTermination()
+    assert had["good"] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])] and had["bad"] == [(0, [0, 1])]
+    broken[0] = False
+    spark.createDataFrame([(6, None)], "seq long, event string").select("seq", *[F.lit(None).cast(p.split(" ")[1]).alias(p.split(" ")[0]) for p in SCHEMA.split(", ")[1:]]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live.fan_out(s, {"good": good, "bad": bad}, cp).awaitTermination()
+    assert had["good"][3:] == [(3, [6])] and had["bad"] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5]), (3, [6])]
+    assert live.deliver(spark, {"good": good, "bad": bad}, f"{cp}-sinks") == {} and len(had["good"]) == 4
+    assert list((tmp_path / "cp-sinks" / "batches").iterdir()) == []
+
+
+def test_hand_over_loses_nothing(spark, tmp_path):
+    path, cp, had = str(tmp_path / "store"), str(tmp_path / "cp"), []
+    rows = lambda k: [(100 * k + i, "node.upsert", "s" if i % 3 else "other", f"n{i}", f"v{k}") for i in range(6)] + [(100 * k + 50, "test.result", "s", "n1", "pass")]
+    sink = lambda df, k: had.extend((r.step, r.batch, r.seq, r.type, r.body) for r in df.collect())
+    for k in range(2):
+        store.persist_events(_envelopes(spark, rows(k)), path, k)
+    live.hand_over(spark, path, "s", sink, cp).awaitTermination()
+    store.persist_events(_envelopes(spark, rows(2)), path, 2)  # between the snapshot and the first events
+    live.hand_over(spark, path, "s", sink, cp).awaitTermination()
+    for k in (3, 4):
+        store.persist_events(_envelopes(spark, rows(k)), path, k)
+    live.hand_over(spark, path, "s", sink, cp).awaitTermination()
+    first, rest = [h for h in had if h[0] == 0], [h for h in had if h[0] == 2]
+    assert had == [*first, *rest] and {json.loads(h[4])["id"] for h in first} == {"n1", "n2", "n4", "n5"} and all('"label":"v1"' in h[4] for h in first)
+    assert [h[2] for h in rest] == [q[0] for k in (2, 3, 4) for q in rows(k) if q[2] == "s"]
+
+
+def test_bootstrap_in_steps(spark):
+    nodes, agents = spark.createDataFrame([("n",)], "id string"), spark.createDataFrame([], "pid long")
+    later = spark.createDataFrame([(4, "hot_edge"), (6, "hot_edge"), (5, "test.result")], "seq long, type string")
+    got = [(r.step, r.seq, r.type) for r in live.bootstrap(nodes, agents, later, 4).orderBy("step", "seq").collect()]
+    assert got == [(0, 4, "snapshot"), (2, 5, "test.result"), (2, 6, "hot_edge")]
