@@ -6,7 +6,8 @@ stands out from its class). Identical texts are one class from the start. Each d
 consistent weighted samples; texts that agree in all rows of a band share a bucket. Within a bucket pairs are compared by
 their samples, and those that agree in at least ``agree`` of them are verified by weighted Jaccard similarity
 over the whole bags. Only pairs that can still join two components are tried: first a maximum spanning forest and a star of each block of
-a bucket, verified pair by pair; then, cell by cell of a bucket, every row that the first round left outside the cell's largest component, against all rows there. So a group of
+a bucket, verified pair by pair; then, level by level, a few representatives of each component of a bucket that was dealt into blocks, so that the blocks of one group become one
+component; last, cell by cell of a bucket, every row that is still outside the cell's largest component, against all rows there. So a group of
 many copies costs about its size, pairs are never expanded, and no link between components is lost. Classes are the connected components of the verified links.
 
 The chance that a pair of similarity 0.8 meets in no band or agrees in too few samples is below 1 % (0.4096 per band in
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, sweep, table
@@ -42,6 +43,7 @@ class NearParams:
     rows: int = 4
     agree: int = 24
     block: int = 1000  # rows of a bucket that are compared with each other in one piece
+    speakers: int = 4  # rows that stand for a component where the pieces of a bucket are linked
 
 
 def _bags(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -376,6 +378,25 @@ def _buckets(distinct: DataFrame, block: int) -> DataFrame:
     return one.join(sizes, "bucket").withColumn("pieces", pieces).withColumn("piece", F.expr("cast(pmod(xxhash64(key, bucket), pieces) as int)"))
 
 
+def _link_pieces(buckets: DataFrame, roots: DataFrame, bags: DataFrame, weights: np.ndarray, params: NearParams) -> DataFrame:
+    """``roots`` after linking the pieces of large buckets: each component of a bucket sends a few rows, which meet as the rows of a bucket do; level by level while they fill several pieces themselves."""
+    p, large = params, buckets.where("pieces > 1").select("bucket", "key", "sig")
+    if large.isEmpty():
+        return roots
+    while True:
+        named = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        nth = F.row_number().over(Window.partitionBy("bucket", "root").orderBy(F.xxhash64("key"), "key"))
+        speakers = cut(named.withColumn("_nth", nth).where(F.col("_nth") <= p.speakers).select("bucket", "root", "key", "sig"))
+        sizes = speakers.groupBy("bucket").agg(F.countDistinct("root").alias("_roots"), F.ceil(F.count("*") / p.block).cast("int").alias("_pieces")).where("_roots > 1")
+        met = speakers.join(sizes, "bucket").withColumn("cell", F.xxhash64("bucket", F.expr("pmod(xxhash64(root, bucket), _pieces)")))
+        # A row may speak in several buckets; its pairs are verified once.
+        links = cut(_verified(_forest_pairs(met, p.agree).distinct(), bags, weights, p.similarity))
+        roots = cut(joined_components(roots, links))
+        several = sizes.agg(F.max("_pieces")).first()[0] or 1
+        if several == 1 or links.isEmpty():
+            return roots
+
+
 def near_duplicate_classes(docs: DataFrame, params: NearParams = NearParams(), link_empty: bool = False) -> DataFrame:
     """(doc_id, key, class_key): one row per row of ``docs`` (columns doc_id, text); class_key is shared by a class."""
     p = params
@@ -389,7 +410,7 @@ def near_duplicate_classes(docs: DataFrame, params: NearParams = NearParams(), l
     bags = cut(_elements(docs, best.select("key", "doc_id"), p))
     cells = best.select(F.xxhash64("best.bucket", "best.piece").alias("cell"), "key", "sig")
     links = cut(_verified(_forest_pairs(cells, p.agree), bags, weights, p.similarity))
-    roots = cut(connected_components(links))
+    roots = _link_pieces(buckets, cut(connected_components(links)), bags, weights, p)
     named = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     suspects = cut(_suspects(outside_rows(named), p))
     more = cut(_cell_links(suspects, bags, weights, p))

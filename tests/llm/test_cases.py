@@ -270,3 +270,24 @@ def test_nearest_is_complete_far_from_the_rest_and_at_any_size(spark, scale):
         assert [r[0] for r in mine] == list(range(1, 11)) and len({r[1] for r in mine} & set(true.tolist())) >= 9
         assert np.allclose([r[2] for r in mine], [distance[r[1]] for r in mine], rtol=1e-12)
         assert q > 3 or {r[1] for r in mine[:3]} == {0, 1, 2, 3} - {q}
+
+
+def test_a_group_of_near_copies_costs_about_its_size(spark, monkeypatch):
+    """Groups that fill many pieces: pieces are linked by a few rows each, so that hardly a row has to visit other pieces; classes are those of the groups."""
+    rng, counted, real = random.Random(6), [], near_dedup.outside_rows
+    monkeypatch.setattr(near_dedup, "outside_rows", lambda rows: (counted.append((rows.count(), (dealt := real(rows)).count())), dealt)[1])
+    for size in (150, 300, 600):
+        bases = [[f"{name}{i}" for i in range(200)] for name in "ab"]
+        rows = []
+        for k in range(size + 40):
+            words = list(bases[k >= size])
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+            rows.append((k, " ".join(words)))
+        rows += [(10_000 + k, " ".join(f"s{k}w{i}" for i in range(40))) for k in range(5)]
+        got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.NearParams(block=25)).collect()
+        classes = collections.defaultdict(set)
+        for r in got:
+            classes[r.class_key].add(r.doc_id)
+        assert sorted(map(len, classes.values())) == [1] * 5 + [40, size]
+    assert all(dealt <= 2 * taken for taken, dealt in counted) and counted[2][1] <= 3 * max(counted[0][1], counted[0][0]), counted
