@@ -1,6 +1,7 @@
 """Facts of source files: lines, functions, signatures, docs, variables, calls and data flow, by patterns and windows over a table of lines.
 
-A lexical reading of conventional code, one declaration per line: headers over several lines, and code in strings or comments, may be read otherwise than by a grammar.
+A lexical reading of conventional code: a function's name stands on the line that opens its header, whose parameters and return type may go over several lines. Strings, characters
+and comments, over lines too, are told from code by a token pattern per language; nested comments to a depth of two, and no regular-expression literals.
 """
 
 from __future__ import annotations
@@ -15,10 +16,42 @@ from .graph import cut, derive_child_ids
 NOT_CALLS = ("if", "while", "for", "match", "return", "fn", "loop", "let", "else", "in", "as", "move", "where", "impl")
 
 
+_COMMENT = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)|/\*(?:[^*]++|\*(?!/))*+\*/)*+(?:\*/|\z)"
+_LITERAL = r"{0}[^{0}\\{1}]*+(?:\\[\s\S][^{0}\\{1}]*+)*+"
+#: What is no code: comments and literals, one alternative each; what runs to the end of the file without its end mark is an error.
+_TOKENS = {
+    "rust": rf"""//[^\n]*+|{_COMMENT}|\br(#{{0,3}})"[\s\S]*?(?:"\2|\z)|{_LITERAL.format('"', '')}(?:"|\z)|'(?:[^'\\\n]|\\(?:[^xu\n]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}))'""",
+    "python": rf"""#[^\n]*+|\"{{3}}(?:[^"\\]++|\\[\s\S]|"(?!""))*+(?:\"{{3}}|\z)|'{{3}}(?:[^'\\]++|\\[\s\S]|'(?!''))*+(?:'{{3}}|\z)|{_LITERAL.format('"', chr(92) + "n")}"|{_LITERAL.format("'", chr(92) + "n")}'""",
+    "typescript": rf"""//[^\n]*+|{_COMMENT}|{_LITERAL.format('`', '')}(?:`|\z)|{_LITERAL.format('"', chr(92) + "n")}"|{_LITERAL.format("'", chr(92) + "n")}'""",
+}
+#: Stands in code for a comment or literal without an end.
+OPEN_END = "\x01"
+
+
+def code_of(content: Column, language: Column) -> Column:
+    """``content`` with comments and the insides of literals as spaces, line ends and places kept; a literal keeps its outer marks, one without an end gets ``OPEN_END`` at its start."""
+    comment = r"^(?://|/\*|#)"
+    ended = r"""(?s)^(?://.*|#.*|/\*.*\*/|("{3}|'{3}).*\1|r(#*)".*"\2|(["'`]).*\3)$"""
+    blank = lambda x: F.regexp_replace(x, r"[^\n]", " ")
+
+    def one(x: Column) -> Column:
+        inside = F.concat(F.substring(x, 1, 1), blank(F.substring(x, F.lit(2), F.length(x) - 2)), F.substring(x, -1, 1))
+        whole = F.when(x.rlike(comment), blank(x)).otherwise(inside)
+        return F.when(x.rlike(ended), whole).otherwise(F.concat(F.lit(OPEN_END), blank(F.substring(x, F.lit(2), F.length(x)))))
+
+    def masked(name: str) -> Column:
+        pieces = F.regexp_extract_all(content, F.lit(rf"({_TOKENS[name]})|[\s\S]"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda x: F.when((F.length(x) < 2) & (x != "#"), x).when(x.rlike(r"""^(?://|/\*|#|r#*"|["'`])"""), one(x)).otherwise(x)), "")
+
+    return F.when(language == "rust", masked("rust")).when(language == "python", masked("python")).when(language == "typescript", masked("typescript")).otherwise(content)
+
+
 def source_lines(files: DataFrame) -> DataFrame:
-    """(path, language, line_no, text) with line numbers from 1."""
-    lines = files.select("path", language_of("path").alias("language"), F.posexplode(F.split("content", "\n")).alias("_k", "text"))
-    return lines.select("path", "language", (F.col("_k") + 1).alias("line_no"), F.regexp_replace("text", r"\r\z", "").alias("text"))
+    """(path, language, line_no, text, code) with line numbers from 1; code is the text without comments and the insides of literals."""
+    told = files.select("path", language_of("path").alias("language"), F.regexp_replace("content", r"\r(?=\n|\z)", "").alias("content")).withColumn("code", code_of(F.col("content"), F.col("language")))
+    both = F.arrays_zip(F.split("content", "\n").alias("text"), F.split("code", "\n").alias("code"))
+    lines = told.select("path", "language", F.posexplode(both).alias("_k", "x"))
+    return lines.select("path", "language", (F.col("_k") + 1).alias("line_no"), F.col("x.text").alias("text"), F.col("x.code").alias("code"))
 
 
 def _by_language(rust, python, typescript) -> Column:
@@ -31,22 +64,52 @@ _HEADERS = {
     "typescript": r"^(\s*)(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][A-Za-z0-9_$]*)",
 }
 _PARAMS = {"rust": r"fn\s+\w+\s*(?:<[^(]*>)?\s*\(([^)]*)\)", "python": r"def\s+\w+\s*\(([^)]*)\)", "typescript": r"function\s*\*?\s*[\w$]+\s*(?:<[^(]*>)?\s*\(([^)]*)\)"}
-_RETURNS = {"rust": r"\)\s*->\s*([^{;]+?)\s*(?:where\b.*)?[{;]?\s*$", "python": r"\)\s*->\s*([^:]+?)\s*:", "typescript": r"\)\s*:\s*([^{]+?)\s*\{?\s*$"}
+_RETURNS = {"rust": r"\)\s*->\s*([^{;]+?)\s*(?:where\b.*)?(?:[{;].*)?$", "python": r"\)\s*->\s*([^:]+?)\s*:", "typescript": r"\)\s*:\s*([^{]+?)\s*(?:\{.*)?$"}
 
 
-def _header(group: int) -> Column:
-    return _by_language(*[F.regexp_extract("text", _HEADERS[k], group) for k in ("rust", "python", "typescript")])
+def _header(group: int, column: str) -> Column:
+    return _by_language(*[F.regexp_extract(column, _HEADERS[k], group) for k in ("rust", "python", "typescript")])
 
 
 def function_headers(lines: DataFrame) -> DataFrame:
-    """Header lines (path, language, line_no, text, name, indent), repeats of a name included."""
-    found = lines.withColumn("name", _header(2)).where("name <> ''")
-    return found.withColumn("indent", F.length(_header(1)))
+    """Header lines (path, language, line_no, text, name, indent), repeats of a name included; where lines have their code, none in comments or literals."""
+    read = "code" if "code" in lines.columns else "text"
+    found = lines.withColumn("name", _header(2, read)).where("name <> ''")
+    return found.withColumn("indent", F.length(_header(1, read)))
+
+
+def _count(pattern: str) -> Column:
+    return F.length(F.regexp_replace("code", rf"[^{pattern}]", ""))
+
+
+def whole_headers(lines: DataFrame) -> DataFrame:
+    """(path, line_no, _whole): the headers that begin on a line, up to the line that closes their brackets and opens the body; ``lines`` have their code.
+
+    Depth is a running count of brackets in code over the lines of one file; comments at line ends are left out.
+    """
+    by = Window.partitionBy("path").orderBy("line_no")
+    down = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    body = F.col("code").rlike(r"[{;]")
+    ends = _by_language(body, F.col("code").rlike(r":\s*($|\S)"), body)
+    marked = function_headers(lines).select("path", "line_no", F.lit(True).alias("_opens"))
+    told = lines.withColumn("_step", _count(r"\(\[") - _count(r"\)\]")).join(marked, ["path", "line_no"], "left")
+    deep = told.withColumn("_depth", F.sum("_step").over(by))
+    opened = lambda c: F.last(F.when(F.col("_opens"), c), True).over(by)
+    stop = deep.withColumn("_head", opened(F.col("line_no"))).withColumn("_from", opened(F.col("_depth") - F.col("_step"))).withColumn("_ends", (F.col("_depth") <= F.col("_from")) & F.coalesce(ends, F.lit(False)))
+    first = F.coalesce(F.first(F.when(F.col("_ends"), F.col("line_no")), True).over(down), F.col("line_no"))
+    own = stop.withColumn("_first", first).withColumn("_stop", opened(F.col("_first"))).where("line_no <= _stop")
+    kept = F.substring("text", F.lit(1), F.length(F.rtrim("code")))
+    joined = own.groupBy("path", F.col("_head").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), kept.alias("t")))).alias("_all"))
+    text = F.array_join(F.transform("_all", lambda x, i: F.when(i == 0, F.rtrim(x["t"])).otherwise(F.trim(x["t"]))), " ")
+    return joined.select("path", "line_no", text.alias("_whole"))
 
 
 def scan_functions(lines: DataFrame) -> DataFrame:
-    """(path, language, name, line_no, text): one function per file and name, the last header wins."""
-    last = function_headers(lines).groupBy("path", "language", "name").agg(F.max_by(F.struct("line_no", "text"), "line_no").alias("h"))
+    """(path, language, name, line_no, text): one function per file and name, the last header wins; text is the whole header where lines have their code."""
+    heads = function_headers(lines)
+    if "code" in lines.columns:
+        heads = heads.join(whole_headers(lines), ["path", "line_no"], "left").withColumn("text", F.coalesce("_whole", "text"))
+    last = heads.groupBy("path", "language", "name").agg(F.max_by(F.struct("line_no", "text"), "line_no").alias("h"))
     return last.select("path", "language", "name", "h.line_no", "h.text")
 
 
@@ -98,14 +161,15 @@ def enclosing(lines: DataFrame) -> DataFrame:
     if "fn" in lines.columns:
         return lines
     by = Window.partitionBy("path").orderBy("line_no")
-    code = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|//.*$', "")
+    coded = ["code"] if "code" in lines.columns else []
+    code = F.col("code") if coded else F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|//.*$', "")
     delta = F.length(F.regexp_replace(code, r"[^{]", "")) - F.length(F.regexp_replace(code, r"[^}]", ""))
-    heads = lines.withColumn("_name", F.nullif(_header(2), F.lit(""))).withColumn("_indent", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
+    heads = lines.withColumn("_name", F.nullif(_header(2, "code" if coded else "text"), F.lit(""))).withColumn("_indent", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
     deep = heads.withColumn("_delta", delta).withColumn("depth", F.coalesce(F.sum("_delta").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("fn"), F.col("depth").alias("at"), F.col("_indent").alias("indent"), F.col("line_no").alias("from")))
     held = deep.withColumn("_h", F.last(top, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.when(F.col("language") == "python", F.col("_indent") > F.col("_h.indent")).otherwise(F.col("depth") > F.col("_h.at"))
-    return held.select("path", "language", "line_no", "text", F.when(inside, F.col("_h.fn")).alias("fn"), F.when(inside, F.col("depth") - F.col("_h.at")).alias("depth"))
+    return held.select("path", "language", "line_no", "text", *coded, F.when(inside, F.col("_h.fn")).alias("fn"), F.when(inside, F.col("depth") - F.col("_h.at")).alias("depth"))
 
 
 _LET = r"^\s*let\s+(.+?)\s*(?::[^=;]+)?(?:=(?!=).*|;\s*)$"
@@ -182,11 +246,15 @@ def scan_bindings(lines: DataFrame) -> DataFrame:
 
 
 def file_status(lines: DataFrame) -> DataFrame:
-    """(path, status): error where brackets don't balance, else unknown; files of no known language stay unknown."""
-    code = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)\'|//.*$|#.*$', "")
-    count = lambda c: F.length(F.regexp_replace(code, rf"[^\{c}]", ""))
-    sums = lines.groupBy("path", "language").agg(*[F.sum(count(a) - count(b)).alias(n) for n, a, b in (("p", "(", ")"), ("s", "[", "]"), ("c", "{", "}"))])
-    bad = F.col("language").isNotNull() & ((F.col("p") != 0) | (F.col("s") != 0) | (F.col("c") != 0))
+    """(path, status): error where brackets don't balance in code or a comment or literal has no end, else unknown; files of no known language stay unknown.
+
+    Lines without a code column are taken each on its own.
+    """
+    if "code" not in lines.columns:
+        lines = lines.withColumn("code", F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)\'|//.*$|#.*$', ""))
+    pairs = (("p", "(", ")"), ("s", "[", "]"), ("c", "{", "}"))
+    sums = lines.groupBy("path", "language").agg(*[F.sum(_count(rf"\{a}") - _count(rf"\{b}")).alias(n) for n, a, b in pairs], F.bool_or(F.contains("code", F.lit(OPEN_END))).alias("open"))
+    bad = F.col("language").isNotNull() & ((F.col("p") != 0) | (F.col("s") != 0) | (F.col("c") != 0) | F.col("open"))
     return sums.select("path", F.when(bad, "error").otherwise("unknown").alias("status"))
 
 

@@ -64,6 +64,11 @@ VIEWS = {
     "bindings": """SELECT path, fn, pos, var, max(init_callee) AS init_callee FROM (SELECT f.path, f.name AS fn, CAST(l_partkey AS BIGINT) AS pos, 'v' || CAST(l_linenumber % 2 AS STRING) AS var, CASE WHEN l_linenumber % 5 <> 4 THEN 'o' || CAST(n.next_key AS STRING) END AS init_callee
         FROM lineitem JOIN fns f ON l_orderkey = f.o_orderkey JOIN next_order n ON n.o_orderkey = f.o_orderkey) t GROUP BY path, fn, pos, var""",
     "source_rows": """SELECT path || '.rs' AS path, o_orderkey, '/// order of ' || path || chr(10) || 'fn o' || CAST(o_orderkey AS STRING) || '(a: i32) -> i32 {' || chr(10) || '    let l1 = o' || CAST(o_orderkey + 1 AS STRING) || '(a);' || chr(10) || '    l1' || chr(10) || '}' AS part FROM fns""",
+    "module_rows": """SELECT path || CASE o_custkey % 3 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' ELSE '.ts' END AS path, o_custkey % 3 AS tongue, o_orderkey, CASE o_custkey % 3
+            WHEN 0 THEN 'fn o' || CAST(o_orderkey AS STRING) || '(' || chr(10) || '    a: i32, // (' || chr(10) || '    b: u8,' || chr(10) || ') -> i32' || chr(10) || '{' || chr(10) || '    "(((' || chr(10) || '  fn no(" /* [[' || chr(10) || ' {{ */' || chr(10) || '}'
+            WHEN 1 THEN 'def o' || CAST(o_orderkey AS STRING) || '(' || chr(10) || '    a: int,  # [' || chr(10) || '    b: str,' || chr(10) || ') -> int:' || chr(10) || '    return "{"'
+            ELSE 'function o' || CAST(o_orderkey AS STRING) || '(' || chr(10) || '  a: number,' || chr(10) || '  b: string,' || chr(10) || '): number {' || chr(10) || '  return `((' || chr(10) || '[`;' || chr(10) || '}' END
+            || CASE WHEN o_orderkey % 31 = 0 THEN chr(10) || '(' ELSE '' END AS part FROM fns""",
 }
 #: What differs between the engines.
 _SPARK = {"once": "", "div": "div", "ms": r"unix_millis(CAST(\1 AS TIMESTAMP))", "day": r"date_format(\1, 'yyyy-MM-dd')"}

@@ -269,8 +269,8 @@ def dedupe_bindings(v):
     return facts.dedupe_bindings(v("bindings"))
 
 
-def _files(v) -> DataFrame:
-    return v("source_rows").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("content"))
+def _files(v, rows: str = "source_rows") -> DataFrame:
+    return v(rows).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("content"))
 
 
 _TEXTS = "files AS (SELECT path, string_agg(part, chr(10) ORDER BY o_orderkey) AS content FROM source_rows GROUP BY path), lines AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no, unnest(string_split(content, chr(10))) AS text FROM files)"
@@ -305,9 +305,18 @@ def code_calls(v):
     return facts.resolve_calls(facts.scan_calls(lines), facts.scan_functions(lines))
 
 
-@query("SELECT DISTINCT path, 'unknown' AS status FROM source_rows")
+@query("""SELECT path, 'o' || CAST(o_orderkey AS STRING) AS name, 'a' AS p1, CASE tongue WHEN 0 THEN 'i32' WHEN 1 THEN 'int' ELSE 'number' END AS k1, 'b' AS p2, CASE tongue WHEN 0 THEN 'u8' WHEN 1 THEN 'str' ELSE 'string' END AS k2,
+                 CASE tongue WHEN 0 THEN 'i32' WHEN 1 THEN 'int' ELSE 'number' END AS returns FROM module_rows""")
+def code_headers(v):
+    """Headers over several lines in three languages, with brackets in comments and literals."""
+    found = facts.scan_signatures(facts.scan_functions(facts.source_lines(_files(v, "module_rows"))))
+    p = lambda i, f: F.get(F.col("signature.params"), F.lit(i))[f]
+    return found.select("path", "name", p(0, "name").alias("p1"), p(0, "type").alias("k1"), p(1, "name").alias("p2"), p(1, "type").alias("k2"), F.col("signature.returns").alias("returns"))
+
+
+@query("SELECT path, CASE WHEN bool_or(o_orderkey % 31 = 0) THEN 'error' ELSE 'unknown' END AS status FROM module_rows GROUP BY path")
 def file_status(v):
-    return facts.file_status(facts.source_lines(_files(v)))
+    return facts.file_status(facts.source_lines(_files(v, "module_rows")))
 
 
 @query("""SELECT type, count(*) AS n, count(DISTINCT owner_file) AS files FROM (SELECT 'file' AS type, 'file:' || path AS owner_file FROM (SELECT DISTINCT path FROM source_rows)

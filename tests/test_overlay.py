@@ -142,3 +142,38 @@ def test_bursts_over_ranges_against_a_walk(spark, width):
     for quiet, most in ((10, 50), (20, 37), (6, 50)):
         got = [tuple(r) for r in overlay.debounce(spark.createDataFrame(rows, "root string, path string, ts_ms long"), quiet, most, width).select("root", "burst_start", "burst_end", "path").collect()]
         assert len(got) == len(set(got)) and set(got) == bursts(rows, quiet, most)
+
+
+CODE = {
+    "a.rs": 'fn one(\n    a: i32, // the first (\n    b: &str,\n) -> Vec<u8>\nwhere\n    u8: Copy,\n{\n    let s = "(((\n  fn no(";\n    let c = \'(\'; /* [[ /* {{ */\n fn never( */\n}\nfn two(&self, x: u8) -> u8 { x }\n',
+    "b.py": 'def one(\n    self,\n    a: int,  # ]\n    b: str,\n) -> int:\n    """Doc ((\n    """\n    return \'{\'\ndef two(): pass\n',
+    "c.ts": "export function one(\n  a: number,\n  b: string,\n): Promise<void> {\n  const t = `((\n [`;\n}\n",
+    "d.rs": "fn a() {\n",
+    "e.rs": 'fn a() { "no end }\n',
+    "f.py": "x = (1,\n",
+    "g.ts": "/* no end\n",
+    "h.txt": "(((",
+    "i.rs": "fn l<'a>(x: &'a str) -> &'a str { x } // '\n",
+    "j.rs": 'fn r() { r#"a " ("#; "\\""; \'\\\'\'; }\n',
+    "k.py": "'''ok ('''\n'it\\'s ('\n#\n",
+    "l.py": '"""no end (\n',
+}
+
+
+def test_code_over_several_lines(spark):
+    lines = facts.source_lines(spark.createDataFrame(list(CODE.items()), "path string, content string"))
+    rows = lines.orderBy("path", "line_no").collect()
+    for r in rows:
+        assert len(r.text) == len(r.code), r
+    for path, content in CODE.items():
+        assert "\n".join(r.text for r in rows if r.path == path) == content
+    status = {r.path: r.status for r in facts.file_status(lines).collect()}
+    assert status == {p: "error" if p[0] in "defgl" else "unknown" for p in CODE}
+    found = {(r.path, r.name): r.signature for r in facts.scan_signatures(facts.scan_functions(lines.where("path in ('a.rs', 'b.py', 'c.ts')"))).collect()}
+    params = {k: [(p["name"], p["type"]) for p in s.params] for k, s in found.items()}
+    assert params == {("a.rs", "one"): [("a", "i32"), ("b", "&str")], ("a.rs", "two"): [("x", "u8")], ("b.py", "one"): [("a", "int"), ("b", "str")], ("b.py", "two"): [], ("c.ts", "one"): [("a", "number"), ("b", "string")]}
+    assert {k: found[k].returns for k in params} == {("a.rs", "one"): "Vec<u8>", ("a.rs", "two"): "u8", ("b.py", "one"): "int", ("b.py", "two"): "", ("c.ts", "one"): "Promise<void>"}
+    nodes, _ = facts.build_graph(spark.createDataFrame(list(CODE.items()), "path string, content string"))
+    built = {r.id: r for r in nodes.collect()}
+    assert [p["name"] for p in built["fn:a.rs:one"].signature.params] == ["a", "b"] and built["var:a.rs:one:s"].parent_id == "fn:a.rs:one"
+    assert {i for i in built if i.startswith("fn:")} == {"fn:a.rs:one", "fn:a.rs:two", "fn:b.py:one", "fn:b.py:two", "fn:c.ts:one", "fn:i.rs:l", "fn:j.rs:r"} and built["file:d.rs"].status == "error"
