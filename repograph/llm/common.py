@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +50,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession, wait: float = 0.0) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held, which it does when the driver collects its garbage.
-
-    Threads of the last job hold its frames for up to a second, so before a large shuffle it is worth to ``wait`` and collect again.
-    """
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that are no longer held, which it does when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    if wait:
-        time.sleep(wait)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

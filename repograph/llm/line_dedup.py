@@ -1,13 +1,14 @@
 """Duplicate and near-duplicate lines by a segment-partition edit join.
 
-Every line with a word takes part. Equal lines are one class from the start. Two different lines of at least ``min_chars`` code points are
-linked when their edit distance is at most ``edits``; that is the least length which has edits + 1 segments that aren't empty, shorter lines are only compared for equality. A line of length l is cut into edits + 1 even segments, so a line within reach holds one of
+Every line with a word takes part. Equal lines are one class from the start. Two different lines are linked when their edit distance is at most ``edits`` and at most one for
+every ``each`` code points of the longer line, a similarity of 0.8: short words that differ in a letter or two stay apart. Lines below ``min_chars`` code points, which can't reach that, are only compared for equality.
+A line of length l is cut into edits + 1 even segments, so a line within reach holds one of
 them unchanged, at a place that its length and the segment's number confine to a few offsets. Every line emits hashes of its own segments (index rows)
 and of the substrings at those offsets for its own length and the ``edits`` lengths below (probe rows); rows that meet are candidates, and candidates are
 verified by banded bit-parallel edit distance on what is left between their common prefix and suffix. The classes are the connected components of the links; the first line
 (least doc_id, then line number) of a class stays.
 
-One pass over the texts gives line rows (hashes and places) and segment rows of 16 bytes, which travel as blocks of packed arrays. Only lines that meet in a segment get
+One pass over the texts gives line rows (hashes and places), another segment rows of 16 bytes, which travel as blocks of packed arrays. Only lines that meet in a segment get
 their text. Where many lines meet, pairs are not expanded: a bucket is dealt into pieces, and within a piece the lines are held against one of them, then those outside the largest
 component against the rest. Over the pieces of a large bucket only lines outside the bucket's main component visit the other pieces. A cell gives only the links that join
 components, so none between components is lost.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_for, sweep, table
+from .common import cut, partitions_for, table
 from .components import connected_components, joined_components
 from .near_dedup import _grouped, _spans, outside_rows
 from .shingles import BASE, _power_tables, _SPACE, mix, texts
@@ -34,14 +35,17 @@ from .shingles import BASE, _power_tables, _SPACE, mix, texts
 
 @dataclass(frozen=True)
 class LineParams:
+    """``edits`` at most, and one for every ``each`` code points of the longer line: 5 is a similarity of 0.8."""
+
     edits: int = 2
+    each: int = 5
     min_words: int = 1
     block: int = 1000
 
     @property
     def min_chars(self) -> int:
-        """The least length of a line with edits + 1 non-empty segments."""
-        return self.edits + 1
+        """The least length of a line that may be linked: it has edits + 1 non-empty segments, and one edit more gives ``each`` code points."""
+        return max(self.edits + 1, self.each - 1)
 
 
 SHORT = 256  # code points up to which lines are compared many at a time
@@ -135,18 +139,40 @@ def _keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int)
                 yield place[ok], hashed(starts[ok] + at[ok], sizes[ok, i], base[ok], i), index
 
 
-def _scan(docs: DataFrame, params: LineParams, parts: int, names: list[str]) -> DataFrame:
-    """One pass over the texts. Line rows: (*names, line_no, ref, key), every line that takes part; segment rows: (part, block), packed (hash, line
-    reference with the index flag in its lowest bit) pairs of one range of hashes. The columns of the other kind are null."""
+def _line_rows(docs: DataFrame, params: LineParams, names: list[str]) -> DataFrame:
+    """(*names, line_no, ref, key): every line that takes part."""
     p = params
     given = docs.select(*names, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    labels = [*names, "line_no", "ref", "key", "part", "block"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in texts(batch.column(len(names))):
+                doc, number, starts, ends = _lines(data, offsets, p.min_words)
+                if not len(starts):
+                    continue
+                ref, key = _hashes(data, starts, ends)
+                ref &= ~np.uint64(1)
+                own = pa.array(doc + at)
+                yield pa.record_batch(
+                    [*[batch.column(i).take(own) for i in range(len(names))], pa.array(number.astype(np.int32)), pa.array(ref.view(np.int64)), pa.array(key.view(np.int64))],
+                    names=[*names, "line_no", "ref", "key"],
+                )
+
+    return given.mapInArrow(run, f"{schema}, line_no int, ref long, key long")
+
+
+def _segment_blocks(docs: DataFrame, params: LineParams, parts: int) -> DataFrame:
+    """(part, block): packed (hash, line reference with the index flag in its lowest bit) pairs of one range of hashes.
+
+    They go from the scan straight into the shuffle by part, so that they lie on disk once.
+    """
+    p = params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         marks: list[np.ndarray] = []
-        n, kinds = 0, []
+        n = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal n
@@ -158,37 +184,28 @@ def _scan(docs: DataFrame, params: LineParams, parts: int, names: list[str]) ->
             bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             hashes.clear(), marks.clear()
             n = 0
-            size = len(bounds) - 1
-            blocks = [pa.array(part[bounds[:-1]].astype(np.int64)), pa.array([rows[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])], pa.binary())]
-            return pa.record_batch([*[pa.nulls(size, k) for k in kinds], pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), *blocks], names=labels)
+            blocks = [rows[b:e].tobytes() for b, e in zip(bounds[:-1], bounds[1:])]
+            return pa.record_batch([pa.array(part[bounds[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "block"])
 
         for batch in batches:
-            kinds = [batch.column(i).type for i in range(len(names))]
-            for at, data, offsets in texts(batch.column(len(names))):
-                doc, number, starts, ends = _lines(data, offsets, p.min_words)
+            for _, data, offsets in texts(batch.column(0)):
+                _, _, starts, ends = _lines(data, offsets, p.min_words)
                 if not len(starts):
                     continue
-                ref, key = _hashes(data, starts, ends)
-                ref &= ~np.uint64(1)
-                own, size = pa.array(doc + at), len(doc)
-                yield pa.record_batch(
-                    [*[batch.column(i).take(own) for i in range(len(names))], pa.array(number.astype(np.int32)), pa.array(ref.view(np.int64)), pa.array(key.view(np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())],
-                    names=labels,
-                )
-                _, once = np.unique(ref, return_index=True)
+                ref, once = np.unique(_hashes(data, starts, ends)[0] & ~np.uint64(1), return_index=True)
                 points, s, e = _code_points(data, starts[once], ends[once])
                 long = e - s >= p.min_chars
-                once_ref = ref[once][long]
+                ref = ref[long]
                 for line, h, index in _keys(points, s[long], e[long], p.edits):
                     hashes.append(h)
-                    marks.append(once_ref[line] | np.uint64(index))
+                    marks.append(ref[line] | np.uint64(index))
                     n += len(h)
                 if n >= 2_000_000:
                     yield flush()
         if n:
             yield flush()
 
-    return given.mapInArrow(run, f"{schema}, line_no int, ref long, key long, part long, block binary")
+    return docs.select("text").mapInArrow(run, "part long, block binary")
 
 
 def _meetings(blocks: DataFrame, partitions: int, block: int) -> DataFrame:
@@ -361,8 +378,8 @@ def _sketch(points: list[np.ndarray]) -> np.ndarray:
     return np.bincount(row * 32 + flat, minlength=32 * len(points)).reshape(-1, 32).astype(np.uint8)
 
 
-def within_rows(points: list[np.ndarray], one: np.ndarray, two: np.ndarray, edits: int) -> np.ndarray:
-    """Whether points[i] and points[j] are within ``edits``, for the pairs (i, j) of ``one`` and ``two``.
+def within_rows(points: list[np.ndarray], one: np.ndarray, two: np.ndarray, edits: int, each: int = 0) -> np.ndarray:
+    """Whether points[i] and points[j] are within ``edits``, and within one for every ``each`` code points of the longer, for the pairs (i, j) of ``one`` and ``two``.
 
     Pairs of short lines go through the bands together, taken from one padded matrix; pairs with a long line are compared one by one.
     """
@@ -392,6 +409,11 @@ def within_rows(points: list[np.ndarray], one: np.ndarray, two: np.ndarray, edit
             longest = int(m2.max())
             b = np.where(np.arange(longest)[None] < m2[:, None], b[:, pad : pad + longest], 0xFFFFFFFE)
             verdict[some] = _bands(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), m1, m2, edits) <= edits
+    if each:
+        allowed = size[one] // each
+        for fewer in range(edits):
+            some = np.flatnonzero(verdict & (allowed == fewer))
+            verdict[some] = within_rows(points, one[some], two[some], fewer) if fewer else [np.array_equal(points[i], points[j]) for i, j in zip(one[some].tolist(), two[some].tolist())]
     return verdict
 
 
@@ -409,7 +431,7 @@ def _candidates(s: int, e: int, rows: np.ndarray, own: np.ndarray, sketch: np.nd
         yield np.full(len(near), i), near
 
 
-def link_cells(spans: list[tuple[int, int]], own: np.ndarray, points: list[np.ndarray], side: tuple, edits: int, most: int = 8192) -> list[tuple[int, int]]:
+def link_cells(spans: list[tuple[int, int]], own: np.ndarray, points: list[np.ndarray], side: tuple, edits: int, each: int = 0, most: int = 8192) -> list[tuple[int, int]]:
     """Links (i, j) between rows of one cell and different components ``own``; no more than join the components of each cell.
 
     side: (outside, resident, indexed). First each cell's rows are held against one of them. Then, where all rows are outside, each row that isn't in the cell's
@@ -424,7 +446,7 @@ def link_cells(spans: list[tuple[int, int]], own: np.ndarray, points: list[np.nd
         cell = np.repeat(np.arange(len(where)), [len(x) for x in one])
         open_ = own[i] != own[j]
         i, j, cell = i[open_], j[open_], cell[open_]
-        ok = within_rows(points, i, j, edits)
+        ok = within_rows(points, i, j, edits, each)
         for x, y, c in zip(i[ok].tolist(), j[ok].tolist(), cell[ok].tolist()):
             if own[x] != own[y]:
                 s, e = where[c]
@@ -463,8 +485,9 @@ def link_cells(spans: list[tuple[int, int]], own: np.ndarray, points: list[np.nd
     return found
 
 
-def _cell_links(cells: DataFrame, lines: DataFrame, edits: int, partitions: int) -> DataFrame:
+def _cell_links(cells: DataFrame, lines: DataFrame, params: LineParams, partitions: int) -> DataFrame:
     """Links (a, b) found within each cell; cells: (cell, key, indexed, root, outside, resident)."""
+    p = params
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "cell"):
@@ -475,7 +498,7 @@ def _cell_links(cells: DataFrame, lines: DataFrame, edits: int, partitions: int)
             own = np.unique(np.stack([cell, root], axis=1), axis=0, return_inverse=True)[1].ravel()
             points = [_points(x) for x in t.column("line").to_pylist()]
             side = tuple(t.column(c).to_numpy() for c in ("outside", "resident", "indexed"))
-            found = np.array(link_cells(spans, own, points, side, edits), dtype=np.int64).reshape(-1, 2)
+            found = np.array(link_cells(spans, own, points, side, p.edits, p.each), dtype=np.int64).reshape(-1, 2)
             a, b = keys[found[:, 0]], keys[found[:, 1]]
             yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -491,17 +514,15 @@ def near_lines(blocks: DataFrame, docs: DataFrame, params: LineParams, partition
     Within a piece of a bucket all lines are compared at once; over the pieces of large buckets only those outside the bucket's main component.
     """
     met = cut(_meetings(blocks, partitions, params.block))
-    sweep(docs.sparkSession, 1.5)  # the segments' shuffle goes before the texts' begins
     lines = cut(_texts_of(docs, params).join(met.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"]))
-    sweep(docs.sparkSession)
     yes = F.lit(True)
     one = met.select(F.xxhash64("bucket", "piece").alias("cell"), F.col("ref").alias("key"), "indexed", F.col("ref").alias("root"), yes.alias("outside"), yes.alias("resident"))
-    links = cut(_cell_links(one, lines, params.edits, partitions))
+    links = cut(_cell_links(one, lines, params, partitions))
     roots = cut(connected_components(links))
     large = met.where("pieces > 1").withColumnRenamed("ref", "key")
     named = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     visits = outside_rows(named).withColumn("outside", F.col("outside") & ~F.col("resident"))
-    more = cut(_cell_links(visits, lines, params.edits, partitions))
+    more = cut(_cell_links(visits, lines, params, partitions))
     return cut(joined_components(roots, more))
 
 
@@ -513,9 +534,8 @@ def line_classes(docs: DataFrame, params: LineParams = LineParams(), keys: tuple
     """
     names = list(keys)
     partitions = partitions_for(docs)
-    scanned = cut(_scan(docs, params, 4 * partitions, names))
-    rows = scanned.where("part is null").select(*names, "line_no", "ref", "key")
-    roots = near_lines(scanned.where("part is not null").select("part", "block"), docs.select("text"), params, partitions)
+    rows = cut(_line_rows(docs, params, names))
+    roots = near_lines(_segment_blocks(docs, params, 4 * partitions), docs.select("text"), params, partitions)
     place = F.struct(*[F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("value")).alias(k) for k in names], F.col("line_no"))
     by_line = rows.groupBy("ref", "key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # What is neither repeated nor linked is done with here.
@@ -523,7 +543,6 @@ def line_classes(docs: DataFrame, params: LineParams = LineParams(), keys: tuple
     some = some.withColumn("class_ref", F.coalesce("root", "ref")).withColumn("class_key", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.lit(0).cast("long")))
     classes = some.groupBy("class_ref", "class_key").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"))
     lookup = cut(some.select("ref", "key", "class_ref", "class_key").join(classes, ["class_ref", "class_key"]).where("class_size > 1").select("ref", "key", "first", "class_size"))
-    sweep(docs.sparkSession)
     return rows.join(lookup, ["ref", "key"], "left" if all_lines else "inner").withColumn("class_size", F.coalesce("class_size", F.lit(1).cast("long")))
 
 

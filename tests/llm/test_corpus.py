@@ -122,7 +122,8 @@ def test_line_classes(spark):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= p.min_chars and abs(len(a) - len(b)) <= p.edits and levenshtein(a, b) <= p.edits:
+            most = min(p.edits, max(len(a), len(b)) // p.each)
+            if min(len(a), len(b)) >= p.min_chars and abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most:
                 parent[find(a)] = find(b)
     classes = collections.defaultdict(list)
     for x in lines:
@@ -155,6 +156,24 @@ def test_short_lines_take_part(spark):
     assert kept == {0: texts[0], 1: "ac\n \t", 2: "中文行没有空格\nZzzzzzzz", 3: "Quite another one"}
 
 
+def test_edits_grow_with_the_length(spark):
+    lines = ["Of.", "It.", "Th.", "Of.", "abcd", "abcde", "abXYe", "ninechars", "nineXhYrs", "tencharsok", "tenXhYrsok", "tenXhYrsoZ9"]
+    short = ["".join(RNG.choice("abc") for _ in range(RNG.randint(3, 12))) for _ in range(150)]
+    for texts, want in ((lines, {0: 2, 3: 2, 4: 2, 5: 2, 9: 3, 10: 3, 11: 3}), (short, None)):
+        p = line_dedup.LineParams(block=20)
+        got = {r.line_no: r.class_size for r in line_dedup.line_classes(frame(spark, ["\n".join(texts)]).select("doc_id", "text"), p).collect()}
+        groups = [{i} for i in range(len(texts))]
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts[:i]):
+                if a == b or levenshtein(a, b) <= min(p.edits, max(len(a), len(b)) // p.each):
+                    one, two = (next(g for g in groups if k in g) for k in (i, j))
+                    if one is not two:
+                        groups.remove(two)
+                        one |= two
+        assert got == {i: len(g) for g in groups for i in g}
+        assert want is None or {i: n for i, n in got.items() if n > 1} == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
