@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_for, table
+from .common import cut, partitions_for, table, tidy
 from .components import connected_components, joined_components
 from .near_dedup import _grouped, _spans, outside_rows
 from .shingles import BASE, _power_tables, _SPACE, mix, texts
@@ -159,7 +159,7 @@ def _line_rows(docs: DataFrame, params: LineParams, names: list[str]) -> DataFra
                     names=[*names, "line_no", "ref", "key"],
                 )
 
-    return given.mapInArrow(run, f"{schema}, line_no int, ref long, key long")
+    return given.mapInArrow(tidy(run), f"{schema}, line_no int, ref long, key long")
 
 
 def _segment_blocks(docs: DataFrame, params: LineParams, parts: int) -> DataFrame:
@@ -205,7 +205,7 @@ def _segment_blocks(docs: DataFrame, params: LineParams, parts: int) -> DataFram
         if n:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part long, block binary")
+    return docs.select("text").mapInArrow(tidy(run), "part long, block binary")
 
 
 def _meetings(blocks: DataFrame, partitions: int, block: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _meetings(blocks: DataFrame, partitions: int, block: int) -> DataFrame:
                 names=["bucket", "ref", "indexed", "piece", "pieces"],
             )
 
-    return blocks.repartition(partitions, "part").mapInArrow(run, "bucket long, ref long, indexed boolean, piece int, pieces int")
+    return blocks.repartition(partitions, "part").mapInArrow(tidy(run), "bucket long, ref long, indexed boolean, piece int, pieces int")
 
 
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray:
@@ -361,7 +361,7 @@ def _texts_of(docs: DataFrame, params: LineParams) -> DataFrame:
                 pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data)])
                 yield pa.record_batch([pa.array(ref[order].view(np.int64)), pieces.take(pa.array(np.arange(0, len(cuts), 2)))], names=["ref", "line"])
 
-    return docs.select("text").mapInArrow(run, "ref long, line binary")
+    return docs.select("text").mapInArrow(tidy(run), "ref long, line binary")
 
 
 def _points(line: bytes) -> np.ndarray:
@@ -505,7 +505,7 @@ def _cell_links(cells: DataFrame, lines: DataFrame, params: LineParams, partitio
     whole = cells.join(lines.select(F.col("ref").alias("key"), "line"), "key")
     columns = ["key", "indexed", "root", "outside", "resident", "line"]
     dealt = whole.select("cell", *columns).repartition(partitions, "cell").sortWithinPartitions("cell", "key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_lines(blocks: DataFrame, docs: DataFrame, params: LineParams, partitions: int) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, sweep, table
+from .common import cut, shuffle_partitions, sweep, table, tidy
 from .components import connected_components, joined_components
 from .shingles import mix, occurrences, shingle_hashes, texts, word_hashes
 
@@ -70,7 +70,7 @@ def shingle_weights(docs: DataFrame, params: NearParams = NearParams()) -> np.nd
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], names=["class", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(tidy(count), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(n_classes + 1)
     df[rows["class"].to_numpy()] = rows["n"].to_numpy()
     n = max(df[-1], 1.0)
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame, weights: np.ndarray, params: NearParams) -> Data
                 [batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"]
             )
 
-    return docs.select("doc_id", _key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>")
+    return docs.select("doc_id", _key(F.col("text")).alias("key"), "text").mapInArrow(tidy(run), "doc_id long, key binary, sig binary, bands array<long>")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -230,7 +230,7 @@ def _forest_pairs(cells: DataFrame, agree: int) -> DataFrame:
                         b.append(min(x, y))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return _by_cell(cells, ["key", "sig"]).mapInArrow(run, "a binary, b binary")
+    return _by_cell(cells, ["key", "sig"]).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def outside_rows(rows: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _suspects(cells: DataFrame, params: NearParams) -> DataFrame:
                     hit[s + i] = True
             yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
 
-    return _by_cell(cells, CELL).mapInArrow(run, "cell long, key binary, root binary, band int, outside boolean, resident boolean, sig binary")
+    return _by_cell(cells, CELL).mapInArrow(tidy(run), "cell long, key binary, root binary, band int, outside boolean, resident boolean, sig binary")
 
 
 def _cell_links(suspects: DataFrame, bags: DataFrame, weights: np.ndarray, params: NearParams) -> DataFrame:
@@ -324,7 +324,7 @@ def _cell_links(suspects: DataFrame, bags: DataFrame, weights: np.ndarray, param
                             b.append(min(keys[s + i], keys[s + j]))
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return _by_cell(suspects.join(bags, "key"), [*CELL, "bag"]).mapInArrow(run, "a binary, b binary").distinct()
+    return _by_cell(suspects.join(bags, "key"), [*CELL, "bag"]).mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFrame:
@@ -342,7 +342,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, params: NearParams) -> DataFra
 
     read = docs.select("doc_id", _key(F.col("text")).alias("key"), "text").alias("d")
     met = read.join(wanted.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return met.select("d.key", "d.text").mapInArrow(run, "key binary, bag binary").dropDuplicates(["key"])
+    return met.select("d.key", "d.text").mapInArrow(tidy(run), "key binary, bag binary").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
@@ -364,7 +364,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, weights: np.ndarray, similarity
 
     one = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
     two = bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _buckets(distinct: DataFrame, block: int) -> DataFrame:
