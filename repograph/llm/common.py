@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -58,12 +59,22 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Gives memory that Arrow and the C library hold for later use back to the system; without the C library's ``malloc_trim``, Arrow's alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` with Arrow's unused memory given back at its end, so that a Python worker that waits for its next task doesn't keep what its largest batches took."""
+    """``run`` with unused memory given back at its end, so that a Python worker that waits for its next task doesn't keep what its largest batches took."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
 
     return tidied
 
