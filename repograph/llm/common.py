@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shingles import forget_powers
+
 #: ASCII white space of the word contracts: space, tab, LF, VT, FF, CR.
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -74,6 +76,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            forget_powers()
             release_memory()
 
     return tidied

@@ -128,6 +128,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
             emit(done)
         if rows:
             yield flush()
+        encoder.forget()  # a worker that waits for its next task holds the tokenizer alone
 
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), SCHEMA)
 

@@ -44,6 +44,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def forget_powers() -> None:
+    """Drops the tables of powers, which are as long as the longest text so far."""
+    _powers.clear()
+
+
 def texts(column: pa.Array, most_bytes: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices (first row, bytes, offsets) of a string column, each of about ``most_bytes``, whose arrays fit a processor's cache, unless a text is longer; null is empty."""
     column = column.cast(pa.large_string())

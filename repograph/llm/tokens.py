@@ -32,7 +32,7 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=1)
 def encoder_for(path: str) -> WordEncoder:
-    """The encoder of a Python worker, kept from task to task."""
+    """The encoder of a Python worker, kept from task to task: the tokenizer doesn't give all of its memory back when it is dropped."""
     return WordEncoder(path)
 
 
@@ -86,9 +86,10 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drops the pieces learned so far."""
         self.known, self.slots = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # sorted hashes and the slot of each
         self.first, self.size, self.n = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32), 0
         self.pool, self.used = np.zeros(1 << 18, dtype="<u4"), 0
@@ -127,7 +128,7 @@ class WordEncoder:
         hashes = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * BASE)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if self.n + len(unique) > self.most:
-            self._clear()
+            self.forget()
         new = np.flatnonzero(self._unknown(unique))
         if len(new):
             at = where[new]
