@@ -115,6 +115,13 @@ def events_per_sec(milli) -> Column:
     return F.format_string("%.1f", _col(milli) / 1000.0)
 
 
+def epoch_ms(ts) -> Column:
+    """Milliseconds since 1970, microseconds rounded with halves away from zero."""
+    micros = F.unix_micros(_col(ts).cast("timestamp"))
+    rounded = micros + F.when(micros < 0, -500).otherwise(500)
+    return ((rounded - rounded % 1000) / 1000).cast("long")
+
+
 def rfc3339(ts) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

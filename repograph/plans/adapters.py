@@ -70,8 +70,8 @@ VIEWS = {
             ELSE 'function o' || CAST(o_orderkey AS STRING) || '(' || chr(10) || '  a: number,' || chr(10) || '  b: string,' || chr(10) || '): number {' || chr(10) || '  return `((' || chr(10) || '[`;' || chr(10) || '}' END
             || CASE WHEN o_orderkey % 31 = 0 THEN chr(10) || '(' ELSE '' END AS part FROM fns""",
 }
-#: What differs between the engines.
-_SPARK = {"once": "", "div": "div", "ms": r"unix_millis(CAST(\1 AS TIMESTAMP))", "day": r"date_format(\1, 'yyyy-MM-dd')"}
+#: What differs between the engines. DuckDB's epoch_ms rounds microseconds, halves away from zero; unix_millis cuts them off.
+_SPARK = {"once": "", "div": "div", "ms": r"((unix_micros(CAST(\1 AS TIMESTAMP)) + if(unix_micros(CAST(\1 AS TIMESTAMP)) < 0, -500, 500)) div 1000)", "day": r"date_format(\1, 'yyyy-MM-dd')"}
 _DUCK = {"once": "MATERIALIZED ", "div": "//", "ms": r"epoch_ms(\1)", "day": r"strftime(\1, '%Y-%m-%d')"}
 
 
