@@ -102,12 +102,14 @@ def language_of(path) -> Column:
     return _mapped(F.regexp_extract(_col(path), r"\.([^./]+)$", 1), LANGUAGES)
 
 
-def format_bytes(n) -> Column:
-    """Bytes below 1024, then one decimal in steps of 1024 up to TB."""
+def format_bytes(n, largest: str = "TB") -> Column:
+    """Bytes below 1024, then one decimal in steps of 1024 up to ``largest``."""
     n = _col(n)
-    out = F.format_string("%.1f TB", n / float(1024**4))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / float(1024**power))).otherwise(out)
+    units = ("B", "KB", "MB", "GB", "TB")
+    top = units.index(largest)
+    out = F.format_string(f"%.1f {largest}", n / float(1024**top))
+    for power in range(top - 1, 0, -1):
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {units[power]}", n / float(1024**power))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 

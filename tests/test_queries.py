@@ -41,3 +41,7 @@ def test_windows_of_rounded_milliseconds(spark, tables):
 def test_milliseconds_are_rounded_away_from_zero(spark):
     rows = spark.sql("SELECT timestamp_micros(m) AS t FROM VALUES (-1500L), (-501L), (-500L), (-499L), (0L), (499L), (500L), (1499L) AS v(m)").select(S.epoch_ms("t").alias("ms"))
     assert [r.ms for r in rows.collect()] == [-2, -1, -1, 0, 0, 0, 1, 1]
+
+
+def test_sizes_beyond_a_terabyte(spark, tables):
+    same(spark, tables, "formatted_sizes")
