@@ -8,8 +8,11 @@ A query scans the codes of the cells that it probes through two-nibble tables, a
 Centres, codebooks and the number of probes are fitted on a sample of at most ``sample`` vectors (those of least hash), the only bound that
 doesn't follow the data; every vector is indexed. The probes are the fewest that find ``recall`` of the sample's true neighbours. Cells of more than ``block`` rows
 are dealt into pieces, and a query goes to each piece, so a vector that fills a third of the table is scanned by many tasks; all rows of one score are measured together,
-so repeated vectors don't crowd out others. Pieces return ten rows a query, which are ranked by distance and vec_id. A query that gets fewer than ``k`` from its cells
-goes to all of them, so it gets ``k`` rows or all candidates. Cells, codes and scores are of vectors divided by a power of two near the table's largest component, so that squares stay finite.
+so repeated vectors don't crowd out others. Pieces return ten rows a query, which are ranked by distance and vec_id. Probes and codes are fitted on rows of the table, and queries or
+rows unlike them lose neighbours, so an exact check follows: the distance of the last row found bounds what can still be nearer, the triangle inequality drops cells beyond that bound
+(each with the least and largest distance of its rows from the centre), and in all others every row is held against the bound in double precision, with an allowance for rounding. What is
+returned are the true neighbours. A query that gets fewer than ``k`` has no bound and goes to all cells, so it gets ``k`` rows or all candidates. Where vectors don't gather round centres, the
+check visits most cells, and its time grows with queries times rows; memory is that of a piece. Cells, codes and scores are of vectors divided by a power of two near the table's largest component, so that squares stay finite.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no part; rows that share a vec_id count
 once, at their nearest; a query whose vec_id has several vectors uses the least of them; fewer candidates than ``k`` are all returned; other columns are ignored.
@@ -180,28 +183,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
                 codes = assign_codes(ix.residual_pairs(low, cell), _directions(low), ix.books, eta)
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-                yield pa.record_batch([part.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "code", "v"])
-
-    def probe(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+                away = np.sqrt(((x.astype(np.float64) / scale - ix.centres[cell]) ** 2).sum(axis=1))
+                yield pa.record_batch([part.column(0), pa.array(cell.astype(np.int32)), pa.array(away), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "cell", "away", "code", "v"])
+
+    placed = cut(all_rows.mapInArrow(place, "id long, cell int, away double, code binary, v binary"))
+    shells = placed.groupBy("cell").agg(F.count("*").alias("_n"), F.min("away").alias("least"), F.max("away").alias("most"))
+    pieces = cut(shells.select("cell", F.ceil(F.col("_n") / p.block).cast("int").alias("_g"), "least", "most"))  # at most ``cells`` rows
+    rows = placed.join(F.broadcast(pieces.select("cell", "_g")), "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("_g").cast("long")).cast("int"))
+    shell = np.full((2, len(index.value.centres)), np.inf)
+    for row in pieces.collect():
+        shell[:, row["cell"]] = row["least"], row["most"]
+
+    def probe(batches: Iterator[pa.RecordBatch], check: bool) -> Iterator[pa.RecordBatch]:
+        """Each query with the cells that it probes, or with those that can hold rows within its bound."""
         ix = index.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), d)
-                cells = ix.order((x / scale).astype(np.float32))[:, : None if every else ix.probes]
-                row = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
+                bound = part.column(2).to_numpy(zero_copy_only=False)
+                if check:
+                    query, cells = np.nonzero(_within(x.astype(np.float64) / scale, ix.centres.astype(np.float64), shell, bound / scale))
+                else:
+                    cells = ix.order((x / scale).astype(np.float32))[:, : ix.probes]
+                    query, cells = np.repeat(np.arange(len(x)), cells.shape[1]), cells.ravel()
+                row = pa.array(query)
                 raw = pa.array([v.tobytes() for v in x], pa.binary())
-                yield pa.record_batch([part.column(0).take(row), pa.array(cells.ravel().astype(np.int32)), raw.take(row)], names=["id", "cell", "v"])
-
-    placed = cut(all_rows.mapInArrow(place, "id long, cell int, code binary, v binary"))
-    counts = placed.groupBy("cell").agg(F.count("*").alias("_n"))
-    pieces = cut(counts.select("cell", F.ceil(F.col("_n") / p.block).cast("int").alias("_g")))  # at most ``cells`` rows
-    rows = placed.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("_g").cast("long")).cast("int"))
+                yield pa.record_batch([part.column(0).take(row), pa.array(cells.astype(np.int32)), raw.take(row), part.column(2).take(row)], names=["id", "cell", "v", "bound"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch], check: bool) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for t in _grouped(batches, "spot"):
-            spot, side, ids = (t.column(c).to_numpy() for c in ("spot", "side", "id"))
+            spot, side, ids, bound = (t.column(c).to_numpy() for c in ("spot", "side", "id", "bound"))
             bounds = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1], [True]]))
             for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 split = b + int((side[b:e] == 0).sum())
@@ -209,39 +222,79 @@ def nearest(vectors: DataFrame, queries: DataFrame, params: SearchParams = Searc
                     continue
                 raw = t.column("v").slice(b, e - b).combine_chunks().to_pylist()
                 v = np.frombuffer(b"".join(raw), dtype=width).reshape(e - b, d)
+                if check:
+                    yield _checked(ids[b:split], v[: split - b], bound[b:split], ids[split:e], v[split - b :], ix.centres[int(spot[b] >> 31)].astype(np.float64), p, scale)
+                    continue
                 code = np.frombuffer(b"".join(t.column("code").slice(split, e - split).combine_chunks().to_pylist()), dtype=np.uint8).reshape(e - split, -1)
                 yield _scan(ids[b:split], v[: split - b], ids[split:e], v[split - b :], code, ix, int(spot[b] >> 31), p, scale)
 
-    def answers(queries: DataFrame, every: bool) -> DataFrame:
-        """(query_id, vec_id, score): the nearest of the cells that each query probes, or of all."""
-        probes = queries.repartition(shuffle_partitions(spark)).mapInArrow(lambda batches: probe(batches, every), "id long, cell int, v binary")
-        probes = probes.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.expr("sequence(0, _g - 1)")))
-        both = rows.select("cell", "piece", F.lit(1).alias("side"), "id", "code", "v").unionByName(probes.select("cell", "piece", F.lit(0).alias("side"), "id", F.lit(None).cast("binary").alias("code"), "v"))
+    def answers(queries: DataFrame, check: bool) -> DataFrame:
+        """(query_id, vec_id, score): the nearest of the cells that each query (vec_id, v, bound) probes, or the nearest within its bound."""
+        probes = queries.repartition(shuffle_partitions(spark)).mapInArrow(lambda batches: probe(batches, check), "id long, cell int, v binary, bound double")
+        probes = probes.join(F.broadcast(pieces.select("cell", "_g")), "cell").withColumn("piece", F.explode(F.expr("sequence(0, _g - 1)")))
+        code = F.lit(None).cast("binary").alias("code")
+        both = rows.select("cell", "piece", F.lit(1).alias("side"), "id", code if check else F.col("code"), "v", F.lit(0.0).alias("bound")).unionByName(probes.select("cell", "piece", F.lit(0).alias("side"), "id", code, "v", "bound"))
         both = both.withColumn("spot", F.col("cell").cast("long") * (1 << 31) + F.col("piece"))
-        dealt = both.select("spot", "side", "id", "code", "v").repartition(max(shuffle_partitions(spark), 2), "spot").sortWithinPartitions("spot", "side", "id")
-        found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+        dealt = both.select("spot", "side", "id", "code", "v", "bound").repartition(max(shuffle_partitions(spark), 2), "spot").sortWithinPartitions("spot", "side", "id")
+        found = dealt.mapInArrow(lambda batches: scan(batches, check), "query_id long, vec_id long, score double")
         return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
     def first(best: DataFrame) -> DataFrame:
         ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
         return ranked.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
-    best = first(answers(asked, False))
-    if index.value.probes == len(index.value.centres):
-        return best
-    best = cut(best)
-    full = best.where(F.col("rank") == p.k).select(F.col("query_id").alias("vec_id"))
-    short = cut(asked.join(full, "vec_id", "left_anti"))
-    if short.isEmpty():
-        return best
-    return best.join(short, F.col("query_id") == short["vec_id"], "left_anti").unionByName(first(answers(short, True)))
+    best = cut(first(answers(asked.withColumn("bound", F.lit(float("inf"))), False)))
+    last = best.where(F.col("rank") == p.k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    bounded = asked.join(last, "vec_id", "left").select("vec_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    every = best.select("query_id", "vec_id", "score").unionByName(answers(bounded, True))
+    return first(every.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of the rows of ``a`` from those of ``b``, and what rounding can have changed them by."""
+    whole = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None]
+    return whole - 2 * a @ b.T, 8 * (a.shape[1] + 8) * np.finfo(np.float64).eps * whole
+
+
+def _within(q: np.ndarray, centres: np.ndarray, shell: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each query and cell whether a row between the cell's least and largest distance from its centre can be within the query's bound."""
+    square, error = _squares(q, centres)
+    low, high = np.sqrt(np.maximum(square - error, 0)), np.sqrt(np.maximum(square + error, 0))
+    near = np.maximum(low - shell[1] * (1 + 1e-9), shell[0] * (1 - 1e-9) - high)
+    return (near <= (bound * (1 + 1e-9))[:, None]) & np.isfinite(shell[0])[None]
+
+
+def _checked(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, p: SearchParams, scale: float) -> pa.RecordBatch:
+    """The nearest rows of one piece of a cell within each query's bound."""
+    exact = x.astype(np.float64)
+    moved = exact / scale - centre
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(q), 128):
+        square, error = _squares(q[at : at + 128].astype(np.float64) / scale - centre, moved)
+        close = square - error <= (bound[at : at + 128, None] / scale * (1 + 1e-9)) ** 2
+        for k in np.flatnonzero(close.any(axis=1)):
+            out.append(_measured(q_ids[at + k], q[at + k], ids, exact, np.flatnonzero(close[k]), p, scale))
+    if not out:
+        out = [(q_ids[:0], ids[:0], np.zeros(0))]
+    return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+
+
+def _measured(q_id: int, one: np.ndarray, ids: np.ndarray, exact: np.ndarray, some: np.ndarray, p: SearchParams, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of some rows for a query, measured on the vectors as they are given."""
+    unit = scale if not 2.0**-400 < scale < 2.0**400 else 1.0  # squares of differences stay in range; dividing by a power of two is exact
+    some = some[ids[some] != q_id]
+    distance = np.sqrt(((exact[some] / unit - one.astype(np.float64) / unit) ** 2).sum(axis=1)) * unit
+    order = np.lexsort((ids[some], distance))
+    if len(order) > p.k:
+        _, first = np.unique(ids[some][order], return_index=True)  # rows that share a vec_id count once
+        order = order[np.sort(first)][: p.k]
+    return np.full(len(order), q_id), ids[some][order], distance[order]
 
 
 def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code: np.ndarray, index: Index, cell: int, p: SearchParams, scale: float) -> pa.RecordBatch:
     """The nearest rows of one piece of a cell for each query that probes it."""
     exact = x.astype(np.float64)
     half = ((exact / scale) ** 2).sum(axis=1) / 2
-    unit = scale if not 2.0**-400 < scale < 2.0**400 else 1.0  # squares of differences stay in range; dividing by a power of two is exact
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     m = index.books.shape[0]
     at = code.T.astype(np.intp)
@@ -260,13 +313,7 @@ def _scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, code
         if len(ids) > p.rerank:
             top = np.unique(score)
             some = np.flatnonzero(score >= top[max(0, len(top) - p.rerank)])
-        some = some[ids[some] != q_ids[k]]
-        distance = np.sqrt(((exact[some] / unit - one.astype(np.float64) / unit) ** 2).sum(axis=1)) * unit
-        order = np.lexsort((ids[some], distance))
-        if len(order) > p.k:
-            _, first = np.unique(ids[some][order], return_index=True)  # rows that share a vec_id count once
-            order = order[np.sort(first)][: p.k]
-        out.append((np.full(len(order), q_ids[k]), ids[some][order], distance[order]))
+        out.append(_measured(q_ids[k], one, ids, exact, some, p, scale))
     return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
 
