@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import html as html_module
 import json
+import math
 import re
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions, table
 
 DEPTH = 60
-#: Rows of the alignment table beyond which lists are aligned by next occurrence instead of longest common subsequence.
+#: Size of the alignment table beyond which it is held in part and found again; the alignment is the same.
 CELLS = 250_000
 
 # Kinds of elements.
@@ -104,20 +106,9 @@ def _optional(node: list) -> list:
 
 
 def _steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of equal keys, increasing on both sides: a longest common subsequence, or next occurrences where that table would be too large."""
+    """Pairs of places of equal keys, increasing on both sides: a longest common subsequence; equal keys are taken at once, else the place in ``a`` is passed over where both ways are as long."""
     if len(a) * len(b) > CELLS:
-        places: dict[str, list[int]] = {}
-        for j in range(len(b) - 1, -1, -1):
-            places.setdefault(b[j], []).append(j)
-        out, at = [], -1
-        for i, k in enumerate(a):
-            left = places.get(k, [])
-            while left and left[-1] <= at:
-                left.pop()
-            if left and left[-1] - at <= 64:
-                at = left.pop()
-                out.append((i, at))
-        return out
+        return _long_steps(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below, x = best[i], best[i + 1], a[i]
@@ -135,6 +126,40 @@ def _steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _long_steps(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The same pairs with one row of the table in a stretch of rows held, from which the rest is found again as the way is walked; memory grows with len(b) times the root of len(a)."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(k, len(number)) for k in keys], dtype=np.int64) for keys in (a, b))
+
+    def above(below: np.ndarray, key: int) -> np.ndarray:
+        row = below.copy()
+        np.maximum(row[:-1], below[1:] + (y == key), out=row[:-1])
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    stretch = max(1, math.isqrt(len(a)))
+    held = {len(a): np.zeros(len(b) + 1, dtype=np.int32)}
+    row = held[len(a)]
+    for i in range(len(a) - 1, -1, -1):
+        row = above(row, x[i])
+        if i % stretch == 0:
+            held[i] = row
+    out, i, j, rows = [], 0, 0, {}
+    while i < len(a) and j < len(b):
+        if i not in rows or i + 1 not in rows:
+            end = min(i - i % stretch + stretch, len(a))
+            rows = {end: held[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = above(rows[k + 1], x[k])
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif rows[i + 1][j] >= rows[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def _with_groups(kids: list, other: list) -> list:
     """``kids`` where a run like a group of ``other`` is that group, once."""
     for group in other:

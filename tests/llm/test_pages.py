@@ -109,3 +109,16 @@ def test_mismatches_become_optional_and_repeated_groups():
 )
 def test_tokens(source, want):
     assert [t for _, t, _ in wrappers.Page(source).texts] == want
+
+
+def test_alignment_is_the_same_whatever_the_size(monkeypatch):
+    rng = random.Random(6)
+    for n, m, keys in [(0, 5, 2), (1, 1, 1), (7, 9, 3), (40, 33, 4), (120, 160, 12), (200, 90, 60), (64, 64, 1)] * 5:
+        a, b = ([f"k{rng.randrange(keys)}" for _ in range(k)] for k in (n, m))
+        monkeypatch.setattr(wrappers, "CELLS", 10**9)
+        want = wrappers._steps(a, b)
+        monkeypatch.setattr(wrappers, "CELLS", -1)
+        assert wrappers._steps(a, b) == want
+    monkeypatch.undo()
+    a, b = [f"k{i}" for i in range(700)], [f"x{i}" for i in range(400)] + [f"k{i}" for i in range(700)]
+    assert len(wrappers._steps(a, b)) == 700
