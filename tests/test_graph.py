@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from repograph.operators import diff, graph
 
 NODES = [("f", "file", "f.rs", None), ("a", "function", "a", "f"), ("b", "function", "b", "f"), ("v", "variable", "v", "a"), ("agent:x", "agent", "x", None), ("o", "function", "o", "gone")]
@@ -133,3 +135,28 @@ def test_equality_counts_rows(spark):
     assert not diff.graph_equal(df(one), df(one[1:])) and not diff.graph_equal(df(one), df([*one[1:], ("x", 1, ["q"])]))
     assert not diff.graph_equal(df([("1", None, None)]), df([(None, 1, None)])) and not diff.graph_equal(df([(None, 1, [])]), df([(None, 1, None)]))
     assert diff.graph_equal(df(one), df(one).select("c", "b", "a"))
+
+
+def test_marks_above_against_a_walk(spark):
+    """Wide tiers, a chain, a cycle with leaves and absent parents: paths and the marked ancestors of every node."""
+    parents = {"r": None, **{f"m{k}": "r" for k in range(4)}, **{f"f{k}": f"m{k % 4}" for k in range(30)}, **{f"v{k}": f"f{k % 30}" for k in range(90)}}
+    parents |= {"c0": "gone", **{f"c{k}": f"c{k - 1}" for k in range(1, 9)}, "a": "b", "b": "d", "d": "a", "x": "a", "y": "x"}
+    nodes = spark.createDataFrame(list(parents.items()), "id string, parent_id string")
+    marked = {"r", "m1", "f2", "f5", "c3", "a", "v7"}
+    found = {r["id"]: (r["path"], sorted(r["under"])) for r in graph._climbed(nodes, 100, spark.createDataFrame([(m,) for m in marked], "id string")).collect()}
+    for node, up in parents.items():
+        path = [node]
+        while up in parents and up not in path:
+            path.insert(0, up)
+            up = parents[up]
+        assert found[node] == (path, sorted(set(path[:-1]) & marked))
+    assert {r["id"] for r in graph.descendants(nodes, spark.createDataFrame([("gone",), ("f2",)], "id string")).collect()} == {f"c{k}" for k in range(9)} | {"v2", "v32", "v62"}
+
+
+def test_collapse_joins_edges_once_an_end(spark):
+    """Edges from several branches aren't joined branch by branch."""
+    nodes = spark.createDataFrame([("r", None), ("f", "r"), ("v", "f")], "id string, parent_id string")
+    pairs = [nodes.where("parent_id is not null").select(F.concat("parent_id", F.lit(k), "id").alias("id"), F.col("parent_id").alias("source"), F.col("id").alias("target")) for k in "abc"]
+    _, edges = graph.collapse(nodes, pairs[0].unionByName(pairs[1]).unionByName(pairs[2]), spark.createDataFrame([("f",)], "id string"))
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert sorted(r["id"] for r in edges.collect()) == ["raf", "rbf", "rcf"]
