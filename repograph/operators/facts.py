@@ -40,7 +40,8 @@ def code_of(content: Column, language: Column) -> Column:
         return F.when(x.rlike(ended), whole).otherwise(F.concat(F.lit(OPEN_END), blank(F.substring(x, F.lit(2), F.length(x)))))
 
     def masked(name: str) -> Column:
-        pieces = F.regexp_extract_all(content, F.lit(rf"({_TOKENS[name]})|[\s\S]"), F.lit(0))
+        # What can begin no token is one piece up to where one may begin; # and ` are pieces of their own in every language.
+        pieces = F.regexp_extract_all(content, F.lit(rf"({_TOKENS[name]})|[^/\"'#`{'r' if name == 'rust' else ''}]++|[\s\S]"), F.lit(0))
         return F.array_join(F.transform(pieces, lambda x: F.when((F.length(x) < 2) & (x != "#"), x).when(x.rlike(r"""^(?://|/\*|#|r#*"|["'`])"""), one(x)).otherwise(x)), "")
 
     return F.when(language == "rust", masked("rust")).when(language == "python", masked("python")).when(language == "typescript", masked("typescript")).otherwise(content)
@@ -83,7 +84,7 @@ def _count(pattern: str) -> Column:
 
 
 def whole_headers(lines: DataFrame) -> DataFrame:
-    """(path, line_no, _whole): the headers that begin on a line, up to the line that closes their brackets and opens the body; ``lines`` have their code.
+    """(path, language, name, line_no, _whole): the headers that begin on a line, up to the line that closes their brackets and opens the body; ``lines`` have their code.
 
     Depth is a running count of brackets in code over the lines of one file; comments at line ends are left out.
     """
@@ -91,24 +92,21 @@ def whole_headers(lines: DataFrame) -> DataFrame:
     down = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     body = F.col("code").rlike(r"[{;]")
     ends = _by_language(body, F.col("code").rlike(r":\s*($|\S)"), body)
-    marked = function_headers(lines).select("path", "line_no", F.lit(True).alias("_opens"))
-    told = lines.withColumn("_step", _count(r"\(\[") - _count(r"\)\]")).join(marked, ["path", "line_no"], "left")
+    told = lines.withColumn("_step", _count(r"\(\[") - _count(r"\)\]")).withColumn("name", F.nullif(_header(2, "code"), F.lit(""))).withColumn("_opens", F.col("name").isNotNull())
     deep = told.withColumn("_depth", F.sum("_step").over(by))
     opened = lambda c: F.last(F.when(F.col("_opens"), c), True).over(by)
     stop = deep.withColumn("_head", opened(F.col("line_no"))).withColumn("_from", opened(F.col("_depth") - F.col("_step"))).withColumn("_ends", (F.col("_depth") <= F.col("_from")) & F.coalesce(ends, F.lit(False)))
     first = F.coalesce(F.first(F.when(F.col("_ends"), F.col("line_no")), True).over(down), F.col("line_no"))
     own = stop.withColumn("_first", first).withColumn("_stop", opened(F.col("_first"))).where("line_no <= _stop")
     kept = F.substring("text", F.lit(1), F.length(F.rtrim("code")))
-    joined = own.groupBy("path", F.col("_head").alias("line_no")).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), kept.alias("t")))).alias("_all"))
+    joined = own.groupBy("path", "language", F.col("_head").alias("line_no")).agg(F.max("name").alias("name"), F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), kept.alias("t")))).alias("_all"))
     text = F.array_join(F.transform("_all", lambda x, i: F.when(i == 0, F.rtrim(x["t"])).otherwise(F.trim(x["t"]))), " ")
-    return joined.select("path", "line_no", text.alias("_whole"))
+    return joined.select("path", "language", "name", "line_no", text.alias("_whole"))
 
 
 def scan_functions(lines: DataFrame) -> DataFrame:
     """(path, language, name, line_no, text): one function per file and name, the last header wins; text is the whole header where lines have their code."""
-    heads = function_headers(lines)
-    if "code" in lines.columns:
-        heads = heads.join(whole_headers(lines), ["path", "line_no"], "left").withColumn("text", F.coalesce("_whole", "text"))
+    heads = whole_headers(lines).withColumnRenamed("_whole", "text") if "code" in lines.columns else function_headers(lines)
     last = heads.groupBy("path", "language", "name").agg(F.max_by(F.struct("line_no", "text"), "line_no").alias("h"))
     return last.select("path", "language", "name", "h.line_no", "h.text")
 
