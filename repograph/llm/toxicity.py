@@ -136,6 +136,13 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, marks: int = 1 << 20) -> DataFrame:
+    """(text) of the rows of ``docs`` whose doc_id is among ``ids``. A table of at most ``marks`` remainders leaves out most others in the scan, so that their texts aren't shuffled for the exact join."""
+    mark = crc_mod(F.col("doc_id"), marks).alias("_mark")
+    likely = docs.select("doc_id", "text", mark).join(F.broadcast(ids.select(mark).distinct()), "_mark", "left_semi")
+    return likely.join(ids, "doc_id", "left_semi").select("text")
+
+
 def fit_scorer(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> Scorer:
     """A scorer from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); the rows to learn from are those whose crc32 remainder by three isn't 1."""
     p = params
@@ -162,7 +169,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicPa
                 names, n = np.unique(_present(row, feature)[1], return_counts=True)
                 yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], names=["name", "n"])
 
-    positives = learning.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("text")
+    positives = _texts_of(learning, known.where("toxic = 1").select("doc_id"))
     in_positives = positives.mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("p")).where(F.col("p") >= p.least_positives)
     likely = in_positives.orderBy(F.desc("p"), "name").limit(p.candidates).toPandas()  # a bounded number of rows
     order = np.argsort(likely["name"].to_numpy(dtype=np.int64).view(np.uint64))

@@ -113,6 +113,16 @@ def test_risk_and_gradient():
         assert np.allclose((g1[i], g2[i]), d, atol=1e-6)
 
 
+def test_toxic_texts_are_found_whatever_remainders_they_share(spark):
+    """Few remainders, so that other ids share them; with many, most texts go no further than the scan."""
+    d = spark.createDataFrame([(i % 300 if i % 50 else None, f"t{i}") for i in range(900)], "doc_id long, text string").where("doc_id is not null")
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 7)], "doc_id long")
+    expected = sorted(r.text for r in d.collect() if r.doc_id % 7 == 0)
+    for marks in (1, 8, 1 << 20):
+        assert sorted(r.text for r in toxicity._texts_of(d, ids, marks).collect()) == expected
+    assert toxicity._texts_of(d, ids.limit(0)).count() == 0
+
+
 def test_toxicity_edge_cases(spark):
     d = spark.createDataFrame([(i, ("vileword " if i % 3 == 0 else "") + " ".join(words(20))) for i in range(120)] + [(3, "vileword"), (None, "vileword"), (500, None), (501, "w " * 50000)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
