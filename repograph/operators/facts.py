@@ -158,16 +158,25 @@ def enclosing(lines: DataFrame) -> DataFrame:
     """
     if "fn" in lines.columns:
         return lines
-    by = Window.partitionBy("path").orderBy("line_no")
     coded = ["code"] if "code" in lines.columns else []
+    return _enclosed(lines, ["text", *coded])
+
+
+def _enclosed(lines: DataFrame, kept: list[str], wanted: Column | None = None) -> DataFrame:
+    """(path, language, line_no, *kept, fn, depth) as in ``enclosing``. Of lines that aren't ``wanted`` only headers and those with braces are sorted, since no other bears on what a line is in."""
+    by = Window.partitionBy("path").orderBy("line_no")
+    coded = "code" in lines.columns
     code = F.col("code") if coded else F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"|//.*$', "")
     delta = F.length(F.regexp_replace(code, r"[^{]", "")) - F.length(F.regexp_replace(code, r"[^}]", ""))
     heads = lines.withColumn("_name", F.nullif(_header(2, "code" if coded else "text"), F.lit(""))).withColumn("_indent", F.length(F.regexp_extract("text", r"^(\s*)", 1)))
-    deep = heads.withColumn("_delta", delta).withColumn("depth", F.coalesce(F.sum("_delta").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    deltas = heads.withColumn("_delta", delta)
+    if wanted is not None:
+        deltas = deltas.where(wanted | F.col("_name").isNotNull() | (F.col("_delta") != 0))
+    deep = deltas.select("path", "language", "line_no", *kept, "_name", "_indent", "_delta").withColumn("depth", F.coalesce(F.sum("_delta").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("fn"), F.col("depth").alias("at"), F.col("_indent").alias("indent"), F.col("line_no").alias("from")))
     held = deep.withColumn("_h", F.last(top, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.when(F.col("language") == "python", F.col("_indent") > F.col("_h.indent")).otherwise(F.col("depth") > F.col("_h.at"))
-    return held.select("path", "language", "line_no", "text", *coded, F.when(inside, F.col("_h.fn")).alias("fn"), F.when(inside, F.col("depth") - F.col("_h.at")).alias("depth"))
+    return held.select("path", "language", "line_no", *kept, F.when(inside, F.col("_h.fn")).alias("fn"), F.when(inside, F.col("depth") - F.col("_h.at")).alias("depth"))
 
 
 _LET = r"^\s*let\s+(.+?)\s*(?::[^=;]+)?(?:=(?!=).*|;\s*)$"
@@ -175,14 +184,15 @@ _LET = r"^\s*let\s+(.+?)\s*(?::[^=;]+)?(?:=(?!=).*|;\s*)$"
 
 def scan_variables(lines: DataFrame) -> DataFrame:
     """(path, fn, pos, var): local bindings; Rust only at the top of a body, with the names in a pattern, and one row per name; Python and TypeScript every one."""
-    own = enclosing(lines).where("fn is not null")
-    rust = own.where("language = 'rust' and depth = 1").withColumn("_p", F.regexp_extract("text", _LET, 1))
-    names = F.filter(F.regexp_extract_all("_p", F.lit(r"(?<![\w:])([a-z_][a-z0-9_]*)(?![\w(:])"), 1), lambda n: ~n.isin("_", "mut", "ref"))
-    rust = rust.where("_p <> ''").select("path", "fn", F.col("line_no").alias("pos"), F.explode(names).alias("var"))
     assigned = F.regexp_extract("text", r"^\s+([A-Za-z_]\w*)\s*(?::[^=]+)?=(?!=)", 1)
     declared = F.regexp_extract("text", r"^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)", 1)
-    others = own.where("language in ('python', 'typescript')").withColumn("var", F.when(F.col("language") == "python", assigned).otherwise(declared)).where("var <> ''")
-    return dedupe_bindings(rust).unionByName(others.select("path", "fn", F.col("line_no").alias("pos"), "var"))
+    bound = lines.withColumn("_p", F.nullif(_by_language(F.regexp_extract("text", _LET, 1), assigned, declared), F.lit("")))
+    own = bound if "fn" in lines.columns else _enclosed(bound, ["_p"], F.col("_p").isNotNull())
+    own = own.where("fn is not null and _p is not null")
+    names = F.filter(F.regexp_extract_all("_p", F.lit(r"(?<![\w:])([a-z_][a-z0-9_]*)(?![\w(:])"), 1), lambda n: ~n.isin("_", "mut", "ref"))
+    rust = own.where("language = 'rust' and depth = 1").select("path", "fn", F.col("line_no").alias("pos"), F.explode(names).alias("var"))
+    others = own.where("language in ('python', 'typescript')")
+    return dedupe_bindings(rust).unionByName(others.select("path", "fn", F.col("line_no").alias("pos"), F.col("_p").alias("var")))
 
 
 def dedupe_bindings(bindings: DataFrame) -> DataFrame:

@@ -194,3 +194,11 @@ def test_targets_whose_ids_share_forms_or_lack_them(spark):
     assert plan.count("LogicalRDD") <= 3  # events, nodes and edges once each
 
 
+def test_variables_sort_no_line_that_binds_nothing(spark):
+    """Plain lines don't reach the sort, and what is found stays the same beside them."""
+    plain = "\n".join(f"    call({i});" for i in range(200))
+    files = spark.createDataFrame([("a.rs", "fn f() {\n" + plain + "\n    let x = 1;\n    if y {\n        let z = 2;\n    }\n    let (p, q) = w;\n}\nlet no = 3;"), ("b.py", "def g():\n    t = 1\n    call()\n\nu = 2")], "path string, content string")
+    lines = facts.source_lines(files)
+    assert {tuple(r) for r in facts.scan_variables(lines).collect()} == {("a.rs", "f", 202, "x"), ("a.rs", "f", 206, "p"), ("a.rs", "f", 206, "q"), ("b.py", "g", 2, "t")}
+    kept = facts._enclosed(lines, ["text"], facts.F.lit(False))
+    assert kept.count() == 5 and {tuple(r) for r in facts.scan_variables(facts.enclosing(lines)).collect()} == {tuple(r) for r in facts.scan_variables(lines).collect()}
