@@ -24,6 +24,7 @@ from .events import structured_only
 from .paths import remove
 
 PERSISTED = ("test.result", "status.update", "hot_edge", "node.upsert", "edge.upsert", "agent.roster", "agent.activity")
+PATCHES = ("node.upsert", "node.remove", "status.update", "edge.upsert", "edge.remove", "hot_edge")
 ACTING = ("test.result", "status.update", "hot_edge", "agent.activity")
 
 
@@ -92,13 +93,17 @@ def fold_protocol_versions(envelopes: DataFrame) -> DataFrame:
     return versions_of(version_states(envelopes))
 
 
-def _patch_states(envelopes: DataFrame, what: str, field: str, update: str, value: str) -> DataFrame:
-    """(id, patch, told): the last upsert or removal of each id, and its last update."""
+def _patch_states(envelopes: DataFrame, what: str, field: str, update: str, value: str, parts: int) -> DataFrame:
+    """(id, patch, told): the last upsert or removal of each id, and its last update; with ``parts`` the envelopes are dealt to as many tasks, and an id of many envelopes has up to 16 states, to be merged."""
     own = envelopes.where(F.col("type").isin(f"{what}.upsert", f"{what}.remove", update))
     told = F.col("type") == update
     key = F.when(told, F.col(what)).otherwise(F.col("id"))
+    by = [key.alias("id")]
+    if parts > 1:
+        own = own.select(*by, "seq", "type", "session", "ts", field, value, F.pmod("seq", F.lit(16)).alias("deal")).repartition(parts, "id", "deal")
+        by = ["id", "deal"]
     patch = F.max(F.when(~told, F.struct("seq", "type", F.col(field).alias("row"), "session", "ts")))
-    return own.groupBy(key.alias("id")).agg(patch.alias("patch"), F.max(F.when(told, F.struct("seq", F.col(value).alias("value"), "ts"))).alias("told"))
+    return own.groupBy(*by).agg(patch.alias("patch"), F.max(F.when(told, F.struct("seq", F.col(value).alias("value"), "ts"))).alias("told")).drop("deal")
 
 
 def _present(states: DataFrame, what: str) -> DataFrame:
@@ -106,8 +111,8 @@ def _present(states: DataFrame, what: str) -> DataFrame:
     return states.where(F.col("patch.type") == f"{what}.upsert").withColumn("told", F.when(F.col("told.seq") >= F.col("patch.seq"), F.col("told")))
 
 
-def node_states(envelopes: DataFrame) -> DataFrame:
-    return _patch_states(envelopes, "node", "row_node", "status.update", "status")
+def node_states(envelopes: DataFrame, parts: int = 1) -> DataFrame:
+    return _patch_states(envelopes, "node", "row_node", "status.update", "status", parts)
 
 
 def nodes_of(states: DataFrame) -> DataFrame:
@@ -123,8 +128,8 @@ def fold_nodes(envelopes: DataFrame) -> DataFrame:
     return nodes_of(node_states(envelopes))
 
 
-def edge_states(envelopes: DataFrame) -> DataFrame:
-    return _patch_states(envelopes, "edge", "row_edge", "hot_edge", "hot")
+def edge_states(envelopes: DataFrame, parts: int = 1) -> DataFrame:
+    return _patch_states(envelopes, "edge", "row_edge", "hot_edge", "hot", parts)
 
 
 def edges_of(states: DataFrame) -> DataFrame:
@@ -156,19 +161,24 @@ class Keyed(NamedTuple):
     """A table folded by key: its states carry the order of each value, so that two states of a key merge by least and greatest, column by column."""
 
     key: str
-    states: Callable[[DataFrame], DataFrame]
+    states: Callable[..., DataFrame]
     rows: Callable[[DataFrame], DataFrame]
     least: tuple[str, ...] = ()  # columns of which the least stays; of the others the greatest
+    wide: bool = False  # states are whole rows, made in a given number of tasks
 
-    def merged(self, states: DataFrame) -> DataFrame:
-        return states.groupBy(self.key).agg(*[(F.min if c in self.least else F.max)(c).alias(c) for c in states.columns if c not in (self.key, "bucket")])
+    def merged(self, states: DataFrame, dealt: tuple[str, ...] = ()) -> DataFrame:
+        """One state a key; ``dealt``: columns that follow from the key, by which the states are dealt already."""
+        return states.groupBy(*dealt, self.key).agg(*[(F.min if c in self.least else F.max)(c).alias(c) for c in states.columns if c not in (self.key, *dealt)])
 
 
 KEYED = {
     "sessions": Keyed("session_id", session_states, sessions_of, ("first",)), "agents": Keyed("process_id", agent_states, agents_of, ("first",)), "protocol_versions": Keyed("process_id", version_states, versions_of),
-    "nodes": Keyed("id", node_states, nodes_of), "edges": Keyed("id", edge_states, edges_of),
+    "nodes": Keyed("id", node_states, nodes_of, wide=True), "edges": Keyed("id", edge_states, edges_of, wide=True),
 }
 
+#: Envelopes or states that one task folds, about; a bucket of more is dealt among several tasks and is as many files.
+TASK_STATES = 250_000
+
 _MANIFEST = "number long, batch long, table string, buckets int, bucket int, n long, path string, schema string"
 
 
@@ -189,7 +199,10 @@ def _bucketed(states: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 def _merge_into(spark: SparkSession, held: list, name: str, states: DataFrame, path: str, buckets: int, most: int) -> list[tuple]:
-    """Merges a batch's ``states`` into the buckets that they touch, which are written anew at ``path``; (table, buckets, bucket, n, path, schema) of the table's buckets afterwards."""
+    """Merges a batch's ``states`` into the buckets that they touch, which are written anew at ``path``; (table, buckets, bucket, n, path, schema) of the table's buckets afterwards.
+
+    Buckets double once a batch at most, so a large batch fills them beyond ``most``; tasks follow the number of states and not that of buckets.
+    """
     table = KEYED[name]
     old = [r for r in held if r["table"] == name and r["bucket"] >= 0]
     buckets = next((r["buckets"] for r in held if r["table"] == name), buckets)
@@ -205,9 +218,12 @@ def _merge_into(spark: SparkSession, held: list, name: str, states: DataFrame, p
         own = before.unionByName(own)
     rows = []
     if counts or touched:
-        merged = _bucketed(table.merged(own), table.key, buckets)
-        # The rows of a bucket are one task's, so a bucket is one file.
-        merged.repartition(min(buckets, max(len(counts), len(touched))), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        n, met = sum(counts.values()) + sum(r["n"] for r in touched), min(buckets, max(len(counts), len(touched)))
+        parts = max(met, n // TASK_STATES + 1)
+        # A bucket is one task's and one file while it is small. Beyond that it goes by slices, some to a task, so that tasks are of one size.
+        slices = 1 if parts == met else 8 * parts // met
+        dealt = own.withColumn("slice", F.pmod(F.xxhash64(table.key, F.lit(1)), F.lit(slices).cast("long"))).repartition(parts, "bucket", "slice")
+        table.merged(dealt, ("bucket", "slice")).drop("slice").write.mode("overwrite").partitionBy("bucket").parquet(path)
         sizes = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])).parquet(path).groupBy("bucket").count().collect()
         rows = [(name, buckets, r["bucket"], r["count"], f"{path}/bucket={r['bucket']}", None) for r in sizes]
     gone = {r["path"] for r in touched}
@@ -230,7 +246,9 @@ def persist_events(envelopes: DataFrame, base_path: str, batch: int, buckets: in
     held = _manifest(spark, base_path)
     number, last = (held[0]["number"] + 1, held[0]["batch"]) if held else (0, -1)
     version = f"v-{number:012d}-{uuid.uuid4().hex}"
-    one = lambda name: _merge_into(spark, held, name, KEYED[name].states(own), f"{base_path}/{name}/{version}", buckets, most)
+    parts = own.where(F.col("type").isin(*PATCHES)).count() // TASK_STATES + 1
+    states = lambda table: table.states(own, parts) if table.wide else table.states(own)
+    one = lambda name: _merge_into(spark, held, name, states(KEYED[name]), f"{base_path}/{name}/{version}", buckets, most)
     with ThreadPoolExecutor(len(KEYED)) as pool:  # the tables' jobs run side by side
         rows = [r for part in pool.map(one, KEYED) for r in part]
     made = [(number, max(int(batch), last), *r) for r in rows]

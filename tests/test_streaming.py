@@ -1,5 +1,6 @@
 import datetime
 import json
+from pathlib import Path
 from types import SimpleNamespace
 
 from pyspark.sql import Row
@@ -103,6 +104,24 @@ def _envelopes(spark, rows):
     return df.select("seq", "ts", "type", "session", *[c.alias(n) for n, c in columns.items()])
 
 
+def test_a_bucket_of_many_keys_is_dealt_among_tasks(spark, tmp_path, monkeypatch):
+    """A first batch has few buckets however many keys it has; one key has most of the envelopes."""
+    monkeypatch.setattr(store, "TASK_STATES", 20)
+    path = str(tmp_path / "store")
+    batches = [
+        [(i, "node.upsert", f"s{i % 2}", f"n{i}", f"label {i}") for i in range(120)] + [(200 + i, "edge.upsert", "s0", f"e{i}", None) for i in range(120)] + [(400 + i, "hot_edge", "s0", "e1", "hot" if i % 3 else "cold") for i in range(101)],
+        [(600 + i, "node.remove" if i % 3 else "node.upsert", "s1", f"n{i}", "again") for i in range(0, 120, 2)] + [(700, "status.update", "s1", "n3", "failing"), (699, "status.update", "s1", "n3", "passing")],
+    ]
+    for k, rows in enumerate(batches):
+        store.persist_events(_envelopes(spark, rows), path, k, buckets=2, most=1000)
+        files = [sum(1 for f in Path(r["path"]).iterdir() if f.suffix == ".parquet") for r in store._manifest(spark, path) if r["table"] == "nodes" and r["path"]]
+        assert len(files) == 2 and min(files) >= 3
+    whole = _envelopes(spark, [r for rows in batches for r in rows])
+    for name, fold in (("nodes", store.fold_nodes), ("edges", store.fold_edges), ("sessions", store.fold_sessions)):
+        got = store.load_table(spark, path, name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, fold(whole).select(*got.columns).collect())), name
+
+
 def test_batches_rewrite_the_buckets_that_they_touch_alone(spark, tmp_path):
     path = str(tmp_path / "store")
     batches = [
