@@ -86,7 +86,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, read by column and of a size that Catalyst knows."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,11 +100,11 @@ def _climbed(nodes: DataFrame, max_depth: int, marked: DataFrame | None = None,
     if marked is not None:
         own = marked.select(F.col("id").alias("_m")).distinct()
         rest = nodes.select("id", "parent_id").join(own, F.col("id") == F.col("_m"), "left").select("id", "parent_id", F.col("_m").isNotNull().alias("mark"))
-    rest, tiers = rest if kept and marked is None else cut(rest), []
+    rest, tiers = rest if kept and marked is None else stored(rest), []
     n = rest.count()
     while n:
-        named = rest.where("parent_id is not null").select(F.col("parent_id").alias("_p")).distinct()
-        split = cut(rest.join(named, F.col("id") == F.col("_p"), "left").select("id", "parent_id", "mark", F.col("_p").isNotNull().alias("inner")))
+        named = _parents(rest)
+        split = stored(rest.join(named, F.col("id") == F.col("_p"), "left").select("id", "parent_id", "mark", F.col("_p").isNotNull().alias("inner")))
         left = split.where("inner").count()
         if 2 * left > n:
             break
@@ -120,7 +120,7 @@ def _climbed(nodes: DataFrame, max_depth: int, marked: DataFrame | None = None,
         absent = F.col("_id").isNull()
         tier = tier.join(above, F.col("parent_id") == F.col("_id"), "left")
         path = F.when(absent, F.array("id")).otherwise(F.concat("_path", F.array("id")))
-        made = cut(own(path, F.when(absent, F.col("parent_id")).otherwise(F.col("_beyond")), F.coalesce("_under", F.array().cast("array<string>"))))
+        made = stored(own(path, F.when(absent, F.col("parent_id")).otherwise(F.col("_beyond")), F.coalesce("_under", F.array().cast("array<string>"))))
         _checked(made, max_depth)
         done = done.unionByName(made)
     if done is None:
@@ -136,7 +136,7 @@ def _checked(made: DataFrame, max_depth: int) -> None:
 def _doubled(nodes: DataFrame, max_depth: int) -> DataFrame:
     """(id, mark, path, beyond, under) of ``nodes`` (id, parent_id, mark) by doubling: each round puts the path of the node that a path ends under on top of it, so paths of a tier of 1,000 are whole after ten joins.
 
-    A cycle ends where it closes: of the path put on top only what lies below the first node met again is kept. Each round is checkpointed, and what is whole isn't written again.
+    A cycle ends where it closes: of the path put on top only what lies below the first node met again is kept. Each round is stored, and what is whole isn't written again.
     """
     nodes = nodes.select("id", "mark", F.col("parent_id").alias("next"), F.array("id").alias("path"), F.lit(None).cast("string").alias("beyond"), F.array().cast("array<string>").alias("under"))
     whole, now = [nodes.where("next is null")], nodes.where("next is not null")
@@ -152,7 +152,7 @@ def _doubled(nodes: DataFrame, max_depth: int) -> DataFrame:
         path = F.when(absent, F.col("path")).when(again, F.concat(kept, F.col("path"))).otherwise(F.concat("_path", "path"))
         under = F.when(absent, F.col("under")).when(again, F.concat(F.array_intersect(kept, F.col("_under")), F.col("under"))).otherwise(F.concat("_under", "under"))
         beyond = F.when(absent, F.col("next")).when(~again, F.col("_beyond"))
-        made = cut(met.select("id", "mark", F.when(~absent & ~again, F.col("_next")).alias("next"), path.alias("path"), beyond.alias("beyond"), under.alias("under")))
+        made = stored(met.select("id", "mark", F.when(~absent & ~again, F.col("_next")).alias("next"), path.alias("path"), beyond.alias("beyond"), under.alias("under")))
         _checked(made, max_depth)
         whole.append(made.where("next is null"))
         now = made.where("next is not null")
@@ -181,6 +181,11 @@ def descendants(nodes: DataFrame, roots: DataFrame, max_depth: int = 100_000) ->
     return _below(nodes, roots, max_depth).distinct()
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    """(_p) ids that are named as a parent."""
+    return nodes.where("parent_id is not null").select(F.col("parent_id").alias("_p")).distinct()
+
+
 def collapse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Without what lies below the roots, and without edges that touch it."""
     gone = stored(_below(nodes, roots, max_depth).select(F.col("id").alias("_gone")).distinct())
@@ -231,28 +236,29 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.withColumn("memory_bytes", estimate_memory("node_count", "edge_count", "file_count"))
 
 
-def has_children(nodes: DataFrame) -> DataFrame:
-    """(id, expandable): child_ids not empty, or named as a parent."""
-    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("_p")).distinct()
-    met = nodes.join(parents, F.col("id") == F.col("_p"), "left")
+def has_children(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, expandable) of the nodes, or of those of them in ``asked``: child_ids not empty, or named as a parent."""
+    met = (nodes if asked is None else asked).join(_parents(nodes), F.col("id") == F.col("_p"), "left")
     return met.select("id", (F.coalesce(F.size("child_ids") > 0, F.lit(False)) | F.col("_p").isNotNull()).alias("expandable"))
 
 
-def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 100_000) -> DataFrame:
+def hierarchy_rows(nodes: DataFrame, expanded: DataFrame, show_agents: bool = True, max_depth: int = 100_000, kept: bool = False) -> DataFrame:
     """(row, id, depth, expandable, expanded): visible nodes in pre-order; a node shows if all its ancestors are expanded.
 
-    Pre-order is the order of the ancestor paths, which are dealt into ranges, so no task orders a whole tree.
+    What lies directly below a shut node is left out before the tree is walked. Pre-order is the order of the ancestor paths, which are dealt into ranges, so no task orders a whole tree. ``kept``: the nodes are written
+    already, and aren't written again.
     """
-    nodes = cut(agent_layer(nodes, show_agents).select("id", "parent_id", "child_ids"))
-    open_ = cut(expanded.select(F.col("id").alias("_e")).distinct())
-    # Shut nodes are marked, so that a node tells itself whether one is above it; ids are one row each.
-    paths = _climbed(nodes, max_depth, nodes.join(open_, F.col("id") == F.col("_e"), "left_anti"))
-    rooted = paths.where(F.size("under") == 0).join(nodes.where("parent_id is null").select(F.col("id").alias("_root")), F.element_at("path", 1) == F.col("_root"))
-    shown = cut(rooted.select("id", "path", "_root"))
+    nodes = agent_layer(nodes, show_agents).select("id", "parent_id", "child_ids")
+    nodes = nodes if kept else stored(nodes)
+    open_ = stored(expanded.select(F.col("id").alias("_e")).distinct())
+    asked = stored(nodes.where("parent_id is null").unionByName(nodes.join(open_, F.col("parent_id") == F.col("_e"), "left_semi")))
+    # A node that has something shut further above it ends below an absent parent, not below a root.
+    rooted = ancestor_paths(asked, max_depth, kept=True).join(asked.where("parent_id is null").select(F.col("id").alias("_root")), F.element_at("path", 1) == F.col("_root"), "left_semi")
+    flagged = rooted.join(has_children(nodes, asked), "id").join(open_, F.col("id") == F.col("_e"), "left")
+    shown = stored(flagged.select("path", "expandable", F.col("_e").isNotNull().alias("expanded")))
     # Ranges of paths are numbered each on its own, and a running count over the ranges, as many as partitions, shifts them.
-    ranged = cut(shown.repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
+    ranged = stored(shown.repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("path").alias("_least"))
     shift = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_range", "_before")
     placed = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("path"))).join(shift, "_range")
-    flagged = placed.join(has_children(nodes), "id").join(open_, F.col("id") == F.col("_e"), "left")
-    return flagged.select((F.col("_before") + F.col("_k") - 1).cast("long").alias("row"), "id", (F.size("path") - 1).alias("depth"), "expandable", F.col("_e").isNotNull().alias("expanded"))
+    return placed.select((F.col("_before") + F.col("_k") - 1).cast("long").alias("row"), F.element_at("path", -1).alias("id"), (F.size("path") - 1).alias("depth"), "expandable", "expanded")

@@ -180,3 +180,40 @@ def test_collapse_joins_edges_once_an_end(spark):
     _, edges = graph.collapse(nodes, pairs[0].unionByName(pairs[1]).unionByName(pairs[2]), spark.createDataFrame([("f",)], "id string"))
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     assert sorted(r["id"] for r in edges.collect()) == ["raf", "rbf", "rcf"]
+
+
+def test_collapse_and_rows_against_a_walk(spark):
+    """Cycles, absent parents and roots, roots on a cycle; written as columns, at most once what the tree holds."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(2):
+        names = [f"n{i:02}" for i in range(40)]
+        up = {n: rng.choice([None, "gone", *names[: i + 1], *names[max(i - 3, 0) : i + 4]]) for i, n in enumerate(names)}
+        marked, opened = set(rng.sample([*names, "gone"], 6)), set(rng.sample(names, 30))
+
+        def above(n):
+            out = []
+            while (n := up.get(n)) is not None and n not in out:
+                out.append(n)
+            return out
+
+        nodes = spark.createDataFrame([(n, "t", p) for n, p in up.items()], "id string, type string, parent_id string").selectExpr("*", "cast(array() as array<string>) as child_ids")
+        edges = spark.createDataFrame([(f"{a}-{b}", a, b) for a in [*names, "x"] for b in rng.sample(names, 3)], "id string, source string, target string")
+        gone = {n for n in names if (set(above(n)) - {n}) & marked}
+        left, left_edges = graph.collapse(nodes, edges, spark.createDataFrame([(m,) for m in marked], "id string"))
+        assert ids(left) == sorted(set(names) - gone)
+        assert ids(left_edges) == sorted(r.id for r in edges.collect() if not {r.source, r.target} & gone)
+        rows = graph.hierarchy_rows(nodes, spark.createDataFrame([(n,) for n in opened], "id string")).orderBy("row").collect()
+        shows = [n for n in names if up[n] is None or all(a in opened for a in above(n)) and up.get(above(n)[-1], "gone") is None]
+        shows.sort(key=lambda n: [*above(n)[::-1], n])
+        assert [(r.row, r.id, r.depth, r.expandable, r.expanded) for r in rows] == [(k, n, len(above(n)), n in up.values(), n in opened) for k, n in enumerate(shows)]
+
+
+def test_rows_walk_only_below_open_nodes(spark, monkeypatch):
+    seen = []
+    walk = graph._climbed
+    monkeypatch.setattr(graph, "_climbed", lambda nodes, *a, **k: (seen.append(nodes.count()), walk(nodes, *a, **k))[1])
+    nodes = spark.createDataFrame([("r", "t", None), ("f", "t", "r")] + [(f"v{i}", "t", "f") for i in range(50)], "id string, type string, parent_id string").selectExpr("*", "cast(array() as array<string>) as child_ids")
+    assert ids(graph.hierarchy_rows(nodes, nodes.where("id = 'r'"))) == ["f", "r"]
+    assert seen == [2]
