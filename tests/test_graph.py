@@ -216,4 +216,5 @@ def test_rows_walk_only_below_open_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "_climbed", lambda nodes, *a, **k: (seen.append(nodes.count()), walk(nodes, *a, **k))[1])
     nodes = spark.createDataFrame([("r", "t", None), ("f", "t", "r")] + [(f"v{i}", "t", "f") for i in range(50)], "id string, type string, parent_id string").selectExpr("*", "cast(array() as array<string>) as child_ids")
     assert ids(graph.hierarchy_rows(nodes, nodes.where("id = 'r'"))) == ["f", "r"]
-    assert seen == [2]
+    left, _ = graph.collapse(nodes, nodes.select("id", F.col("id").alias("source"), F.col("id").alias("target")), nodes.where("id = 'f'"))
+    assert ids(left) == ["f", "r"] and seen == [2, 2]
