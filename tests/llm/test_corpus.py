@@ -333,6 +333,45 @@ def test_contexts_are_sampled_as_in_one_process(spark):
     assert np.allclose(got[: len(SEATED)], chain(SEATED, p), rtol=1e-12)
 
 
+def test_words_after_a_word_have_their_own_restaurant(spark):
+    """Rare words of one class and count: the pair that was learnt scores higher than one that was not, after a rare and after a frequent word."""
+    names = [f"{a}{b}{c}zz" for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz"][:400]
+    seen = [f"{x} {y}" for x, y in zip(names[::2], names[1::2])]
+    learnt = [f"the {pair}" for pair in seen for _ in range(3)] + ["the the"] * 50
+    asked = [f"{names[0]} {names[1]}", f"{names[0]} {names[3]}", f"the {names[0]} {names[1]}", f"the {names[1]}"]
+    d = frame(spark, learnt + asked)
+    p = pitman_yor.ModelParams(frequent=1, endings=1, sweeps=6, burn=2)
+    got = {r.doc_id: r.score for r in pitman_yor.language_model_scores(d, F.col("doc_id") < len(learnt), p).collect()}
+    score = dict(zip(asked, (got[len(learnt) + i] for i in range(len(asked)))))
+    assert score[f"{names[0]} {names[1]}"] > score[f"{names[0]} {names[3]}"] + 1
+    assert score[f"the {names[0]} {names[1]}"] > score[f"the {names[1]}"]
+
+
+def test_pairs_are_seated_as_customers_one_by_one():
+    """Seated customers and parent's weights against a Gibbs sampler that moves one customer at a time."""
+    p = pitman_yor.ModelParams(sweeps=4000, burn=50)
+    (d, s), rng = p.pair, random.Random(5)
+    context, c, parent = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 5, 2, 7, 0, 0]), np.array([0.2, 0.1, 0.4, 0.3, 0.2, 0.5])
+    seated, weight, customers = pitman_yor.seat_pairs(context, c, parent, p, np.random.default_rng(1))
+    for u in (0, 1):
+        rest, own, mean, top = {}, np.flatnonzero(context == u), np.zeros(3), 0.0
+        for sweep in range(4000):
+            for w in own.tolist():
+                for _ in range(c[w]):
+                    if sweep:
+                        leave(rng, rest, w)
+                    seat_one_by_one(rng, rest, w, 1, parent[w], d, s)
+            if sweep >= 50:
+                tables = [len(rest.get(w, [])) for w in own.tolist()]
+                mean[: len(own)] += [max(c[w] - d * t, 0) for w, t in zip(own.tolist(), tables)]
+                top += s + d * sum(tables)
+        n = s + c[own].sum()
+        assert np.allclose(seated[own], mean[: len(own)] / 3950, rtol=0.06) and abs(weight[u] * n * 3950 / top - 1) < 0.06
+        assert customers[u] == c[own].sum() and abs(seated[own].sum() / n + weight[u] - 1) < 1e-9
+        assert np.allclose(pitman_yor._decoded(pitman_yor._coded(seated).tobytes()), seated, rtol=4e-4)
+    assert seated[5] == 0 and weight[2] == 1
+
+
 def test_pitman_yor_probabilities_sum_to_one(spark):
     p = pitman_yor.ModelParams(frequent=6, endings=4, sweeps=3, burn=1)
     k = p.classes
